@@ -10,6 +10,46 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _batched(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches small enough for two workers beside a small executor's heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def _held_out(modulus: int, rest: int):
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == rest, F.lit(False))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.toxicity import score, train
+
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    _batched(spark)
+    out = score(docs, train(docs, labels))
+    return out.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.media import store_texts
+
+    _batched(spark)
+    return store_texts(_docs(spark, sf_dir))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.langid import identify, train
+
+    docs = _docs(spark, sf_dir)
+    _batched(spark)
+    return identify(docs, train(docs)).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.licenses import scan_licenses
+
+    _batched(spark)
+    return scan_licenses(_docs(spark, sf_dir))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.minhash import near_duplicates
 
@@ -22,7 +62,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_docs(spark, sf_dir), window=13)
 
 
-QUERIES = {f.__name__: f for f in (op9_minhash, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op5_media, op6_langid, op8_licenses, op9_minhash, op10_substrings)}
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
