@@ -28,6 +28,23 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.hpylm import lm_scores
+
+    held = _held_out(10, 0)
+    out = lm_scores(_docs(spark, sf_dir), ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from recollect.llm.packing import pack
+
+    _batched(spark)
+    return pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.media import store_texts
 
@@ -62,7 +79,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_docs(spark, sf_dir), window=13)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op5_media, op6_langid, op8_licenses, op9_minhash, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_packing, op5_media, op6_langid, op8_licenses, op9_minhash, op10_substrings)}
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
