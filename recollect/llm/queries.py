@@ -60,6 +60,12 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs)).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.hnsw import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.licenses import scan_licenses
 
@@ -79,7 +85,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_docs(spark, sf_dir), window=13)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_packing, op5_media, op6_langid, op8_licenses, op9_minhash, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_packing, op5_media, op6_langid, op7_embeddings, op8_licenses, op9_minhash, op10_substrings)}
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -111,4 +117,16 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(places),
 FROM w LEFT JOIN gone USING (doc_id)
 """
 
-ORACLE_SQL = {"op9_minhash": OP9_SQL, "op10_substrings": OP10_SQL}
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT vec_id, e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95),
+r(id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id WHERE r.root < l.b),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_links, c.root AS component_id, v.vec_id = c.root AS kept
+FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+ORACLE_SQL = {"op7_embeddings": OP7_SQL, "op9_minhash": OP9_SQL, "op10_substrings": OP10_SQL}
