@@ -45,6 +45,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from recollect.llm.sentencepiece import digest
+
+    _batched(spark)
+    return digest(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.media import store_texts
 
@@ -85,7 +94,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_docs(spark, sf_dir), window=13)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_packing, op5_media, op6_langid, op7_embeddings, op8_licenses, op9_minhash, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_packing, op4_sentencepiece, op5_media, op6_langid, op7_embeddings, op8_licenses, op9_minhash, op10_substrings)}
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
