@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.common import LOWER, U, components, mix, stored, windows, word_hashes
@@ -137,15 +137,45 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(possible).where(100 * common >= percent * (na + nb - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, small_bucket: int = 32, pivots: int = 8) -> DataFrame:
+def _across(percent: int):
+    """Links of a block of members to a block of their bucket's members in other components."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = (t["class"].to_numpy() for t in (left, right))
+        ca, cb = (t["c"].to_numpy() for t in (left, right))
+        rows: list[np.ndarray] = []
+        if len(a) and len(b):
+            xs, ys = (t["set"].combine_chunks() for t in (left, right))
+            nx, ny = np.diff(xs.offsets.to_numpy()), np.diff(ys.offsets.to_numpy())
+            x, y = xs.flatten().to_numpy(), ys.flatten().to_numpy()
+            own, code = np.unique(x, return_inverse=True)
+            at = np.minimum(np.searchsorted(own, y), len(own) - 1)
+            y = np.where(own[at] == y, at, len(own))
+            start = np.cumsum(ny) - ny
+            mark = np.zeros(len(own) + 1, dtype=np.int32)
+            for i, (n, end) in enumerate(zip(nx.tolist(), np.cumsum(nx).tolist(), strict=True)):
+                mine = code[end - n : end]
+                mark[mine] = 1
+                common = np.add.reduceat(mark[y], start).astype(np.int64)
+                mark[mine] = 0
+                hit = np.flatnonzero((100 * common >= percent * (n + ny - common)) & (cb != ca[i]))
+                hit = hit[np.unique(cb[hit], return_index=True)[1]]  # one link a component is enough
+                rows.append(np.stack([np.full(len(hit), a[i]), b[hit]]))
+        found = np.concatenate(rows, 1) if rows else np.zeros((2, 0), np.int64)
+        return pa.table([pa.array(found.min(0) if found.size else found[0]), pa.array(found.max(0) if found.size else found[0])], names=["a", "b"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, small_bucket: int = 32, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
     Rows with equal sets form one class, so a group of exact copies costs one row from there
-    on.  Within a bucket every class is compared with one head first.  Buckets whose members
-    then still lie in several components stay open: small ones compare all members across
-    components, larger ones take `pivots` members that no earlier round has used and compare
-    those, until no bucket is open.  So no link between different components is skipped, and
-    no bucket emits all of its pairs.
+    on.  Within a bucket every class is compared with one head first, the one that shares most
+    buckets.  A bucket whose members then lie in several components stays open: its members
+    outside its largest component are compared with all members of other components, pair by
+    pair in small buckets, in blocks of `block` members in larger ones.  So no link between
+    different components is skipped, and no bucket emits all of its pairs.
 
     Empty or null text: n_shingles 0, a component of its own.  Null doc_id: never linked,
     component_id and kept null.  Rows that repeat a doc_id are judged each by its own text.
@@ -154,36 +184,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, small_bucket
     sig = stored(src.mapInArrow(_sign(k), SIGNATURE), "signatures")
     live = sig.where("n_shingles > 0 and doc_id is not null")
     classes = stored(live.groupBy("class").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep")), "classes")
+    at_key = ["band", "key"]
     band = classes.select("class", "rep", F.posexplode("bands").alias("band", "key"))
-    heads = band.groupBy("band", "key").agg(F.min("class").alias("head"), F.count("*").alias("size")).where("size > 1")
-    buckets = stored(band.join(heads, ["band", "key"]), "buckets")
-    tested = stored(buckets.where("class != head").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
+    sizes = band.groupBy(at_key).agg(F.count("*").alias("size")).where("size > 1")
+    buckets = stored(band.join(sizes, at_key), "buckets")
+    degree = buckets.groupBy("class").agg(F.sum("size").alias("degree"))
+    heads = buckets.join(degree, "class").groupBy(at_key).agg(F.max(F.struct("degree", "class")).getField("class").alias("head"))
+    pairs = buckets.join(heads, at_key).where("class != head").select(F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b")).distinct()
+    tested = stored(pairs, "pairs")
     rows = src.join(buckets.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").select("text")
     sets = rows.mapInArrow(_sets(k), "class long, set array<long>").join(buckets.select("class").distinct(), "class", "left_semi")
     sets = stored(sets.dropDuplicates(["class"]), "sets")
     links = stored(_links(tested, sets, percent), "links")
-    used = None
-    at_key = ["band", "key"]
-    while True:
-        comp = components(links, "component")
-        at = buckets.join(comp, F.col("class") == F.col("id"), "left").select(*at_key, "class", "size", F.coalesce("component", "class").alias("c"))
-        at = at.join(at.groupBy(at_key).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select(at_key), at_key)
-        at = stored(at, "open")
-        free = at if used is None else at.join(used, [*at_key, "class"], "left_anti")
-        per_c = at.groupBy(*at_key, "c").agg(F.count("*").alias("n_c"))
-        order = F.row_number().over(Window.partitionBy(*at_key).orderBy("n_c", "class"))
-        turn = free.join(per_c, [*at_key, "c"]).withColumn("i", order).where((F.col("size") <= small_bucket) | (F.col("i") <= pivots))
-        turn = stored(turn.select(*at_key, F.col("class").alias("p"), F.col("c").alias("pc")), "turn")
-        if turn.isEmpty():
-            return _labelled(sig, classes, comp)
-        pairs = turn.join(at, at_key).where("c != pc").select(F.least("p", "class").alias("a"), F.greatest("p", "class").alias("b")).distinct()
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        now = turn.select(*at_key, F.col("p").alias("class"))
-        used = now if used is None else stored(used.union(now), "used")
-        if pairs.isEmpty():
-            continue
-        tested = stored(tested.union(pairs), "tested")
-        links = stored(links.union(_links(pairs, sets, percent)), "links")
+    comp = components(links, "component")
+
+    at = buckets.join(comp, F.col("class") == F.col("id"), "left").select(*at_key, "class", "size", F.coalesce("component", "class").alias("c"))
+    parts = at.groupBy(*at_key, "c").agg(F.count("*").alias("n_c"))
+    largest = parts.groupBy(at_key).agg(F.max(F.struct("n_c", "c")).alias("top"), F.sum("n_c").alias("n"), F.count("*").alias("parts")).where("parts > 1 and n > 2")
+    largest = largest.select(*at_key, F.col("top.c").alias("c0"), (F.col("n") - F.col("top.n_c")).alias("n_rest"))
+    at = stored(at.join(largest, at_key), "open")
+    rest = at.where("c != c0")
+    small = rest.where(F.col("size") <= small_bucket).select(*at_key, F.col("class").alias("p"), F.col("c").alias("pc"))
+    near = small.join(at, at_key).where("c != pc").select(F.least("p", "class").alias("a"), F.greatest("p", "class").alias("b")).distinct()
+    more = _links(stored(near.join(tested, ["a", "b"], "left_anti"), "pairs"), sets, percent)
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("class"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    wide = at.where(F.col("size") > small_bucket)
+    left = wide.where("c != c0").select(*at_key, "class", "c", own("n_rest").alias("i"), every("size").alias("j"))
+    right = wide.select(*at_key, "class", "c", own("size").alias("j"), every("n_rest").alias("i"))
+    cell = [*at_key, "i", "j"]
+    fresh = lambda df: df.join(sets, "class").select(*cell, "class", "c", "set").toDF(*cell, "class", "c", "set")
+    across = fresh(left).groupBy(cell).cogroup(fresh(right).groupBy(cell)).applyInArrow(_across(percent), "a long, b long")
+    found = stored(more.union(across).distinct(), "links")
+    if not found.isEmpty():
+        comp = components(links.union(found), "component")
+    return _labelled(sig, classes, comp)
 
 
 def _labelled(sig: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
