@@ -12,12 +12,14 @@ import math
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
@@ -54,6 +56,27 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def appended(rows: DataFrame, text: str, columns: str, judge: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
+    """rows with further columns (DDL) computed from the text column, batch by batch, in place.
+
+    judge() makes, once a task, the function from a text column to the new arrays.
+    """
+    names = [c.split()[0] for c in columns.split(", ")]
+    schema = StructType(list(rows.schema.fields))
+    for c in columns.split(", "):
+        schema = schema.add(*c.split())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = judge()
+        for batch in batches:
+            for lo in range(0, len(batch), 1000):
+                part = batch.slice(lo, 1000)
+                new = of(part.column(part.schema.get_field_index(text)))
+                yield pa.record_batch([*part.columns, *new], names=[*part.schema.names, *names])
+
+    return rows.mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------------- bytes
 
 

@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import crc_of_id, text_bytes
+from recollect.llm.common import appended, crc_of_id, text_bytes
 from recollect.llm.sampling import bounded_sample
 
 CLASSES, BREAK, SHARED = 128, 1, 16  # most classes; the break; those that rare letters share
@@ -168,20 +167,22 @@ def train(docs: DataFrame, chars: int = 24_000, rows: int = 200) -> LanguageMode
     return LanguageModel(samples)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, lang_pred, score (0 to 1; 0.5 is a tie of the two best) of each row.
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """docs with lang_pred and score (0 to 1; 0.5 is a tie of the two best) of each row.
 
     Null, empty or letterless text, or a model without languages: `und`, 0.  Ties go to the
     first language by name.  Rows, null keys and repeated ones stay as they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge():
         m = shared.value
         lut = m.lut()
-        for batch in batches:
-            lang, score = m.judge(batch[1], lut)
-            yield pa.record_batch([batch[0], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[key, "lang_pred", "score"])
 
-    src = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
-    return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, lang_pred string, score double")
+        def of(column):
+            lang, score = m.judge(column, lut)
+            return [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+
+        return of
+
+    return appended(docs, text, "lang_pred string, score double", judge)

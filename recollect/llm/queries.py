@@ -24,8 +24,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     _batched(spark)
-    out = score(docs, train(docs, labels))
-    return out.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    out = score(docs.select("doc_id", "text"), train(docs, labels))
+    return out.select("doc_id", _held_out(4, 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _docs(spark, sf_dir)
     _batched(spark)
-    return identify(docs, train(docs)).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), train(docs)).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Exact substring dedup by difference-cover anchors.
 
-The cover {0, 1, 3} modulo 7 holds, for any two positions, an offset of at most 6 that brings
-both into the cover.  So two equal runs of `window` words share an anchor: a shorter run of
-window - 6 words that starts at a cover position in either document.  Only those 3 in 7
-positions are hashed and exchanged; only windows around an anchor that another document
+A difference cover modulo a period holds, for any two positions, an offset below the period
+that brings both into the cover.  So two equal runs of `window` words share an anchor: a run of
+window - period + 1 words that starts at a cover position in either document.  Only positions
+in the cover are hashed and exchanged; only windows around an anchor that another document
 shares are then extended to their full length.
 """
 
@@ -19,10 +19,19 @@ from pyspark.sql import functions as F
 
 from recollect.llm import common as C
 
-PERIOD, COVER = 7, (0, 1, 3)
+#: Perfect difference covers by their period.
+COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 U = np.uint64
 
 
+def cover_of(window: int) -> tuple[int, np.ndarray]:
+    """The longest period that leaves anchors of seven words and a third of the window, and its cover."""
+    period = max(p for p in COVERS if p == 3 or window - p + 1 >= max(7, window // 3))
+    cover = np.zeros(period, dtype=bool)
+    cover[list(COVERS[period])] = True
+    return period, cover
+
+
 def _ids(table: pa.Table) -> np.ndarray:
     return table["doc_id"].fill_null(C.NO_ID).to_numpy()
 
@@ -31,11 +40,10 @@ def _anchors(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray,
     """Word positions of the anchors and their hashes."""
     if not len(h):
         return np.zeros(0, np.int64), h
-    a, room = C.windows(h, first, window - PERIOD + 1, seed=1)
+    period, cover = cover_of(window)
+    a, room = C.windows(h, first, window - period + 1, seed=1)
     start = np.repeat(first[:-1], np.diff(first))
-    cover = np.zeros(PERIOD, dtype=bool)
-    cover[list(COVER)] = True
-    at = np.flatnonzero(room & cover[(np.arange(len(h)) - start) % PERIOD])
+    at = np.flatnonzero(room & cover[(np.arange(len(h)) - start) % period])
     return at, a[at]
 
 
@@ -73,12 +81,13 @@ def _answer_shared(table: pa.Table) -> pa.Table:
 
 def _candidates(h: np.ndarray, first: np.ndarray, window: int, at: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """Starts of the windows that hold a shared anchor at a cover position."""
-    mark = np.zeros(len(h) + PERIOD + 1, dtype=np.int64)
+    period, _ = cover_of(window)
+    mark = np.zeros(len(h) + period + 1, dtype=np.int64)
     mark[at[shared]] = 1
     total = np.concatenate(([0], np.cumsum(mark)))
     n = np.arange(len(h))
     room = np.repeat(first[1:], np.diff(first)) - n >= window
-    return np.flatnonzero(room & (total[n + PERIOD] > total[n]))
+    return np.flatnonzero(room & (total[n + period] > total[n]))
 
 
 def _send_windows(window: int, bits: int):
@@ -158,8 +167,8 @@ def dedup_substrings(docs: DataFrame, window: int = 13, carry: list[str] = (), w
     whole.  Null text has no words (kept_text null); a null doc_id is larger than any other.
     kept_text is the text itself where nothing was cut, else the kept words joined by a space.
     """
-    if window < PERIOD:
-        raise ValueError(f"a window needs {PERIOD} words at least")
+    if window < 3:
+        raise ValueError("a window needs three words at least")
     n = C.chunk_count(docs)
     bits = C.bucket_bits(n)
     names = ["doc_id", *carry]

@@ -12,7 +12,6 @@ start as witnesses, and each round adds the best word of toxic sentences that ha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -261,7 +260,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, landmarks: int = 192,
     return ToxicityModel(model.table, model.bias, doc)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 2500, chars: int = 20_000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 1800, chars: int = 20_000) -> ToxicityModel:
     """Learns from labelled rows outside the held-out quarter.
 
     Bounded sample: at most `rows` ids a class, in hash order, each one's first `chars`
@@ -277,19 +276,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 2500, chars: int = 20_
     return fit([r["text"] for r in got], np.array([r["toxic"] for r in got], dtype=int), counts.get(1, 0) / total)
 
 
-def score(docs: DataFrame, model: ToxicityModel, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, score (0 to 1) of each row, whole texts.  Null and empty text: the score of no words.
+def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
+    """docs with toxicity (0 to 1) of each row, by its whole text.  Null and empty text: that of no words.
 
     Rows, null keys and repeated ones stay as they are; equal texts get equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.slice(lo, 1000)
-                yield pa.record_batch([part[0], pa.array(m.scores(part[1]), pa.float64())], names=[key, "score"])
-
-    src = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
-    return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, score double")
+    return C.appended(docs, text, "toxicity double", lambda: lambda column: [pa.array(shared.value.scores(column), pa.float64())])
