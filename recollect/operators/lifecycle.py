@@ -94,27 +94,6 @@ def recent_negatives(log: DataFrame, now: datetime = X.NOW, days: int = 30, limi
     return log.groupBy("memory_id").agg(recent).withColumn("retire", F.col("recent") >= limit)
 
 
-def greedy_clusters(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, seed): members (id) in order; the first free one seeds a cluster and takes all free ones linked to it.
-
-    pairs (a, b) of similar members, a < b.  Sequential by definition: rounds settle every
-    member whose smaller neighbours are settled, so nothing is folded in one task.
-    """
-    left = members.select("id").distinct()
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("x", "y").distinct()
-    done = left.sparkSession.createDataFrame([], "id long, seed long")
-    while True:
-        live = both.join(left.select(F.col("id").alias("x")), "x").join(left.select(F.col("id").alias("y")), "y")
-        low = live.groupBy("x").agg(F.min("y").alias("y"))
-        seeds = left.join(low, F.col("id") == F.col("x"), "left").where("y is null or id < y").select(F.col("id").alias("seed"))
-        taken = live.join(seeds, F.col("y") == F.col("seed")).groupBy(F.col("x").alias("id")).agg(F.min("seed").alias("seed"))
-        new = taken.union(seeds.select("seed", "seed")).toDF("id", "seed").checkpoint()
-        if new.isEmpty():
-            return done
-        done = done.union(new).checkpoint()
-        left = left.join(new, "id", "left_anti").checkpoint()
-
-
 def merge_clusters(members: DataFrame) -> DataFrame:
     """One observation a cluster (seed): maxima, sums, union of tags, the strongest statement.
 

@@ -251,4 +251,14 @@ SELECT id, name, arg_min(type, k) AS type FROM f WHERE length(name) > 2 GROUP BY
     "three_way_merge": sql("SELECT id, CASE WHEN ours THEN cv ELSE lv END AS value FROM (SELECT coalesce(l.id, c.id, s.id) AS id, l.value AS lv, c.value AS cv, l.id IS NOT NULL AS inl, s.id IS NOT NULL AND c.id IS NULL AS gone, c.id IS NOT NULL AND (s.id IS NULL OR c.value IS DISTINCT FROM s.value) AS ours FROM lat l FULL JOIN cur c ON l.id = c.id FULL JOIN snap s ON s.id = coalesce(l.id, c.id)) WHERE NOT gone AND (inl OR ours)", VERSIONS),
     "overlay_merge": sql("SELECT m.id, round(coalesce(e.s, m.strength), 6) AS strength FROM mem m LEFT JOIN (SELECT user_id, arg_max(event_id % 100 / CAST(100 AS DOUBLE), (ts, event_id)) AS s FROM events GROUP BY user_id) e ON e.user_id = m.id", MEM),
     "adjacent_pairs": sql("SELECT conv_id, turn, \"user\", assistant FROM pairs", PAIRS),
+    "observation_match": sql(
+        f"SELECT seed, observation, score FROM (SELECT seed, observation, score, row_number() OVER (PARTITION BY seed ORDER BY score DESC, observation) AS r FROM (SELECT c.id AS seed, o.id AS observation, round(CASE WHEN len(c.w) = 0 OR len(o.w) = 0 THEN 0 ELSE len(list_intersect(c.w, o.w)) / CAST(len(list_distinct(list_concat(c.w, o.w))) AS DOUBLE) END + CASE WHEN list_has_any(c.tags, o.tags) THEN CAST(0.15 AS DOUBLE) ELSE 0 END, 6) AS score FROM tw c JOIN tw o ON c.scope = o.scope AND c.domain = o.domain WHERE c.layer = 'raw' AND c.id % 3 = 0 AND o.layer = 'observation') WHERE score >= 0.18) WHERE r = 1",
+        MEM,
+        f"tw AS (SELECT *, {token_set('statement')} AS w FROM mem)",
+    ),
+    "observation_update": sql("SELECT m.id, CAST(m.proof + coalesce(n, 0) AS BIGINT) AS proof, CAST(CASE WHEN coalesce(n, 0) > 0 THEN least(10, floor((m.confidence * m.proof + c * n) / (m.proof + n) + 1)) ELSE m.confidence END AS BIGINT) AS confidence, CASE WHEN coalesce(n, 0) > 0 AND n * 2 >= m.proof THEN 'strengthening' ELSE 'stable' END AS trend FROM mem m LEFT JOIN (SELECT id - id % 20 + 1 AS id, count(*) AS n, avg(confidence) AS c FROM mem WHERE layer = 'raw' GROUP BY 1) f ON f.id = m.id WHERE m.layer = 'observation'", MEM),
+    "evolution_links": sql("SELECT id AS src, dst FROM (SELECT id, lead(id) OVER (PARTITION BY seed ORDER BY id) AS dst FROM gr WHERE seed IN (SELECT seed FROM gr GROUP BY seed HAVING count(DISTINCT polarity) > 1)) WHERE dst IS NOT NULL", MEM, GROUPED),
+    "stream_dedup": "SELECT DISTINCT 'sha256:' || sha256(user_id || '|' || event_type) AS hash FROM events",
+    "stream_learn": "SELECT conv_id, turn, 'sha256:' || sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS hash, length(trim(text)) >= 8 AND NOT regexp_matches(trim(text), '[吧吗呢啊哦？?]$') AND NOT regexp_matches(trim(text), '[,，、…]$') AS passes FROM conversations WHERE role = 'user' AND trim(text) <> ''",
+    "synthetic_store": "SELECT layer, scope, count(*) AS n, round(sum(CAST(0.2 AS DOUBLE) + i % 80 / CAST(100 AS DOUBLE)), 6) AS strength FROM (SELECT i, CASE WHEN i % 20 = 0 THEN 'mental_model' WHEN i % 20 <= 3 THEN 'observation' ELSE 'raw' END AS layer, 'project:' || i % 7 AS scope FROM range(10000) t(i)) GROUP BY ALL",
 }

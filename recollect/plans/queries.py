@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from recollect.functions import exprs as X
 from recollect.operators import admin as A
+from recollect.operators import consolidate as K
 from recollect.operators import lifecycle as L
 from recollect.operators import retrieval as R
 from recollect.plans import views as V
+from recollect.sources import store as S
+from recollect.streaming import pipelines as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -520,3 +523,68 @@ def overlay_merge(spark, sf_dir):
 @query
 def adjacent_pairs(spark, sf_dir):
     return A.adjacent_pairs(V.table(spark, sf_dir, "conversations"))
+
+
+# --------------------------------------------------------------- consolidation
+
+
+@query
+def greedy_clusters(spark, sf_dir):
+    """Vectors in clusters around the stated queries' vectors."""
+    pairs = similar(spark, sf_dir, 0.35).select("a", "b")
+    return K.greedy_clusters(vectors(spark, sf_dir), pairs)
+
+
+@query
+def observation_match(spark, sf_dir):
+    m = V.memories(spark, sf_dir)
+    clusters = m.where("layer = 'raw' and id % 3 = 0").withColumnRenamed("id", "seed")
+    return K.match_observations(clusters, m.where("layer = 'observation'"), 0.18)
+
+
+@query
+def observation_update(spark, sf_dir):
+    m = V.memories(spark, sf_dir)
+    found = m.where("layer = 'raw'").groupBy((F.col("id") - F.col("id") % 20 + 1).alias("id")).agg(F.count("*").alias("new"), F.avg("confidence").alias("confidence"))
+    out = K.update_observations(m.where("layer = 'observation'"), found)
+    return out.select("id", F.col("proof").cast("long").alias("proof"), F.col("confidence").cast("long").alias("confidence"), "trend")
+
+
+@query
+def evolution_links(spark, sf_dir):
+    g = groups(spark, sf_dir)
+    conflict = g.groupBy("seed").agg(F.count_distinct("polarity").alias("k")).where("k > 1").select("seed")
+    return K.evolution_links(g.join(conflict, "seed")).select("src", "dst")
+
+
+# ------------------------------------------------------------------- streaming
+
+
+@query
+def stream_learn(spark, sf_dir):
+    return P.run_once(P.learn_stream(P.source(spark, f"{sf_dir}/conversations.parquet")), "learn")
+
+
+@query
+def stream_dedup(spark, sf_dir):
+    """First event of each user and type of a day; all of a run's events lie within the watermark."""
+    e = P.source(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    keyed = e.select("ts", F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("text"))
+    return P.run_once(P.dedup_stream(keyed, "ts", "60 days").select("hash"), "dedup")
+
+
+@query
+def stream_feedback(spark, sf_dir):
+    out = P.run_once(P.feedback_stream(P.source(spark, f"{sf_dir}/events.parquet")), "feedback", "append")
+    return out.select(F.col("start").cast("string").alias("start"), "user_id", "negatives")
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    out = P.run_once(P.session_stream(P.source(spark, f"{sf_dir}/events.parquet")), "sessions")
+    return out.select("user_id", F.col("start").cast("string").alias("start"), "n")
+
+
+@query
+def synthetic_store(spark, sf_dir):
+    return S.synthetic(spark, 10_000).groupBy("layer", "scope").agg(F.count("*").alias("n"), six(F.sum("strength")).alias("strength"))
