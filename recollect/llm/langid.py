@@ -61,7 +61,7 @@ class LanguageModel:
     """Automata of all languages in one table.
 
     An entry holds the next row's offset, doubled, plus 1 if a phrase ends there.  Whatever is
-    no letter is one word break, however long, and never ends a phrase.
+    no letter is one word break, however long; a phrase that begins with a break is free.
     """
 
     def __init__(self, samples: dict[str, str]):
