@@ -35,7 +35,7 @@ def tokens(text: Column | str) -> Column:
     t = col(text)
     words = F.regexp_extract_all(F.lower(t), F.lit("([a-z0-9]+)"), 1)
     grams = [F.regexp_extract_all(t, F.lit(f"(?=([{CJK}]{{{n}}}))"), 1) for n in (3, 2)]
-    return F.concat(words, *grams)
+    return F.when(t.rlike(f"[{CJK}]"), F.concat(words, *grams)).otherwise(words)
 
 
 def token_set(text: Column | str, backtick: bool = False) -> Column:
@@ -74,22 +74,22 @@ def strip_context(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(t, r"(?is)\[System note:.*?\]\s*", ""))
 
 
-def any_of(text: Column, words: tuple[str, ...]) -> Column:
-    low = F.lower(text)
-    out = F.lit(False)
-    for w in words:
+def any_of(low: Column, words: tuple[str, ...]) -> Column:
+    """Whether a lower-cased text holds one of the words."""
+    out = low.contains(words[0])
+    for w in words[1:]:
         out = out | low.contains(w)
     return out
 
 
 def is_meta(text: Column | str) -> Column:
-    return any_of(col(text), R.META_MARKERS)
+    return any_of(F.lower(col(text)), R.META_MARKERS)
 
 
 def is_learnable(text: Column | str) -> Column:
     """Whether a turn, without injected context, shows a sign worth learning and is no instruction about the assistant."""
     t = strip_context(text)
-    return (F.length(t) > 0) & any_of(t, R.LEARN_MARKERS) & ~is_meta(t)
+    return (F.length(t) > 0) & any_of(F.lower(t), R.LEARN_MARKERS) & ~is_meta(t)
 
 
 def clean_capture(text: Column) -> Column:

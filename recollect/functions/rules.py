@@ -33,6 +33,11 @@ class Extraction:
     confidence: int = 5
     clean: bool = True
 
+    @property
+    def hints(self) -> tuple[str, ...]:
+        """Lower-case words one of which every match holds: a cheap look before the pattern's."""
+        return HINTS[self.name]
+
 
 #: Fixed values, in order: what each rule looks for and says.
 EXTRACTIONS = (
@@ -65,6 +70,37 @@ EXTRACTIONS = (
     Extraction("always", r"(?i)(?:always|default to)\s+(.{8,})", "behavioral", "do"),
 )
 
+#: What each rule's matches can't do without.
+HINTS = {
+    "secret_token": ("sk-", "ghp-", "github_pat-", "xox", "hf-", "tp-"),
+    "secret_value": ("password", "passwd", "密码", "口令", "token", "api"),
+    "port": ("port", "端口"),
+    "path": ("代码", "项目", "仓库", "repo"),
+    "url": ("http",),
+    "project": ("我的", "my"),
+    "when_then": ("遇到", "碰到", "when"),
+    "right_way": ("做法是", "the right way is"),
+    "correction_is": ("不是",),
+    "correction_right": ("不对",),
+    "from_now_on": ("以后",),
+    "remember_zh": ("记住",),
+    "do_not_zh": ("不要",),
+    "use_not_zh": ("不用",),
+    "like": ("我喜欢",),
+    "hope": ("我希望",),
+    "default_zh": ("默认",),
+    "try_to": ("尽量",),
+    "avoid_zh": ("别",),
+    "decided_so": ("就这样",),
+    "decided": ("定了",),
+    "always_zh": ("以后都",),
+    "unify": ("统一",),
+    "use_instead": ("instead of", "not"),
+    "do_not": ("don't", "do not"),
+    "remember": ("remember", "note"),
+    "always": ("always", "default to"),
+}
+
 #: Review rules.
 TEST_TAGS = ("dogfood", "test", "testing", "smoke", "benchmark", "debug")
 TEST_DOMAINS = ("test", "testing", "benchmark", "dogfood")

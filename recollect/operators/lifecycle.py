@@ -37,7 +37,7 @@ def candidates(turns: DataFrame, key: list[str], text: str = "text") -> DataFram
     stay once, those that fail the quality gate go.
     """
     t = F.col("_t")
-    rows = turns.select(*key, X.strip_context(text).alias("_t")).where((F.length("_t") > 0) & ~X.is_meta("_t"))
+    rows = turns.select(*key, X.strip_context(text).alias("_t")).where((F.length("_t") > 0) & ~X.is_meta("_t")).withColumn("_l", F.lower("_t"))
 
     def one(i: int, r: R.Extraction) -> Column:
         groups = {f"{{{g}}}": F.regexp_extract(t, r.pattern, g) for g in (1, 2) if f"{{{g}}}" in r.statement}
@@ -47,7 +47,7 @@ def candidates(turns: DataFrame, key: list[str], text: str = "text") -> DataFram
             parts += [F.lit(head), X.clean_capture(g) if r.clean else g]
         said = F.concat(*parts, F.lit(rest))
         fields = (F.lit(i).alias("rule_ord"), F.lit(r.name).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.polarity).cast("string").alias("polarity"), F.lit(r.domain).alias("domain"), F.lit(",".join(r.tags)).alias("tags"), said.alias("statement"), F.lit(r.confidence).alias("confidence"))
-        return F.when(t.rlike(r.pattern), F.struct(*fields))
+        return F.when(X.any_of(F.col("_l"), r.hints) & t.rlike(r.pattern), F.struct(*fields))
 
     found = rows.select(*key, F.explode(F.array_compact(F.array(*[one(i, r) for i, r in enumerate(R.EXTRACTIONS)]))).alias("c")).select(*key, "c.*")
     first = F.row_number().over(Window.partitionBy(*key, "statement").orderBy("rule_ord"))

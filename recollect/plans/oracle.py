@@ -252,7 +252,7 @@ SELECT id, name, arg_min(type, k) AS type FROM f WHERE length(name) > 2 GROUP BY
     "overlay_merge": sql("SELECT m.id, round(coalesce(e.s, m.strength), 6) AS strength FROM mem m LEFT JOIN (SELECT user_id, arg_max(event_id % 100 / CAST(100 AS DOUBLE), (ts, event_id)) AS s FROM events GROUP BY user_id) e ON e.user_id = m.id", MEM),
     "adjacent_pairs": sql("SELECT conv_id, turn, \"user\", assistant FROM pairs", PAIRS),
     "observation_match": sql(
-        f"SELECT seed, observation, score FROM (SELECT seed, observation, score, row_number() OVER (PARTITION BY seed ORDER BY score DESC, observation) AS r FROM (SELECT c.id AS seed, o.id AS observation, round(CASE WHEN len(c.w) = 0 OR len(o.w) = 0 THEN 0 ELSE len(list_intersect(c.w, o.w)) / CAST(len(list_distinct(list_concat(c.w, o.w))) AS DOUBLE) END + CASE WHEN list_has_any(c.tags, o.tags) THEN CAST(0.15 AS DOUBLE) ELSE 0 END, 6) AS score FROM tw c JOIN tw o ON c.scope = o.scope AND c.domain = o.domain WHERE c.layer = 'raw' AND c.id % 3 = 0 AND o.layer = 'observation') WHERE score >= 0.18) WHERE r = 1",
+        f"SELECT seed, observation, score FROM (SELECT seed, observation, score, row_number() OVER (PARTITION BY seed ORDER BY score DESC, observation) AS r FROM (SELECT c.id AS seed, o.id AS observation, round(CASE WHEN len(c.w) = 0 OR len(o.w) = 0 THEN 0 ELSE len(list_intersect(c.w, o.w)) / CAST(len(list_distinct(list_concat(c.w, o.w))) AS DOUBLE) END + CASE WHEN list_has_any(c.tags, o.tags) THEN CAST(0.15 AS DOUBLE) ELSE 0 END, 6) AS score FROM tw c JOIN tw o ON c.scope = o.scope AND c.domain = o.domain WHERE c.layer = 'raw' AND c.id % 3 = 0 AND o.layer = 'observation') WHERE score >= 0.155) WHERE r = 1",
         MEM,
         f"tw AS (SELECT *, {token_set('statement')} AS w FROM mem)",
     ),

@@ -33,7 +33,7 @@ def asked(spark: SparkSession, *texts: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return V.dealt(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 # ---------------------------------------------------------------------- text
@@ -360,7 +360,7 @@ def dedup_actions(spark, sf_dir):
 
 @query
 def learn_candidates(spark, sf_dir):
-    t = V.table(spark, sf_dir, "documents")
+    t = V.dealt(V.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return L.candidates(t, ["doc_id"]).select("doc_id", "rule", "polarity", "domain", F.sha2("statement", 256).alias("statement"), F.col("confidence").cast("long").alias("confidence"))
 
 
@@ -539,7 +539,7 @@ def greedy_clusters(spark, sf_dir):
 def observation_match(spark, sf_dir):
     m = V.memories(spark, sf_dir)
     clusters = m.where("layer = 'raw' and id % 3 = 0").withColumnRenamed("id", "seed")
-    return K.match_observations(clusters, m.where("layer = 'observation'"), 0.18)
+    return K.match_observations(clusters, m.where("layer = 'observation'"), 0.155)
 
 
 @query

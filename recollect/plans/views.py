@@ -12,9 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores if its files give fewer partitions: texts cost far more to read than to move."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One memory a document: layer, status and strengths follow from its id, feedback from labels."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")), table(spark, sf_dir, "labels")
     i = F.col("doc_id")
     m = docs.join(labels.select("doc_id", F.col("quality").alias("positive"), F.col("toxic").alias("negative")), "doc_id", "left")
     layer = F.when(i % 20 == 0, "mental_model").when(i % 20 <= 3, "observation").when(i % 20 <= 18, "raw").otherwise("experience")
