@@ -46,14 +46,14 @@ BYTE = _byte_classes()
 
 @dataclass
 class Units:
-    """Distinct words of a batch as letter codes: cc[start : start + size]; token's word; row's tokens."""
+    """Distinct words of a batch as letter codes cc[start : start + size], with hashes; each token's word and row."""
 
     cc: np.ndarray
     start: np.ndarray
     size: np.ndarray
     token: np.ndarray
     row: np.ndarray
-    byte: np.ndarray
+    hash: np.ndarray
 
 
 def units(column) -> Units:
@@ -77,7 +77,25 @@ def units(column) -> Units:
         e.append(z + off[i])
     s, e, h = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (s, e, h))
     _, at, token = np.unique(h, return_index=True, return_inverse=True)
-    return Units(cls[keep], rank[s[at]], rank[e[at]] - rank[s[at]], token, np.searchsorted(off, s, "right") - 1, s)
+    return Units(cls[keep], rank[s[at]], rank[e[at]] - rank[s[at]], token, np.searchsorted(off, s, "right") - 1, h[at])
+
+
+def units_of_many(texts: list[str], block: int = 256) -> Units:
+    """units() of many texts at a fraction of its memory: blocks keep their distinct words only."""
+    cc, size, token, row, hashes, done = [], [], [], [], [], 0
+    for lo in range(0, len(texts), block):
+        u = units(pa.array(texts[lo : lo + block], pa.string()))
+        start = np.cumsum(u.size) - u.size
+        cc.append(u.cc[np.repeat(u.start - start, u.size) + np.arange(int(u.size.sum()))])
+        size.append(u.size.astype(np.int32))
+        hashes.append(u.hash)
+        token.append((u.token + done).astype(np.int32))
+        row.append((u.row + lo).astype(np.int32))
+        done += len(u.size)
+    cc, size, token, row, h = (np.concatenate(v) for v in (cc, size, token, row, hashes))
+    start = np.cumsum(size, dtype=np.int64) - size
+    own, at, back = np.unique(h, return_index=True, return_inverse=True)
+    return Units(cc, start[at], size[at], back.astype(np.int32)[token], row, own)
 
 
 def _weights(n: int):
@@ -159,14 +177,16 @@ class ToxicityModel:
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> np.ndarray:
     """Primal squared-hinge machine by Newton steps on the rows within the margin."""
-    z = np.column_stack([z, np.ones(len(z))])
+    z = np.column_stack([z, np.ones(len(z), np.float32)])
+    y, weight = y.astype(np.float32), weight.astype(np.float32)
     w = np.zeros(z.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-3
     for _ in range(30):
-        a = y * (z @ w) < 1
-        za = z[a] * weight[a, None]
-        new = np.linalg.solve(ridge + 2 * c * za.T @ z[a], 2 * c * za.T @ y[a])
+        a = y * (z @ w.astype(np.float32)) < 1
+        za = z[a]
+        zw = (za * weight[a, None]).T
+        new = np.linalg.solve(ridge + 2 * c * (zw @ za).astype(np.float64), 2 * c * (zw @ y[a]).astype(np.float64))
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -189,8 +209,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, landmarks: int = 192,
     if not toxic.any() or toxic.all():
         return flat
     rng = np.random.default_rng(seed)
-    column = pa.array(texts, pa.string())
-    u = units(column)
+    u = units_of_many(texts)
     n = len(u.start)
     pairs = np.unique(u.row * np.int64(n) + u.token)
     row, word = pairs // n, pairs % n
@@ -229,7 +248,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, landmarks: int = 192,
         ok = val > 1e-6 * val.max()
         root = vec[:, ok] / np.sqrt(val[ok])
         train = np.concatenate([seeds, negative, hard])
-        z = kernel(u.cc, u.start[train], u.size[train], phi, rows) @ root
+        z = kernel(u.cc, u.start[train], u.size[train], phi, rows) @ root.astype(np.float32)
         y = np.where(np.arange(len(train)) < len(seeds), 1.0, -1.0)
         weight = np.where(y > 0, np.sqrt(df_t[train]) + 1, 1 + np.log1p(df_c[train]))
         weight *= np.where(y > 0, 1 / weight[y > 0].sum(), 2 / max(1.0, weight[y < 0].sum()))
@@ -240,7 +259,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, landmarks: int = 192,
         m = model.margins(u)
         # clean words beyond the margin count as negatives of the next round
         new = np.flatnonzero(long & (m > -0.7) & (df_c > df_t) & ~witness)
-        new = np.setdiff1d(new[np.argsort(-m[new])][:5000], hard)
+        new = np.setdiff1d(new[np.argsort(-m[new])][:4000], hard)
         hard = np.concatenate([new[np.argsort(-m[new])], hard])
         # best words of toxic rows without a witness
         has = np.zeros(len(texts), dtype=bool)
@@ -260,7 +279,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, landmarks: int = 192,
     return ToxicityModel(model.table, model.bias, doc)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 1800, chars: int = 20_000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 1800, chars: int = 12_000) -> ToxicityModel:
     """Learns from labelled rows outside the held-out quarter.
 
     Bounded sample: at most `rows` ids a class, in hash order, each one's first `chars`
