@@ -28,20 +28,30 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(X.tokens("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
+SMALL = 10_000
+
+
+def is_small(rows: DataFrame, most: int = SMALL) -> bool:
+    """Whether rows are few enough to send to every task; looks at `most` + 1 of them."""
+    return rows.limit(most + 1).count() <= most
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 30) -> DataFrame:
     """(query_id, id, score, rank) of docs (id, text) for queries (query_id, query).
 
     A token that a query repeats counts as often; empty documents count in the mean length.
-    Only tokens of queries are kept before the shuffle.
+    Only tokens of queries are kept before the shuffle: up to SMALL of them by a broadcast,
+    more by a join.
     """
     wanted = queries.select("query_id", F.explode(X.tokens("query")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    near = F.broadcast if is_small(wanted) else (lambda df: df)
     held = docs.select("id", X.tokens("text").alias("ts")).select("id", F.size("ts").alias("dl"), F.explode("ts").alias("token"))
-    tf = held.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
+    tf = held.join(near(wanted.select("token").distinct()), "token", "left_semi").groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
     size = docs.agg(F.count("*").alias("n"), F.avg(F.size(X.tokens("text"))).alias("avgdl"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    df = near(tf.groupBy("token").agg(F.count("*").alias("df")))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * F.col("dl") / F.col("avgdl")))
-    scores = tf.join(df, "token").join(wanted, "token").join(F.broadcast(size)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    scores = tf.join(df, "token").join(near(wanted), "token").join(F.broadcast(size)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scores.where("score > 0"), k)
 
 
@@ -198,16 +208,15 @@ def trim(rows: DataFrame, budget: int = 2048) -> DataFrame:
     """
     cost = X.estimate_tokens("statement")
     share = F.floor(X.by_layer("layer", {k: budget * v for k, v in R.BUDGET_SHARES.items()})).cast("long")
-    items = rows.select("query_id", "layer", "id", "rank", cost.alias("cost"), share.alias("share"))
-    ordered = items.groupBy("query_id", "layer").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "cost", "share"))).alias("xs"))
+    ordered = rows.groupBy("query_id", "layer").agg(F.array_sort(F.collect_list(F.struct("rank", "id", cost.alias("cost"), share.alias("share"), F.struct(*rows.columns).alias("row")))).alias("xs"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
 
     def take(state: Column, x: Column) -> Column:
         fits = state["used"] + x["cost"] <= x["share"]
         return F.struct(F.when(fits, state["used"] + x["cost"]).otherwise(state["used"]).alias("used"), F.when(fits, F.concat(state["ids"], F.array(x["id"]))).otherwise(state["ids"]).alias("ids"))
 
-    kept = ordered.select("query_id", F.explode(F.aggregate("xs", start, take, lambda s: s["ids"])).alias("id"))
-    return rows.join(kept, ["query_id", "id"])
+    kept = ordered.withColumn("ids", F.aggregate("xs", start, take, lambda s: s["ids"]))
+    return kept.select(F.explode(F.filter("xs", lambda x: F.array_contains("ids", x["id"]))).alias("x")).select("x.row.*")
 
 
 def injection(rows: DataFrame) -> DataFrame:
