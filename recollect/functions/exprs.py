@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions import rules as R
@@ -27,6 +27,15 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
+def exploded(rows: DataFrame, items: Column, name: str) -> DataFrame:
+    """rows with one row an item.
+
+    An outer explode and a filter behind it: a plain explode would have the optimizer compute
+    the items once more, below any exchange, to drop rows without items.
+    """
+    return rows.withColumn(name, F.explode_outer(items)).where(F.col(name).isNotNull())
+
+
 # ---------------------------------------------------------------------- text
 
 

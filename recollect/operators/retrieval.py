@@ -25,7 +25,7 @@ def ranked(scored: DataFrame, k: int | None, by: str = "query_id", score: str =
 
 def document_frequency(docs: DataFrame) -> DataFrame:
     """(token, df): how many documents hold each token."""
-    return docs.select(F.explode(F.array_distinct(X.tokens("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return X.exploded(docs.select("text"), F.array_distinct(X.tokens("text")), "token").groupBy("token").agg(F.count("*").alias("df"))
 
 
 SMALL = 10_000
@@ -45,7 +45,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 30) -> DataFrame:
     """
     wanted = queries.select("query_id", F.explode(X.tokens("query")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     near = F.broadcast if is_small(wanted) else (lambda df: df)
-    held = docs.select("id", X.tokens("text").alias("ts")).select("id", F.size("ts").alias("dl"), F.explode("ts").alias("token"))
+    held = X.exploded(docs.select("id", X.tokens("text").alias("ts")).withColumn("dl", F.size("ts")), F.col("ts"), "token").drop("ts")
     tf = held.join(near(wanted.select("token").distinct()), "token", "left_semi").groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
     size = docs.agg(F.count("*").alias("n"), F.avg(F.size(X.tokens("text"))).alias("avgdl"))
     df = near(tf.groupBy("token").agg(F.count("*").alias("df")))

@@ -93,7 +93,7 @@ def quality_gate(spark, sf_dir):
 
 @query
 def extract_entities(spark, sf_dir):
-    e = docs(spark, sf_dir).select("id", F.explode(X.entities("text")).alias("e"))
+    e = X.exploded(docs(spark, sf_dir), X.entities("text"), "e")
     return e.select("id", F.col("e.name").alias("name"), F.col("e.type").alias("type"))
 
 
