@@ -37,7 +37,8 @@ def candidates(turns: DataFrame, key: list[str], text: str = "text") -> DataFram
     stay once, those that fail the quality gate go.
     """
     t = F.col("_t")
-    rows = turns.select(*key, X.strip_context(text).alias("_t")).where((F.length("_t") > 0) & ~X.is_meta("_t")).withColumn("_l", F.lower("_t"))
+    rows = turns.select(*key, X.strip_context(text).alias("_t")).withColumn("_l", F.lower("_t"))
+    meant = (F.length("_t") > 0) & ~X.any_of(F.col("_l"), R.META_MARKERS)
 
     def one(i: int, r: R.Extraction) -> Column:
         groups = {f"{{{g}}}": F.regexp_extract(t, r.pattern, g) for g in (1, 2) if f"{{{g}}}" in r.statement}
@@ -49,7 +50,7 @@ def candidates(turns: DataFrame, key: list[str], text: str = "text") -> DataFram
         fields = (F.lit(i).alias("rule_ord"), F.lit(r.name).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.polarity).cast("string").alias("polarity"), F.lit(r.domain).alias("domain"), F.lit(",".join(r.tags)).alias("tags"), said.alias("statement"), F.lit(r.confidence).alias("confidence"))
         return F.when(X.any_of(F.col("_l"), r.hints) & t.rlike(r.pattern), F.struct(*fields))
 
-    found = X.exploded(rows, F.array(*[one(i, r) for i, r in enumerate(R.EXTRACTIONS)]), "c").select(*key, "c.*")
+    found = X.exploded(rows, F.when(meant, F.array(*[one(i, r) for i, r in enumerate(R.EXTRACTIONS)])), "c").select(*key, "c.*")
     first = F.row_number().over(Window.partitionBy(*key, "statement").orderBy("rule_ord"))
     return found.where(X.quality_gate("statement")).withColumn("_n", first).where("_n = 1").drop("_n")
 
@@ -64,7 +65,8 @@ def dedup_actions(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     first = hashed.groupBy("hash").agg(F.min("id").alias("target"))
     if known is not None:
         first = first.join(known.groupBy("hash").agg(F.min("id").alias("old")), "hash", "left").select("hash", F.coalesce("old", "target").alias("target"))
-    out = hashed.join(first, "hash", "left")  # an inner join would hash each text once more to look for nulls
+    # equal or both null: else each text would be hashed once more, to look for nulls
+    out = hashed.join(first.withColumnRenamed("hash", "_h"), F.col("hash").eqNullSafe(F.col("_h")), "left")
     return out.select("id", "hash", F.when(F.col("id") == F.col("target"), "ADD").otherwise("SKIP").alias("action"), "target")
 
 

@@ -48,7 +48,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 30) -> DataFrame:
     held = X.exploded(docs.select("id", X.tokens("text").alias("ts")).withColumn("dl", F.size("ts")), F.col("ts"), "token").drop("ts")
     tf = held.join(near(wanted.select("token").distinct()), "token", "left_semi").groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
     size = docs.agg(F.count("*").alias("n"), F.avg(F.size(X.tokens("text"))).alias("avgdl"))
-    df = near(tf.groupBy("token").agg(F.count("*").alias("df")))
+    df = near(tf.groupBy("token").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df")))  # of the same rows, so that one exchange serves both
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * F.col("dl") / F.col("avgdl")))
     scores = tf.join(df, "token").join(near(wanted), "token").join(F.broadcast(size)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))

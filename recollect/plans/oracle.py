@@ -254,7 +254,7 @@ SELECT id, name, arg_min(type, k) AS type FROM f WHERE length(name) > 2 GROUP BY
     "observation_match": sql(
         f"SELECT seed, observation, score FROM (SELECT seed, observation, score, row_number() OVER (PARTITION BY seed ORDER BY score DESC, observation) AS r FROM (SELECT c.id AS seed, o.id AS observation, round(CASE WHEN len(c.w) = 0 OR len(o.w) = 0 THEN 0 ELSE len(list_intersect(c.w, o.w)) / CAST(len(list_distinct(list_concat(c.w, o.w))) AS DOUBLE) END + CASE WHEN list_has_any(c.tags, o.tags) THEN CAST(0.15 AS DOUBLE) ELSE 0 END, 6) AS score FROM tw c JOIN tw o ON c.scope = o.scope AND c.domain = o.domain WHERE c.layer = 'raw' AND c.id % 3 = 0 AND o.layer = 'observation') WHERE score >= 0.155) WHERE r = 1",
         MEM,
-        f"tw AS (SELECT *, {token_set('statement')} AS w FROM mem)",
+        f"tw AS (SELECT * REPLACE ('block:' || (id // 400) AS scope), {token_set('statement')} AS w FROM mem)",
     ),
     "observation_update": sql("SELECT m.id, CAST(m.proof + coalesce(n, 0) AS BIGINT) AS proof, CAST(CASE WHEN coalesce(n, 0) > 0 THEN least(10, floor((m.confidence * m.proof + c * n) / (m.proof + n) + 1)) ELSE m.confidence END AS BIGINT) AS confidence, CASE WHEN coalesce(n, 0) > 0 AND n * 2 >= m.proof THEN 'strengthening' ELSE 'stable' END AS trend FROM mem m LEFT JOIN (SELECT id - id % 20 + 1 AS id, count(*) AS n, avg(confidence) AS c FROM mem WHERE layer = 'raw' GROUP BY 1) f ON f.id = m.id WHERE m.layer = 'observation'", MEM),
     "evolution_links": sql("SELECT id AS src, dst FROM (SELECT id, lead(id) OVER (PARTITION BY seed ORDER BY id) AS dst FROM gr WHERE seed IN (SELECT seed FROM gr GROUP BY seed HAVING count(DISTINCT polarity) > 1)) WHERE dst IS NOT NULL", MEM, GROUPED),

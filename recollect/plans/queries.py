@@ -537,7 +537,7 @@ def greedy_clusters(spark, sf_dir):
 
 @query
 def observation_match(spark, sf_dir):
-    m = V.memories(spark, sf_dir)
+    m = V.memories(spark, sf_dir).withColumn("scope", F.concat(F.lit("block:"), F.floor(F.col("id") / 400).cast("string")))
     clusters = m.where("layer = 'raw' and id % 3 = 0").withColumnRenamed("id", "seed")
     return K.match_observations(clusters, m.where("layer = 'observation'"), 0.155)
 
