@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +33,55 @@ def greedy_clusters(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return state.join(owner, "id", "left").select("id", F.when(F.col("st") == 1, F.col("id")).otherwise(F.col("seed")).alias("seed"))
 
 
+def _matrix(column) -> np.ndarray:
+    """Vectors of one length as rows; a null one is a zero vector, which nothing is similar to."""
+    rows = column.to_pylist()
+    width = max((len(r) for r in rows if r is not None), default=1)
+    return np.array([r if r is not None else [0.0] * width for r in rows], dtype=np.float64).reshape(len(rows), -1)
+
+
+def vector_clusters(vectors: DataFrame, least: float, chunk: int = 2048) -> DataFrame:
+    """(id, seed) as greedy_clusters gives them for all pairs of vectors (id, embedding) with a dot product of `least`, to six digits.
+
+    A member's seed is the first seed that is similar to it, so only seeds are compared with all
+    vectors and no pairs are kept.  In each round the first `chunk` free members are folded on
+    the driver, and every free one looks for its seed among the new ones.
+    """
+    least = least - 5e-7
+    spark, done = vectors.sparkSession, []
+    free = stored(vectors.select("id", "embedding").where("id is not null").dropDuplicates(["id"]), "free")
+    while True:
+        head = free.orderBy("id").limit(chunk).toArrow()
+        if not len(head):
+            break
+        ids, m = head["id"].to_numpy(), _matrix(head["embedding"])
+        near, taken, first = m @ m.T >= least, np.zeros(len(m), dtype=bool), []
+        for i in range(len(m)):
+            if not taken[i]:
+                first.append(i)
+                taken |= near[i]
+        shared = spark.sparkContext.broadcast((ids[first], m[first]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seeds, s = shared.value
+            for batch in batches:
+                for lo in range(0, len(batch), 1000):
+                    part = batch.slice(lo, 1000)
+                    own, v = part["id"].to_numpy(), _matrix(part["embedding"])
+                    hit = (v @ s.T >= least if v.shape[1] == s.shape[1] else np.zeros((len(v), len(s)), dtype=bool)) | (own[:, None] == seeds)
+                    seed = pa.array(seeds[hit.argmax(1)], pa.int64(), mask=~hit.any(1))
+                    yield pa.record_batch([part["id"], part["embedding"], seed], names=["id", "embedding", "seed"])
+
+        kind = free.schema["embedding"].dataType.simpleString()
+        state = stored(free.mapInArrow(run, f"id long, embedding {kind}, seed long"), "state")
+        done.append(state.where("seed is not null").select("id", "seed"))
+        free = state.where("seed is null").select("id", "embedding")
+    out = spark.createDataFrame([], "id long, seed long")
+    for d in done:
+        out = out.union(d)
+    return out
+
+
 def match_observations(clusters: DataFrame, observations: DataFrame, least: float = 0.35) -> DataFrame:
     """(seed, observation, score): each cluster's best known observation of its scope and domain.
 

@@ -530,9 +530,8 @@ def adjacent_pairs(spark, sf_dir):
 
 @query
 def greedy_clusters(spark, sf_dir):
-    """Vectors in clusters around the stated queries' vectors."""
-    pairs = similar(spark, sf_dir, 0.35).select("a", "b")
-    return K.greedy_clusters(vectors(spark, sf_dir), pairs)
+    """All vectors in clusters, by cosine with all others."""
+    return K.vector_clusters(vectors(spark, sf_dir), 0.35)
 
 
 @query
