@@ -574,13 +574,15 @@ def stream_dedup(spark, sf_dir):
 
 @query
 def stream_feedback(spark, sf_dir):
-    out = P.run_once(P.feedback_stream(P.source(spark, f"{sf_dir}/events.parquet")), "feedback", "append")
+    """All windows that hold an error, those that are still open included."""
+    out = P.run_once(P.feedback_stream(P.source(spark, f"{sf_dir}/events.parquet")), "feedback", "complete")
     return out.select(F.col("start").cast("string").alias("start"), "user_id", "negatives")
 
 
 @query
 def stream_sessions(spark, sf_dir):
-    out = P.run_once(P.session_stream(P.source(spark, f"{sf_dir}/events.parquet")), "sessions")
+    """All sessions, those that are still open included."""
+    out = P.run_once(P.session_stream(P.source(spark, f"{sf_dir}/events.parquet")), "sessions", "complete")
     return out.select("user_id", F.col("start").cast("string").alias("start"), "n")
 
 

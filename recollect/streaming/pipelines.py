@@ -23,9 +23,23 @@ def source(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now, into Parquet, and reads it."""
+    """Runs a stream over all that is there now, into Parquet, and reads it.
+
+    append: rows that are final.  complete: the state after the last micro-batch, so windows and
+    sessions that the watermark has not closed yet are there too.
+    """
     spark = stream.sparkSession
     out, state = scratch(spark, name), scratch(spark, f"{name}-state")
+    if mode == "complete":
+        last = []
+
+        def write(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+            last[:] = [f"{out}/batch={number}"]
+
+        q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(*last) if last else spark.createDataFrame([], stream.schema)
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -43,7 +57,7 @@ def dedup_stream(turns: DataFrame, at: str, delay: str = "1 hour") -> DataFrame:
 
 
 def feedback_stream(events: DataFrame, window: str = "30 days", slide: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Negative signals of each memory in sliding windows; late ones count up to the watermark's delay."""
+    """Negative signals of each memory in sliding windows; in append mode late ones count up to the watermark's delay."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     w = F.window("ts", window, slide)
     return e.where("event_type = 'error'").groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("negatives")).select(F.col("w.start").alias("start"), "user_id", "negatives")
