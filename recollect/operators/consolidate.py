@@ -1,4 +1,4 @@
-"""Consolidation: greedy clusters, their match with known observations, and the whole pass."""
+"""Steps of consolidation: greedy clusters, their match with known observations, updates and links."""
 
 from __future__ import annotations
 
