@@ -1,26 +1,27 @@
 """What the corpus operators share: byte-level text access, chunked key exchange, components.
 
 Conventions.  A null text counts as an empty one, a null ``doc_id`` stays null in the result
-and sorts behind every number.  Operators read the columns they need by name, so further
-columns, whatever their names, neither clash nor get lost by accident.
+and sorts behind every number.  Operators read the columns they need by name.  A column that an
+operator adds takes the place of one of the same name, as ``withColumn`` does; a caller that
+keeps such a column asks for another name (`fresh`).
 """
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from recollect.sources.store import scratch, stored
+
+__all__ = ["scratch", "stored"]
+
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
 
@@ -28,23 +29,6 @@ U = np.uint64
 # --------------------------------------------------------------------- Spark
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="recollect-")
-        atexit.register(shutil.rmtree, base, True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/recollect/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size of df's input; it only sizes partitions, never selects rows."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -56,12 +40,22 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def fresh(rows: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it, so that rows have no such column."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def appended(rows: DataFrame, text: str, columns: str, judge: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
     """rows with further columns (DDL) computed from the text column, batch by batch, in place.
 
-    judge() makes, once a task, the function from a text column to the new arrays.
+    judge() makes, once a task, the function from a text column to the new arrays.  Columns of
+    rows under the new names go.
     """
     names = [c.split()[0] for c in columns.split(", ")]
+    rows = rows.drop(*(n for n in names if n.lower() != text.lower()))
     schema = StructType(list(rows.schema.fields))
     for c in columns.split(", "):
         schema = schema.add(*c.split())
@@ -88,9 +82,19 @@ def _table(codes) -> np.ndarray:
 
 SPACE = _table([0x20, *range(0x09, 0x0E)])
 _rng = np.random.default_rng(20240131)
-PLAIN = _rng.integers(1, 1 << 63, 256, dtype=U) | U(1)
-LOWER = PLAIN.copy()
-LOWER[65:91] = PLAIN[97:123]
+
+
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """A random word for each byte, and the same with A to Z taken as a to z."""
+    plain = _rng.integers(1, 1 << 63, 256, dtype=U) | U(1)
+    lower = plain.copy()
+    lower[65:91] = plain[97:123]
+    return plain, lower
+
+
+PLAIN, LOWER = _letters()
+#: A second, independent pair: what confirms a match must not err where the first one does.
+PLAIN_2, LOWER_2 = _letters()
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -149,7 +153,7 @@ def spans(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = PLAIN) -> np.ndarray:
-    """64-bit hashes of byte spans by prefix sums, for any number of spans at once."""
+    """64-bit hashes of byte spans that may overlap, by prefix sums; crafted long ones may collide."""
     if not len(starts):
         return np.zeros(0, U)
     n = len(buf)
@@ -158,6 +162,21 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np
     return mix((total[ends] - total[starts]) * powers(_INVERSE, n)[starts] + (ends - starts).astype(U))
 
 
+def run_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """64-bit hashes of disjoint, non-empty byte runs in order.
+
+    Sums a mix of each byte and its place.  The mix is no polynomial, so words that cancel out in
+    prefix sums (as of `span_hashes`) don't meet here.
+    """
+    if not len(starts):
+        return np.zeros(0, U)
+    n = ends - starts
+    first = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(first, n)
+    x = mix(table[buf[place + np.repeat(starts, n)]] + place.astype(U) * U(_BASE))
+    return mix(np.add.reduceat(x, first) + n.astype(U))
+
+
 def word_hashes(column, table: np.ndarray = PLAIN) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words `[^\\x20\\x09-\\x0D]+` of each row, and where each row's words start."""
     buf, off = text_bytes(column)
@@ -166,7 +185,7 @@ def word_hashes(column, table: np.ndarray = PLAIN) -> tuple[np.ndarray, np.ndarr
     for i, j in _slices(off):
         b, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
         s, e = spans(b, o)
-        parts.append(span_hashes(b, s, e, table))
+        parts.append(run_hashes(b, s, e, table))
         first[i + 1 : j + 1] = done + np.searchsorted(s, o[1:], "left")
         done += len(s)
     return (np.concatenate(parts) if parts else np.zeros(0, U)), first
@@ -177,9 +196,9 @@ def windows(h: np.ndarray, first: np.ndarray, k: int, seed: int = 0) -> tuple[np
     n = len(h)
     room = np.repeat(first[1:], np.diff(first)) - np.arange(n) >= k
     out = np.full(n, U(seed * 2 + 1), dtype=U)
+    step = mix(np.arange(1, k + 1, dtype=U) * U(_BASE) + U(seed)) | U(1)
     for i in range(k):
-        step = U(pow(_BASE + 2 * seed, i + 1, 1 << 64))
-        out[: n - i] += h[i:] * step
+        out[: n - i] += h[i:] * step[i]
     return mix(out), room
 
 

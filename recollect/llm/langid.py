@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,12 +62,24 @@ class LanguageModel:
     """Automata of all languages in one table.
 
     An entry holds the next row's offset, doubled, plus 1 if a phrase ends there.  Whatever is
-    no letter is one word break, however long; a phrase that begins with a break is free.
+    no letter is one word break, however long; a phrase that begins with a break is free.  Only
+    the samples travel: each worker builds the table when it first needs it, and keeps it.
     """
 
     def __init__(self, samples: dict[str, str]):
-        self.langs = sorted(samples)
-        folded = {k: samples[k].lower() for k in self.langs}
+        self.samples, self.langs, self.built = samples, sorted(samples), False
+
+    def __reduce__(self):
+        return _kept, (tuple(sorted(self.samples.items())),)
+
+    def ready(self) -> LanguageModel:
+        if not self.built:
+            self.built = True
+            self._build()
+        return self
+
+    def _build(self) -> None:
+        folded = {k: self.samples[k].lower() for k in self.langs}
         seen = Counter(c for t in folded.values() for c in t if c.isalpha())
         self.own = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))][: CLASSES - SHARED - 2]
         lut = self.lut()
@@ -93,6 +106,7 @@ class LanguageModel:
 
     def lut(self) -> np.ndarray:
         """Class of each code point: own letters, shared classes of other letters, or a break."""
+        self.ready()
         lut = np.full(0x110000, BREAK, dtype=np.uint8)
         points = np.arange(0x80, 0x30000)
         letters = [p for p in points.tolist() if chr(p).isalpha()]
@@ -148,26 +162,31 @@ class LanguageModel:
         return [self.langs[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0)
 
 
-def train(docs: DataFrame, chars: int = 24_000, rows: int = 200) -> LanguageModel:
+@lru_cache(maxsize=4)
+def _kept(samples: tuple[tuple[str, str], ...]) -> LanguageModel:
+    """The model of samples, one a worker."""
+    return LanguageModel(dict(samples))
+
+
+def train(docs: DataFrame, rows: int = 16) -> LanguageModel:
     """A model of the labelled rows of docs (doc_id, text, lang) outside the held-out quarter.
 
-    Bounded sample: at most `rows` distinct texts a language, of each at most `chars`
-    characters, and of their lines, in hash order, `chars` characters in all.
+    Bounded sample: at most `rows` distinct texts a language, in hash order, whole; lines that
+    they share count once.  An automaton grows with the text that it holds, hence few rows.
+    Null texts, languages and ids teach nothing; without any the model knows no language.
     """
-    known = docs.where("lang is not null and text is not null").where((F.pmod(crc_of_id(), F.lit(4)) != 2) | F.col("doc_id").isNull())
-    known = known.select(F.col("lang").cast("string").alias("lang"), F.substring("text", 1, chars).alias("text")).where("text rlike '\\\\p{L}'")
+    known = docs.where("lang is not null and text is not null").where(F.pmod(crc_of_id(), F.lit(4)) != 2)
+    known = known.select(F.col("lang").cast("string").alias("lang"), "text").where("text rlike '\\\\p{L}'")
     samples: dict[str, str] = {}
     lines: dict[str, list[str]] = {}
     for r in bounded_sample(known, "lang", "text", rows).collect():
         lines.setdefault(r["lang"], []).extend(r["text"].split("\n"))
-    rng = np.random.default_rng(6)
     for lang, own in sorted(lines.items()):
-        own = sorted(set(own))
-        samples[lang] = "\n".join(own[i] for i in rng.permutation(len(own)))[:chars]
+        samples[lang] = "\n".join(sorted(set(own)))
     return LanguageModel(samples)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with lang_pred and score (0 to 1; 0.5 is a tie of the two best) of each row.
 
     Null, empty or letterless text, or a model without languages: `und`, 0.  Ties go to the
@@ -185,4 +204,4 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
         return of
 
-    return appended(docs, text, "lang_pred string, score double", judge)
+    return appended(docs, text, f"{names[0]} string, {names[1]} double", judge)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import LOWER, U, components, mix, stored, windows, word_hashes
+from recollect.llm.common import LOWER, LOWER_2, U, components, mix, stored, windows, word_hashes
 
 PERMUTATIONS, ROWS = 48, 4
 _A = np.random.default_rng(7).integers(1, 1 << 63, PERMUTATIONS, dtype=U) | U(1)
@@ -23,9 +23,9 @@ _B = np.random.default_rng(8).integers(1, 1 << 63, PERMUTATIONS, dtype=U)
 SIGNATURE = "doc_id long, n_shingles long, class long, bands array<long>"
 
 
-def shingles(column, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(column, k: int, table: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sorted shingle hashes of each row, and where each row's set starts."""
-    h, first = word_hashes(column, LOWER)
+    h, first = word_hashes(column, table)
     s, room = windows(h, first, k)
     counts = np.diff(first)
     short = np.flatnonzero((counts > 0) & (counts < k))
@@ -59,31 +59,7 @@ def signatures(flat: np.ndarray, first: np.ndarray, n_perm: int, rows: int) -> n
     return bands.T
 
 
-def _sign(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, first = shingles(batch["text"], k)
-            sizes = np.diff(first)
-            some = np.flatnonzero(sizes)
-            n_bands = 2 * PERMUTATIONS // ROWS
-            fps = np.zeros((2, len(sizes)), dtype=U)
-            offsets = np.concatenate(([0], np.cumsum(np.where(sizes > 0, n_bands, 0)))).astype(np.int32)
-            bands = np.zeros(0, np.int64)
-            if len(some):
-                start = first[:-1][some]
-                edge = np.append(start, first[-1])
-                bands = np.ascontiguousarray(signatures(flat, edge, PERMUTATIONS, ROWS)).view(np.int64).ravel()
-                for i, salt in enumerate((U(11), U(77))):
-                    fps[i, some] = np.add.reduceat(mix(flat ^ mix(np.full(1, salt))), start)
-            yield pa.record_batch(
-                [batch["doc_id"], pa.array(sizes), pa.array(fps[0].view(np.int64)), pa.array(fps[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands))],
-                names=["doc_id", "n_shingles", "fp1", "fp2", "bands"],
-            )
-
-    return run
-
-
-def _class_id(fp1, fp2, n) -> np.ndarray:
+def _class_id(fp2, fp1, n) -> np.ndarray:
     return mix(fp1 + mix(fp2 + n.astype(U))).view(np.int64)
 
 
@@ -111,7 +87,7 @@ def _sign(k: int):
                 edge = np.append(first[:-1][some], first[-1])
                 bands = np.ascontiguousarray(signatures(flat, edge, PERMUTATIONS, ROWS)).view(np.int64).ravel()
             yield pa.record_batch(
-                [batch["doc_id"], pa.array(sizes), pa.array(_class_id(fp1, fp2, sizes)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands))],
+                [batch["doc_id"], pa.array(sizes), pa.array(_class_id(fp2, fp1, sizes)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands))],
                 names=["doc_id", "n_shingles", "class", "bands"],
             )
 
@@ -121,20 +97,23 @@ def _sign(k: int):
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, first = shingles(batch["text"], k)
-            sizes, fp1, fp2 = _fingerprints(flat, first)
-            yield pa.record_batch([pa.array(_class_id(fp1, fp2, sizes)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat.view(np.int64)))], names=["class", "set"])
+            own = _class_id(*_fingerprints(*shingles(batch["text"], k))[::-1])
+            flat, first = shingles(batch["text"], k, LOWER_2)
+            yield pa.record_batch([pa.array(own), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat.view(np.int64)))], names=["class", "set"])
 
     return run
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    pairs: (a, b, salt).  A b of many pairs has them dealt over salts, and its set goes to each.
+    """
     left = sets.select(F.col("class").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("class").alias("b"), F.col("set").alias("sb"))
+    right = pairs.select("b", "salt").distinct().join(sets.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
     na, nb, common = (x.cast("long") for x in (F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb"))))
     possible = F.least(na, nb) * 100 >= percent * F.greatest(na, nb)
-    return pairs.join(left, "a").join(right, "b").where(possible).where(100 * common >= percent * (na + nb - common)).select("a", "b")
+    return pairs.join(left, "a").join(right, ["b", "salt"]).where(possible).where(100 * common >= percent * (na + nb - common)).select("a", "b")
 
 
 def _across(percent: int):
@@ -190,8 +169,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, small_bucket
     buckets = stored(band.join(sizes, at_key), "buckets")
     degree = buckets.groupBy("class").agg(F.sum("size").alias("degree"))
     heads = buckets.join(degree, "class").groupBy(at_key).agg(F.max(F.struct("degree", "class")).getField("class").alias("head"))
-    pairs = buckets.join(heads, at_key).where("class != head").select(F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b")).distinct()
-    tested = stored(pairs, "pairs")
+    pairs = buckets.join(heads, at_key).where("class != head").groupBy(F.col("class").alias("a"), F.col("head").alias("b")).agg(F.max("size").alias("size"))
+    tested = stored(pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / block)).alias("salt")), "pairs")
     rows = src.join(buckets.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").select("text")
     sets = rows.mapInArrow(_sets(k), "class long, set array<long>").join(buckets.select("class").distinct(), "class", "left_semi")
     sets = stored(sets.dropDuplicates(["class"]), "sets")
@@ -206,7 +185,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, small_bucket
     rest = at.where("c != c0")
     small = rest.where(F.col("size") <= small_bucket).select(*at_key, F.col("class").alias("p"), F.col("c").alias("pc"))
     near = small.join(at, at_key).where("c != pc").select(F.least("p", "class").alias("a"), F.greatest("p", "class").alias("b")).distinct()
-    more = _links(stored(near.join(tested, ["a", "b"], "left_anti"), "pairs"), sets, percent)
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _links(stored(near.join(known, ["a", "b"], "left_anti").withColumn("salt", F.lit(0).cast("long")), "pairs"), sets, percent)
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
     own = lambda n: F.pmod(F.xxhash64("class"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))

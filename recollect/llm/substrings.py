@@ -4,7 +4,8 @@ A difference cover modulo a period holds, for any two positions, an offset below
 that brings both into the cover.  So two equal runs of `window` words share an anchor: a run of
 window - period + 1 words that starts at a cover position in either document.  Only positions
 in the cover are hashed and exchanged; only windows around an anchor that another document
-shares are then extended to their full length.
+shares are then extended to their full length.  Anchors and full windows are told apart by
+hashes of their own, so that words which meet in one stay apart in the other.
 """
 
 from __future__ import annotations
@@ -99,7 +100,8 @@ def _send_windows(window: int, bits: int):
         keys = np.unique(a)
         shared = C.answer_of(replies, np.uint8).astype(bool)[np.searchsorted(keys, a)]
         at_window = _candidates(h, first, window, at, shared)
-        full, low, _ = _least(C.windows(h, first, window, seed=2)[0][at_window], _ids(table)[C.row_of(first)[at_window]])
+        again, _ = C.word_hashes(table["text"], C.PLAIN_2)
+        full, low, _ = _least(C.windows(again, first, window, seed=2)[0][at_window], _ids(table)[C.row_of(first)[at_window]])
         return C.table_of(C.sends(table["chunk"][0].as_py(), full, low, bits), C.EXCHANGE_ARROW)
 
     return run
@@ -121,7 +123,7 @@ def _remove(window: int, names: list[str], with_text: bool, schema: pa.Schema):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
             return schema.empty_table()
-        h, first = C.word_hashes(table["text"])
+        h, first = C.word_hashes(table["text"], C.PLAIN_2)
         gone = np.zeros(len(h), dtype=bool)
         if len(replies) and len(h):
             keys = np.concatenate([C.unpack(b.as_buffer()) for b in replies["keys"]])
@@ -160,19 +162,22 @@ def _arrow(df: DataFrame) -> pa.Schema:
 
 
 def dedup_substrings(docs: DataFrame, window: int = 13, carry: list[str] = (), with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each row, after `carry` columns; with_text adds kept_text.
+    """doc_id, n_words, n_removed, kept_sha256 of each row; with_text adds kept_text.
 
     A word goes if a window of `window` words over it also starts in a row with a smaller
     doc_id.  Rows of one doc_id don't cut each other, so the first of several copies stays
     whole.  Null text has no words (kept_text null); a null doc_id is larger than any other.
     kept_text is the text itself where nothing was cut, else the kept words joined by a space.
+    Further columns to carry come in one struct, `carried`, so that no name of theirs clashes.
+    A text of any length is one row of its chunk; an empty table gives an empty result.
     """
     if window < 3:
         raise ValueError("a window needs three words at least")
     n = C.chunk_count(docs)
     bits = C.bucket_bits(n)
-    names = ["doc_id", *carry]
-    src = C.chunked(docs, n, F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text"))
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    names = ["doc_id", *(["carried"] if carry else [])]
+    src = C.chunked(docs, n, F.col("doc_id").cast("long").alias("doc_id"), *carried, F.col("text").cast("string").alias("text"))
     by_chunk = lambda: src.groupBy("chunk")
     shared = by_chunk().applyInArrow(_send_anchors(window, bits), C.EXCHANGE).groupBy("bucket").applyInArrow(_answer_shared, C.REPLY)
     full = by_chunk().cogroup(shared.groupBy("chunk")).applyInArrow(_send_windows(window, bits), C.EXCHANGE)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 pytest.importorskip("public_tokenizers")
@@ -51,3 +52,25 @@ def test_stages_do_their_work(spark, sf_dir):
     assert cut == {42, 43} and all(len(before[i].split()) - len(after[i]["text"].split()) >= 70 - 2 for i in cut)
     assert all(r["n_chars"] == len(r["text"]) for r in after.values())
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf_dir).select("doc_id", "piece", "length", "ids_crc32").collect()} == {tuple(r) for r in seen["packing"].select("doc_id", "piece", "length", "ids_crc32").collect()}
+
+
+def test_further_columns_may_clash(spark, sf_dir):
+    extra = ["toxicity", "lang_pred", "score", "n_words", "chunk", "kept_text", "carried", "kept", "class", "bands", "piece", "set"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    docs = docs.select("*", *(F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in extra))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stored(stage(spark, docs, sf_dir), name)
+        if name != "packing":
+            assert docs.columns == columns
+            assert all(r[c] == f"{c}{r['doc_id']}" for r in docs.collect() for c in extra)
+    assert docs.count() > 0
+
+
+def test_empty_and_null_rows(spark, sf_dir):
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (7, None, None, None, None), (7, "", None, None, None), (None, "ta lo", "aa", None, 1)], some.schema)
+    for docs in (some.where("doc_id < 0"), odd):
+        for name, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.stored(stage(spark, docs, sf_dir), name)
+            docs.count()

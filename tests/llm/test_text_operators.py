@@ -128,7 +128,7 @@ def test_substring_dedup_matches_brute_force(spark, n, monkeypatch):
 
 def test_substring_dedup_carries_columns_and_null_ids(spark):
     t = " ".join(f"w{i}" for i in range(20))
-    rows = dedup_substrings(frame(spark, [t, t, None], [None, 4, 6]), carry=["score", "kept"], with_text=True).collect()
+    rows = dedup_substrings(frame(spark, [t, t, None], [None, 4, 6]), carry=["score", "kept"], with_text=True).select("*", "carried.*").collect()
     got = {r["doc_id"]: (r["n_removed"], r["kept_text"], r["score"]) for r in rows}
     assert got == {None: (20, "", 0.5), 4: (0, t, 0.5), 6: (0, None, 0.5)}
 
@@ -158,3 +158,19 @@ def test_words_are_split_as_the_pattern_says():
     _, first = C.word_hashes(pa.array(texts, pa.string()))
     assert np.diff(first).tolist() == [len(re.findall("[^\x20\x09-\x0d]+", t or "")) for t in texts]
     assert F is not None
+
+
+def thue_morse(n):
+    """Two different words of n letters whose prefix sums under any polynomial hash modulo 2**64 agree."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_defeat_polynomial_hashes_stay_apart(spark):
+    x, y = thue_morse(4096)
+    plain, first = C.word_hashes(pa.array([x, y, x]))
+    assert plain[0] != plain[1] and plain[0] == plain[2] and first.tolist() == [0, 1, 2, 3]
+    rows = near_duplicates(frame(spark, [f"{x} {x} {x} {x} {x}", f"{y} {y} {y} {y} {y}"]), k=4).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in rows)
+    out = dedup_substrings(frame(spark, [" ".join([x] * 13), " ".join([y] * 13), " ".join([x] * 13)]), window=13).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in out} == {0: 0, 1: 0, 2: 13}
