@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import langid, toxicity
-from recollect.llm.common import stored
+from recollect.llm.common import fresh, stored
 from recollect.llm.minhash import near_duplicates
 from recollect.llm.packing import pack
 from recollect.llm.substrings import dedup_substrings
@@ -18,14 +18,16 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that score below TOXIC; null and empty texts stay."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(F.col("toxicity") < TOXIC).select(docs.columns)
+    score = fresh(docs, "toxicity")
+    return toxicity.score(docs, model, name=score).where(F.col(score) < TOXIC).select(docs.columns)
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones show: texts without letters and ties go."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
-    out = langid.identify(docs, langid.train(docs))
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= AMBIGUOUS)).select(docs.columns)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    out = langid.identify(docs, langid.train(docs), names=(lang, score))
+    return out.where((F.col(lang) != "und") & (F.col(score) >= AMBIGUOUS)).select(docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +40,12 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the runs of REPEAT words that one of a smaller doc_id has too."""
     carry = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = dedup_substrings(docs, window=REPEAT, carry=carry, with_text=True).withColumnRenamed("kept_text", "text")
+    out = dedup_substrings(docs, window=REPEAT, carry=carry, with_text=True)
+    own = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        own["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    kept = {c: F.col(f"carried.`{c}`") for c in carry} | own
+    return out.select(*(kept.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
