@@ -2,36 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, fields
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import exprs as X
 from recollect.operators import admin as A
+from recollect.operators import browse as B
+from recollect.operators import consolidate as K
 from recollect.operators import lifecycle as L
 from recollect.operators import retrieval as R
-from recollect.sources.store import Table
+from recollect.sources.embedding import Embed, embedded
+from recollect.sources.store import Table, stored
 
-SCHEMA_VERSION = 5
+SCHEMA_VERSION = 6
 MEMORY = (
-    "id long, layer string, statement string, text string, scope string, domain string, tags array<string>, learned_at timestamp, strength double, storage double, "
-    "frequency long, turns long, weight long, confidence long, polarity string, consolidated boolean, status string, positive long, negative long, adopted long, proof long, hash string"
+    "id long, layer string, title string, statement string, text string, scope string, domain string, tags array<string>, learned_at timestamp, valid_from timestamp, valid_until timestamp, "
+    "last_accessed timestamp, refreshed timestamp, last_seen timestamp, strength double, storage double, frequency long, turns long, weight long, confidence long, polarity string, consolidated boolean, "
+    "status string, trend string, pattern string, positive long, negative long, adopted long, proof long, hash string"
 )
 SCHEMAS = {
     "memories": MEMORY,
-    "bridge": "memory_id long, entity string",
+    "bridge": "memory_id long, entity string, type string",
     "edges": "src long, dst long, type string, weight double",
+    "sources": "memory_id long, source_id long",
+    "vectors": "id long, hash string, embedding array<float>",
+    "index": "id long, layer string, status string, statement string, tags string, scope string, domain string, confidence long, activation double, created_at timestamp, updated_at timestamp",
     "feedback": "memory_id long, ts timestamp, ord long, signal string, context string",
-    "episodes": "id long, kind string, ts timestamp, summary string, context string, label string, next_steps array<string>",
+    "episodes": "conv_id long, turn long, ts timestamp, kind string, summary string, context string, tags array<string>, label string, next_steps array<string>",
     "overlay": "id long, at timestamp, turns long",
     "state": "name string, at timestamp, detail string",
 }
-KEYS = {"bridge": "memory_id", "edges": "src", "feedback": "memory_id", "state": "name"}
+KEYS = {"bridge": "memory_id", "edges": "src", "sources": "memory_id", "feedback": "memory_id", "episodes": "conv_id", "state": "name"}
 #: Values that columns added by later schema versions take in older rows.
-DEFAULTS = {"turns": 0, "adopted": 0, "proof": 1, "positive": 0, "negative": 0, "weight": 5, "confidence": 5, "consolidated": False}
+DEFAULTS = {"turns": 0, "adopted": 0, "proof": 1, "positive": 0, "negative": 0, "weight": 5, "confidence": 5, "consolidated": False, "trend": "new"}
+#: What a model is told when it reflects.
+REFLECT = "Synthesize a mental model from these observations:\n\n{observations}\n\nQuery context: {query}"
 
 
 @dataclass
@@ -39,9 +50,13 @@ class Config:
     """Settings: defaults, then the store's own, then what the caller gives."""
 
     budget: int = 2048
-    persist_recall: bool = True
+    persist_recall: str = "overlay"  # or memories, or off
     induction_evidence: int = 3
     cluster_similarity: float = 0.85
+    consolidate_batch: int = 50
+    graph_batch: int = 100
+    dimension: int = 0  # of vectors; 0: any
+    most_bytes: int = 1 << 40  # of a table's folder, before the doctor warns
 
     def merged(self, *others: dict) -> Config:
         known = {f.name: type(getattr(self, f.name)) for f in fields(self)}
@@ -57,11 +72,12 @@ class Config:
 class Engine:
     """Plans over the store's tables; every step takes `now`, so results can be repeated.
 
-    embed and complete are where an embedding model and a language model plug in; without
-    them, vectors and reflections are left out.
+    embed and complete are where an embedding model and a language model plug in: embed takes
+    (key, text) to (key, embedding), complete a prompt to an answer.  Without them vectors, and
+    what a model would say, are left out.
     """
 
-    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, complete: Callable[[str], str] | None = None):
+    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, embed: Embed | None = None, complete: Callable[[str], str] | None = None):
         self.spark, self.path, self.config, self.embed, self.complete = spark, path.rstrip("/"), config or Config(), embed, complete
 
     def table(self, name: str) -> Table:
@@ -97,112 +113,346 @@ class Engine:
                     self.table(name).commit(have.select("*", *[F.lit(DEFAULTS.get(f.name)).cast(f.dataType).alias(f.name) for f in lack]).select(want.names))
         return missing
 
+    def rows(self, ddl: str, *values: tuple) -> DataFrame:
+        return self.spark.createDataFrame(list(values), ddl)
+
+    def shaped(self, name: str, df: DataFrame) -> DataFrame:
+        """df as rows of a table: missing columns are null or have their default."""
+        want = self.spark.createDataFrame([], SCHEMAS[name]).schema
+        have = set(df.columns)
+        return df.select(*[(F.col(f.name) if f.name in have else F.lit(DEFAULTS.get(f.name))).cast(f.dataType).alias(f.name) for f in want])
+
+    def append(self, name: str, df: DataFrame) -> int:
+        return self.table(name).commit(self.read(name).unionByName(self.shaped(name, df)))
+
+    def numbered(self, new: DataFrame, by: str) -> DataFrame:
+        """new with ids after the last one, in the order of the hexadecimal string `by`, counted per leading byte so that no task sorts all."""
+        start = self.read("memories").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        fresh = new.withColumn("_lead", F.substring(by, 1, 2))
+        ahead = fresh.groupBy("_lead").agg(F.count("*").alias("_c")).withColumn("_ahead", F.coalesce(F.sum("_c").over(Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        number = F.row_number().over(Window.partitionBy("_lead").orderBy(by))
+        return fresh.join(ahead.drop("_c"), "_lead").withColumn("id", (start + F.col("_ahead") + number).cast("long")).drop("_lead", "_ahead")
+
     # ------------------------------------------------------------------- learning
 
-    def learn(self, turns: DataFrame, now: datetime = X.NOW) -> dict[str, int]:
-        """Learns from user turns (conv_id, turn, text): new statements are added, known ones seen again."""
+    def said(self, turns: DataFrame) -> DataFrame:
+        """Candidates of turns by rules."""
+        return L.candidates(turns, ["conv_id", "turn"]).select("conv_id", "turn", "rule_ord", "statement", "polarity", "domain", F.split("tags", ",").alias("tags"), F.col("confidence").cast("long").alias("confidence"))
+
+    def told(self, turns: DataFrame) -> DataFrame:
+        """Candidates of turns by the language model; turns of which it makes nothing go by rules."""
+        complete = self.complete
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                answers = []
+                for text in batch["text"].to_pylist():
+                    try:
+                        answers.append(complete(text or ""))
+                    except Exception:  # noqa: BLE001  a model that fails leaves the turn to the rules
+                        answers.append(None)
+                yield pa.record_batch([batch["conv_id"], batch["turn"], pa.array(answers, pa.string())], names=["conv_id", "turn", "answer"])
+
+        plain = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), X.strip_context("text").alias("text"))
+        got = stored(plain.where("text <> ''").mapInArrow(ask, "conv_id long, turn long, answer string"), "answers")
+        facts = got.select("conv_id", "turn", F.posexplode(X.facts("answer")).alias("rule_ord", "f")).select("conv_id", "turn", "rule_ord", "f.statement", "f.polarity", F.lit("general").alias("domain"), F.array().cast("array<string>").alias("tags"), "f.confidence")
+        rest = turns.join(facts.select("conv_id", "turn").distinct(), ["conv_id", "turn"], "left_anti")
+        return facts.unionByName(self.said(rest))
+
+    def learn(self, turns: DataFrame, now: datetime = X.NOW, model: bool = False) -> dict[str, int]:
+        """Learns from user turns (conv_id, turn, text): new statements are added, known ones seen again.
+
+        New memories bring their entities, every turn an episode.  model: ask the language model
+        first.
+        """
         mem = self.read("memories")
-        found = L.candidates(turns, ["conv_id", "turn"]).withColumn("hash", X.content_hash("statement"))
-        per = found.groupBy("hash").agg(F.count("*").alias("n"), *[F.min_by(c, F.struct("conv_id", "turn", "rule_ord")).alias(c) for c in ("statement", "polarity", "domain", "tags", "confidence")])
+        found = (self.told if model and self.complete else self.said)(turns).withColumn("hash", X.content_hash("statement"))
+        per = stored(found.groupBy("hash").agg(F.count("*").alias("n"), *[F.min_by(c, F.struct("conv_id", "turn", "rule_ord")).alias(c) for c in ("statement", "polarity", "domain", "tags", "confidence")]), "learned")
         known = mem.groupBy("hash").agg(F.min("id").alias("known"))
         both = per.join(known, "hash", "left")
-        start = mem.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        # ids in hash order, counted per leading byte so that no task sorts all of them
-        lead = F.substring("hash", 8, 2)
-        fresh = both.where("known is null").withColumn("lead", lead)
-        ahead = fresh.groupBy("lead").agg(F.count("*").alias("c")).withColumn("ahead", F.coalesce(F.sum("c").over(Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        number = F.row_number().over(Window.partitionBy("lead").orderBy("hash"))
-        new = fresh.join(ahead.drop("c"), "lead").select(
-            (start + F.col("ahead") + number).cast("long").alias("id"), F.lit("raw").alias("layer"), "statement", F.col("statement").alias("text"), F.lit("global").alias("scope"), "domain", F.split("tags", ",").alias("tags"),
-            F.lit(now).cast("timestamp").alias("learned_at"), F.lit(0.8).alias("strength"), F.lit(0.5).alias("storage"), F.col("n").alias("frequency"), F.lit(0).cast("long").alias("turns"), F.lit(5).cast("long").alias("weight"),
-            F.col("confidence").cast("long").alias("confidence"), "polarity", F.lit(False).alias("consolidated"), F.lit("candidate").alias("status"), *[F.lit(0).cast("long").alias(c) for c in ("positive", "negative", "adopted")], F.lit(1).cast("long").alias("proof"), "hash",
-        )
+        at = F.lit(now).cast("timestamp")
+        new = both.where("known is null").withColumn("order", F.substring("hash", 8, 64))
+        new = stored(self.shaped("memories", self.numbered(new, "order").select(
+            "id", F.lit("raw").alias("layer"), "statement", F.col("statement").alias("text"), F.lit("global").alias("scope"), "domain", "tags", at.alias("learned_at"), at.alias("valid_from"), at.alias("last_accessed"),
+            F.lit(0.8).alias("strength"), F.lit(0.5).alias("storage"), F.col("n").alias("frequency"), "confidence", "polarity", F.lit("candidate").alias("status"), "hash",
+        )), "new")
         seen = both.where("known is not null").select(F.col("known").alias("id"), F.col("n").alias("more"))
-        bumped = mem.join(seen, "id", "left").withColumn("frequency", F.col("frequency") + F.coalesce("more", F.lit(0))).withColumn("learned_at", F.when(F.col("more").isNotNull(), F.lit(now).cast("timestamp")).otherwise(F.col("learned_at"))).drop("more")
-        self.table("memories").commit(bumped.unionByName(new.select(mem.columns)))
-        counts = both.select(F.col("known").isNull().alias("new")).groupBy("new").count().collect()
-        by = {r["new"]: r["count"] for r in counts}
-        return {"added": by.get(True, 0), "seen": by.get(False, 0)}
-
-    def feedback(self, signals: DataFrame) -> None:
-        """Appends signals (memory_id, ts, ord, signal, context) and folds them into their memories."""
-        self.table("feedback").commit(self.read("feedback").unionByName(signals, allowMissingColumns=True))
-        folded = L.feedback_fold(signals).select(F.col("memory_id").alias("id"), F.col("positive").alias("p"), F.col("negative").alias("n"))
-        retire = L.recent_negatives(self.read("feedback")).where("retire").select(F.col("memory_id").alias("id"), "retire")
-        m = self.read("memories").join(folded, "id", "left").join(retire, "id", "left")
-        p, n = F.coalesce("p", F.lit(0)), F.coalesce("n", F.lit(0))
-        m = m.withColumn("storage", X.clamp(F.col("storage") + 0.1 * p - 0.15 * n, 0, 1)).withColumn("strength", X.clamp(F.col("strength") + 0.05 * p - 0.1 * n, 0, 1))
-        m = m.withColumn("confidence", X.clamp(F.col("confidence") + p - n, 1, 10).cast("long")).withColumn("positive", F.col("positive") + p).withColumn("negative", F.col("negative") + n).withColumn("adopted", F.col("adopted") + p)
-        m = m.withColumn("status", F.when(F.col("retire") & (F.col("status") != "locked"), "retired").otherwise(F.col("status")))
-        self.table("memories").commit(m.drop("p", "n", "retire"))
+        again = F.col("more").isNotNull()
+        bumped = mem.join(seen, "id", "left").withColumn("frequency", F.col("frequency") + F.coalesce("more", F.lit(0))).withColumn("last_accessed", F.when(again, at).otherwise(F.col("last_accessed")))
+        self.table("memories").commit(bumped.select(mem.columns).unionByName(new.select(mem.columns)))
+        named = X.exploded(new.select("id", "statement"), X.entities("statement"), "e")
+        self.append("bridge", named.select(F.col("id").alias("memory_id"), F.col("e.name").alias("entity"), F.col("e.type").alias("type")).distinct())
+        self.capture(turns, now)
+        counts = both.agg(F.count_if(F.col("known").isNull()).alias("new"), F.count_if(F.col("known").isNotNull()).alias("seen")).first()
+        return {"added": counts["new"], "seen": counts["seen"]}
+
+    def tell(self, statement: str, now: datetime = X.NOW, polarity: str | None = None) -> dict[str, int]:
+        """Learns one statement, marked as something to remember or not to do."""
+        text = statement if polarity is None else ("不要：" if polarity == "dont" else "记住：") + statement
+        return self.learn(self.rows("conv_id long, turn long, text string", (0, 0, text)), now)
+
+    def capture(self, turns: DataFrame, now: datetime = X.NOW, kind: str = "turn") -> None:
+        """Appends an episode of each turn (conv_id, turn, text, and assistant and ts if there are any)."""
+        side = F.col("assistant") if "assistant" in turns.columns else F.lit(None).cast("string")
+        ts = F.col("ts").cast("timestamp") if "ts" in turns.columns else F.lit(now).cast("timestamp")
+        self.append("episodes", B.episodes(turns.select("conv_id", "turn", ts.alias("ts"), F.col("text").alias("user"), side.alias("assistant")), kind))
+
+    def checkpoint(self, label: str, now: datetime = X.NOW, summary: str | None = None, next_steps: list[str] | None = None, tags: list[str] | None = None, context: str | None = None) -> None:
+        """Appends a labelled episode."""
+        row = self.rows("ts timestamp, label string, summary string, tags array<string>, next_steps array<string>, context string", (now, label, summary, tags or [], next_steps or [], context))
+        self.append("episodes", B.checkpoint(row))
+
+    def recovery_context(self, most: int = 5) -> str:
+        """The last episodes as text; empty without any."""
+        e = self.read("episodes").withColumn("ord", F.coalesce("conv_id", F.lit(0)) * 1_000_000 + F.coalesce("turn", F.lit(0))).orderBy(F.desc("ts"), F.desc("ord")).limit(most).withColumn("all", F.lit(1))
+        got = B.recovery_context(e, ["all"], most).first()
+        return got["text"] if got else ""
+
+    def feedback(self, signals: DataFrame, now: datetime = X.NOW) -> None:
+        """Appends signals (memory_id, ts, ord, signal, context) and folds them, in order, into their memories.
+
+        A memory with a new negative signal and three in the last 30 days retires, unless locked.
+        """
+        self.append("feedback", signals)
+        mem = self.read("memories")
+        folded = L.feedback_fold(signals, mem.select(F.col("id").alias("memory_id"), "storage", "strength", "confidence"))
+        f = folded.select(F.col("memory_id").alias("id"), F.col("storage").alias("_storage"), F.col("strength").alias("_strength"), F.col("confidence").alias("_confidence"), F.col("positive").alias("_p"), F.col("negative").alias("_n"))
+        recent = L.recent_negatives(self.read("feedback"), now).where("retire").select(F.col("memory_id").alias("id"), "retire")
+        m = mem.join(f, "id", "left").join(recent, "id", "left")
+        p, n = F.coalesce("_p", F.lit(0)), F.coalesce("_n", F.lit(0))
+        gone = (n > 0) & F.coalesce("retire", F.lit(False)) & (F.col("status") != "locked")
+        m = m.withColumns({c: F.coalesce(f"_{c}", c) for c in ("storage", "strength", "confidence")} | {"positive": F.col("positive") + p, "negative": F.col("negative") + n, "adopted": F.col("adopted") + p})
+        m = m.withColumn("status", F.when(gone, "retired").otherwise(F.col("status"))).withColumn("last_accessed", F.when(F.col("_storage").isNotNull(), F.lit(now).cast("timestamp")).otherwise(F.col("last_accessed")))
+        self.table("memories").commit(m.select(mem.columns))
+
+    # ------------------------------------------------------------------ by hand
+
+    def create(self, bodies: DataFrame, now: datetime = X.NOW) -> None:
+        """Adds raw memories that users typed, as recollect.operators.browse.created takes them."""
+        made = B.created(bodies, now).withColumn("order", F.substring("hash", 8, 64)).withColumn("text", F.col("statement")).withColumn("frequency", F.lit(1)).withColumn("valid_from", F.col("learned_at")).withColumn("last_accessed", F.col("learned_at"))
+        self.append("memories", self.numbered(made, "order"))
+
+    def patch(self, changes: DataFrame) -> None:
+        self.table("memories").commit(B.patched(self.read("memories"), changes))
+
+    def forget(self, ids: DataFrame) -> None:
+        self.table("memories").commit(B.forgotten(self.read("memories"), ids))
 
     # ------------------------------------------------------------------ retrieval
 
+    def vectors(self) -> DataFrame:
+        """(id, embedding) of all memories; those without one, or whose text changed, are computed first."""
+        texts = self.read("memories").select(F.concat_ws(":", F.col("id").cast("string"), X.content_hash("statement")).alias("key"), "id", F.col("statement").alias("text"))
+        cache = self.read("vectors").select(F.concat_ws(":", F.col("id").cast("string"), "hash").alias("key"), "embedding")
+        if self.embed is not None:
+            all_, new = embedded(texts, cache, self.embed, self.config.dimension or None)
+            if not stored(new, "vectors").isEmpty():
+                both = all_.join(texts.select("key", "id"), "key").select("id", F.substring_index("key", ":", -2).alias("hash"), "embedding")
+                self.table("vectors").commit(self.shaped("vectors", both))
+        return self.read("vectors").select("id", "embedding")
+
     def recall(self, queries: DataFrame, now: datetime = X.NOW, explain: bool = False) -> DataFrame | dict[str, DataFrame]:
         """Injection text of each query (query_id, query), or every step's rows; touches what it injects."""
         memories = A.overlay(self.read("memories"), self.read("overlay"), "turns")
-        out = R.recall(queries, memories, self.read("bridge"), self.read("edges"), now=now, budget=self.config.budget)
-        if self.config.persist_recall:
-            touched = out["kept"].groupBy("id").agg((F.max("turns") + 1).alias("turns")).select("id", F.lit(now).cast("timestamp").alias("at"), F.col("turns").cast("long").alias("turns"))
-            self.table("overlay").commit(self.read("overlay").unionByName(touched))
-        return out if explain else R.injection(out["kept"])
+        vectors = None
+        if self.embed is not None:
+            vectors = self.vectors()
+            asked = self.embed(queries.select(F.col("query_id").alias("key"), F.col("query").alias("text"))).select(F.col("key").alias("query_id"), "embedding")
+            queries = queries.join(stored(asked, "asked"), "query_id", "left")
+        out = R.recall(queries, memories, self.read("bridge"), self.read("edges"), vectors, now=now, budget=self.config.budget)
+        out["kept"] = stored(out["kept"], "kept")
+        if self.config.persist_recall != "off":
+            touched = out["kept"].where("layer <> 'experience'").groupBy("id").agg((F.max("turns") + 1).alias("turns")).select("id", F.lit(now).cast("timestamp").alias("at"), F.col("turns").cast("long").alias("turns"))
+            if self.config.persist_recall == "overlay":
+                self.append("overlay", touched)
+            else:
+                m = self.read("memories")
+                t = touched.select("id", F.col("turns").alias("_t"))
+                new = m.join(t, "id", "left").withColumn("turns", F.coalesce("_t", "turns")).withColumn("last_accessed", F.when(F.col("_t").isNotNull(), F.lit(now).cast("timestamp")).otherwise(F.col("last_accessed")))
+                self.table("memories").commit(new.select(m.columns))
+        return out if explain else R.injection(out["kept"], queries)
 
     def reflect(self, question: str, now: datetime = X.NOW) -> str | None:
-        """A model's answer over the observations that a recall finds, if there are two at least."""
-        q = self.spark.createDataFrame([(1, question)], "query_id long, query string")
-        found = R.recall(q, self.read("memories"), self.read("bridge"), self.read("edges"), now=now, budget=4096)["kept"].where("layer = 'observation'").orderBy("rank").select("statement").limit(50).collect()
-        return self.complete("\n".join([question, *(r[0] for r in found)])) if self.complete and len(found) >= 2 else None
+        """A model that the language model makes of the observations a recall finds, if there are two at least.
+
+        Its answer is JSON (title, statement, domain, confidence); the new memory is written with
+        its sources.  Gives the statement.
+        """
+        q = self.rows("query_id long, query string", (1, question))
+        kept = R.recall(q, self.read("memories"), self.read("bridge"), self.read("edges"), now=now, budget=4096)["kept"]
+        found = kept.where("layer = 'observation'").orderBy("rank").select("id", "title", "statement", "proof", "confidence").collect()
+        if self.complete is None or len(found) < 2:
+            return None
+        lines = [f"[{i}] {r['title'] or r['statement']}\n    Evidence: {r['proof']} sources, confidence: {r['confidence']}/10" for i, r in enumerate(found, 1)]
+        answer = self.complete(REFLECT.format(observations="\n\n".join(lines), query=question))
+        try:
+            made = json.loads(answer.replace("```json", "").replace("```", "").strip())
+            said = str(made.get("statement") or "")
+        except (AttributeError, ValueError):
+            return None
+        number = self.read("memories").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
+        row = {"id": number, "layer": "mental_model", "title": made.get("title") or "Synthesized Mental Model", "statement": said, "text": said, "scope": "global", "domain": made.get("domain") or "general", "learned_at": now, "valid_from": now, "last_accessed": now, "refreshed": now, "strength": 0.9, "storage": 1.0, "frequency": 1, "weight": 7, "confidence": min(10, int(made.get("confidence") or 7)), "status": "active", "trend": "new", "proof": sum(r["proof"] or 0 for r in found)}
+        ddl = ", ".join(f for f in MEMORY.split(", ") if f.split()[0] in row)
+        one = self.rows(ddl, tuple(row[f.split()[0]] for f in ddl.split(", "))).withColumn("tags", F.array().cast("array<string>")).withColumn("hash", X.content_hash("statement"))
+        self.append("memories", one)
+        self.append("sources", self.rows(SCHEMAS["sources"], *[(number, r["id"]) for r in found]))
+        return said
 
     # ---------------------------------------------------------------- maintenance
 
-    def maintain(self, mode: str = "light", now: datetime = X.NOW) -> dict[str, int]:
-        """light: edges; deep: also induction; rem: decay first."""
-        done: dict[str, int] = {}
+    def consolidate(self, now: datetime = X.NOW) -> dict[str, int]:
+        """Merges similar unmerged memories into observations, or adds them to known ones; conflicting ones are linked."""
+        mem = self.read("memories")
+        out = {k: stored(v, k) for k, v in K.consolidate(mem, self.read("bridge"), self.vectors(), self.read("sources"), self.config.consolidate_batch, self.config.cluster_similarity).items()}
+        at = F.lit(now).cast("timestamp")
+        made = out["merged"].withColumn("order", F.sha2(F.col("seed").cast("string"), 256))
+        new = stored(self.numbered(made, "order").select("seed", "id", F.lit("observation").alias("layer"), F.substring("statement", 1, 80).alias("title"), "statement", F.col("statement").alias("text"), "scope", "domain", F.split("tags", ",").alias("tags"), "learned_at", F.col("learned_at").alias("valid_from"), at.alias("last_accessed"), "strength", "storage", "frequency", "turns", "weight", "confidence", F.lit("active").alias("status"), F.lit("new").alias("trend"), F.col("members").alias("proof"), X.content_hash("statement").alias("hash")), "merged")
+        links = out["sources"].unionByName(out["calm"].join(new.select("seed", F.col("id").alias("memory_id")), "seed").select("memory_id", F.col("id").alias("source_id")))
+        updated = out["updated"].withColumn("last_accessed", at)
+        rest = mem.join(updated.select("id"), "id", "left_anti").join(out["marked"].withColumn("_m", F.lit(True)), "id", "left").withColumn("consolidated", F.coalesce("_m", "consolidated")).select(mem.columns)
+        self.table("memories").commit(rest.unionByName(updated.select(mem.columns)).unionByName(self.shaped("memories", new)))
+        links = stored(links, "links")
+        self.append("sources", links)
+        names = links.join(self.read("bridge").withColumnRenamed("memory_id", "source_id"), "source_id").select("memory_id", "entity", "type").distinct()
+        self.append("bridge", names.join(self.read("bridge").select("memory_id", "entity"), ["memory_id", "entity"], "left_anti"))
+        self.append("edges", links.select(F.col("memory_id").alias("src"), F.col("source_id").alias("dst"), F.lit("evidence").alias("type"), F.lit(0.8).alias("weight")).unionByName(out["evolution"]))
+        taken = out["clusters"].count()
+        return {"merged": new.count(), "updated": updated.count(), "conflicts": out["clusters"].select("seed").distinct().count() - out["calm"].select("seed").distinct().count(), "skipped": K.unmerged(mem, self.config.consolidate_batch).count() - taken}
+
+    def induce(self, now: datetime = X.NOW) -> dict[str, int]:
+        """Writes the experiences that repeated observations and models add up to, with their sources; known ones don't come again."""
         mem = self.read("memories")
-        if mode == "rem":
-            d = L.batch_decay(mem, now).select("id", "new_status", "new_strength", "new_confidence")
-            m = mem.join(d, "id", "left")
-            m = m.withColumn("status", F.coalesce("new_status", "status")).withColumn("strength", F.coalesce("new_strength", "strength")).withColumn("confidence", F.coalesce(F.col("new_confidence").cast("long"), "confidence"))
-            self.table("memories").commit(m.drop("new_status", "new_strength", "new_confidence"))
-            done["decayed"] = d.count()
-            mem = self.read("memories")
-        if mode in ("deep", "rem"):
-            done["induced"] = L.experiences(L.induction_groups(mem, self.config.induction_evidence)).count()
-        old = self.read("edges")
-        new = R.temporal_edges(mem).select("src", "dst", F.lit("temporal").alias("type"), "weight").unionByName(R.coaccess_edges(self.read("bridge")).select("src", "dst", F.lit("co_accessed").alias("type"), "weight"))
-        new = new.join(old.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "type").distinct(), ["src", "dst", "type"], "left_anti").select(old.columns)
+        live = mem.where("layer = 'experience' and status <> 'retired'").select(F.col("id").alias("memory_id"))
+        held = self.read("sources").join(live, "memory_id")
+        every = L.induction_groups(mem, self.config.induction_evidence)
+        groups = L.induction_groups(mem, self.config.induction_evidence, held)
+        found = L.experiences(groups).join(groups.select("key", "scope", "domain", "strength", "storage", "frequency", "turns"), "key")
+        at = F.lit(now).cast("timestamp")
+        new = stored(self.numbered(found.withColumn("order", F.sha2("key", 256)), "order").select("key", "id", F.lit("experience").alias("layer"), F.substring("statement", 1, 80).alias("title"), "statement", F.col("statement").alias("text"), "scope", "domain", F.split("tags", ",").alias("tags"), at.alias("learned_at"), F.col("first_seen").alias("valid_from"), "last_seen", at.alias("last_accessed"), "strength", "storage", "frequency", "turns", "weight", "confidence", F.lit("active").alias("status"), F.lit("new").alias("trend"), "pattern", F.col("occurrence").alias("proof"), X.content_hash("statement").alias("hash")), "induced")
+        members = L.induction_members(mem).select("key", F.col("id").alias("source_id")).join(new.select("key", F.col("id").alias("memory_id")), "key")
+        links = stored(members.select("memory_id", "source_id"), "links")
+        self.append("memories", new)
+        self.append("sources", links)
+        return {"induced": new.count(), "known": every.count() - groups.count()}
+
+    def decay(self, now: datetime = X.NOW) -> int:
+        mem = self.read("memories")
+        d = stored(L.batch_decay(mem, now).select("id", "new_status", "new_strength", "new_confidence"), "decay")
+        m = mem.join(d, "id", "left")
+        m = m.withColumn("status", F.coalesce("new_status", "status")).withColumn("strength", F.coalesce("new_strength", "strength")).withColumn("confidence", F.coalesce(F.col("new_confidence").cast("long"), "confidence"))
+        self.table("memories").commit(m.select(mem.columns))
+        return d.count()
+
+    def link(self) -> int:
+        """Entities of all memories, and time and co-access edges of the first `graph_batch`, that the graph lacks."""
+        mem, bridge, old = self.read("memories"), self.read("bridge"), self.read("edges")
+        named = X.exploded(mem.select("id", "statement"), X.entities("statement"), "e").select(F.col("id").alias("memory_id"), F.col("e.name").alias("entity"), F.col("e.type").alias("type"))
+        self.append("bridge", named.distinct().join(bridge.select("memory_id", "entity"), ["memory_id", "entity"], "left_anti"))
+        first = stored(mem.select("id").orderBy("id").limit(self.config.graph_batch), "first")
+        bridge = self.read("bridge")
+        new = R.temporal_edges(mem, left=first).select("src", "dst", F.lit("temporal").alias("type"), "weight").unionByName(R.coaccess_edges(bridge, left=first).select("src", "dst", F.lit("co_accessed").alias("type"), "weight"))
+        new = stored(new.join(old.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "type").distinct(), ["src", "dst", "type"], "left_anti").select(old.columns), "edges")
         self.table("edges").commit(old.unionByName(new))
-        done["edges"] = self.read("edges").count() - old.count()
-        self.table("state").commit(self.read("state").unionByName(self.spark.createDataFrame([("maintain", now, mode)], SCHEMAS["state"])))
+        return new.count()
+
+    def sync_index(self, whole: bool = False) -> dict[str, int]:
+        """Brings the search index up to the memories: what changed, or (whole) all of it; a row keeps a later activation."""
+        rows, old, diff = self.shaped("index", A.index_rows(self.read("memories"))), self.read("index"), self.index_state()
+        if whole or set(diff) - {"same"}:
+            self.table("index").commit(A.rebuilt_index(rows, old).select(old.columns))
+        return diff
+
+    def maintain(self, mode: str = "light", now: datetime = X.NOW) -> dict[str, int]:
+        """light: graph; deep: consolidation and induction first; rem: decay before those.  A failure is noted, then raised."""
+        done: dict[str, int] = {}
+        try:
+            if mode == "rem":
+                done["decayed"] = self.decay(now)
+            if mode in ("deep", "rem"):
+                done |= self.consolidate(now)
+                done |= self.induce(now)
+            done["edges"] = self.link()
+            self.sync_index()
+        except Exception as e:
+            self.append("state", self.rows(SCHEMAS["state"], ("maintain", now, f"{mode}: {type(e).__name__}")))
+            raise
+        self.append("state", self.rows(SCHEMAS["state"], ("maintain", now, mode)))
         return done
 
+    # ------------------------------------------------------------------ streaming
+
+    def has_seen(self, stream: str, number: int) -> bool:
+        return not self.read("state").where((F.col("name") == f"batch:{stream}") & (F.split("detail", " ")[0].cast("long") >= number)).isEmpty()
+
+    def note_batch(self, stream: str, number: int, added: int, now: datetime = X.NOW) -> None:
+        self.append("state", self.rows(SCHEMAS["state"], (f"batch:{stream}", now, f"{number} {added}")))
+
+    def learned_since_maintenance(self) -> int:
+        """Statements that streams added since the last maintenance, by the order in which states were noted."""
+        marks = self.read("state").select("name", "at", "detail").collect() if self.read("state").count() < 100_000 else []
+        last = max((r["at"] for r in marks if r["name"] == "maintain"), default=None)
+        return sum(int(r["detail"].split(" ")[1]) for r in marks if r["name"].startswith("batch:") and (last is None or r["at"] >= last))
+
     # ------------------------------------------------------------- administration
 
     def status(self) -> DataFrame:
         return A.store_stats(self.read("memories"))
 
+    def counts(self) -> DataFrame:
+        """(name, n): rows of each table, and the store's bytes."""
+        size = self.rows("name string, n long", ("bytes", A.folder_bytes(self.spark, self.path)))
+        return A.table_counts({name: self.read(name) for name in SCHEMAS}).unionByName(size)
+
     def review(self) -> DataFrame:
         return A.review(self.read("memories").withColumn("origin", F.lit("")))
 
-    def prune(self, chosen: DataFrame, dry_run: bool = True) -> DataFrame:
+    def prune(self, chosen: DataFrame, dry_run: bool = True, now: datetime = X.NOW) -> DataFrame:
         """What pruning the chosen ids does; unless dry_run, retires and tags them."""
         mem = self.read("memories")
         actions = A.prune_actions(mem, chosen)
         if not dry_run:
-            m = mem.join(actions.where("action = 'retired'").select("id", "action"), "id", "left")
-            hit = F.col("action").isNotNull()
-            self.table("memories").commit(m.withColumn("status", F.when(hit, "retired").otherwise(F.col("status"))).withColumn("tags", F.when(hit, F.array_union("tags", F.array(F.lit("pruned")))).otherwise(F.col("tags"))).drop("action"))
+            self.table("memories").commit(A.retired(mem, actions.where("action = 'retired'"), F.lit(now).cast("timestamp")))
         return actions
 
     def doctor(self, repair: bool = False) -> DataFrame:
-        """(name, status, message): checks of every table; repair drops edges that lead nowhere."""
-        mem, edges = self.read("memories"), self.read("edges")
-        lost, twice = A.dangling(edges, mem).count(), A.duplicate_ids(mem, "id").count()
+        """(name, status, message): checks of every table.
+
+        repair: adds missing columns, drops what hangs in the air, rebuilds the index, removes
+        claims and stages that lost writers left.
+        """
+        lost = [name for name in SCHEMAS if not self.table(name).versions()]
+        if lost:
+            return self.rows("name string, status string, message string", ("tables", "error", str(lost)))
+        if repair:
+            self.migrate(dry_run=False)
+            ids = self.read("memories").select("id")
+            for name, ends in (("edges", ("src", "dst")), ("bridge", ("memory_id",)), ("sources", ("memory_id", "source_id"))):
+                rows = self.read(name)
+                keep = rows
+                for end in ends:
+                    keep = keep.join(ids.withColumnRenamed("id", end), end, "left_semi")
+                self.table(name).commit(stored(keep.select(rows.columns), name))
+            self.sync_index(whole=True)
+            for name in SCHEMAS:
+                self.table(name).sweep()
+        mem, edges, bridge = self.read("memories"), self.read("edges"), self.read("bridge")
+        ids = mem.select("id")
+        loose = A.dangling(edges, mem).count() + bridge.join(ids.withColumnRenamed("id", "memory_id"), "memory_id", "left_anti").count()
+        twice = A.duplicate_ids(mem, "id").count()
         bad = {k: v for k, v in A.range_violations(mem).first().asDict().items() if v}
+        early = A.temporal_consistency(mem).count()
         old = self.migrate()
-        rows = [("tables", "ok" if not old else "warning", str(old)), ("unique_ids", "ok" if not twice else "error", str(twice)), ("graph", "ok" if not lost else "warning", str(lost)), ("ranges", "ok" if not bad else "error", str(bad))]
-        if repair and lost:
-            ids = mem.select("id")
-            keep = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-            self.table("edges").commit(keep.select(edges.columns))
-        return self.spark.createDataFrame(rows, "name string, status string, message string")
+        stale = {k: v for k, v in self.index_state().items() if k != "same"}
+        size = A.folder_bytes(self.spark, self.path)
+        left = [name for name in SCHEMAS if self.table(name).leftovers()]
+        check = lambda name, wrong, level: (name, level if wrong else "ok", str(wrong or ""))
+        return self.rows(
+            "name string, status string, message string",
+            ("tables", "ok", str(len(SCHEMAS))), check("schema", old, "warning"), check("unique_ids", twice, "error"), check("graph", loose, "warning"), check("temporal", early, "warning"), check("ranges", bad, "error"),
+            check("index", stale, "warning"), ("embedding", "ok" if self.embed else "warning", "" if self.embed else "no model: no semantic list"), check("size", size if size > self.config.most_bytes else 0, "warning"), check("writers", left, "warning"),
+        )
+
+    def index_state(self) -> dict[str, int]:
+        rows, old = self.shaped("index", A.index_rows(self.read("memories"))), self.read("index")
+        mark = lambda df: df.select("id", F.xxhash64(*[c for c in rows.columns if c not in ("id", "activation", "updated_at")]).cast("string").alias("hash"))
+        return {r["action"]: r["n"] for r in A.index_diff(mark(old), mark(rows)).collect()}

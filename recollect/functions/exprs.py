@@ -76,11 +76,12 @@ def redact(text: Column | str) -> Column:
     return F.regexp_replace(hidden, "(?i)" + R.SECRET_VALUE, "$1[REDACTED_SECRET]")
 
 
-def strip_context(text: Column | str) -> Column:
-    """A turn without its reply preview, injected memory blocks and system notes."""
-    t = F.regexp_replace(col(text), r"^\s*\[Replying to:\s*[\"“][\s\S]*?[\"”]\]\s*", "")
-    t = F.regexp_replace(t, r"(?is)<(memory-context|[a-z]+mem-context)>.*?</\1>", "")
-    return F.trim(F.regexp_replace(t, r"(?is)\[System note:.*?\]\s*", ""))
+def strip_context(text: Column | str, tags: tuple[str, ...] = R.CONTEXT_TAGS) -> Column:
+    """A turn without its reply preview, injected memory blocks (of the named tags) and system notes."""
+    t = F.regexp_replace(col(text), R.REPLY_PREVIEW, "")
+    for tag in tags:
+        t = F.regexp_replace(t, f"(?is)<{tag}>.*?</{tag}>", "")
+    return F.trim(F.regexp_replace(t, R.SYSTEM_NOTE, ""))
 
 
 def any_of(low: Column, words: tuple[str, ...]) -> Column:
@@ -163,9 +164,106 @@ def time_reference(text: Column | str, now: datetime = NOW) -> Column:
     return out
 
 
+def string_list(text: Column | str) -> Column:
+    """The trimmed, non-empty parts of a comma list; null gives none."""
+    return F.filter(F.transform(F.split(F.coalesce(col(text), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def message_text(message: Column | str) -> Column:
+    """Text of a chat message in JSON: a string, an object's content, or the texts of its parts, a line each."""
+    m = F.try_parse_json(col(message))
+    whole = F.try_variant_get(m, "$", "string")
+    content = F.try_variant_get(m, "$.content", "string")
+    kind = F.schema_of_variant(m)
+    parts = F.try_variant_get(m, "$.content", "array<variant>")
+    one = lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")), F.lit(""))
+    listed = F.array_join(F.transform(parts, one), "\n")
+    is_list = kind.contains("content: ARRAY")
+    return F.coalesce(F.when(kind == "STRING", whole), F.when(is_list, listed), F.when(kind.contains("content: STRING"), content), F.lit(""))
+
+
+# ------------------------------------------------------------------- identity
+
+
+def memory_id(layer: Column | str, day: Column, number: Column) -> Column:
+    """The id of the day's n-th memory of a layer, as ENG-20240201-001."""
+    prefix = F.element_at(F.create_map(*[F.lit(x) for kv in R.ID_PREFIXES.items() for x in kv]), col(layer))
+    digits = number.cast("string")
+    return F.concat_ws("-", prefix, F.date_format(day, "yyyyMMdd"), F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits))
+
+
+def date_of_id(name: Column | str) -> Column:
+    """The day in an id (yyyy-MM-dd), null for any other string."""
+    d = F.regexp_extract(col(name), r"^[A-Z]+-(\d{8})-\d+$", 1)
+    return F.when(d != "", F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2)))
+
+
+def feedback_id(at: Column | str) -> Column:
+    """FB- and the instant's milliseconds in base 36."""
+    return F.concat(F.lit("FB-"), F.lower(F.conv(F.floor(F.unix_micros(col(at).cast("timestamp")) / 1000).cast("string"), 10, 36)))
+
+
 # ----------------------------------------------------------------- life cycle
 
 
+def activation_value(strength: Column | str, storage: Column | str) -> Column:
+    return (col(strength) + col(storage)) / 2
+
+
+def parsed_activation(text: Column | str) -> Column:
+    """A struct of an activation's JSON; null unless both strengths, frequency and last_accessed have their type."""
+    v = F.try_parse_json(col(text))
+    number = lambda k: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)"), F.try_variant_get(v, f"$.{k}", "double"))
+    named = F.when(F.schema_of_variant(F.try_variant_get(v, "$.last_accessed", "variant")) == "STRING", F.try_variant_get(v, "$.last_accessed", "string"))
+    strength, storage, frequency = number("retrieval_strength"), number("storage_strength"), number("frequency")
+    whole = strength.isNotNull() & storage.isNotNull() & frequency.isNotNull() & named.isNotNull()
+    return F.when(whole, F.struct(strength.alias("strength"), storage.alias("storage"), frequency.cast("long").alias("frequency"), F.coalesce(number("turn_count"), F.lit(0.0)).cast("long").alias("turns"), named.alias("last_accessed")))
+
+
+def should_promote(status: Column | str, copies: Column) -> Column:
+    """Whether a candidate was said twice or more."""
+    return (col(status) == "candidate") & (copies >= 2)
+
+
+def is_unsafe(text: Column | str, tags: tuple[str, ...] = R.CONTEXT_TAGS) -> Column:
+    """Whether a text holds injected context or speaks to the model."""
+    return col(text).rlike("(?i)</?(?:" + "|".join(tags) + ")>|\\[System note:") | col(text).rlike(R.INJECTION)
+
+
+def has_secret(text: Column | str) -> Column:
+    return redact(text) != col(text)
+
+
+FACT = "array<struct<statement:string,type:string,polarity:string,rationale:string,confidence:string,entities:array<struct<name:string,type:string>>>>"
+
+
+def facts(answer: Column | str, most: int = 5) -> Column:
+    """A language model's facts (JSON, fenced or not), cleaned: an array of structs, empty if the answer is no list.
+
+    Statements of 5 to 300 characters that hold no secret (nor do rationale and entities) and
+    don't address the model; the first of equal ones; at most `most` (1 to 10).
+    """
+    plain = F.trim(F.regexp_replace(F.regexp_replace(col(answer), r"```(?:json?)?\s*", ""), r"```\s*", ""))
+    raw = F.coalesce(F.from_json(F.when(plain.startswith("["), plain), FACT), F.array().cast(FACT))
+    text = lambda f: F.trim(F.coalesce(f["statement"], F.lit("")))
+    entity = lambda e: F.struct(F.substring(F.trim(F.coalesce(e["name"], F.lit(""))), 1, 80).alias("name"), F.coalesce(F.nullif(F.substring(F.trim(F.coalesce(e["type"], F.lit("concept"))), 1, 40), F.lit("")), F.lit("concept")).alias("type"))
+    no = F.lit(False)
+    safe = lambda f: ~is_unsafe(text(f)) & ~has_secret(text(f)) & ~F.coalesce(has_secret(f["rationale"]), no) & ~F.coalesce(F.exists(f["entities"], lambda e: F.coalesce(has_secret(e["name"]), no) | F.coalesce(has_secret(e["type"]), no)), no)
+    good = F.filter(raw, lambda f: F.length(text(f)).between(5, 300) & safe(f))
+    said = F.transform(good, text)
+    first = F.filter(good, lambda f, i: F.array_position(said, text(f)) == i + 1)
+    number = lambda c: F.when(c.rlike(r"^-?\d+(\.\d+)?$"), clamp(js_round(c.cast("double")), 1, 10).cast("long")).otherwise(F.lit(5).cast("long"))
+    clean = lambda f: F.struct(
+        text(f).alias("statement"),
+        F.when(f["type"].isin(*R.MEMORY_KINDS), f["type"]).otherwise("behavioral").alias("type"),
+        F.when(f["polarity"].isin("do", "dont"), f["polarity"]).alias("polarity"),
+        F.substring(F.coalesce(f["rationale"], F.lit("")), 1, 300).alias("rationale"),
+        number(F.coalesce(f["confidence"], F.lit(""))).alias("confidence"),
+        F.slice(F.filter(F.transform(F.coalesce(f["entities"], F.array().cast("array<struct<name:string,type:string>>")), entity), lambda e: (e["name"] != "") & ~is_unsafe(e["name"])), 1, 8).alias("entities"),
+    )
+    return F.transform(F.slice(first, 1, max(1, min(10, most))), clean)
+
+
 def days_since(t: Column | str, now: datetime = NOW) -> Column:
     return F.greatest(F.lit(0.0), (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(col(t).cast("timestamp"))) / 8.64e10)
 

@@ -19,6 +19,22 @@ META_MARKERS = ("review the conversation above", "update the skill library", "fi
 LEARN_MARKERS = ("记住", "不是", "不对", "应该", "以后", "不要", "别", "我喜欢", "我希望", "默认", "尽量", "就这样", "定了", "统一", "remember", "note ", "don't", "do not", "always", "default to", "instead of")
 
 
+#: What a host puts into turns; tags that hold injected memories are the caller's to name.
+REPLY_PREVIEW = r"^\s*\[Replying to:\s*[\"“][\s\S]*?[\"”]\]\s*"
+SYSTEM_NOTE = r"(?is)\[System note:.*?\]\s*"
+CONTEXT_TAGS = ("memory-context",)
+
+#: Phrases that speak to the model, kinds of memories, prefixes of ids by layer.
+INJECTION = r"(?i)ignore (?:all )?(?:previous|above) instructions?|disregard (?:all )?(?:previous|above) instructions?|system prompt|developer message|jailbreak|你现在是|忽略(?:之前|以上|上面).{0,10}指令"
+MEMORY_KINDS = ("behavioral", "terminological", "procedural", "architectural")
+ID_PREFIXES = {"raw": "ENG", "observation": "OBS", "mental_model": "MM", "experience": "EXP"}
+
+#: Headings of the injected text, its body without memories, words that mark a turn to keep before compression.
+HEADINGS = ("### Directives (must follow)", "### Constraints", "### Consider")
+NOTHING = "(no relevant memories)"
+INSIGHT_MARKERS = ("记住", "不是", "以后", "我喜欢", "不要")
+
+
 @dataclass(frozen=True)
 class Extraction:
     """One rule: the first match in a text gives one candidate; {1} and {2} are its groups, cleaned if clean."""

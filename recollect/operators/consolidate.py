@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import exprs as X
+from recollect.operators.lifecycle import merge_clusters
 from recollect.sources.store import stored
 
 
@@ -82,34 +83,144 @@ def vector_clusters(vectors: DataFrame, least: float, chunk: int = 2048) -> Data
     return out
 
 
-def match_observations(clusters: DataFrame, observations: DataFrame, least: float = 0.35) -> DataFrame:
+def unmerged(memories: DataFrame, most: int | None = None) -> DataFrame:
+    """Active raw memories that no observation holds yet, the oldest `most` of them or all."""
+    out = memories.where("layer = 'raw' and status = 'active' and not consolidated")
+    return out.orderBy("learned_at", "id").limit(most) if most else out
+
+
+def facet(scope: str = "scope", domain: str = "domain") -> tuple[Column, Column]:
+    """What clusters and observations must share: scope and domain, or what stands for none."""
+    return F.coalesce(scope, F.lit("global")).alias("scope"), F.coalesce(domain, F.lit("general")).alias("domain")
+
+
+def _rare(sets: DataFrame, key: str, often: DataFrame, least: float) -> DataFrame:
+    """(key, scope, domain, word): those of a set's words, rarest first, one of which any set with a Jaccard of `least` shares."""
+    n = F.size("words")
+    words = sets.select(key, "scope", "domain", (n - F.ceil(n * least) + 1).alias("take"), F.explode("words").alias("word")).join(often, "word")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("often", "word"))
+    return words.withColumn("_r", rank).where(F.col("_r") <= F.col("take")).select(key, "scope", "domain", "word")
+
+
+def match_observations(clusters: DataFrame, observations: DataFrame, least: float = 0.35, linked: DataFrame | None = None) -> DataFrame:
     """(seed, observation, score): each cluster's best known observation of its scope and domain.
 
-    Similarity of words, plus 0.15 for a common tag; equals go to the earlier observation.
-    clusters (seed, scope, domain, statement, tags), observations (id, ...).
+    Similarity of words, plus 0.35 for a common entity and 0.15 for a common tag; equals go to
+    the earlier observation; retired ones, and those that hold all of a cluster already (linked:
+    seed, observation), are out.  clusters (seed, scope, domain, statement, tags, entities),
+    observations (id, status, ...).  Only pairs that share an entity or a rare word meet.
     """
-    o = observations.select(F.col("id").alias("observation"), "scope", "domain", X.token_set("statement").alias("ow"), F.col("tags").alias("ot"))
-    c = clusters.select("seed", "scope", "domain", X.token_set("statement").alias("cw"), F.col("tags").alias("ct"))
-    score = F.round(X.jaccard(F.col("cw"), F.col("ow")) + F.when(F.arrays_overlap("ct", "ot"), 0.15).otherwise(0.0), 6)
-    scored = c.join(o, ["scope", "domain"]).select("seed", "observation", score.alias("score")).where(F.col("score") >= least)
+    c = clusters.select("seed", *facet(), X.token_set("statement").alias("words"), F.col("tags").alias("ct"), F.col("entities").alias("ce"))
+    o = observations.where("status <> 'retired'").select(F.col("id").alias("observation"), *facet(), X.token_set("statement").alias("words"), F.col("tags").alias("ot"), F.col("entities").alias("oe"))
+    often = o.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("often"))
+    floor = least - 0.15 - 1e-6  # of a pair without a common entity
+    by_word = _rare(c, "seed", often, floor).join(_rare(o, "observation", often, floor), ["scope", "domain", "word"]).select("seed", "observation")
+    by_entity = c.select("seed", "scope", "domain", F.explode("ce").alias("entity")).join(o.select("observation", "scope", "domain", F.explode("oe").alias("entity")), ["scope", "domain", "entity"]).select("seed", "observation")
+    near = by_word.union(by_entity).distinct()
+    if linked is not None:
+        near = near.join(linked, ["seed", "observation"], "left_anti")
+    both = near.join(c.withColumnRenamed("words", "cw").drop("scope", "domain"), "seed").join(o.withColumnRenamed("words", "ow").drop("scope", "domain"), "observation")
+    extra = lambda a, b, w: F.when(F.coalesce(F.arrays_overlap(a, b), F.lit(False)), w).otherwise(0.0)
+    score = F.round(X.jaccard(F.col("cw"), F.col("ow")) + extra("ce", "oe", 0.35) + extra("ct", "ot", 0.15), 6)
+    scored = both.select("seed", "observation", score.alias("score")).where(F.col("score") >= least)
     best = scored.groupBy("seed").agg(F.max(F.struct("score", (-F.col("observation")).alias("o"))).alias("m"))
     return best.select("seed", (-F.col("m.o")).alias("observation"), F.col("m.score").alias("score"))
 
 
+def evidence(members: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """What new members (observation, id, ...) bring to each observation; known (observation, id) are old news."""
+    new = members if known is None else members.join(known, ["observation", "id"], "left_anti")
+    return new.groupBy(F.col("observation").alias("id")).agg(
+        F.count("*").alias("new"), F.avg("confidence").alias("m_confidence"), F.max("strength").alias("m_strength"), F.max("storage").alias("m_storage"),
+        F.sum("frequency").alias("m_frequency"), F.sum("turns").alias("m_turns"), F.max("weight").alias("m_weight"), F.array_distinct(F.flatten(F.collect_set("tags"))).alias("m_tags"),
+    )
+
+
 def update_observations(observations: DataFrame, found: DataFrame) -> DataFrame:
-    """observations after new evidence: found (id, new, confidence) counts new members and their mean confidence."""
-    n, m = F.col("proof"), F.coalesce("new", F.lit(0))
-    proof = n + m
-    conf = F.least(F.lit(10), X.js_round((F.col("confidence") * n + F.col("mean") * m) / proof + 0.5))
-    joined = observations.join(found.select("id", "new", F.col("confidence").alias("mean")), "id", "left")
-    trend = F.when(m == 0, "stable").when(m * 2 >= n, "strengthening").otherwise("stable")
-    return joined.withColumn("confidence", F.when(m > 0, conf).otherwise(F.col("confidence"))).withColumn("trend", trend).withColumn("proof", proof).drop("new", "mean")
+    """observations after new evidence (of `evidence`).
+
+    Confidence is weighed by proof; two more proofs, or any for a new one, strengthen it; others
+    keep their trend.
+    """
+    out = observations.join(found, "id", "left")
+    any_, m = F.col("new").isNotNull(), F.coalesce("new", F.lit(0))
+    proof = F.col("proof") + m
+    conf = F.least(F.lit(10), X.js_round((F.col("confidence") * F.col("proof") + F.col("m_confidence") * m) / proof + 0.5))
+    values = {
+        "confidence": F.when(any_, conf).otherwise(F.col("confidence")),
+        "trend": F.when(any_ & ((m >= 2) | (F.col("trend") == "new")), "strengthening").otherwise(F.col("trend")),
+        "proof": proof,
+        "strength": F.greatest("strength", "m_strength"),
+        "storage": F.greatest("storage", "m_storage"),
+        "frequency": F.col("frequency") + F.coalesce("m_frequency", F.lit(0)),
+        "turns": F.col("turns") + F.coalesce("m_turns", F.lit(0)),
+        "weight": F.greatest("weight", "m_weight"),
+        "tags": F.when(any_, F.array_union("tags", "m_tags")).otherwise(F.col("tags")),
+    }
+    kind = {f.name: f.dataType for f in observations.schema}
+    return out.select(*[(values[c].cast(kind[c]) if c in values else F.col(c)).alias(c) for c in observations.columns])
 
 
 def evolution_links(clusters: DataFrame) -> DataFrame:
-    """(src, dst, type, weight): members (id, seed) of a conflicting cluster, each linked to the next by id.
+    """(src, dst, type, weight): members (id, seed) of conflicting clusters, each linked to every other of its own.
+
+    The links are the result, so a cluster gives all its pairs; a pass takes a batch of memories
+    (`unmerged`), which bounds them.
+    """
+    other = clusters.select("seed", F.col("id").alias("dst"))
+    return clusters.select("seed", F.col("id").alias("src")).join(other, "seed").where("src <> dst").select("src", "dst", F.lit("semantic").alias("type"), F.lit(0.5).alias("weight"))
+
+
+def conflicts(members: DataFrame) -> DataFrame:
+    """(seed, kinds) of clusters whose members' polarities differ."""
+    return members.groupBy("seed").agg(F.count_distinct("polarity").alias("kinds")).where("kinds > 1")
+
+
+def with_entities(rows: DataFrame, bridge: DataFrame, key: str = "id") -> DataFrame:
+    """rows with an array of their entities of bridge (memory_id, entity)."""
+    own = bridge.groupBy(F.col("memory_id").alias(key)).agg(F.array_sort(F.collect_set("entity")).alias("entities"))
+    return rows.join(own, key, "left")
+
+
+def clusters_of(members: DataFrame, bridge: DataFrame) -> DataFrame:
+    """One row a cluster of members (seed, id, ...): the first member's facet, all words, tags and entities."""
+    first = F.struct("learned_at", "id")
+    own = members.groupBy("seed").agg(F.min_by("scope", first).alias("scope"), F.min_by("domain", first).alias("domain"), F.array_join(F.array_sort(F.collect_set("statement")), " ").alias("statement"), F.array_distinct(F.flatten(F.collect_set("tags"))).alias("tags"), F.count("*").alias("n"))
+    names = members.select("seed", F.col("id").alias("memory_id")).join(bridge, "memory_id").groupBy("seed").agg(F.collect_set("entity").alias("entities"))
+    return own.join(names, "seed", "left")
+
+
+def consolidate(memories: DataFrame, bridge: DataFrame, vectors: DataFrame, sources: DataFrame, most: int | None = 50, least: float = 0.85) -> dict[str, DataFrame]:
+    """A pass over the unmerged memories: what it would write, by name.
 
-    A chain tells who evolved together without all pairs of a cluster.
+    clusters (id, seed) of two members or more; evolution: links of conflicting ones; merged: new
+    observations by seed; updated: known ones with their new evidence; marked: ids that are
+    consolidated now; sources (memory_id, source_id) of updated observations, and edges from
+    them.  All clusters are matched with the observations there were before the pass.
     """
-    after = F.lead("id").over(Window.partitionBy("seed").orderBy("id"))
-    return clusters.select(F.col("id").alias("src"), after.alias("dst")).where("dst is not null").select("src", "dst", F.lit("semantic").alias("type"), F.lit(0.5).alias("weight"))
+    raw = unmerged(memories, most)
+    found = vector_clusters(vectors.join(raw.select("id"), "id", "left_semi"), least)
+    several = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    clusters = stored(found.join(several, "seed").select("id", "seed"), "clusters")
+    members = raw.join(clusters, "id")
+    bad = conflicts(members).select("seed")
+    calm = stored(members.join(bad, "seed", "left_anti"), "calm")
+    known = memories.where("layer = 'observation'")
+    size = calm.groupBy("seed").agg(F.count("*").alias("n"))
+    held = calm.select("seed", F.col("id").alias("source_id")).join(sources, "source_id").groupBy("seed", F.col("memory_id").alias("observation")).agg(F.count("*").alias("both"))
+    linked = held.join(size, "seed").where("both = n").select("seed", "observation")
+    match = stored(match_observations(clusters_of(calm, bridge), with_entities(known, bridge), linked=linked), "match")
+    matched = calm.join(match.select("seed", "observation"), "seed")
+    old = sources.select(F.col("memory_id").alias("observation"), F.col("source_id").alias("id"))
+    news = evidence(matched, old)
+    new_links = matched.select("observation", "id").join(old, ["observation", "id"], "left_anti")
+    return {
+        "clusters": clusters,
+        "evolution": evolution_links(members.join(bad, "seed").select("seed", "id")),
+        "merged": merge_clusters(calm.join(match.select("seed"), "seed", "left_anti")),
+        "updated": update_observations(known.join(news.select("id"), "id", "left_semi"), news),
+        "marked": calm.select("id"),
+        "sources": new_links.select(F.col("observation").alias("memory_id"), F.col("id").alias("source_id")),
+        "match": match,
+        "calm": calm.select("seed", "id"),
+    }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import exprs as X
 from recollect.functions import rules as R
+from recollect.sources.store import stored
 
 K1, LENGTH_WEIGHT, RRF_K = 1.2, 0.75, 60
 
@@ -36,22 +37,36 @@ def is_small(rows: DataFrame, most: int = SMALL) -> bool:
     return rows.limit(most + 1).count() <= most
 
 
+def near(rows: DataFrame, most: int = SMALL) -> DataFrame:
+    """rows, to be sent to every task if they are few; else they join as any others."""
+    return F.broadcast(rows) if is_small(rows, most) else rows
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 30) -> DataFrame:
     """(query_id, id, score, rank) of docs (id, text) for queries (query_id, query).
 
     A token that a query repeats counts as often; empty documents count in the mean length.
-    Only tokens of queries are kept before the shuffle: up to SMALL of them by a broadcast,
-    more by a join.
+    Texts are read once: each document goes on with its length and those of its tokens that
+    some query has.  Up to SMALL such tokens are looked up in place, more by a join.
     """
     wanted = queries.select("query_id", F.explode(X.tokens("query")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    near = F.broadcast if is_small(wanted) else (lambda df: df)
-    held = X.exploded(docs.select("id", X.tokens("text").alias("ts")).withColumn("dl", F.size("ts")), F.col("ts"), "token").drop("ts")
-    tf = held.join(near(wanted.select("token").distinct()), "token", "left_semi").groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size(X.tokens("text"))).alias("avgdl"))
-    df = near(tf.groupBy("token").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df")))  # of the same rows, so that one exchange serves both
+    words = [r[0] for r in wanted.select("token").distinct().limit(SMALL + 1).collect()]
+    few = len(words) <= SMALL
+    held = docs.select("id", X.tokens("text").alias("ts")).select("id", "ts", F.size("ts").alias("dl"))
+    if few:
+        held = held.select("id", "dl", F.filter("ts", lambda t: t.isin(words)).alias("ts"))
+    # a null token stands for the document itself, for the number and the mean length of all
+    one = held.select("id", "dl", F.explode(F.concat("ts", F.array(F.lit(None).cast("string")))).alias("token"))
+    if not few:
+        one = one.join(wanted.select("token").distinct().union(one.sparkSession.createDataFrame([(None,)], "token string")).withColumnRenamed("token", "w"), F.col("token").eqNullSafe(F.col("w")), "left_semi")
+    tf = one.groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
+    size = tf.where("token is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    small = F.broadcast if few else (lambda df: df)
+    found = tf.where("token is not null")
+    df = small(found.groupBy("token").agg(F.count("*").alias("df")))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * F.col("dl") / F.col("avgdl")))
-    scores = tf.join(df, "token").join(near(wanted), "token").join(F.broadcast(size)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    scores = found.join(df, "token").join(near(wanted), "token").join(F.broadcast(size)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scores.where("score > 0"), k)
 
 
@@ -67,7 +82,7 @@ def substring_rank(rows: DataFrame, queries: DataFrame, fields: list[str], k: in
     sized = rows.select("id", grams.alias("len"), text.alias("all"))
     total = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     tf = (F.length("all") - F.length(F.replace("all", "term", F.lit("")))) / F.length("term")
-    hits = sized.join(F.broadcast(terms.select("term").distinct()), F.contains("all", "term")).select("id", "len", "term", tf.alias("tf"))
+    hits = sized.join(near(terms.select("term").distinct()), F.contains("all", "term")).select("id", "len", "term", tf.alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
@@ -81,17 +96,28 @@ def semantic(vectors: DataFrame, queries: DataFrame, least: float = 0.5, k: int
 
     A stated set of queries goes against all vectors, in blocks of the vectors' partitions.
     """
-    q = F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))
+    q = near(queries.select("query_id", F.col("embedding").alias("q")))
     scored = vectors.join(q).select("query_id", "id", F.round(F.greatest(F.lit(0.0), X.dot(F.col("embedding"), F.col("q"))), 6).alias("score"))
     return ranked(scored.where(F.col("score") >= least), k)
 
 
+#: Days around a date beyond which nothing is relevant to it.
+DAYS = 17
+
+
 def temporal(memories: DataFrame, queries: DataFrame, now: datetime = X.NOW, least: float = 0.2, k: int | None = 50) -> DataFrame:
-    """(query_id, id, score, rank) of memories (id, learned_at) near the date that a query names."""
+    """(query_id, id, score, rank) of memories (id, learned_at) near the date that a query names.
+
+    Memories meet the dates that are asked for by day; each date is ranked once, however many
+    queries name it.
+    """
+    day = 86_400_000_000
     at = queries.select("query_id", F.unix_micros(X.time_reference("query", now).cast("timestamp")).alias("at")).where("at is not null")
-    days = (F.unix_micros(F.col("learned_at").cast("timestamp")) - F.col("at")) / 8.64e10
-    scored = memories.join(F.broadcast(at), (days > -17) & (days < 17)).select("query_id", "id", F.round(X.time_relevance(days), 6).alias("score"))
-    return ranked(scored.where(F.col("score") > least), k)
+    asked = at.select("at").distinct().select("at", F.explode(F.sequence(F.floor(F.col("at") / day) - DAYS, F.floor(F.col("at") / day) + DAYS)).alias("day"))
+    m = memories.select("id", F.unix_micros(F.col("learned_at").cast("timestamp")).alias("t")).withColumn("day", F.floor(F.col("t") / day))
+    days = (F.col("t") - F.col("at")) / float(day)
+    scored = m.join(near(asked), "day").where(F.abs(days) < DAYS).select("at", "id", F.round(X.time_relevance(days), 6).alias("score"))
+    return at.join(ranked(scored.where(F.col("score") > least), k, by="at"), "at").select("query_id", "id", "score", "rank")
 
 
 def spread(seeds: DataFrame, edges: DataFrame, rounds: int = 3, fade: float = 0.7, least: float = 0.1) -> DataFrame:
@@ -135,25 +161,39 @@ def graph_expansion(seeds: DataFrame, bridge: DataFrame, edges: DataFrame, k: in
     return ranked(shared.union(linked).groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score")), k)
 
 
-def temporal_edges(memories: DataFrame, hours: float = 2.0) -> DataFrame:
+def temporal_edges(memories: DataFrame, hours: float = 2.0, left: DataFrame | None = None) -> DataFrame:
     """(src, dst, weight) of memories (id, learned_at) at most `hours` apart: a banded join on time buckets.
 
-    Each row meets its own bucket and the next one only, so no pair is seen twice.
+    Each pair is given once, by the smaller id first; left (id): only pairs with one of these.
+    A dense bucket is dealt over the other side's ids, as one bucket may hold a third of all.
     """
-    span = int(hours * 3.6e9)
+    span, deal = int(hours * 3.6e9), 16
     t = memories.select("id", F.unix_micros(F.col("learned_at").cast("timestamp")).alias("t")).where("t is not null").withColumn("b", F.floor(F.col("t") / span))
-    right = t.select(F.col("id").alias("id2"), F.col("t").alias("t2"), F.explode(F.array("b", F.col("b") - 1)).alias("b"), F.col("b").alias("b2"))
-    near = t.join(right, "b").where((F.abs(F.col("t") - F.col("t2")) <= span) & ((F.col("b") < F.col("b2")) | (F.col("id") < F.col("id2"))))
-    return near.select(F.least("id", "id2").alias("src"), F.greatest("id", "id2").alias("dst"), F.round(1 - F.abs(F.col("t") - F.col("t2")) / span, 6).alias("weight")).where("src <> dst")
-
-
-def coaccess_edges(bridge: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(src, dst, weight): memories with common entities; shared over the larger set; known pairs stay out."""
-    size = bridge.groupBy("memory_id").agg(F.count("*").alias("n"))
-    held = bridge.join(size, "memory_id")
-    pairs = held.alias("a").join(held.alias("b"), F.col("a.entity") == F.col("b.entity")).where("a.memory_id < b.memory_id")
-    out = pairs.groupBy(F.col("a.memory_id").alias("src"), F.col("b.memory_id").alias("dst")).agg(F.count("*").alias("shared"), F.max(F.greatest("a.n", "b.n")).alias("most"))
-    out = out.select("src", "dst", F.round(F.col("shared") / F.col("most"), 6).alias("weight"))
+    own = t if left is None else t.join(near(left.select("id")), "id", "left_semi")
+    first = own.select(F.col("id").alias("id1"), F.col("t").alias("t1"), F.explode(F.array(F.col("b") - 1, "b", F.col("b") + 1)).alias("b"))
+    if left is None:
+        first, t = first.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(deal - 1)))), t.withColumn("s", F.pmod("id", F.lit(deal)).cast("int"))
+        both = first.join(t, ["b", "s"]).where(F.col("id1") < F.col("id"))
+    else:
+        both = near(first).join(t, "b").where(F.col("id1") != F.col("id"))
+    apart = F.abs(F.col("t1") - F.col("t"))
+    out = both.where(apart <= span).select(F.least("id1", "id").alias("src"), F.greatest("id1", "id").alias("dst"), F.round(1 - apart / span, 6).alias("weight"))
+    return out if left is None else out.distinct()
+
+
+def coaccess_edges(bridge: DataFrame, known: DataFrame | None = None, left: DataFrame | None = None) -> DataFrame:
+    """(src, dst, weight): memories with common entities; shared over the larger set; known pairs stay out.
+
+    left (id): only pairs with one of these, which is what graph maintenance asks for.
+    """
+    one = bridge.select("memory_id", "entity").distinct()
+    size = one.groupBy("memory_id").agg(F.count("*").alias("n"))
+    own = one if left is None else one.join(near(left.select(F.col("id").alias("memory_id"))), "memory_id", "left_semi")
+    small = (lambda df: df) if left is None else near
+    a = small(own.select(F.col("memory_id").alias("a"), "entity"))
+    pairs = a.join(one.withColumnRenamed("memory_id", "b"), "entity").where("a <> b" if left is not None else "a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    pairs = pairs.join(size.select(F.col("memory_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("memory_id").alias("b"), F.col("n").alias("nb")), "b")
+    out = pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.round(F.col("shared") / F.greatest("na", "nb"), 6).alias("weight")).distinct()
     if known is None:
         return out
     return out.join(known.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), ["src", "dst"], "left_anti")
@@ -173,7 +213,7 @@ def fuse(lists: list[DataFrame], k: int | None = None) -> DataFrame:
 def activated(fused: DataFrame, memories: DataFrame, now: datetime = X.NOW) -> DataFrame:
     """Fused scores joined to live memories, weighed 7 to 3 with their activation."""
     act = X.activation(F.col("strength"), F.col("frequency"), F.col("turns"))
-    live = memories.where("status <> 'retired'").withColumn("act", act)
+    live = memories.where("status <> 'retired'").drop("text").withColumn("act", act)
     return fused.select("query_id", "id", F.col("score").alias("rrf")).join(live, "id").withColumn("relevance", F.round(0.7 * F.col("rrf") + 0.3 * F.col("act"), 6))
 
 
@@ -219,13 +259,45 @@ def trim(rows: DataFrame, budget: int = 2048) -> DataFrame:
     return kept.select(F.explode(F.filter("xs", lambda x: F.array_contains("ids", x["id"]))).alias("x")).select("x.row.*")
 
 
-def injection(rows: DataFrame) -> DataFrame:
-    """(query_id, text): kept memories under Directives, Constraints and Consider, in rank order."""
+def injection(rows: DataFrame, queries: DataFrame | None = None, tag: str = R.CONTEXT_TAGS[0]) -> DataFrame:
+    """(query_id, text): kept memories under their headings, in rank order, within a tag.
+
+    queries (query_id): those for which nothing was kept get a body that says so.
+    """
     section = F.when(F.col("layer") == "mental_model", 0).when(F.col("layer") == "observation", 1).otherwise(2)
     line = F.concat(F.lit("["), F.col("id").cast("string"), F.lit("] "), F.col("statement"))
     by = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(section.alias("s"), F.col("rank"), line.alias("l")))).alias("xs"))
-    part = lambda i, title: F.when(F.exists("xs", lambda x: x["s"] == i), F.concat(F.lit(title + "\n"), F.array_join(F.transform(F.filter("xs", lambda x: x["s"] == i), lambda x: x["l"]), "\n")))
-    return by.select("query_id", F.concat_ws("\n\n", part(0, "## Directives"), part(1, "## Constraints"), part(2, "## Consider")).alias("text"))
+    part = lambda i: F.when(F.exists("xs", lambda x: x["s"] == i), F.concat(F.lit(R.HEADINGS[i] + "\n"), F.array_join(F.transform(F.filter("xs", lambda x: x["s"] == i), lambda x: x["l"]), "\n")))
+    body = by.select("query_id", F.concat_ws("\n\n", part(0), part(1), part(2)).alias("body"))
+    if queries is not None:
+        body = queries.select("query_id").distinct().join(body, "query_id", "left")
+    return body.select("query_id", F.concat(F.lit(f"<{tag}>\n"), F.coalesce("body", F.lit(R.NOTHING)), F.lit(f"\n</{tag}>")).alias("text"))
+
+
+def explanations(out: dict[str, DataFrame]) -> DataFrame:
+    """Why each injected memory is there: rank and score by signal, the four scores on the way, and a reason."""
+    names = [n for n in ("bm25", "semantic", "temporal", "graph") if n in out]
+    e = out["kept"].select("query_id", "id", "statement", "rrf", "act", "relevance", F.col("score").alias("rerank"))
+    for n in names:
+        e = e.join(out[n].select("query_id", "id", F.col("rank").alias(f"{n}_rank"), F.col("score").alias(f"{n}_score")), ["query_id", "id"], "left")
+    matched = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"{n}_rank").isNotNull(), F.lit(n)) for n in names])), ", ")
+    return e.withColumn("reason", F.when(matched != "", F.concat(F.lit("Matched retrieval signals: "), matched)).otherwise("No retrieval signals matched"))
+
+
+def diagnostics(queries: DataFrame, memories: DataFrame, out: dict[str, DataFrame]) -> DataFrame:
+    """A row a query: corpus size, how many each signal and step gave, and why nothing came out where nothing did."""
+    steps = [n for n in ("bm25", "semantic", "temporal", "graph", "ranked", "kept") if n in out]
+    d = queries.select("query_id").join(F.broadcast(memories.agg(F.count_if(F.col("status") != "retired").alias("corpus_size"))))
+    for n in steps:
+        d = d.join(out[n].groupBy("query_id").agg(F.count("*").alias(n)), "query_id", "left").withColumn(n, F.coalesce(n, F.lit(0)))
+    why = F.when(F.col("kept") > 0, None).when(F.col("ranked") == 0, "No retrieval signals matched this query.").otherwise("Retrieval candidates were filtered out by token budget or relevance gates.")
+    return d.withColumn("reason", why)
+
+
+def fts_scores(hits: DataFrame) -> DataFrame:
+    """hits with score as an index reports it: the best score over a row's own, so 1 for the best and more for worse ones."""
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    return hits.withColumn("score", F.round(best / F.col("score"), 6))
 
 
 def recall(queries: DataFrame, memories: DataFrame, bridge: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, now: datetime = X.NOW, budget: int = 2048) -> dict[str, DataFrame]:
@@ -233,13 +305,13 @@ def recall(queries: DataFrame, memories: DataFrame, bridge: DataFrame, edges: Da
 
     Gives the lists by signal, the ranked memories and the kept ones.
     """
-    docs = memories.where("status <> 'retired'").select("id", F.col("text"))
-    words = bm25(docs, queries)
-    near_time = temporal(memories.where("status <> 'retired'"), queries, now)
+    live = memories.where("status <> 'retired'")
+    words = stored(bm25(live.select("id", "text"), queries), "bm25")
+    near_time = temporal(live, queries, now)
     passed = ranked(spread(near_time, edges.where("type in ('temporal', 'causal')").withColumn("ord", F.col("dst"))).select("query_id", "id", "score"), 30)
     graph = graph_expansion(words.where("rank <= 10"), bridge, edges)
-    signals = {"bm25": words, "temporal": passed, "graph": graph}
+    signals = {"bm25": words, "temporal": stored(passed, "temporal"), "graph": stored(graph, "graph")}
     if vectors is not None and "embedding" in queries.columns:
-        signals["semantic"] = semantic(vectors, queries)
+        signals["semantic"] = stored(semantic(vectors, queries), "semantic")
     top = rerank(activated(fuse(list(signals.values())), memories, now), now)
     return {**signals, "ranked": top, "kept": trim(top, budget)}

@@ -1,8 +1,9 @@
 """Tables on disk: YAML documents in, versioned Parquet in and out, packs.
 
-A table is a folder of versions; a commit writes version N + 1 and fails if another writer has
-it already, so readers never see a half-written table and no lock is held while data is
-written.  Paths go through Hadoop's file systems, so any store that Spark reads will do.
+A table is a folder of versions.  A commit writes its rows beside them and then moves them to
+version N + 1; it fails if another writer has that already.  So readers never see a half-written
+table, a write that fails leaves nothing in the way, and no lock is held while data is written.
+Paths go through Hadoop's file systems, so any store that Spark reads will do.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import atexit
 import json
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -21,19 +23,27 @@ from pyspark.sql.types import StructType
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir, or of our own where none is named."""
+    """A new path in the folder that the cluster names in spark.checkpoint.dir; gone when the application ends.
+
+    Where none is named, a local run takes a temporary folder; on a cluster, whose executors
+    couldn't reach that, it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="recollect-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/recollect/{name}-{uuid.uuid4().hex}"
+    own = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/recollect/{spark.sparkContext.applicationId}")
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
+    return f"{base.rstrip('/')}/recollect/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again."""
+    """df written to the shared folder and read again: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,6 +80,9 @@ def read_yaml(spark: SparkSession, path: str, schema: StructType | str, valid: s
 
 # ------------------------------------------------------------------- versions
 
+#: After so many milliseconds a claim without its version was left by a lost writer.
+STALE_MS = 600_000
+
 
 class Table:
     """A versioned table of rows with a key."""
@@ -96,13 +109,31 @@ class Table:
         return self.spark.read.parquet(f"{self.path}/v={found[-1] if version is None else version}")
 
     def commit(self, rows: DataFrame, base: int | None = None) -> int:
-        """Writes rows as the version after base (or the last one); fails if that exists."""
+        """Writes rows as the version after base (or the last one); fails if that exists.
+
+        A claim, which one writer alone can create, covers the move only; one that a lost
+        writer left is void after STALE_MS.
+        """
         found = self.versions()
         new = (base if base is not None else found[-1] if found else 0) + 1
-        fs, claim = self._fs(f"{self.path}/_claim-{new}")
-        if not fs.createNewFile(claim):
-            raise RuntimeError(f"version {new} of {self.path} is taken; merge with the latest and commit again")
-        rows.write.mode("errorifexists").parquet(f"{self.path}/v={new}")
+        fs, stage = self._fs(f"{self.path}/_stage-{uuid.uuid4().hex}")
+        claim, place = (self._fs(f"{self.path}/{n}")[1] for n in (f"_claim-{new}", f"v={new}"))
+        taken = RuntimeError(f"version {new} of {self.path} is taken; merge with the latest and commit again")
+        if new in found:
+            raise taken
+        try:
+            rows.write.mode("errorifexists").parquet(stage.toString())
+            if fs.exists(claim) and not fs.exists(place) and time.time() * 1000 - fs.getFileStatus(claim).getModificationTime() > STALE_MS:
+                fs.delete(claim, False)
+            if fs.exists(place) or not fs.createNewFile(claim):
+                raise taken
+            try:
+                if fs.exists(place) or not fs.rename(stage, place):
+                    raise taken
+            finally:
+                fs.delete(claim, False)
+        finally:
+            fs.delete(stage, True)
         return new
 
     def upsert(self, rows: DataFrame) -> int:
@@ -113,6 +144,20 @@ class Table:
     def remove(self, keys: DataFrame) -> int:
         return self.commit(self.read().join(keys.select(self.key), self.key, "left_anti"))
 
+    def leftovers(self) -> list[str]:
+        """Stages and claims that no writer can still hold."""
+        fs, p = self._fs(self.path)
+        old = time.time() * 1000 - STALE_MS
+        return [s.getPath().toString() for s in (fs.listStatus(p) if fs.exists(p) else []) if s.getPath().getName().startswith(("_stage-", "_claim-")) and s.getModificationTime() < old]
+
+    def sweep(self) -> list[str]:
+        """Deletes the leftovers of lost writers."""
+        out = self.leftovers()
+        for path in out:
+            fs, p = self._fs(path)
+            fs.delete(p, True)
+        return out
+
     def vacuum(self, keep: int = 2) -> list[int]:
         """Deletes all but the last versions."""
         old = self.versions()[:-keep]

@@ -70,10 +70,51 @@ def session_stream(events: DataFrame, gap: str = "2 hours", delay: str = "1 hour
     return e.groupBy(s.alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), "n")
 
 
-def upsert_candidates(turns: DataFrame, into: str, name: str):
-    """A query that writes the candidates of each micro-batch as one append; repeats of a batch overwrite it."""
+def neighbour_stream(left: DataFrame, right: DataFrame, by: str, hours: float = 2.0, delay: str = "1 hour") -> DataFrame:
+    """(src, dst, weight): rows (id, ts, by) of two streams with the same `by`, at most `hours` apart, each pair once.
+
+    An interval join: the watermarks on both sides bound what either keeps.
+    """
+    span = F.expr(f"interval {int(hours * 3600)} seconds")
+    a = left.select(F.col("id").alias("src"), F.col("ts").cast("timestamp").alias("t1"), F.col(by).alias("g1")).withWatermark("t1", delay)
+    b = right.select(F.col("id").alias("dst"), F.col("ts").cast("timestamp").alias("t2"), F.col(by).alias("g2")).withWatermark("t2", delay)
+    near = a.join(b, (F.col("g1") == F.col("g2")) & (F.col("src") < F.col("dst")) & (F.col("t2") >= F.col("t1") - span) & (F.col("t2") <= F.col("t1") + span))
+    apart = F.abs(F.unix_micros("t1") - F.unix_micros("t2")) / (hours * 3.6e9)
+    return near.select("src", "dst", F.round(1 - apart, 6).alias("weight"))
+
+
+def triggered(writer, interval: str | None):
+    """A writer that runs once over what is there, or every `interval` (which also spaces repeated work)."""
+    return writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)
+
+
+def upsert_candidates(turns: DataFrame, into: str, interval: str | None = None):
+    """A query that writes the candidates of each micro-batch as one append; repeats of a batch overwrite it.
+
+    Its state lies beside its output, so a query that starts again goes on where it stopped.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         candidates(batch, ["conv_id", "turn"]).write.mode("overwrite").parquet(f"{into}/batch={number}")
 
-    return turns.where("role = 'user'").writeStream.foreachBatch(write).option("checkpointLocation", scratch(turns.sparkSession, name)).trigger(availableNow=True).start()
+    writer = turns.where("role = 'user'").writeStream.foreachBatch(write).option("checkpointLocation", f"{into}/_state")
+    return triggered(writer, interval).start()
+
+
+def serve(turns: DataFrame, engine, state: str, every: int = 20, interval: str | None = None):
+    """A query by which an engine learns from a stream of turns, one micro-batch after the other.
+
+    A batch that the engine has seen is left out when it comes again.  After `every` learned
+    statements the engine maintains its graph.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        if engine.has_seen(state, number):
+            return
+        done = engine.learn(batch)
+        engine.note_batch(state, number, done["added"])
+        if engine.learned_since_maintenance() >= every:
+            engine.maintain("light")
+
+    writer = turns.where("role = 'user'").writeStream.foreachBatch(write).option("checkpointLocation", state)
+    return triggered(writer, interval).start()

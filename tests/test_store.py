@@ -28,3 +28,40 @@ def test_pack_round_trip(spark, tmp_path):
     S.export_pack({"memories": rows}, f"file://{tmp_path}/pack")
     fresh, counts = S.import_pack(spark, f"file://{tmp_path}/pack", "memories", rows.where("id = 1"))
     assert [tuple(r) for r in fresh.collect()] == [(2, "b")] and tuple(counts.first()) == (2, 1)
+
+
+def test_a_failed_write_leaves_nothing_in_the_way(spark, tmp_path):
+    t = S.Table(spark, f"file://{tmp_path}/t")
+    rows = spark.createDataFrame([(1, "a")], "id long, v string")
+    t.commit(rows)
+    with pytest.raises(Exception):  # noqa: B017
+        t.commit(rows.selectExpr("id", "raise_error('lost') AS v"))
+    assert t.versions() == [1] and t.commit(rows) == 2 and t.leftovers() == []
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    t = S.Table(spark, f"file://{tmp_path}/t")
+    t.commit(spark.createDataFrame([(0, "a")], "id long, v string"))
+
+    def write(i):
+        try:
+            return t.commit(spark.createDataFrame([(i, "w")], "id long, v string"), base=1)
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(write, range(4)))
+    assert sorted(g for g in got if g) == [2] and t.versions() == [1, 2] and t.read().count() == 1
+
+
+def test_claims_of_lost_writers_expire(spark, tmp_path, monkeypatch):
+    t = S.Table(spark, f"file://{tmp_path}/t")
+    rows = spark.createDataFrame([(1, "a")], "id long, v string")
+    t.commit(rows)
+    (tmp_path / "t" / "_claim-2").write_text("")
+    with pytest.raises(RuntimeError):
+        t.commit(rows)
+    monkeypatch.setattr(S, "STALE_MS", -1)
+    assert t.commit(rows) == 2
