@@ -6,6 +6,7 @@ batch.  Ties end by the id, scores are rounded before they rank.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,31 +43,65 @@ def near(rows: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(rows) if is_small(rows, most) else rows
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 30) -> DataFrame:
+def counted(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """(id, dl, hits) of docs (id, text): length in tokens, and how often each token (of words, or any) stands in it."""
+    held = docs.select("id", X.tokens("text").alias("ts")).select("id", "ts", F.size("ts").alias("dl"))
+    if words is not None:
+        held = held.select("id", "dl", F.filter("ts", lambda t: t.isin(words)).alias("ts"))
+    one = F.transform(F.array_distinct("ts"), lambda t: F.struct(t.alias("token"), (F.size("ts") - F.size(F.array_remove("ts", t))).alias("tf")))
+    return held.select("id", "dl", one.alias("hits"))
+
+
+#: Parts that an index's tokens are dealt into.
+PARTS = 64
+
+
+def part_of(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(PARTS)).cast("int")
+
+
+def write_index(docs: DataFrame, path: str) -> None:
+    """Writes an index of docs (id, text): lengths, and postings by part of their token, sorted, so that a query reads few."""
+    lengths = docs.select("id", X.tokens("text").alias("ts")).select("id", F.size("ts").alias("dl"), F.explode_outer("ts").alias("token"))
+    tf = lengths.groupBy("id", "dl", "token").agg(F.count("token").alias("tf")).withColumn("part", F.coalesce(part_of(F.col("token")), F.lit(-1)))
+    none = tf.groupBy("id", "dl").agg(F.lit(None).cast("string").alias("token"), F.lit(0).cast("long").alias("tf")).withColumn("part", F.lit(-1))
+    every = tf.where("token is not null").unionByName(none)
+    every.repartition("part").sortWithinPartitions("part", "token").write.partitionBy("part").option("compression", "zstd").parquet(path)
+
+
+def read_index(spark, path: str) -> DataFrame:
+    """(id, dl, token, tf, part): postings, and in part -1 a row a document."""
+    return spark.read.parquet(path)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 30, index: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank) of docs (id, text) for queries (query_id, query).
 
     A token that a query repeats counts as often; empty documents count in the mean length.
-    Texts are read once: each document goes on with its length and those of its tokens that
-    some query has.  Up to SMALL such tokens are looked up in place, more by a join.
+    Texts are read once: each document leaves its length and how often it holds the queries'
+    tokens, and all else follows from these.  Up to SMALL tokens are looked up in place, more by
+    a join.  index: of `read_index`; then no text is read, and docs (id) only say which count.
     """
     wanted = queries.select("query_id", F.explode(X.tokens("query")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     words = [r[0] for r in wanted.select("token").distinct().limit(SMALL + 1).collect()]
     few = len(words) <= SMALL
-    held = docs.select("id", X.tokens("text").alias("ts")).select("id", "ts", F.size("ts").alias("dl"))
-    if few:
-        held = held.select("id", "dl", F.filter("ts", lambda t: t.isin(words)).alias("ts"))
-    # a null token stands for the document itself, for the number and the mean length of all
-    one = held.select("id", "dl", F.explode(F.concat("ts", F.array(F.lit(None).cast("string")))).alias("token"))
+    if index is None:
+        held = stored(counted(docs, words if few else None), "postings")
+        found, sizes = held.select("id", "dl", F.explode("hits").alias("h")).select("id", "dl", "h.*"), held
+    else:
+        parts = sorted(r[0] for r in wanted.select(part_of(F.col("token"))).distinct().collect())
+        ids = docs.select("id")
+        found = index.where(F.col("part").isin(parts))
+        found = (found.where(F.col("token").isin(words)) if few else found).join(ids, "id", "left_semi").select("id", "dl", "token", "tf")
+        sizes = index.where("part = -1").join(ids, "id", "left_semi")
     if not few:
-        one = one.join(wanted.select("token").distinct().union(one.sparkSession.createDataFrame([(None,)], "token string")).withColumnRenamed("token", "w"), F.col("token").eqNullSafe(F.col("w")), "left_semi")
-    tf = one.groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
-    size = tf.where("token is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
-    small = F.broadcast if few else (lambda df: df)
-    found = tf.where("token is not null")
-    df = small(found.groupBy("token").agg(F.count("*").alias("df")))
+        found = found.join(wanted.select("token").distinct(), "token", "left_semi")
+    size = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * F.col("dl") / F.col("avgdl")))
-    scores = found.join(df, "token").join(near(wanted), "token").join(F.broadcast(size)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    df = found.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(size)).select("token", idf.alias("idf"), "avgdl")
+    terms = near(stored(df.join(wanted, "token"), "terms"))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * F.col("dl") / F.col("avgdl")))
+    scores = found.join(terms, "token").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scores.where("score > 0"), k)
 
 
@@ -126,7 +161,7 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int = 3, fade: float = 0.
     Each round passes score * weight * fade on, if that is `least` or more; the first to reach
     an id, by the order in which ids came and then of edges, keeps it.
     """
-    reached = seeds.select("query_id", "id", "score", F.struct(F.lit(0).alias("round"), F.col("rank").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("came"))
+    reached = stored(seeds.select("query_id", "id", "score", F.struct(F.lit(0).alias("round"), F.col("rank").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("came")), "front")
     front = reached
     for i in range(1, rounds + 1):
         passed = F.round(F.col("score") * F.col("weight") * fade, 6)
@@ -135,14 +170,17 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int = 3, fade: float = 0.
         first = step.groupBy("query_id", "id").agg(F.min_by("score", F.struct("by", "ord")).alias("score"), F.min(F.struct("by", "ord")).alias("way"))
         order = Window.partitionBy("query_id").orderBy("way")
         front = first.withColumn("a", F.row_number().over(order).cast("long")).select("query_id", "id", "score", F.struct(F.lit(i).alias("round"), "a", F.lit(0).cast("long").alias("b")).alias("came"))
+        front = stored(front, "front")  # else each round would compute all before it once more
         reached = reached.union(front)
     return reached.select("query_id", "id", "score", F.col("came.round").alias("round"))
 
 
 def entity_neighbors(seeds: DataFrame, bridge: DataFrame) -> DataFrame:
     """(query_id, seed, id, shared): memories that share entities with a seed, without the seed."""
-    own = seeds.select("query_id", F.col("id").alias("seed")).join(bridge, F.col("seed") == F.col("memory_id")).select("query_id", "seed", "entity")
-    return own.join(bridge, "entity").where("memory_id <> seed").groupBy("query_id", "seed", F.col("memory_id").alias("id")).agg(F.count("*").alias("shared"))
+    s = seeds.select("query_id", F.col("id").alias("seed"))
+    held = bridge.join(near(s.select(F.col("seed").alias("memory_id")).distinct()), "memory_id", "left_semi")
+    own = stored(s.join(held.select(F.col("memory_id").alias("seed"), "entity"), "seed"), "own")
+    return near(own).join(bridge, "entity").where("memory_id <> seed").groupBy("query_id", "seed", F.col("memory_id").alias("id")).agg(F.count("*").alias("shared"))
 
 
 def links(seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -300,18 +338,35 @@ def fts_scores(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.round(best / F.col("score"), 6))
 
 
-def recall(queries: DataFrame, memories: DataFrame, bridge: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, now: datetime = X.NOW, budget: int = 2048) -> dict[str, DataFrame]:
+def recall(queries: DataFrame, memories: DataFrame, bridge: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, now: datetime = X.NOW, budget: int = 2048, index: DataFrame | None = None) -> dict[str, DataFrame]:
     """The whole query: signals, fusion, activation, ranking and trimming, for a batch of queries (query_id, query).
 
-    Gives the lists by signal, the ranked memories and the kept ones.
+    Gives the lists by signal, the ranked memories and the kept ones.  index: of the memories'
+    texts, as `read_index` gives it.
     """
+    queries = stored(queries, "queries")
     live = memories.where("status <> 'retired'")
-    words = stored(bm25(live.select("id", "text"), queries), "bm25")
-    near_time = temporal(live, queries, now)
-    passed = ranked(spread(near_time, edges.where("type in ('temporal', 'causal')").withColumn("ord", F.col("dst"))).select("query_id", "id", "score"), 30)
-    graph = graph_expansion(words.where("rank <= 10"), bridge, edges)
-    signals = {"bm25": words, "temporal": stored(passed, "temporal"), "graph": stored(graph, "graph")}
-    if vectors is not None and "embedding" in queries.columns:
-        signals["semantic"] = stored(semantic(vectors, queries), "semantic")
+
+    def by_words() -> dict[str, DataFrame]:
+        words = stored(bm25(live.select("id", "text"), queries, index=index), "bm25")
+        return {"bm25": words, "graph": stored(graph_expansion(words.where("rank <= 10"), bridge, edges), "graph")}
+
+    def by_time() -> dict[str, DataFrame]:
+        # queries that name the same day share what lies around it
+        day = queries.select("query_id", X.time_reference("query", now).alias("day")).where("day is not null")
+        days = day.select(F.unix_date("day").cast("long").alias("query_id"), F.col("day").cast("string").alias("query")).distinct()
+        near_time = temporal(live, days, now)
+        passed = ranked(spread(near_time, edges.where("type in ('temporal', 'causal')").withColumn("ord", F.col("dst"))).select("query_id", "id", "score"), 30)
+        passed = day.select("query_id", F.unix_date("day").cast("long").alias("_d")).join(passed.withColumnRenamed("query_id", "_d"), "_d").drop("_d")
+        return {"temporal": stored(passed, "temporal")}
+
+    def by_vectors() -> dict[str, DataFrame]:
+        return {"semantic": stored(semantic(vectors, queries), "semantic")}
+
+    # the signals don't wait for each other
+    ways = [by_words, by_time, *([by_vectors] if vectors is not None and "embedding" in queries.columns else [])]
+    with ThreadPoolExecutor(len(ways)) as pool:
+        found = {k: v for part in pool.map(lambda way: way(), ways) for k, v in part.items()}
+    signals = {k: found[k] for k in ("bm25", "temporal", "graph", "semantic") if k in found}
     top = rerank(activated(fuse(list(signals.values())), memories, now), now)
     return {**signals, "ranked": top, "kept": trim(top, budget)}
