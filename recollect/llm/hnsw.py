@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm.common import components, stored
 
+SINGLE = 1e-4  # more than cosines in single precision err by
 MARGIN = 0.03  # how far below the threshold a vector still leads on to others
 
 
@@ -73,34 +74,53 @@ class Graph:
             entry = self.beam(q, level, entry, 4)[0]
         return self.beam(q, down_to, entry, ef)
 
-    def near(self, q: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs of cosine >= least: the beam, then all that is linked to those found."""
-        ids, sims, seen = self.search(q, ef)
-        fq, slot = np.nonzero((sims >= least - MARGIN) & (ids >= 0))
-        fn = ids[fq, slot]
-        found = [(fq[s], fn[s]) for s in [sims[fq, slot] >= least]]
-        # of what the beam saw and dropped nothing is near, unless the beam is full of near ones
-        full = np.flatnonzero(sims[:, -1] >= least - MARGIN)
-        for i in full.tolist():
-            dropped = np.setdiff1d(np.flatnonzero(seen[i]), ids[i])
-            s = self.x[dropped] @ q[i]
-            ok = s >= least - MARGIN
-            fq, fn = np.append(fq, np.full(ok.sum(), i)), np.append(fn, dropped[ok])
-            found.append((np.full((s >= least).sum(), i), dropped[s >= least]))
-        while len(fq):
-            nb = self.adj[0][fn]
-            r = np.repeat(fq, nb.shape[1])
-            c = nb.ravel()
+    def flood(self, r: np.ndarray, c: np.ndarray, q: np.ndarray, seen: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From nodes c of queries r on along links: (query, node, cosine) of all that is `least` near; nodes MARGIN farther lead on."""
+        n, out = len(self.x), []
+        while len(r):
+            nb = self.adj[0][c]
+            r, c = np.repeat(r, nb.shape[1]), nb.ravel()
             ok = (c >= 0) & ~seen[r, c]
-            key = np.unique(r[ok].astype(np.int64) * len(self.x) + c[ok])
-            r, c = key // len(self.x), key % len(self.x)
+            key = np.unique(r[ok].astype(np.int64) * n + c[ok])
+            r, c = key // n, key % n
             seen[r, c] = True
             s = np.concatenate([np.einsum("nd,nd->n", self.x[c[i : i + 65536]], q[r[i : i + 65536]]) for i in range(0, len(r), 65536)] or [np.zeros(0, np.float32)])
-            found.append((r[s >= least], c[s >= least]))
+            hit = s >= least
+            out.append((r[hit], c[hit], s[hit]))
             go = s >= least - MARGIN
-            fq, fn = r[go], c[go]
-        key = np.unique(np.concatenate([a.astype(np.int64) * len(self.x) + b for a, b in found]))
-        return key // len(self.x), key % len(self.x)
+            r, c = r[go], c[go]
+        return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (r, c, np.zeros(0, np.float32))
+
+    def near(self, q: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node, cosine) of cosine >= least: the beam, then all that is linked to those found.
+
+        Queries whose beam is full of near nodes lie in a dense group.  One of them walks the
+        graph out to twice the angle, within which all near nodes of its near queries lie, and
+        these are compared with what it met in blocks: a group of g vectors is not walked g times.
+        """
+        ids, sims, seen = self.search(q, ef)
+        full = sims[:, -1] >= least - MARGIN
+        fq, slot = np.nonzero((sims >= least - MARGIN) & (ids >= 0) & ~full[:, None])
+        fn = ids[fq, slot]
+        sure = sims[fq, slot] >= least
+        found = [(fq[sure], fn[sure], sims[fq, slot][sure]), self.flood(fq, fn, q, seen, least)]
+        wide = 2 * least * least - 1 - MARGIN
+        left = np.flatnonzero(full)
+        while len(left):
+            own, mark = q[left[:1]], np.zeros((1, len(self.x)), dtype=bool)
+            start = ids[left[0]][ids[left[0]] >= 0].astype(np.int64)
+            mark[0, start] = True
+            around = np.concatenate([start, self.flood(np.zeros(len(start), np.int64), start, own, mark, wide)[1]])
+            mine = q[left] @ own[0] >= least
+            mine[0] = True
+            for i in range(0, int(mine.sum()), 256):
+                some = left[mine][i : i + 256]
+                for lo in range(0, len(around), 65536):
+                    s = q[some] @ self.x[around[lo : lo + 65536]].T
+                    r, c = np.nonzero(s >= least)
+                    found.append((some[r], around[lo + c], s[r, c]))
+            left = left[~mine]
+        return tuple(np.concatenate(v) for v in zip(*found, strict=True))
 
 
 def _choose(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
@@ -232,6 +252,7 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+GRAPH_BYTES = 1 << 29
 GRAPH = "dim int, shard int, graph binary"
 GRAPH_ARROW = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("graph", pa.binary())])
 
@@ -282,12 +303,15 @@ def _query(least: float, step: int = 512):
         label = np.arange(len(nodes))
         total = np.zeros(len(me), dtype=np.int64)
         for lo in range(0, len(me), step):
-            q, n = g.near(mine[lo : lo + step].astype(np.float32), least - 1e-4, ef)
-            q += lo
-            sure = np.concatenate([np.einsum("nd,nd->n", mine[q[i : i + 65536]], unit[n[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.zeros(0)]) >= least
+            q, n, s = g.near(mine[lo : lo + step].astype(np.float32), least - SINGLE, ef)
+            q = q + lo
+            # single precision errs by less than SINGLE: only what is that close to the threshold needs double
+            sure = s >= least + SINGLE
+            for at in np.array_split(np.flatnonzero(~sure), 1 + len(q) // 65536):
+                sure[at] = np.einsum("nd,nd->n", mine[q[at]], unit[n[at]]) >= least
             sure &= me[q] != rep[n]
             q, n = q[sure], n[sure]
-            np.add.at(total, q, weight[n])
+            total += np.bincount(q, weights=weight[n], minlength=len(me)).astype(np.int64)
             label = _forest(label, of_me[q], of_rep[n])
         some, tree = np.flatnonzero(total), np.flatnonzero(label != np.arange(len(nodes)))
         kind = np.repeat(np.array([0, 1], np.int32), [len(some), len(tree)])
@@ -302,7 +326,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, shard_rows: int = 200_
     Equal vectors form one class, searched once; their links to each other count.  Vectors that
     are null, empty, zero, or hold null or non-finite components, or whose key is null, link
     with nothing, nor do vectors of different length.  There are `shards` graphs, or more so
-    that each holds about `shard_rows` vectors.  Rows that repeat a key are linked each by its
+    that each holds about `shard_rows` vectors, fewer of long ones.  Rows that repeat a key are linked each by its
     own vector and then share the smallest component.
     """
     src = vectors.select(F.col(key).cast("long").alias("rep"), F.col("embedding"))
@@ -313,8 +337,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, shard_rows: int = 200_
     live = hashed.where("good")
     classes = live.groupBy("h1", "h2").agg(F.min_by("embedding", "rep").alias("embedding"), F.min("rep").alias("rep"), F.count("*").alias("weight"))
     classes = stored(classes.withColumn("dim", F.size("embedding")), "vectors")
-    n = classes.count()
-    n_shards, blocks = max(shards, math.ceil(n / shard_rows)), max(1, math.ceil(n / 8192))
+    n, dim = classes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    # a graph is one value and stays well below what a value may hold; its copies never outweigh the queries
+    n_shards = max(shards, math.ceil(n / min(shard_rows, GRAPH_BYTES // (16 * dim + 256))))
+    blocks = max(1, min(math.ceil(n / 8192), 4 * n_shards))
     dealt = classes.select("dim", "rep", "embedding", "weight", F.pmod(F.xxhash64("rep"), F.lit(n_shards)).cast("int").alias("shard"))
     graphs = stored(dealt.groupBy("dim", "shard").applyInArrow(_build(least), GRAPH), "graphs")
     cell = ["dim", "shard", "block"]
