@@ -9,6 +9,10 @@ keeps such a column asks for another name (`fresh`).
 from __future__ import annotations
 
 import math
+import os
+import pickle
+import subprocess
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,8 +52,8 @@ def fresh(rows: DataFrame, name: str) -> str:
     return name
 
 
-def appended(rows: DataFrame, text: str, columns: str, judge: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
-    """rows with further columns (DDL) computed from the text column, batch by batch, in place.
+def appended(rows: DataFrame, text: str, columns: str, judge: Callable[[], Callable[[pa.Array], list]], step: int = 1000) -> DataFrame:
+    """rows with further columns (DDL) computed from the text column, `step` rows at a time, in place.
 
     judge() makes, once a task, the function from a text column to the new arrays.  Columns of
     rows under the new names go.
@@ -62,15 +66,31 @@ def appended(rows: DataFrame, text: str, columns: str, judge: Callable[[], Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = judge()
-        for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.slice(lo, 1000)
-                new = of(part.column(part.schema.get_field_index(text)))
-                yield pa.record_batch([*part.columns, *new], names=[*part.schema.names, *names])
+        for part in pieces_of(batches, step):
+            new = of(part.column(part.schema.get_field_index(text)))
+            yield pa.record_batch([*part.columns, *new], names=[*part.schema.names, *names])
 
     return rows.mapInArrow(run, schema)
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], step: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of `step` rows at most, whatever the session's batch size."""
+    for batch in batches:
+        for lo in range(0, len(batch), step):
+            yield batch.slice(lo, step)
+
+
+def apart(function: Callable, *args):
+    """What a module's function gives, called in a process of its own, whose memory goes with it.
+
+    For work in a task that needs much memory once: Python workers are used again and keep theirs.
+    """
+    code = "import pickle, sys; f, a = pickle.load(sys.stdin.buffer); pickle.dump(f(*a), sys.stdout.buffer)"
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if p)}
+    done = subprocess.run([sys.executable, "-c", code], input=pickle.dumps((function, args)), stdout=subprocess.PIPE, env=env, check=True)
+    return pickle.loads(done.stdout)
+
+
 # ---------------------------------------------------------------------- bytes
 
 
@@ -128,7 +148,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def _slices(off: np.ndarray, most: int = 1 << 20):
+def _slices(off: np.ndarray, most: int = 1 << 19):
     """Runs of whole rows of about `most` bytes."""
     i, n = 0, len(off) - 1
     while i < n:

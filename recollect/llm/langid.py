@@ -52,7 +52,7 @@ def automaton(codes: list[int], classes: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.full((len(step), classes), -1, dtype=np.int64)
+    table = np.full((len(step), classes), -1, dtype=np.int32)
     for s, d in enumerate(step):
         table[s, list(d)] = list(d.values())
     return table
@@ -96,7 +96,8 @@ class LanguageModel:
             miss[:, BREAK] = False
             if root[BREAK] >= 0:
                 to[root[BREAK], BREAK] = root[BREAK]
-            parts.append(((to * classes + base) * 2 + miss).ravel())
+            kind = np.int32 if 2 * (base + t.size) < 1 << 31 else np.int64
+            parts.append(((to.astype(kind) * kind(classes) + kind(base)) * kind(2) + miss).ravel())
             roots.append(base)
             base += t.size
             self.bits.append(np.log2(max(2, len(codes))))
@@ -162,13 +163,13 @@ class LanguageModel:
         return [self.langs[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _kept(samples: tuple[tuple[str, str], ...]) -> LanguageModel:
     """The model of samples, one a worker."""
     return LanguageModel(dict(samples))
 
 
-def train(docs: DataFrame, rows: int = 16) -> LanguageModel:
+def train(docs: DataFrame, rows: int = 8) -> LanguageModel:
     """A model of the labelled rows of docs (doc_id, text, lang) outside the held-out quarter.
 
     Bounded sample: at most `rows` distinct texts a language, in hash order, whole; lines that

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import LOWER, LOWER_2, U, components, mix, stored, windows, word_hashes
+from recollect.llm.common import LOWER, LOWER_2, U, components, mix, pieces_of, stored, windows, word_hashes
 
 PERMUTATIONS, ROWS = 48, 4
 _A = np.random.default_rng(7).integers(1, 1 << 63, PERMUTATIONS, dtype=U) | U(1)
@@ -76,7 +76,7 @@ def _fingerprints(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches):
             flat, first = shingles(batch["text"], k)
             sizes, fp1, fp2 = _fingerprints(flat, first)
             some = np.flatnonzero(sizes)
@@ -96,7 +96,7 @@ def _sign(k: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches):
             own = _class_id(*_fingerprints(*shingles(batch["text"], k))[::-1])
             flat, first = shingles(batch["text"], k, LOWER_2)
             yield pa.record_batch([pa.array(own), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat.view(np.int64)))], names=["class", "set"])

@@ -4,10 +4,13 @@ Pieces and their scores are read from a model file; a path's score is the sum of
 Encoding keeps a window of back pointers no longer than the longest piece and commits ids as
 soon as all paths that survive in it go through one boundary.  Where a space follows another
 character every path has a boundary, since no piece crosses it, so texts are cut there, and
-the distinct parts of a batch go through the same recursion in step.
+the distinct parts of a batch go through the same recursion in step, each committed where it
+ends.  Parts of over 256 bytes without such a place go through `Stream`, byte by byte.
 
-Nothing is normalised: spaces are the model's space sign, what no piece covers falls back to
-byte pieces, and decoding gives the text back exactly.
+Nothing is normalised, whatever the file's own settings: no prefix is added and no space
+removed, spaces are the model's space sign, what no piece covers falls back to byte pieces, and
+decoding gives the text back exactly.  Paths are chosen by the sum of scores, also in a file
+whose scores are ranks of merges.  So ids differ from those of the library's own encoder.
 """
 
 from __future__ import annotations
@@ -93,59 +96,79 @@ class Pieces:
 
 
 class Stream:
-    """Encodes bytes as they come; `window` never holds more than the longest piece's bytes beyond what is open."""
+    """Encodes bytes as they come, in time that grows with their number.
+
+    Kept are the last `longest` bytes and scores, in which every piece to come starts, and the
+    steps back since the last commit.  Each boundary carries its root, the first boundary on its
+    path from `mark` on.  Once all boundaries in the window have one root, every path alive goes
+    through it, and the ids up to there are final.  A run of one letter may never converge; its
+    steps then wait, one a byte.
+    """
 
     def __init__(self, pieces: Pieces):
         self.p = pieces
-        self.text = b""  # bytes from the last committed boundary on
-        self.best = [0.0]  # score at each boundary since then
-        self.back: list[tuple[int, int]] = [(0, -1)]  # where each best piece starts, and its id
-        self.widest = 0
+        self.sizes = [k for k in range(1, pieces.longest + 1) if pieces.lengths[k]]
+        self.widest = 0  # most bytes of text held at once
+        self._start()
+
+    def _start(self) -> None:
+        self.text, self.best, self.root = b"", [0.0], [0]  # of the window; best and root have one boundary more
+        self.steps: list[int] = []  # since the last commit: how far back, and which piece
+        self.ids: list[int] = []
+        self.mark = 0
 
     def feed(self, data: bytes) -> list[int]:
-        out: list[int] = []
+        p, longest, out = self.p, self.p.longest, []
         for b in data:
-            self.text += bytes([b])
-            n = len(self.text)
-            best, back = self.best[n - 1] + self.p.byte_score, (n - 1, int(self.p.byte_ids[b]))
-            for k in range(1, min(n, self.p.longest) + 1):
-                found = self.p.score_of.get(self.text[n - k :])
-                if found and self.best[n - k] + found[0] > best:
-                    best, back = self.best[n - k] + found[0], (n - k, found[1])
+            self.text = (self.text + bytes((b,)))[-longest:]
+            at, room = len(self.steps) + 1, min(len(self.text), len(self.best))
+            best, step, own = self.best[-1] + p.byte_score, 1, int(p.byte_ids[b])
+            for k in self.sizes:
+                if k > room:
+                    break
+                found = p.score_of.get(self.text[-k:])
+                if found and self.best[-k] + found[0] > best:
+                    best, step, own = self.best[-k] + found[0], k, found[1]
+            self.steps.append(step)
+            self.ids.append(own)
+            self.root.append(self.root[-step] if at - step >= self.mark else at)
             self.best.append(best)
-            self.back.append(back)
-            self.widest = max(self.widest, n)
-            if n > 1:
+            if len(self.best) > longest:
+                del self.best[:-longest], self.root[:-longest]
+            self.widest = max(self.widest, len(self.text))
+            if at % longest == 0:
                 out += self._commit()
         return out
 
     def _commit(self) -> list[int]:
-        """Ids up to the last boundary that every path alive goes through."""
-        n = len(self.text)
-        alive = set(range(max(0, n - self.p.longest + 1), n + 1))  # where a piece to come may start
-        while len(alive) > 1:
-            last = max(alive)
-            alive.discard(last)
-            alive.add(self.back[last][0])
-        at = alive.pop()
-        if not at:
+        """Ids up to the boundary that every path alive goes through, if there is one."""
+        at = len(self.steps)
+        to = self.root[-1]
+        if to == 0:  # no boundary is marked yet
+            self.mark = self.root[-1] = at
             return []
-        ids = self._path(at)
-        self.text, base = self.text[at:], self.best[at]
-        self.best = [x - base for x in self.best[at:]]
-        self.back = [(max(0, s - at), i) for s, i in self.back[at:]]
-        return ids
+        if at - len(self.best) + 1 < self.mark or any(r != to for r in self.root):
+            return []
+        out = self._path(to)
+        del self.steps[:to], self.ids[:to]
+        base = self.best[-1]
+        self.best = [x - base for x in self.best]
+        self.mark = at - to
+        # boundaries before the committed one are behind every path
+        keep = min(len(self.best), at - to + 1)
+        self.best, self.root = self.best[-keep:], [0] * (keep - 1) + [self.mark]
+        return out
 
     def _path(self, n: int) -> list[int]:
         ids = []
         while n:
-            n, i = self.back[n]
-            ids.append(i)
+            ids.append(self.ids[n - 1])
+            n -= self.steps[n - 1]
         return ids[::-1]
 
     def end(self) -> list[int]:
-        ids = self._path(len(self.text))
-        self.text, self.best, self.back = b"", [0.0], [(0, -1)]
+        ids = self._path(len(self.steps))
+        self._start()
         return ids
 
 

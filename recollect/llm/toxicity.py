@@ -367,7 +367,7 @@ def _fitted(prior: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(t, y) for b in batches for t, y in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True)]
         rows.sort()
-        model = fit([t for t, _ in rows], np.array([y for _, y in rows], dtype=int), prior)
+        model = C.apart(fit, [t for t, _ in rows], np.array([y for _, y in rows], dtype=int), prior)
         yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     return run
@@ -398,4 +398,4 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", name: str =
     Rows, null keys and repeated ones stay as they are; equal texts get equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return C.appended(docs, text, f"{name} double", lambda: lambda column: [pa.array(shared.value.scores(column), pa.float64())])
+    return C.appended(docs, text, f"{name} double", lambda: lambda column: [pa.array(shared.value.scores(column), pa.float64())], 256)

@@ -133,6 +133,21 @@ def test_stream_commits_within_a_window():
     assert len(early) > 100 and stream.widest < 4 * p.longest
 
 
+def test_stream_takes_time_by_the_byte():
+    import time
+
+    p = S.pieces(MODEL)
+    began = time.perf_counter()
+    for text in (b"x" * 100_000, b"thandering" * 10_000):
+        stream = S.Stream(p)
+        ids = stream.feed(text) + stream.end()
+        assert S.decode_ids(p, np.array(ids)).tobytes() == text and stream.widest <= p.longest
+    assert time.perf_counter() - began < 20
+    few = S.Stream(p)
+    few.feed(b"thandering" * 10_000)
+    assert len(few.steps) < 20 * p.longest
+
+
 def test_encode_and_decode_tables(spark):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)] + [(None, "x", 1)], "doc_id long, text string, ids int")
     enc = S.encode(docs, MODEL)
