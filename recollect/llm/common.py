@@ -33,10 +33,9 @@ U = np.uint64
 # --------------------------------------------------------------------- Spark
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size of df's input; it only sizes partitions, never selects rows."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 55 else 1 << 27
+def text_bytes_of(docs: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts of docs, counted: it sizes partitions alike however the rows are stored."""
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
 def crc_of_id(column: str = "doc_id") -> Column:
@@ -249,9 +248,14 @@ def unpack(blob) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=U)
 
 
-def chunk_count(docs: DataFrame, chunk_mb: int = 8) -> int:
-    """Chunks of about chunk_mb MB of text, taking stored text as half as large as plain."""
-    return max(1, math.ceil(2 * plan_bytes(docs) / (chunk_mb * 1e6)))
+def chunk_count(docs: DataFrame, least_mb: float = 8, most_mb: float = 32) -> int:
+    """Chunks of 8 MB of text, of up to 32 MB where there is much of it.
+
+    Blobs are chunks times buckets, and buckets as many as chunks, so that none holds more than
+    about a chunk's keys; chunks that grow with the root of the input keep the blobs from shrinking.
+    """
+    mb = text_bytes_of(docs) / 1e6
+    return max(1, math.ceil(mb / min(most_mb, max(least_mb, math.sqrt(mb) / 16))))
 
 
 def chunked(docs: DataFrame, n: int, *columns: Column | str) -> DataFrame:
@@ -260,7 +264,7 @@ def chunked(docs: DataFrame, n: int, *columns: Column | str) -> DataFrame:
 
 
 def bucket_bits(n: int) -> int:
-    return min(16, max(3, math.ceil(math.log2(n + 1))))
+    return min(24, max(3, math.ceil(math.log2(n + 1))))
 
 
 def sends(chunk: int, keys: np.ndarray, vals: np.ndarray, bits: int, base: int = 0) -> list[tuple]:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm.common import pieces_of, stored
+
 #: WAVE format tags, and the telephone sampling rate.
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
 TAGS = {"pcm": PCM, "alaw": ALAW, "mulaw": MULAW, "adpcm": ADPCM}
@@ -157,51 +159,62 @@ def feature(tag: int, pcm: np.ndarray, up: int) -> str:
 RESULT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def store_texts(docs: DataFrame, codec: str = "mulaw", up: int = 2, with_media: bool = False) -> DataFrame:
-    """doc_id and RESULT for each row of docs (doc_id, text); with_media adds the stored file.
-
-    The payload is stored as codec's 8-bit codes (or ADPCM blocks) and all further columns come
-    from what is read back: features are those of the samples that it expands to, at `up` times
-    the rate, and of the same bytes taken as A-law and as ADPCM blocks.  Null text is empty
-    text: one payload of 64 zeros.  Null and repeated ids stay as they are.
-    """
+def media_column(docs: DataFrame, codec: str = "mulaw") -> DataFrame:
+    """doc_id, n_bytes and media, a WAVE file of the text's payload as codec's units, of each row of docs (doc_id, text)."""
     tag = TAGS[codec]
-    names = ["doc_id", *(c.split()[0] for c in RESULT.split(", ")), *(["media"] if with_media else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                sizes, files, read = [], [], []
-                for t in part["text"].to_pylist():
-                    n, payload = payload_of(t)
-                    sizes.append(n)
-                    files.append(wave(payload, tag))
-                    read.append(read_wave(files[-1]))
-                blocks = np.concatenate([np.frombuffer(a.payload, np.uint8).reshape(-1, BLOCK) for a in read])
-                adpcm = decode_adpcm(blocks)
-                ends = np.cumsum([len(a.payload) // BLOCK for a in read])
-                features = []
-                for a, end in zip(read, ends.tolist(), strict=True):
-                    steps = adpcm[end - len(a.payload) // BLOCK : end].ravel()
-                    other = A if tag == MULAW else MU
-                    own = steps if tag == ADPCM else a.pcm()
-                    more = [f"{ALAW if tag == MULAW else MULAW}:{zlib.crc32(other[np.frombuffer(a.payload, np.uint8)].tobytes()):08x}", f"{ADPCM}:{zlib.crc32(steps.tobytes()):08x}"]
-                    features.append(";".join([feature(tag, own, up), *more]))
-                columns = [
-                    part["doc_id"],
-                    pa.array(sizes, pa.int64()),
-                    pa.array([len(a.payload) for a in read], pa.int64()),
-                    pa.array([hashlib.sha256(a.payload).hexdigest() for a in read], pa.string()),
-                    pa.array([zlib.crc32(a.payload[-64:]) for a in read], pa.int64()),
-                    pa.array([len(f) for f in files], pa.int64()),
-                    pa.array([hashlib.sha256(f).hexdigest() for f in files], pa.string()),
-                    pa.array(features, pa.string()),
-                ]
-                yield pa.record_batch(columns + ([pa.array(files, pa.binary())] if with_media else []), names=names)
+        for part in pieces_of(batches, 256):
+            held = [payload_of(t) for t in part["text"].to_pylist()]
+            yield pa.record_batch([part["doc_id"], pa.array([n for n, _ in held], pa.int64()), pa.array([wave(p, tag) for _, p in held], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, f"doc_id {src.schema[0].dataType.simpleString()}, {RESULT}" + (", media binary" if with_media else ""))
+    return src.mapInArrow(run, f"doc_id {src.schema[0].dataType.simpleString()}, n_bytes long, media binary")
+
+
+def read_media(files: DataFrame, up: int = 2, with_media: bool = False) -> DataFrame:
+    """doc_id and RESULT of each row of `media_column`, all from the bytes of its file; with_media keeps that."""
+    names = ["doc_id", *(c.split()[0] for c in RESULT.split(", ")), *(["media"] if with_media else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces_of(batches, 256):
+            data = part["media"].to_pylist()
+            read = [read_wave(f) for f in data]
+            blocks = np.concatenate([np.frombuffer(a.payload, np.uint8).reshape(-1, BLOCK) for a in read] or [np.zeros((0, BLOCK), np.uint8)])
+            adpcm = decode_adpcm(blocks)
+            ends = np.cumsum([len(a.payload) // BLOCK for a in read], dtype=np.int64)
+            features = []
+            for a, end in zip(read, ends.tolist(), strict=True):
+                steps = adpcm[end - len(a.payload) // BLOCK : end].ravel()
+                other = A if a.tag == MULAW else MU
+                own = steps if a.tag == ADPCM else a.pcm()
+                more = [f"{ALAW if a.tag == MULAW else MULAW}:{zlib.crc32(other[np.frombuffer(a.payload, np.uint8)].tobytes()):08x}", f"{ADPCM}:{zlib.crc32(steps.tobytes()):08x}"]
+                features.append(";".join([feature(a.tag, own, up), *more]))
+            columns = [
+                part["doc_id"],
+                part["n_bytes"],
+                pa.array([len(a.payload) for a in read], pa.int64()),
+                pa.array([hashlib.sha256(a.payload).hexdigest() for a in read], pa.string()),
+                pa.array([zlib.crc32(a.payload[-64:]) for a in read], pa.int64()),
+                pa.array([len(f) for f in data], pa.int64()),
+                pa.array([hashlib.sha256(f).hexdigest() for f in data], pa.string()),
+                pa.array(features, pa.string()),
+            ]
+            yield pa.record_batch(columns + ([part["media"]] if with_media else []), names=names)
+
+    return files.mapInArrow(run, f"doc_id {files.schema['doc_id'].dataType.simpleString()}, {RESULT}" + (", media binary" if with_media else ""))
+
+
+def store_texts(docs: DataFrame, codec: str = "mulaw", up: int = 2, with_media: bool = False) -> DataFrame:
+    """doc_id and RESULT for each row of docs (doc_id, text); with_media adds the stored file.
+
+    The payload is written as a column of files of codec's 8-bit codes (or ADPCM blocks), and
+    all further columns come from that column read again: features are those of the samples
+    that it expands to, at `up` times the rate, and of the same bytes taken as A-law and as
+    ADPCM blocks.  Null text is empty text: one payload of 64 zeros.  Null and repeated ids stay
+    as they are; a text of any length is one file; an empty table gives an empty result.
+    """
+    return read_media(stored(media_column(docs, codec), "media"), up, with_media)
 
 
 def decode_audio(files: DataFrame, media: str = "media", key: str = "doc_id", rate: int = 16_000) -> DataFrame:
