@@ -27,7 +27,7 @@ Run = tuple[int, int, int, int, int]  # length, first rank, count, first sequenc
 def plan(counts: dict[int, int], size: int) -> list[Run]:
     """Runs of pieces of one length: piece first + i goes to sequence seq + i, at offset.
 
-    The number of runs depends on `size` alone: each step but the last ones uses up a length.
+    The number of runs depends on `size` alone: each step uses up a length or a kind of sequence.
     """
     left = np.zeros(size + 1, dtype=np.int64)
     for n, c in counts.items():
@@ -88,15 +88,30 @@ def plan(counts: dict[int, int], size: int) -> list[Run]:
             if not copies:
                 break
             place([n, *fill], copies)
-    while left.any():  # best fit: the longest piece left, then always the longest that fits
-        bin_, gap = [], size
-        while True:
-            fits = [n for n in np.flatnonzero(left[: gap + 1])[::-1].tolist() if left[n] > bin_.count(n)]
-            if not fits:
-                break
-            bin_.append(fits[0])
-            gap -= fits[0]
-        place(bin_, max(1, most(bin_)))
+    # best fit of what is left, longest first: into the fullest sequences that still have room
+    room: dict[int, list[tuple[int, int]]] = {}  # sequences (first, how many) by the room they have
+
+    def put(n: int, seq: int, copies: int, free: int) -> None:
+        runs.append((n, int(used[n]), copies, seq, size - free))
+        used[n] += copies
+        left[n] -= copies
+        if free > n:
+            room.setdefault(free - n, []).append((seq, copies))
+
+    for n in range(size - 1, 0, -1):
+        while left[n]:
+            fits = [free for free, some in room.items() if free >= n and some]
+            if fits:
+                free = min(fits)
+                seq, many = room[free].pop()
+                copies = min(many, int(left[n]))
+                if many > copies:
+                    room[free].append((seq + copies, many - copies))
+                put(n, seq, copies, free)
+            else:
+                fresh = -(-int(left[n]) // (size // n))
+                put(n, state["seq"], fresh, size)
+                state["seq"] += fresh
     return runs
 
 
