@@ -216,7 +216,7 @@ def windows(h: np.ndarray, first: np.ndarray, k: int, seed: int = 0) -> tuple[np
     room = np.repeat(first[1:], np.diff(first)) - np.arange(n) >= k
     out = np.full(n, U(seed * 2 + 1), dtype=U)
     step = mix(np.arange(1, k + 1, dtype=U) * U(_BASE) + U(seed)) | U(1)
-    for i in range(k):
+    for i in range(min(k, n)):
         out[: n - i] += h[i:] * step[i]
     return mix(out), room
 

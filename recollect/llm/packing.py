@@ -179,7 +179,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end: int = 2, salt_r
     """PIECES, then sequence_id and offset, of the pieces of all rows of docs (doc_id, text).
 
     Null and empty text: one piece of the end id.  Null and repeated ids are packed like any
-    row.  Pieces of a length are ranked within salts of about `salt_rows` rows and salts are
+    row.  A text of any length is cut whole; an empty table gives an empty result.  Pieces of a length are ranked within salts of about `salt_rows` rows and salts are
     added up, so a length that most documents share is not ranked in one task.
     """
     pieces = stored(cut(docs, tokenizer, size, end), "pieces")

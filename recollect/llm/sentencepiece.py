@@ -308,7 +308,11 @@ DIGEST = "n_bytes long, n_ids long, ids_crc32 long, round_trip boolean"
 
 
 def digest(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id and DIGEST of each row: its ids, and whether decoding them gives its bytes back.  Null text is empty."""
+    """doc_id and DIGEST of each row: its ids, and whether decoding them gives its bytes back.
+
+    Null and empty text have no ids.  Null and repeated ids stay; equal texts get equal values.  A
+    text of any length is encoded whole; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
