@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: five stages, each on all that the one before it kept."""
+"""A training corpus from raw documents: five stages, each on all that the one before it kept.
+
+All stages take null and repeated ids, null, empty and very long texts and further columns of any
+name; an empty table gives an empty result.  Rows that repeat an id are judged each by its text,
+but for near-duplicates, where an id goes if none of its rows is kept.
+"""
 
 from __future__ import annotations
 
@@ -49,7 +54,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of SEQUENCE tokens."""
+    """The documents' pieces in sequences of SEQUENCE tokens; null and empty texts are the end token alone."""
     import public_tokenizers
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
