@@ -68,6 +68,20 @@ class Config:
             out |= {k: known[k](v) for k, v in o.items()}
         return Config(**out)
 
+    @staticmethod
+    def keys() -> list[str]:
+        return [f.name for f in fields(Config)]
+
+    @staticmethod
+    def resolved(file: str | None = None, env: dict[str, str] | None = None, prefix: str = "RECOLLECT_", **given) -> Config:
+        """Defaults, then a JSON file's settings, then those of an environment under a prefix, then what is given."""
+        said = {}
+        if file:
+            with open(file, encoding="utf-8") as f:
+                said = json.load(f)
+        named = {k[len(prefix) :].lower(): v for k, v in (env or {}).items() if k.startswith(prefix)}
+        return Config().merged(said, {k: v for k, v in named.items() if k in Config.keys()}, given)
+
 
 class Engine:
     """Plans over the store's tables; every step takes `now`, so results can be repeated.
@@ -86,6 +100,15 @@ class Engine:
     def read(self, name: str) -> DataFrame:
         return self.table(name).read()
 
+    def configure(self, now: datetime = X.NOW, reset: bool = False, **changes) -> Config:
+        """The store's own settings, changed or reset and kept; unknown names are an error."""
+        kept = self.read("state").where("name = 'config'").orderBy(F.desc("at")).select("detail").limit(1).collect()
+        own = {} if reset or not kept else json.loads(kept[0]["detail"])
+        self.config = Config().merged(own, changes)
+        if changes or reset:
+            self.table("state").commit(self.read("state").where("name <> 'config'").unionByName(self.rows(SCHEMAS["state"], ("config", now, json.dumps(own | changes)))))
+        return self.config
+
     # ------------------------------------------------------------ set-up, schema
 
     def setup(self) -> list[str]:

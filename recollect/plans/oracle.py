@@ -378,4 +378,5 @@ SELECT id, name, arg_min(type, k) AS type FROM f WHERE length(name) > 2 GROUP BY
     "stream_dedup": "SELECT DISTINCT 'sha256:' || sha256(user_id || '|' || event_type) AS hash FROM events",
     "stream_learn": "SELECT conv_id, turn, 'sha256:' || sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS hash, length(trim(text)) >= 8 AND NOT regexp_matches(trim(text), '[吧吗呢啊哦？?]$') AND NOT regexp_matches(trim(text), '[,，、…]$') AS passes FROM conversations WHERE role = 'user' AND trim(text) <> ''",
     "synthetic_store": "SELECT layer, scope, count(*) AS n, round(sum(CAST(0.2 AS DOUBLE) + i % 80 / CAST(100 AS DOUBLE)), 6) AS strength FROM (SELECT i, CASE WHEN i % 20 = 0 THEN 'mental_model' WHEN i % 20 <= 3 THEN 'observation' ELSE 'raw' END AS layer, 'project:' || i % 7 AS scope FROM range(10000) t(i)) GROUP BY ALL",
+    "synthetic_edges": "SELECT i AS src, i - 1 AS dst, 'semantic' AS type, CAST(0.7 AS DOUBLE) AS weight FROM range(10000) t(i) WHERE i % 50 = 0 AND i > 0",
 }

@@ -883,3 +883,8 @@ def stream_sessions(spark, sf_dir):
 @query
 def synthetic_store(spark, sf_dir):
     return S.synthetic(spark, 10_000).groupBy("layer", "scope").agg(F.count("*").alias("n"), six(F.sum("strength")).alias("strength"))
+
+
+@query
+def synthetic_edges(spark, sf_dir):
+    return S.synthetic_edges(spark, 10_000)

@@ -14,10 +14,10 @@ import shutil
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -78,6 +78,50 @@ def read_yaml(spark: SparkSession, path: str, schema: StructType | str, valid: s
     return rows.where("_ok").drop("_ok", "json"), rows.where("not _ok").select("file", "pos", "json")
 
 
+def in_order(rows: DataFrame, hot: str) -> DataFrame:
+    """rows of read_yaml with ord: chunk files by name, then the hot file, each in its own order; repeats stay."""
+    tail = (F.col("file") == hot).cast("int")
+    return rows.withColumn("ord", F.struct(tail.alias("hot"), F.col("file"), F.col("pos")))
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(bridge, edges) of graph documents: a map of entities with their memories, and a list of edges.
+
+    A broken document gives neither.
+    """
+    entity = "struct<type:string,memory_ids:array<string>>"
+    doc, _ = read_yaml(spark, path, f"entities map<string,{entity}>, edges array<struct<`from`:string,`to`:string,type:string,weight:double>>", "entities is not null or edges is not null")
+    named = doc.select(F.explode(F.map_entries("entities")).alias("e")).select(F.explode("e.value.memory_ids").alias("memory_id"), F.col("e.key").alias("entity"), F.col("e.value.type").alias("type"))
+    edges = doc.select(F.posexplode("edges").alias("ord", "e")).select(F.col("e.from").alias("src"), F.col("e.to").alias("dst"), "e.type", "e.weight", "ord")
+    return named.distinct(), edges
+
+
+# --------------------------------------------------------------------- chunks
+
+
+def write_chunks(rows: DataFrame, path: str) -> dict[str, list[str]]:
+    """Writes rows (with a column chunk, null for the hot ones) by chunk, and only those chunks that changed.
+
+    Chunks that rows no longer have are deleted.  Gives the names of those written and deleted.
+    A chunk's mark is a sum over its rows, kept beside it in its name.
+    """
+    spark = rows.sparkSession
+    names = [c for c in rows.columns if c != "chunk"]
+    named = rows.withColumn("chunk", F.coalesce(F.lpad(F.col("chunk").cast("string"), 6, "0"), F.lit("hot")))
+    marks = named.groupBy("chunk").agg(F.concat_ws("-", F.count("*").cast("string"), F.sum(F.xxhash64(*names).cast("decimal(38,0)")).cast("string")).alias("mark"))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    have = {s.getPath().getName() for s in (fs.listStatus(root) if fs.exists(root) else [])}
+    want = {f"chunk={r['chunk']}~{r['mark']}": r["chunk"] for r in marks.collect()}
+    new = sorted(set(want) - have)
+    for name in new:
+        named.where(F.col("chunk") == want[name]).drop("chunk").write.mode("overwrite").parquet(f"{path}/{name}")
+    old = sorted(n for n in have if n.startswith("chunk=") and n not in want)
+    for name in old:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
+    return {"written": [want[n] for n in new], "deleted": [n[6:].split("~")[0] for n in old if n[6:].split("~")[0] not in want.values()]}
+
+
 # ------------------------------------------------------------------- versions
 
 #: After so many milliseconds a claim without its version was left by a lost writer.
@@ -158,6 +202,21 @@ class Table:
             fs.delete(p, True)
         return out
 
+    def update(self, change: Callable[[DataFrame], DataFrame], tries: int = 3) -> int:
+        """Commits what change makes of the latest rows; if another writer was faster, of the rows it left."""
+        for left in range(tries - 1, -1, -1):
+            base = self.versions()[-1]
+            try:
+                return self.commit(change(self.read(base)), base)
+            except RuntimeError:
+                if not left:
+                    raise
+        raise AssertionError
+
+    def rollback(self, version: int) -> int:
+        """Makes an earlier version the latest again."""
+        return self.commit(self.read(version))
+
     def vacuum(self, keep: int = 2) -> list[int]:
         """Deletes all but the last versions."""
         old = self.versions()[:-keep]
@@ -171,20 +230,37 @@ class Table:
 
 
 def export_pack(tables: dict[str, DataFrame], path: str) -> None:
-    """One JSON line a row, with its table's name: a pack that any store can take in."""
+    """One JSON line a row, with its table's name, and a line a table that counts its rows: a pack that any store can take in."""
     out = None
     for name, df in tables.items():
         rows = df.select(F.lit(name).alias("table"), F.to_json(F.struct(*df.columns)).alias("row"))
-        out = rows if out is None else out.union(rows)
+        stats = df.agg(F.count("*").alias("rows")).select(F.lit(f"stats:{name}").alias("table"), F.to_json(F.struct("rows")).alias("row"))
+        out = rows.union(stats) if out is None else out.union(rows).union(stats)
     out.write.json(path)
 
 
-def import_pack(spark: SparkSession, path: str, name: str, known: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(new rows of table `name`, counts): rows whose key is known stay out."""
-    rows = spark.read.schema("table string, row string").json(path).where(F.col("table") == name)
-    new = rows.select(F.from_json("row", known.schema).alias("r")).select("r.*")
-    fresh = new.join(known.select(key), key, "left_anti")
-    return fresh, new.agg(F.count("*").alias("seen")).join(fresh.agg(F.count("*").alias("imported")))
+def import_pack(spark: SparkSession, path: str, name: str, known: DataFrame, key: str | dict[str, str] = "id") -> tuple[DataFrame, DataFrame]:
+    """(new rows of table `name`, counts): rows whose key is known stay out.
+
+    key: a column, or one by layer with "" for all others, as raw memories go by their content
+    hash and the rest by id.  Of equal keys in the pack the first by id stays.  counts: seen,
+    imported, skipped and errors, which are lines that are no JSON.
+    """
+    rows = stored(spark.read.schema("table string, row string, broken string").option("columnNameOfCorruptRecord", "broken").json(path), "pack")
+    new = rows.where(F.col("table") == name).select(F.from_json("row", known.schema).alias("r")).select("r.*")
+    keys = {"": key} if isinstance(key, str) else key
+    parts = []
+    for layer, column in keys.items():
+        mine = F.lit(True) if layer == "" and len(keys) == 1 else F.col("layer").eqNullSafe(layer) if layer else ~F.coalesce(F.col("layer").isin(*[k for k in keys if k]), F.lit(False))
+        part = new.where(mine).join(known.select(column), column, "left_anti")
+        first = F.row_number().over(Window.partitionBy(column).orderBy(*(["id"] if "id" in known.columns else [column])))
+        parts.append(part.withColumn("_n", first).where("_n = 1").select(known.columns))
+    fresh = parts[0]
+    for p in parts[1:]:
+        fresh = fresh.unionByName(p)
+    bad = rows.agg(F.count_if(F.col("broken").isNotNull()).alias("errors"))
+    counts = new.agg(F.count("*").alias("seen")).join(fresh.agg(F.count("*").alias("imported"))).join(bad)
+    return fresh, counts.select("seen", "imported", (F.col("seen") - F.col("imported")).alias("skipped"), "errors")
 
 
 # ------------------------------------------------------------------ synthetic
@@ -204,3 +280,9 @@ def synthetic(spark: SparkSession, n: int) -> DataFrame:
         (0.2 + i % 80 / 100.0).alias("strength"),
         (1 + i % 10).alias("confidence"),
     )
+
+
+def synthetic_edges(spark: SparkSession, n: int) -> DataFrame:
+    """(src, dst, type, weight) of a synthetic store: every 50th memory leads back to the one before it."""
+    i = F.col("id")
+    return spark.range(n).where((i % 50 == 0) & (i > 0)).select(i.alias("src"), (i - 1).alias("dst"), F.lit("semantic").alias("type"), F.lit(0.7).alias("weight"))

@@ -1,7 +1,6 @@
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from recollect.engine import SCHEMAS, Config, Engine
 from recollect.sources.embedding import embedded, embedder
@@ -192,4 +191,12 @@ def test_config_precedence():
     assert c.budget == 100
     with pytest.raises(KeyError):
         Config().merged({"nope": 1})
-    assert F is not None
+
+
+def test_settings_are_kept_and_resolved(engine, tmp_path):
+    assert engine.configure(budget=77).budget == 77 and engine.configure().budget == 77 and engine.configure(reset=True).budget == 2048
+    with pytest.raises(KeyError):
+        engine.configure(nope=1)
+    (tmp_path / "c.json").write_text('{"budget": 1, "graph_batch": 2}')
+    c = Config.resolved(f"{tmp_path}/c.json", {"RECOLLECT_BUDGET": "5", "OTHER": "x"}, consolidate_batch=9)
+    assert (c.budget, c.graph_batch, c.consolidate_batch) == (5, 2, 9) and "budget" in Config.keys()

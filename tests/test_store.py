@@ -27,7 +27,60 @@ def test_pack_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     S.export_pack({"memories": rows}, f"file://{tmp_path}/pack")
     fresh, counts = S.import_pack(spark, f"file://{tmp_path}/pack", "memories", rows.where("id = 1"))
-    assert [tuple(r) for r in fresh.collect()] == [(2, "b")] and tuple(counts.first()) == (2, 1)
+    assert [tuple(r) for r in fresh.collect()] == [(2, "b")] and tuple(counts.first()) == (2, 1, 1, 0)
+    assert spark.read.json(f"file://{tmp_path}/pack").where("table = 'stats:memories'").first()["row"] == '{"rows":2}'
+
+
+def test_packs_go_by_hash_or_id_and_count_errors(spark, tmp_path):
+    ddl = "id long, layer string, hash string"
+    rows = spark.createDataFrame([(1, "raw", "x"), (2, "raw", "x"), (3, "raw", "y"), (4, "observation", "x"), (5, "observation", "z")], ddl)
+    S.export_pack({"memories": rows}, f"file://{tmp_path}/pack")
+    (tmp_path / "pack" / "more.json").write_text("no json\n")
+    known = spark.createDataFrame([(4, "observation", "q"), (9, "raw", "y")], ddl)
+    fresh, counts = S.import_pack(spark, f"file://{tmp_path}/pack", "memories", known, {"raw": "hash", "": "id"})
+    assert sorted(r["id"] for r in fresh.collect()) == [1, 5] and tuple(counts.first()) == (5, 2, 3, 1)
+
+
+def test_graph_documents(spark, tmp_path):
+    (tmp_path / "graph.yaml").write_text("entities: {api: {type: project, memory_ids: [a, b]}}\nedges:\n- {from: a, to: b, type: causal, weight: 0.5}\n- {from: b, to: a, type: causal, weight: 1}\n")
+    bridge, edges = S.read_graph(spark, f"file://{tmp_path}/graph.yaml")
+    assert sorted(map(tuple, bridge.collect())) == [("a", "api", "project"), ("b", "api", "project")]
+    assert [tuple(r) for r in edges.orderBy("ord").collect()] == [("a", "b", "causal", 0.5, 0), ("b", "a", "causal", 1.0, 1)]
+    (tmp_path / "bad.yaml").write_text(": : no")
+    assert S.read_graph(spark, f"file://{tmp_path}/bad.yaml")[0].count() == 0
+
+
+def test_chunks_come_before_the_hot_file(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name, ids in (("0001.yaml", "[{id: a}, {id: b}]"), ("0002.yaml", "[{id: c}, {id: a}]"), ("000-hot.yaml", "[{id: z}]")):
+        (tmp_path / "d" / name).write_text(ids)
+    good, _ = S.read_yaml(spark, f"file://{tmp_path}/d", "id string")
+    assert [r["id"] for r in S.in_order(good, "000-hot.yaml").orderBy("ord").collect()] == ["a", "b", "c", "a", "z"]
+
+
+def test_only_changed_chunks_are_written(spark, tmp_path):
+    path = f"file://{tmp_path}/c"
+    rows = spark.range(10).selectExpr("id", "id * 2 AS v", "CASE WHEN id < 8 THEN id div 4 END AS chunk")
+    assert S.write_chunks(rows, path) == {"written": ["000000", "000001", "hot"], "deleted": []}
+    assert S.write_chunks(rows, path) == {"written": [], "deleted": []}
+    less = rows.where("id <> 9 and chunk is null or chunk = 0")
+    assert S.write_chunks(less, path) == {"written": ["hot"], "deleted": ["000001"]}
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_updates_meet_and_versions_come_back(spark, tmp_path):
+    t = S.Table(spark, f"file://{tmp_path}/t")
+    t.commit(spark.createDataFrame([(1,)], "id long"))
+    seen = []
+
+    def change(df):
+        if not seen:  # another writer is faster once
+            seen.append(1)
+            t.commit(df.selectExpr("id + 10 AS id"))
+        return df.selectExpr("id + 100 AS id")
+
+    assert t.update(change) == 3 and [r["id"] for r in t.read().collect()] == [111]
+    assert t.rollback(1) == 4 and [r["id"] for r in t.read().collect()] == [1]
 
 
 def test_a_failed_write_leaves_nothing_in_the_way(spark, tmp_path):
