@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.functions import exprs as X
 from recollect.functions import rules as R
 
 
@@ -45,7 +46,7 @@ def index_rows(memories: DataFrame) -> DataFrame:
         F.coalesce("scope", F.lit("")).alias("scope"),
         F.coalesce("domain", F.lit("")).alias("domain"),
         F.coalesce("confidence", F.when(c("layer") == "mental_model", 8).otherwise(5)).cast("long").alias("confidence"),
-        ((c("strength") + c("storage")) / 2).alias("activation"),
+        X.activation_value("strength", "storage").alias("activation"),
         c("learned_at").alias("created_at"),
         F.when(c("layer") == "mental_model", F.coalesce(refreshed, "learned_at")).otherwise(c("learned_at")).alias("updated_at"),
     )

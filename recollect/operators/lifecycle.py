@@ -178,8 +178,9 @@ def induction_groups(memories: DataFrame, least: int = 3, sources: DataFrame | N
     few = tags.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(order))).where("_r <= 12").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "tag"))), lambda x: x["tag"]), ",").alias("tags"))
     shared = tags.where("n >= 2").groupBy("key").agg(F.count("*").alias("shared"))
     best = F.struct(F.round(-(F.col("confidence") + 0.01 * F.length("statement")), 6), "id")
+    seen = F.coalesce("learned_at", "valid_from") if "valid_from" in memories.columns else F.col("learned_at")
     kinds = [F.max(F.col("said").rlike(words)).alias(f"is_{kind}") for kind, words in R.PATTERN_KINDS]
-    out = keyed.groupBy("key").agg(F.count("*").alias("members"), F.sum("proof").alias("proof"), F.avg("confidence").alias("conf"), F.sum("weight").alias("w"), F.min("learned_at").alias("first_seen"), F.max("learned_at").alias("last_seen"), F.min_by("statement", best).alias("top"), F.min_by("scope", "id").alias("scope"), F.min_by("domain", "id").alias("domain"), F.max("strength").alias("strength"), F.max("storage").alias("storage"), F.sum("frequency").alias("frequency"), F.sum("turns").alias("turns"), *kinds)
+    out = keyed.groupBy("key").agg(F.count("*").alias("members"), F.sum("proof").alias("proof"), F.avg("confidence").alias("conf"), F.sum("weight").alias("w"), F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"), F.min_by("statement", best).alias("top"), F.min_by("scope", "id").alias("scope"), F.min_by("domain", "id").alias("domain"), F.max("strength").alias("strength"), F.max("storage").alias("storage"), F.sum("frequency").alias("frequency"), F.sum("turns").alias("turns"), *kinds)
     kind = F.lit("recurring")
     for k, _ in reversed(R.PATTERN_KINDS):
         kind = F.when(F.col(f"is_{k}"), k).otherwise(kind)

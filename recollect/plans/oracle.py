@@ -290,6 +290,7 @@ SELECT id, name, arg_min(type, k) AS type FROM f WHERE length(name) > 2 GROUP BY
     "embed_batch": "SELECT doc_id AS key, length(text) AS length, doc_id % 3 = 0 OR doc_id % 5 = 0 AS new FROM documents WHERE text IS NOT NULL",
     "decay_strength": sql(f"SELECT id, round({DECAYED}, 6) AS strength FROM mem", MEM),
     "activation_score": sql("SELECT id, round(act, 6) AS activation FROM mem", MEM),
+    "activation_values": sql("SELECT id, round((strength + storage) / 2, 6) AS value, round(least(1.0, strength + CAST(0.1 AS DOUBLE)), 6) AS touched FROM mem", MEM),
     "quality_score": sql(f"SELECT id, round({QUALITY}, 6) AS quality FROM mem", MEM),
     "confidence_decay": sql(f"SELECT id, {CONFIDENCE} AS confidence FROM mem", MEM),
     "batch_decay": sql("SELECT * FROM dm", MEM, DECAY),

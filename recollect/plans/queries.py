@@ -438,6 +438,12 @@ def activation_score(spark, sf_dir):
     return V.memories(spark, sf_dir).select("id", six(X.activation(F.col("strength"), F.col("frequency"), F.col("turns"))).alias("activation"))
 
 
+@query
+def activation_values(spark, sf_dir):
+    """The index's value of an activation, and a strength after a memory was touched."""
+    return V.memories(spark, sf_dir).select("id", six(X.activation_value("strength", "storage")).alias("value"), six(X.reactivated(F.col("strength"))).alias("touched"))
+
+
 @query
 def quality_score(spark, sf_dir):
     m = V.memories(spark, sf_dir)
