@@ -104,13 +104,15 @@ _rng = np.random.default_rng(20240131)
 
 
 def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """A random word for each byte, and the same with A to Z taken as a to z."""
-    plain = _rng.integers(1, 1 << 63, 256, dtype=U) | U(1)
+    """A random word for each byte at each of 64 places, and the same with A to Z taken as a to z."""
+    plain = _rng.integers(1, 1 << 63, (64, 256), dtype=U) | U(1)
     lower = plain.copy()
-    lower[65:91] = plain[97:123]
+    lower[:, 65:91] = plain[:, 97:123]
     return plain, lower
 
 
+#: A random word for each byte.
+SIGNS = _rng.integers(1, 1 << 63, 256, dtype=U) | U(1)
 PLAIN, LOWER = _letters()
 #: A second, independent pair: what confirms a match must not err where the first one does.
 PLAIN_2, LOWER_2 = _letters()
@@ -171,7 +173,7 @@ def spans(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = PLAIN) -> np.ndarray:
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = SIGNS) -> np.ndarray:
     """64-bit hashes of byte spans that may overlap, by prefix sums; crafted long ones may collide."""
     if not len(starts):
         return np.zeros(0, U)
@@ -184,16 +186,22 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np
 def run_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
     """64-bit hashes of disjoint, non-empty byte runs in order.
 
-    Sums a mix of each byte and its place.  The mix is no polynomial, so words that cancel out in
-    prefix sums (as of `span_hashes`) don't meet here.
+    Sums a random word for each byte and its place.  That is no polynomial, so words that cancel
+    out in prefix sums (as of `span_hashes`) don't meet here.
     """
+    n = len(buf)
     if not len(starts):
         return np.zeros(0, U)
-    n = ends - starts
-    first = np.cumsum(n) - n
-    place = np.arange(int(n.sum())) - np.repeat(first, n)
-    x = mix(table[buf[place + np.repeat(starts, n)]] + place.astype(U) * U(_BASE))
-    return mix(np.add.reduceat(x, first) + n.astype(U))
+    place = np.zeros(n, dtype=np.int32)
+    place[starts] = starts
+    np.subtract(np.arange(n, dtype=np.int32), np.maximum.accumulate(place), out=place)
+    x = table.ravel().take(((place & 63) << 8) | buf)
+    if int((ends - starts).max()) > 64:
+        far = np.flatnonzero(place > 63)
+        x[far] *= mix((place[far] >> 6).astype(U)) | U(1)
+    total = np.zeros(n + 1, dtype=U)
+    np.cumsum(x, dtype=U, out=total[1:])
+    return mix(total[ends] - total[starts] + (ends - starts).astype(U))
 
 
 def word_hashes(column, table: np.ndarray = PLAIN) -> tuple[np.ndarray, np.ndarray]:

@@ -183,7 +183,7 @@ def encode_parts(p: Pieces, buf: np.ndarray, start: np.ndarray, size: np.ndarray
     first = np.concatenate(([0], np.cumsum(sz)))
     back = np.zeros(int(first[-1]), dtype=np.int16)
     total = np.zeros(len(buf) + 1, dtype=U)
-    np.cumsum(C.PLAIN[buf] * C.powers(C._BASE, len(buf))[: len(buf)], dtype=U, out=total[1:])
+    np.cumsum(C.SIGNS[buf] * C.powers(C._BASE, len(buf))[: len(buf)], dtype=U, out=total[1:])
     inverse = C.powers(C._INVERSE, len(buf) + 1)
     row = np.zeros(int(first[-1]), dtype=np.int32)
     none = len(p.ids) - 1
