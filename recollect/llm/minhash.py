@@ -169,7 +169,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, small_bucket
     buckets = stored(band.join(sizes, at_key), "buckets")
     degree = buckets.groupBy("class").agg(F.sum("size").alias("degree"))
     heads = buckets.join(degree, "class").groupBy(at_key).agg(F.max(F.struct("degree", "class")).getField("class").alias("head"))
-    pairs = buckets.join(heads, at_key).where("class != head").groupBy(F.col("class").alias("a"), F.col("head").alias("b")).agg(F.max("size").alias("size"))
+    # two classes may be each other's heads: one pair, at the head of the larger bucket
+    pairs = buckets.join(heads, at_key).where("class != head").groupBy(F.least("class", "head").alias("x"), F.greatest("class", "head").alias("y")).agg(F.max(F.struct("size", "head")).alias("at"))
+    pairs = pairs.select(F.when(F.col("x") == F.col("at.head"), F.col("y")).otherwise(F.col("x")).alias("a"), F.col("at.head").alias("b"), F.col("at.size").alias("size"))
     tested = stored(pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / block)).alias("salt")), "pairs")
     rows = src.join(buckets.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").select("text")
     sets = rows.mapInArrow(_sets(k), "class long, set array<long>").join(buckets.select("class").distinct(), "class", "left_semi")
