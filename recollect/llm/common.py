@@ -8,6 +8,7 @@ keeps such a column asks for another name (`fresh`).
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import pickle
@@ -72,11 +73,20 @@ def appended(rows: DataFrame, text: str, columns: str, judge: Callable[[], Calla
     return rows.mapInArrow(run, schema)
 
 
+def tidy() -> None:
+    """Gives memory that was freed back to the system: workers are used again, by stages that need theirs elsewhere."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pieces_of(batches: Iterator[pa.RecordBatch], step: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of `step` rows at most, whatever the session's batch size."""
     for batch in batches:
         for lo in range(0, len(batch), step):
             yield batch.slice(lo, step)
+        tidy()
 
 
 def apart(function: Callable, *args):
