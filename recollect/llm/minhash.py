@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm.common import LOWER, LOWER_2, U, components, mix, pieces_of, stored, windows, word_hashes
@@ -165,8 +165,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, small_bucket
     classes = stored(live.groupBy("class").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep")), "classes")
     at_key = ["band", "key"]
     band = classes.select("class", "rep", F.posexplode("bands").alias("band", "key"))
-    sizes = band.groupBy(at_key).agg(F.count("*").alias("size")).where("size > 1")
-    buckets = stored(band.join(sizes, at_key), "buckets")
+    # one exchange for the rows and their counts, and no table that grows is sent to every task
+    buckets = stored(band.withColumn("size", F.count("*").over(Window.partitionBy(at_key))).where("size > 1"), "buckets")
     degree = buckets.groupBy("class").agg(F.sum("size").alias("degree"))
     heads = buckets.join(degree, "class").groupBy(at_key).agg(F.max(F.struct("degree", "class")).getField("class").alias("head"))
     # two classes may be each other's heads: one pair, at the head of the larger bucket
