@@ -139,3 +139,57 @@ FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
 ORACLE_SQL = {"op7_embeddings": OP7_SQL, "op9_minhash": OP9_SQL, "op10_substrings": OP10_SQL}
+
+
+# ------------------------------------------------- shards and codes of vectors
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.codes import compress
+
+    return compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.sharding import in_shards
+
+    out = in_shards(_docs(spark, sf_dir), 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES |= {f.__name__: f for f in (op12_codes, op13_sharding)}
+
+
+def _lloyd_sql(rounds: int = 6) -> str:
+    """Rounds of assignment and floored means, a part of a vector as a list of 8ths."""
+    near = lambda i: f"""
+a{i} AS MATERIALIZED (SELECT vec_id, label, p, v, min_by(j, (d, j)) AS j, min(d) AS d FROM
+      (SELECT x.vec_id, x.label, x.p, x.v, b.j, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN b{i} b USING (p)) GROUP BY vec_id, label, p, v),"""
+    move = lambda i: f"""
+s{i} AS (SELECT p, j, k, sum(e) AS s, count(*) AS c FROM (SELECT p, j, unnest(v) AS e, unnest(range(len(v))) AS k FROM a{i - 1}) GROUP BY p, j, k),
+m{i} AS (SELECT p, j, list(CAST((s - ((s % c) + c) % c) // c AS BIGINT) ORDER BY k) AS v FROM s{i} GROUP BY p, j),
+b{i} AS MATERIALIZED (SELECT b.p, b.j, coalesce(m.v, b.v) AS v FROM b{i - 1} b LEFT JOIN m{i} m ON m.p = b.p AND m.j = b.j),"""
+    steps = near(0) + "".join(move(i) + near(i) for i in range(1, rounds + 1))
+    return f"""
+WITH g AS (SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 4096) AS BIGINT)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(embedding) % 8 = 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+x AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS v FROM g, range(8) t(p)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM g ORDER BY vec_id LIMIT 16),
+b0 AS MATERIALIZED (SELECT p, j, v FROM x JOIN f USING (vec_id)),{steps}
+h AS (SELECT sha256(string_agg(e, ',' ORDER BY p, j, k)) AS h FROM (SELECT p, j, unnest(range(len(v))) AS k, CAST(unnest(v) AS VARCHAR) AS e FROM b{rounds})),
+o AS (SELECT vec_id, label, string_agg(printf('%02x', j), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h.h AS codebooks_sha256 FROM o, h
+"""
+
+
+OP13_SQL = """
+WITH t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+b AS (SELECT doc_id, coalesce(strlen(text), 0) + 16 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: (strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1) AS bs FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bs), lambda c, x: xor(t.t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS crc FROM b, t),
+p AS (SELECT *, coalesce(sum(size) OVER w, 0) AS before, sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id NULLS LAST, size, crc) AS pos FROM c
+      WINDOW w AS (ORDER BY doc_id NULLS LAST, size, crc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, CAST((2 * before + size) * 40 // (2 * total) AS INTEGER) AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY pos) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
+ORACLE_SQL |= {"op12_codes": _lloyd_sql(), "op13_sharding": OP13_SQL}
