@@ -141,7 +141,13 @@ FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 ORACLE_SQL = {"op7_embeddings": OP7_SQL, "op9_minhash": OP9_SQL, "op10_substrings": OP10_SQL}
 
 
-# ------------------------------------------------- shards and codes of vectors
+# ----------------------------------------- phrases, codes of vectors, shards
+
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.phrases import collocations
+
+    return collocations(_docs(spark, sf_dir))
 
 
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +163,7 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES |= {f.__name__: f for f in (op12_codes, op13_sharding)}
+QUERIES |= {f.__name__: f for f in (op11_collocations, op12_codes, op13_sharding)}
 
 
 def _lloyd_sql(rounds: int = 6) -> str:
@@ -182,6 +188,23 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 """
 
 
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM w GROUP BY lang),
+o AS (SELECT lang, array_to_string(ws[i : i + k - 1], ' ') AS phrase, k FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(ws) >= k)),
+f AS MATERIALIZED (SELECT lang, phrase, k, count(*) AS f FROM o GROUP BY lang, phrase, k HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+inside AS (SELECT lang, array_to_string(ws[i : i + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, ws, k, a, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) t(m) WHERE m < k) GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+cut AS (SELECT lang, phrase, a, x, array_to_string(ws[1 : x], ' ') AS first, array_to_string(ws[x + 1 : k], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS x FROM kept)),
+s AS (SELECT cut.lang, cut.phrase, a, n, x, CAST(l.f AS HUGEINT) AS l, CAST(r.f AS HUGEINT) AS r, 1000 * CAST(a AS HUGEINT) * n // (CAST(l.f AS HUGEINT) * CAST(r.f AS HUGEINT)) AS score
+      FROM cut JOIN n USING (lang) JOIN f l ON l.lang = cut.lang AND l.phrase = cut.first JOIN f r ON r.lang = cut.lang AND r.phrase = cut.rest),
+b AS (SELECT lang, phrase, a, l, r, n, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, x) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
 OP13_SQL = """
 WITH t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
 b AS (SELECT doc_id, coalesce(strlen(text), 0) + 16 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: (strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1) AS bs FROM documents),
@@ -192,4 +215,4 @@ s AS (SELECT *, CAST((2 * before + size) * 40 // (2 * total) AS INTEGER) AS shar
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY pos) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """
 
-ORACLE_SQL |= {"op12_codes": _lloyd_sql(), "op13_sharding": OP13_SQL}
+ORACLE_SQL |= {"op11_collocations": OP11_SQL, "op12_codes": _lloyd_sql(), "op13_sharding": OP13_SQL}
