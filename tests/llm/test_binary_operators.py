@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter
@@ -69,12 +70,46 @@ def test_fast_encoder_agrees_with_the_tokenizer():
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(BPE)
-    own.encode_special_tokens = True
     encode = packing.encoder(BPE)
     for t in [t or "" for t in TEXTS] + random_texts(200):
         assert encode(t).tolist() == own.encode(t, add_special_tokens=False).ids
 
 
+def added_tokens() -> list[str]:
+    with open(BPE, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f)["added_tokens"]]
+
+
+def test_added_tokens_are_what_the_tokenizer_makes_of_them():
+    from tokenizers import Tokenizer
+
+    own, encode = Tokenizer.from_file(BPE), packing.encoder(BPE)
+    for mark in added_tokens():
+        for t in (f"a {mark} b", mark, mark * 3, f"x{mark}", f"{mark[:-1]} {mark} é"):
+            assert encode(t).tolist() == own.encode(t, add_special_tokens=False).ids
+    assert encode("a <|endoftext|> b").tolist() == own.encode("a <|endoftext|> b", add_special_tokens=False).ids
+
+
+def test_only_plain_byte_level_files_have_ranks():
+    with open(BPE, encoding="utf-8") as f:
+        model = json.load(f)
+    assert len(packing.ranks_of(model)) == len(model["model"]["vocab"]) - len([t for t in added_tokens() if t in model["model"]["vocab"]])
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}):
+        assert packing.ranks_of(model | change) is None
+    assert packing.ranks_of(model | {"model": model["model"] | {"merges": model["model"]["merges"][::-1]}}) is None
+
+
+def test_packing_of_texts_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(BPE)
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "plain")]
+    got = {r["doc_id"]: r for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), BPE).collect()}
+    for i, t in rows:
+        ids = np.array([*own.encode(t, add_special_tokens=False).ids, 2], dtype="<u4")
+        assert (got[i]["length"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_packing_on_tables(spark):
     texts = [*TEXTS, *random_texts(80), " ".join(["word"] * 400)]
     rows = [(i, t, 9) for i, t in enumerate(texts)] + [(None, "x y", 9), (3, "again", 9), (3, "again", 9)]

@@ -74,3 +74,13 @@ def test_empty_and_null_rows(spark, sf_dir):
         for name, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.stored(stage(spark, docs, sf_dir), name)
             docs.count()
+
+
+def test_packing_stage_takes_added_tokens_as_the_tokenizer_does(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "a b")], "doc_id long, text string")
+    got = {r["doc_id"]: r["length"] for r in corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()}
+    assert got == {i: len(own.encode(t, add_special_tokens=False).ids) + 1 for i, t in ((1, "a <|endoftext|> b"), (2, "a b"))}
