@@ -21,8 +21,8 @@ from recollect.llm import common as C
 from recollect.llm.common import stored
 from recollect.operators.retrieval import near
 
-#: Bytes of text of a block, keys of a segment, and keys of a range, about.
-BLOCK, SEGMENT, RANGE = 8 << 20, 512, 1 << 19
+#: Bytes of text of a block, keys of a segment, keys of a range and words of a bucket, about.
+BLOCK, SEGMENT, RANGE, BUCKET = 8 << 20, 512, 1 << 19, 1 << 18
 RESULT = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
 _BREAK = C._table(b".,;:!?\n\x0b\x0c\r")
 _APART = _BREAK | C._table(b" \t")
@@ -30,6 +30,28 @@ _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 
 
+# ------------------------------------------------------------------------- blobs
+
+
+def squeezed(a: np.ndarray) -> bytes:
+    """Rows of bytes, first bytes first, compressed: neighbours of sorted or small numbers share most of them."""
+    raw = np.ascontiguousarray(a.T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def opened(blob: bytes, width: int) -> np.ndarray:
+    raw = pa.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T)
+
+
+def numbers(a: np.ndarray, kind: str = "<u4") -> bytes:
+    return squeezed(a.astype(kind).view(np.uint8).reshape(len(a), np.dtype(kind).itemsize))
+
+
+def numbers_of(blob: bytes, kind: str = "<u4") -> np.ndarray:
+    return opened(blob, np.dtype(kind).itemsize).view(kind).ravel()
+
+
 # ------------------------------------------------------------------------ blocks
 
 
@@ -69,7 +91,7 @@ def _block(texts: pa.ChunkedArray, langs: pa.ChunkedArray) -> pa.RecordBatch:
             listed(pair // n, pa.int32()),
             pa.ListArray.from_arrays(pa.array([0, len(pair)], pa.int32()), words.dictionary.take(pa.array(pair % n)).cast(pa.string())),
             listed(count, pa.int64()),
-            pa.array([seq.tobytes()], pa.binary()),
+            pa.array([numbers(seq)], pa.binary()),
         ],
         names=["langs", "sizes", "word_lang", "words", "counts", "seq"],
     )
@@ -93,6 +115,70 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _block(t["text"], t["lang"])
 
 
+# -------------------------------------------------------------------- dictionary
+
+
+def _sent(buckets: int):
+    """A block's words, dealt into buckets."""
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("langs", pa.list_(pa.string())), ("word_lang", pa.list_(pa.int32())), ("words", pa.list_(pa.string())), ("locals", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                words, lang, counts = (batch[c].slice(i, 1).flatten() for c in ("words", "word_lang", "counts"))
+                buf, off = C.text_bytes(words)
+                bucket = (C.run_hashes(buf, off[:-1], off[1:], C.PLAIN) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                ends, at = pa.array(np.append(cuts, len(order)), pa.int32()), pa.array(order)
+                dealt = lambda a: pa.ListArray.from_arrays(ends, a)
+                langs = pa.array([batch["langs"][i].as_py()] * len(cuts), pa.list_(pa.string()))
+                own = pa.array([batch["block"][i].as_py()] * len(cuts), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts], pa.int32()), own, langs, dealt(lang.take(at)), dealt(words.take(at)), dealt(pa.array(order, pa.int32())), dealt(counts.take(at))], schema=schema)
+
+    return run
+
+
+DICTIONARY = "block long, locals binary, ids binary, langs array<string>, words array<string>, counts array<long>"
+
+
+def _known(least: int, buckets: int):
+    """A bucket's frequent words with numbers of their own (block null), and to each block those of its words that have one."""
+    schema = pa.schema([("block", pa.int64()), ("locals", pa.binary()), ("ids", pa.binary()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes, inner = (np.concatenate([np.diff(c.offsets.to_numpy()) for c in table[name].chunks]).astype(np.int64) for name in ("words", "langs"))
+        flat = lambda c: pa.concat_arrays([x.flatten() for x in table[c].chunks])
+        langs, words = flat("langs").dictionary_encode(), flat("words").dictionary_encode()
+        lang = langs.indices.to_numpy()[np.repeat(np.cumsum(inner) - inner, sizes) + flat("word_lang").to_numpy()].astype(np.int64)
+        n = max(1, len(words.dictionary))
+        pair, which = np.unique(lang * n + words.indices.to_numpy(), return_inverse=True)
+        total = np.zeros(len(pair), dtype=np.int64)
+        np.add.at(total, which, flat("counts").to_numpy())
+        often = np.flatnonzero(total >= least)
+        if not len(often):
+            return schema.empty_table()
+        ids = np.zeros(len(pair), dtype=np.int64)
+        ids[often] = np.arange(len(often)) * buckets + table["bucket"][0].as_py() + 1
+        rows = [(None, None, numbers(ids[often], "<i8"), langs.dictionary.take(pa.array(pair[often] // n)).to_pylist(), words.dictionary.take(pa.array(pair[often] % n)).to_pylist(), total[often].tolist())]
+        local, mine = flat("locals").to_numpy(), ids[which]
+        for block, e, size in zip(table["block"].to_pylist(), np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+            held = np.flatnonzero(mine[e - size : e]) + e - size
+            if len(held):
+                rows.append((block, numbers(local[held]), numbers(mine[held], "<i8"), None, None, None))
+        return C.table_of(rows, schema)
+
+    return run
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, lang, word, f) of a bucket's dictionary."""
+    for batch in batches:
+        for i in range(len(batch)):
+            ids = pa.array(numbers_of(batch["ids"][i].as_py(), "<i8"))
+            yield pa.record_batch([ids, *(batch[c].slice(i, 1).flatten() for c in ("langs", "words", "counts"))], names=["id", "lang", "word", "f"])
+
+
 # -------------------------------------------------------------------------- keys
 
 
@@ -148,15 +234,15 @@ def held_in(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
     return known[at] == asked
 
 
-SEGMENTS = "block long, middle long, keys binary, counts binary"
+SEGMENTS = "block long, size int, middle long, keys binary, counts binary"
 
 
 def _segments(block: int, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
     middle, rows = prefixes(keys), []
     for lo in range(0, len(keys), SEGMENT):
         hi = min(lo + SEGMENT, len(keys))
-        rows.append((block, int(middle[(lo + hi) // 2]), keys[lo:hi].tobytes(), counts[lo:hi].astype(np.int64).tobytes()))
-    return C.table_of(rows, pa.schema([("block", pa.int64()), ("middle", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
+        rows.append((block, hi - lo, int(middle[(lo + hi) // 2]), squeezed(keys[lo:hi]), numbers(counts[lo:hi])))
+    return C.table_of(rows, pa.schema([("block", pa.int64()), ("size", pa.int32()), ("middle", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
 
 def even(n: int) -> int:
@@ -165,9 +251,11 @@ def even(n: int) -> int:
 
 def _numbers(block: pa.Table, replies: pa.Table) -> np.ndarray:
     """The dictionary's numbers of a block's words in order; 0 ends a piece."""
-    seq = np.frombuffer(block["seq"][0].as_buffer(), dtype=np.uint32)
+    seq = numbers_of(block["seq"][0].as_py())
     known = np.zeros(int(seq.max(initial=0)) + 1, dtype=np.int64)
-    known[replies["local"].to_numpy() + 1] = replies["id"].to_numpy()
+    for local, ids in zip(replies["locals"].to_pylist(), replies["ids"].to_pylist(), strict=True):
+        if local is not None:
+            known[numbers_of(local).astype(np.int64) + 1] = numbers_of(ids, "<i8")
     return known[seq]
 
 
@@ -196,12 +284,11 @@ def _count_longer(width: int, longest: int):
         none = _segments(0, np.zeros((0, whole), np.uint8), np.zeros(0))
         if not len(blocks) or not len(replies):
             return none
-        words = replies.filter(replies["id"].is_valid())
-        g = _numbers(blocks, words)
+        g = _numbers(blocks, replies)
         at, keys = _pairs(g, width)
-        often = b"".join(replies["keys"].drop_null().to_pylist())
+        often = [opened(b, even(2 * width)) for b in replies["keys"].drop_null().to_pylist()]
         distinct, _, which = runs(keys)
-        good = held_in(distinct, np.frombuffer(often, dtype=np.uint8).reshape(-1, even(2 * width)))
+        good = held_in(distinct, np.concatenate(often) if often else keys[:0])
         pair = np.zeros(len(g) + longest, dtype=bool)
         pair[at[good[which]]] = True
         found, here = [], pair[: len(g)].copy()
@@ -223,11 +310,12 @@ def _dealt(splits: np.ndarray, whole: int):
         schema = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
         for batch in batches:
             rows = []
-            for block, blob, sums in zip(batch["block"].to_pylist(), batch["keys"], batch["counts"], strict=True):
-                keys, counts = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, whole), np.frombuffer(sums.as_buffer(), np.int64)
+            for block, blob, sums in zip(batch["block"].to_pylist(), batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                keys, counts = opened(blob, whole), numbers_of(sums)
                 of = np.searchsorted(splits, prefixes(keys), "right")
                 cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(keys)]
-                rows += [(int(of[i]), block, keys[i:j].tobytes(), counts[i:j].tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
+                one = len(cuts) == 2  # most segments lie in one range
+                rows += [(int(of[i]), block, blob if one else squeezed(keys[i:j]), sums if one else numbers(counts[i:j])) for i, j in zip(cuts, cuts[1:], strict=False)]
             yield from C.table_of(rows, schema).to_batches()
 
     return run
@@ -237,18 +325,19 @@ def _frequent(whole: int, least: int, reply: bool):
     """A range's keys that come `least` times over all blocks (block null), and to each block those of them that it holds."""
 
     def run(table: pa.Table) -> pa.Table:
-        blobs = table["keys"].to_pylist()
-        keys = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, whole)
-        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int64)
+        parts = [opened(b, whole) for b in table["keys"].to_pylist()]
+        keys = np.concatenate(parts)
+        counts = np.concatenate([numbers_of(b) for b in table["counts"].to_pylist()]).astype(np.int64)
         distinct, total, which = runs(keys, counts)
         often = total >= least
-        rows = [(None, distinct[often].tobytes(), total[often].tobytes())] if often.any() else []
+        rows = [(None, squeezed(distinct[often]), numbers(total[often], "<i8"))] if often.any() else []
         if reply and rows:
-            good, end = often[which], np.cumsum([len(b) // whole for b in blobs])
-            for block, blob, e in zip(table["block"].to_pylist(), blobs, end.tolist(), strict=True):
-                mine = slice(e - len(blob) // whole, e)
-                if good[mine].any():
-                    rows.append((block, keys[mine][good[mine]].tobytes(), None))
+            good, end = often[which], np.cumsum([len(p) for p in parts])
+            held: dict[int, list[np.ndarray]] = {}
+            for block, part, e in zip(table["block"].to_pylist(), parts, end.tolist(), strict=True):
+                if (mine := good[e - len(part) : e]).any():
+                    held.setdefault(block, []).append(part[mine])
+            rows += [(block, squeezed(np.concatenate(found)), None) for block, found in held.items()]
         return C.table_of(rows, pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     return run
@@ -259,8 +348,8 @@ def _listed(width: int, whole: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob, sums in zip(batch["keys"], batch["counts"], strict=True):
-                keys = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, whole)
+            for blob, sums in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                keys = opened(blob, whole)
                 ids = np.zeros((len(keys), whole // width), dtype=np.int64)
                 for i in range(ids.shape[1]):
                     for b in range(width):
@@ -268,7 +357,7 @@ def _listed(width: int, whole: int):
                 sizes = (ids > 0).sum(axis=1)
                 flat = pa.array(ids[ids > 0])
                 ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-                yield pa.record_batch([pa.ListArray.from_arrays(ends, flat), pa.array(np.frombuffer(sums.as_buffer(), np.int64))], names=["ids", "f"])
+                yield pa.record_batch([pa.ListArray.from_arrays(ends, flat), pa.array(numbers_of(sums, "<i8"))], names=["ids", "f"])
 
     return run
 
@@ -279,10 +368,10 @@ def _listed(width: int, whole: int):
 def _counted(segments: DataFrame, whole: int, least: int, reply: bool) -> DataFrame:
     """What `_frequent` gives of all segments, dealt by ranges of keys that hold about as many each."""
     spark = segments.sparkSession
-    n = segments.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] // whole
+    n = segments.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE))
     splits = segments.agg(F.percentile_approx("middle", [i / parts for i in range(1, parts)], 10 * max(parts, 1000))).first()[0] or []
-    dealt = segments.drop("middle").mapInArrow(_dealt(np.array(splits, dtype=np.int64), whole), "range int, block long, keys binary, counts binary")
+    dealt = segments.drop("middle", "size").mapInArrow(_dealt(np.array(splits, dtype=np.int64), whole), "range int, block long, keys binary, counts binary")
     return stored(dealt.groupBy("range").applyInArrow(_frequent(whole, least, reply), "block long, keys binary, counts binary"), "frequent")
 
 
@@ -304,24 +393,22 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     src = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     blocks = stored(src.mapInArrow(_blocks, BLOCKS).withColumn("block", F.monotonically_increasing_id()), "blocks")
     sizes = blocks.select(F.explode(F.arrays_zip("langs", "sizes")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.sizes").alias("n"))
-    listed = blocks.select("block", "langs", F.posexplode(F.arrays_zip("word_lang", "words", "counts")).alias("local", "x"))
-    listed = listed.select("block", "local", F.element_at("langs", F.col("x.word_lang") + 1).alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
-
-    # the dictionary: frequent words, numbered from 1 by partition and place in it
-    often = listed.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-    often = stored(often.withColumn("tie", F.monotonically_increasing_id()), "often").withColumn("part", F.shiftright("tie", 33))
-    ahead = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = often.groupBy("part").agg(F.count("*").alias("rows")).select("part", ahead.alias("ahead"))
-    words = often.join(before, "part").select((F.col("ahead") + F.col("tie").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("id"), "lang", "word", "f")
-    words = stored(words, "words")
-    width = max(1, -(-int(words.count()).bit_length() // 8))
-
-    known = stored(listed.join(words.select("id", "lang", "word"), ["lang", "word"]).select("block", "local", "id"), "numbers")
+
+    # the dictionary: each bucket numbers its frequent words, in steps of the number of buckets
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(blocks.agg(F.sum(F.size("words"))).first()[0] or 0) // BUCKET))
+    sent = blocks.select("block", "langs", "word_lang", "words", "counts").mapInArrow(_sent(buckets), "bucket int, block long, langs array<string>, word_lang array<int>, words array<string>, locals array<int>, counts array<long>")
+    known = stored(sent.groupBy("bucket").applyInArrow(_known(least, buckets), DICTIONARY), "dictionary")
+    words = stored(known.where("block is null").select("ids", "langs", "words", "counts").mapInArrow(_words, "id long, lang string, word string, f long"), "words")
+    width = max(1, -(-int(words.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]).bit_length() // 8))
+    known = known.where("block is not null").select("block", "locals", "ids")
+
     seqs = blocks.select("block", "seq").groupBy("block")
-    pairs = _counted(stored(seqs.cogroup(known.groupBy("block")).applyInArrow(_count_pairs(width), SEGMENTS), "pairs"), even(2 * width), least, longest > 2)
+    pairs = stored(seqs.cogroup(known.groupBy("block")).applyInArrow(_count_pairs(width), SEGMENTS), "pairs")
+    pairs = _counted(pairs, even(2 * width), least, longest > 2)
     grams = [words.select(F.array("id").alias("ids"), "f"), pairs.where("block is null").select("keys", "counts").mapInArrow(_listed(width, even(2 * width)), "ids array<long>, f long")]
     if longest > 2:
-        told = known.select("block", "local", "id", F.lit(None).cast("binary").alias("keys")).unionByName(pairs.where("block is not null").select("block", F.lit(None).cast("int").alias("local"), F.lit(None).cast("long").alias("id"), "keys"))
+        none = F.lit(None).cast("binary")
+        told = known.withColumn("keys", none).unionByName(pairs.where("block is not null").select("block", none.alias("locals"), none.alias("ids"), "keys"))
         longer = seqs.cogroup(told.groupBy("block")).applyInArrow(_count_longer(width, longest), SEGMENTS)
         longer = _counted(stored(longer, "longer"), even(longest * width), least, False)
         grams.append(longer.select("keys", "counts").mapInArrow(_listed(width, even(longest * width)), "ids array<long>, f long"))
