@@ -171,10 +171,11 @@ def _merged(latest: DataFrame, current: DataFrame, snapshot: DataFrame) -> DataF
     return m.where(~deleted & (here("l") | ours)).select("id", F.when(ours, F.col("c")).otherwise(F.col("l")).alias("value"))
 
 
-def overlay(base: DataFrame, delta: DataFrame, value: str) -> DataFrame:
-    """base with the latest overlay value of each id where there is one."""
-    last = delta.groupBy("id").agg(F.max_by(value, "at").alias("_new"))
-    return base.join(last, "id", "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
+def overlay(base: DataFrame, delta: DataFrame, *values: str) -> DataFrame:
+    """base with the values of each id's latest overlay row where there is one."""
+    last = delta.groupBy(F.col("id").alias("_id")).agg(F.max_by(F.struct(*values), "at").alias("_new"))
+    out = base.join(last, F.col("id") == F.col("_id"), "left")
+    return out.withColumns({v: F.coalesce(f"_new.{v}", v) for v in values}).drop("_id", "_new")
 
 
 def chunk_numbers(rows: DataFrame, size: int, key: str = "id") -> DataFrame:

@@ -148,3 +148,12 @@ def forgotten(memories: DataFrame, ids: DataFrame) -> DataFrame:
     m = memories.join(ids.select("id").distinct().withColumn("_hit", F.lit(1)), "id", "left")
     status = F.when(F.col("_hit").isNotNull() & (F.col("layer") == "raw"), "retired").otherwise(F.col("status"))
     return m.withColumn("status", status).select(memories.columns)
+
+
+def acted(memories: DataFrame, ids: DataFrame, action: str) -> DataFrame:
+    """memories after an action on ids (id), whatever their layer and status: retire, activate or delete."""
+    if action == "delete":
+        return memories.join(ids.select("id"), "id", "left_anti").select(memories.columns)
+    status = {"retire": "retired", "activate": "active"}[action]
+    m = memories.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
+    return m.withColumn("status", F.when(F.col("_hit"), status).otherwise(F.col("status"))).select(memories.columns)

@@ -10,17 +10,21 @@ from __future__ import annotations
 
 import atexit
 import json
+import re
 import shutil
 import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from recollect.sources.logs import Step, mark_of
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster names in spark.checkpoint.dir; gone when the application ends.
@@ -128,6 +132,10 @@ def write_chunks(rows: DataFrame, path: str) -> dict[str, list[str]]:
 STALE_MS = 600_000
 
 
+class Taken(RuntimeError):
+    """Another writer has committed since the rows were read."""
+
+
 class Table:
     """A versioned table of rows with a key."""
 
@@ -146,27 +154,59 @@ class Table:
         names = [s.getPath().getName() for s in fs.listStatus(p)]
         return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1]))
 
+    def version(self) -> int:
+        """The last version, or 0."""
+        return max(self.versions(), default=0)
+
     def read(self, version: int | None = None) -> DataFrame:
         found = self.versions()
         if not found:
             raise FileNotFoundError(self.path)
         return self.spark.read.parquet(f"{self.path}/v={found[-1] if version is None else version}")
 
-    def commit(self, rows: DataFrame, base: int | None = None) -> int:
-        """Writes rows as the version after base (or the last one); fails if that exists.
-
-        A claim, which one writer alone can create, covers the move only; one that a lost
-        writer left is void after STALE_MS.
+    def read_by(self, rows: DataFrame) -> int | None:
+        """The oldest version of this table that rows are computed from, if any."""
+        own = f"{self._fs(self.path)[1].toUri().getPath()}/v="
+        seen = [re.search(re.escape(own) + r"(\d+)/", unquote(f)) for f in rows.inputFiles()]
+        return min((int(m[1]) for m in seen if m), default=None)
+
+    def marks(self, version: int) -> dict[str, tuple[int, ...]]:
+        """By stream, the number of the last step that a version holds, and what was noted of it."""
+        fs, p = self._fs(f"{self.path}/v={version}")
+        names = [s.getPath().getName() for s in (fs.listStatus(p) if fs.exists(p) else [])]
+        return {n.split("-")[1]: tuple(map(int, n.split("-")[2:])) for n in names if n.startswith("_step-")}
+
+    def done(self, version: int, step: Step) -> tuple[int, ...] | None:
+        """What was noted of a step (of a stream, numbers rising) if a version holds it or a later one."""
+        stream, number = mark_of(step)
+        has = self.marks(version).get(stream)
+        return has[1:] if has and has[0] >= number else None
+
+    def commit(self, rows: DataFrame, base: int | None = None, step: Step | None = None, note: tuple[int, ...] = ()) -> int:
+        """Writes rows as the version after base; fails (Taken) if that exists.
+
+        base: the version that rows were made from; by default the one that they read of this
+        table, or the last one if they read none.  A claim, which one writer alone can create,
+        covers the move only; one that a lost writer left is void after STALE_MS.  A step and
+        what is noted of it become known with the version itself.
         """
+        if base is None:
+            base = self.read_by(rows)
         found = self.versions()
         new = (base if base is not None else found[-1] if found else 0) + 1
         fs, stage = self._fs(f"{self.path}/_stage-{uuid.uuid4().hex}")
         claim, place = (self._fs(f"{self.path}/{n}")[1] for n in (f"_claim-{new}", f"v={new}"))
-        taken = RuntimeError(f"version {new} of {self.path} is taken; merge with the latest and commit again")
-        if new in found:
+        taken = Taken(f"version {new} of {self.path} is taken; merge with the latest and commit again")
+        if new in found or found and new < found[-1]:
             raise taken
+        marks = self.marks(new - 1)
+        if step is not None:
+            stream, number = mark_of(step)
+            marks[stream] = (number, *note)
         try:
             rows.write.mode("errorifexists").parquet(stage.toString())
+            for stream, values in marks.items():
+                fs.createNewFile(self._fs(f"{stage.toString()}/_step-{stream}-{'-'.join(map(str, values))}")[1])
             if fs.exists(claim) and not fs.exists(place) and time.time() * 1000 - fs.getFileStatus(claim).getModificationTime() > STALE_MS:
                 fs.delete(claim, False)
             if fs.exists(place) or not fs.createNewFile(claim):
@@ -182,11 +222,10 @@ class Table:
 
     def upsert(self, rows: DataFrame) -> int:
         """Replaces rows of the same key, adds others."""
-        base = self.read()
-        return self.commit(base.join(rows.select(self.key), self.key, "left_anti").unionByName(rows, allowMissingColumns=True))
+        return self.update(lambda base: base.join(rows.select(self.key), self.key, "left_anti").unionByName(rows, allowMissingColumns=True))
 
     def remove(self, keys: DataFrame) -> int:
-        return self.commit(self.read().join(keys.select(self.key), self.key, "left_anti"))
+        return self.update(lambda base: base.join(keys.select(self.key), self.key, "left_anti"))
 
     def leftovers(self) -> list[str]:
         """Stages and claims that no writer can still hold."""
@@ -205,17 +244,17 @@ class Table:
     def update(self, change: Callable[[DataFrame], DataFrame], tries: int = 3) -> int:
         """Commits what change makes of the latest rows; if another writer was faster, of the rows it left."""
         for left in range(tries - 1, -1, -1):
-            base = self.versions()[-1]
+            base = self.version()
             try:
                 return self.commit(change(self.read(base)), base)
-            except RuntimeError:
+            except Taken:
                 if not left:
                     raise
         raise AssertionError
 
     def rollback(self, version: int) -> int:
         """Makes an earlier version the latest again."""
-        return self.commit(self.read(version))
+        return self.commit(self.read(version), self.version())
 
     def vacuum(self, keep: int = 2) -> list[int]:
         """Deletes all but the last versions."""

@@ -5,6 +5,9 @@ The same column expressions run in batch and in streams; state is bounded by wat
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,20 +104,24 @@ def upsert_candidates(turns: DataFrame, into: str, interval: str | None = None):
     return triggered(writer, interval).start()
 
 
-def serve(turns: DataFrame, engine, state: str, every: int = 20, interval: str | None = None):
+def serve(turns: DataFrame, engine, state: str, every: int = 20, interval: str | None = None, now: Callable[[], datetime] | None = None):
     """A query by which an engine learns from a stream of turns, one micro-batch after the other.
 
-    A batch that the engine has seen is left out when it comes again.  After `every` learned
-    statements the engine maintains its graph.
+    Every write of a batch carries its number: what a batch that failed half-way has written is
+    not written again when it comes again, and one that was taken to its end is left out.  After
+    `every` learned statements since the last maintenance the engine maintains its graph.  now
+    gives the time of each batch, by default the clock's (UTC).
     """
+    clock = now or (lambda: datetime.now(timezone.utc).replace(tzinfo=None))
 
     def write(batch: DataFrame, number: int) -> None:
         if engine.has_seen(state, number):
             return
-        done = engine.learn(batch)
-        engine.note_batch(state, number, done["added"])
+        at = clock()
+        done = engine.learn(batch, at, step=(state, number))
+        engine.note_batch(state, number, done["added"], at)
         if engine.learned_since_maintenance() >= every:
-            engine.maintain("light")
+            engine.maintain("light", at)
 
     writer = turns.where("role = 'user'").writeStream.foreachBatch(write).option("checkpointLocation", state)
     return triggered(writer, interval).start()
