@@ -105,13 +105,13 @@ def _rare(sets: DataFrame, key: str, often: DataFrame, least: float) -> DataFram
 def match_observations(clusters: DataFrame, observations: DataFrame, least: float = 0.35, linked: DataFrame | None = None) -> DataFrame:
     """(seed, observation, score): each cluster's best known observation of its scope and domain.
 
-    Similarity of words, plus 0.35 for a common entity and 0.15 for a common tag; equals go to
+    Similarity of its words and those of title and statement, plus 0.35 for a common entity and 0.15 for a common tag; equals go to
     the earlier observation; retired ones, and those that hold all of a cluster already (linked:
     seed, observation), are out.  clusters (seed, scope, domain, statement, tags, entities),
     observations (id, status, ...).  Only pairs that share an entity or a rare word meet.
     """
     c = clusters.select("seed", *facet(), X.token_set("statement").alias("words"), F.col("tags").alias("ct"), F.col("entities").alias("ce"))
-    o = observations.where("status <> 'retired'").select(F.col("id").alias("observation"), *facet(), X.token_set("statement").alias("words"), F.col("tags").alias("ot"), F.col("entities").alias("oe"))
+    o = observations.where("status <> 'retired'").select(F.col("id").alias("observation"), *facet(), X.token_set(F.concat_ws(" ", *[c for c in ("title", "statement") if c in observations.columns])).alias("words"), F.col("tags").alias("ot"), F.col("entities").alias("oe"))
     often = o.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("often"))
     floor = least - 0.15 - 1e-6  # of a pair without a common entity
     by_word = _rare(c, "seed", often, floor).join(_rare(o, "observation", often, floor), ["scope", "domain", "word"]).select("seed", "observation")
@@ -150,6 +150,8 @@ def update_observations(observations: DataFrame, found: DataFrame) -> DataFrame:
         "confidence": F.when(any_, conf).otherwise(F.col("confidence")),
         "trend": F.when(any_ & ((m >= 2) | (F.col("trend") == "new")), "strengthening").otherwise(F.col("trend")),
         "proof": proof,
+        "evidence": F.col("evidence") + m,
+        "sources": F.col("sources") + m,
         "strength": F.greatest("strength", "m_strength"),
         "storage": F.greatest("storage", "m_storage"),
         "frequency": F.col("frequency") + F.coalesce("m_frequency", F.lit(0)),
@@ -182,6 +184,12 @@ def with_entities(rows: DataFrame, bridge: DataFrame, key: str = "id") -> DataFr
     return rows.join(own, key, "left")
 
 
+def entities_of_sources(links: DataFrame, bridge: DataFrame, owner: str) -> DataFrame:
+    """(owner, entity, type) of the sources of each owner; of one name the kind that the first source (source_id) gives it."""
+    b = bridge.select(F.col("memory_id").alias("source_id"), "entity", "type")
+    return links.select(owner, "source_id").join(b, "source_id").groupBy(owner, "entity").agg(F.min_by("type", "source_id").alias("type"))
+
+
 def clusters_of(members: DataFrame, bridge: DataFrame) -> DataFrame:
     """One row a cluster of members (seed, id, ...): the first member's facet, all words, tags and entities."""
     first = F.struct("learned_at", "id")

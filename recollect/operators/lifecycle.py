@@ -15,9 +15,9 @@ def batch_decay(memories: DataFrame, now: datetime = X.NOW, least_days: float =
     """(id, layer, old_status, new_status, new_strength, new_confidence) of the memories that a decay pass changes.
 
     Experiences, locked and retired memories and those touched within half a day are left alone;
-    age counts from the day of the last touch.
+    age counts from the day of the last touch, of untouched ones from that of learning.
     """
-    day = F.to_timestamp(F.to_date("learned_at"))
+    day = F.to_timestamp(F.to_date(F.coalesce("last_accessed", "learned_at")))
     m = memories.withColumn("days", X.days_since(day, now)).where("layer <> 'experience' and status not in ('locked', 'retired')").where(F.col("days") >= least_days)
     strength = X.decayed_strength(F.col("strength"), "layer", F.col("weight"), F.col("days"))
     return m.select(
@@ -135,6 +135,8 @@ def merge_clusters(members: DataFrame) -> DataFrame:
     order = F.struct(F.round(-(F.col("confidence") + 0.01 * F.length("statement")), 6), F.col("id"))
     return members.groupBy("seed").agg(
         F.count("*").alias("members"),
+        F.count("*").alias("evidence"),
+        F.count_distinct("id").alias("sources"),
         F.round(F.max("strength"), 6).alias("strength"),
         F.round(F.max("storage"), 6).alias("storage"),
         F.sum("frequency").alias("frequency"),

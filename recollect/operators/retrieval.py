@@ -6,13 +6,16 @@ batch.  Ties end by the id, scores are rounded before they rank.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import exprs as X
+from recollect.functions import fts
 from recollect.functions import rules as R
 from recollect.sources.store import stored
 
@@ -105,25 +108,110 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 30, index: DataFra
     return ranked(scores.where("score > 0"), k)
 
 
-def substring_rank(rows: DataFrame, queries: DataFrame, fields: list[str], k: int | None = 30) -> DataFrame:
-    """(query_id, id, score, rank): rows that hold every term of three characters or more in some field.
+PARSED = "query_id long, terms array<string>, ways array<struct<need:array<int>,without:array<int>>>"
 
-    Terms are the query's words; the score weighs how often each stands, by the fields' length
-    in trigrams.  Queries without such a term find nothing.
-    """
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower(F.trim("query")), "\\s+"), lambda t: F.length(t) >= 3))).alias("term"))
+
+def parsed(queries: DataFrame) -> DataFrame:
+    """PARSED of those queries (query_id, query) that are of the full-text grammar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        way = pa.struct([("need", pa.list_(pa.int32())), ("without", pa.list_(pa.int32()))])
+        for batch in batches:
+            rows = [(i, *p) for i, q in zip(batch["query_id"].to_pylist(), batch["query"].to_pylist(), strict=True) if (p := fts.parse(q)) is not None]
+            ways = [[{"need": sorted(n), "without": sorted(w)} for n, w in r[2]] for r in rows]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array(ways, pa.list_(way))], names=["query_id", "terms", "ways"])
+
+    return queries.select(F.col("query_id").cast("long"), "query").mapInArrow(run, PARSED)
+
+
+#: Ids of a block of postings.
+IDS = 4096
+GRAM = "(?s)(?=(...))"
+
+
+def searched(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, len, all): length of all fields in trigrams, and their lower-cased text."""
     grams = sum((F.greatest(F.lit(0), F.length(F.coalesce(F.col(f), F.lit(""))) - 2) for f in fields), F.lit(0))
-    text = F.lower(F.concat_ws("\n", *fields))
-    sized = rows.select("id", grams.alias("len"), text.alias("all"))
-    total = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    return rows.select("id", grams.alias("len"), F.lower(F.concat_ws("\n", *fields)).alias("all"))
+
+
+def write_trigrams(rows: DataFrame, path: str, fields: list[str], parts: int | None = None) -> None:
+    """Writes an index of rows (id, fields): posting lists of trigrams by blocks of ids, texts by id, and their size.
+
+    Both lie in ranges of their keys, so that a query reads the few row groups that it needs; a
+    list holds IDS ids at most, so a trigram that all texts hold is many rows.
+    """
+    sized = searched(rows, fields).withColumn("block", F.floor(F.col("id") / IDS))
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = sized.repartitionByRange(parts, "id").sortWithinPartitions("id")
+    texts.write.option("compression", "zstd").parquet(f"{path}/texts")
+    sized = rows.sparkSession.read.parquet(f"{path}/texts")
+    held = X.exploded(sized.select("id", "block", "all"), F.array_distinct(F.regexp_extract_all("all", F.lit(GRAM), 1)), "gram").select("gram", "block", "id")
+    lists = held.groupBy("gram", "block").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    lists.repartitionByRange(parts, "gram", "block").sortWithinPartitions("gram", "block").write.option("compression", "zstd").parquet(f"{path}/grams")
+    sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")).write.parquet(f"{path}/size")
+
+
+def read_trigrams(spark, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("texts", "grams", "size")}
+
+
+def found_by_grams(trigrams: dict[str, DataFrame], terms: DataFrame) -> DataFrame:
+    """(term, id): which rows hold all trigrams of a term, by intersecting posting lists block by block; the term itself need not be there."""
+    wanted = stored(terms.select("term", F.explode(F.array_distinct(F.regexp_extract_all("term", F.lit(GRAM), 1))).alias("gram")), "grams")
+    need = wanted.groupBy("term").agg(F.count("*").alias("need"))
+    few = [r[0] for r in wanted.select("gram").distinct().limit(SMALL + 1).collect()]
+    lists = trigrams["grams"].where(F.col("gram").isin(few)) if len(few) <= SMALL else trigrams["grams"]
+    met = lists.join(near(wanted), "gram").groupBy("term", "block").agg(F.collect_list("ids").alias("lists"))
+    met = met.join(near(need), "term").where(F.size("lists") == F.col("need"))
+    shared = F.aggregate(F.slice("lists", 2, F.greatest(F.size("lists") - 1, F.lit(1))), F.col("lists")[0], lambda a, b: F.array_intersect(a, b))
+    return met.select("term", F.explode(shared).alias("id"))
+
+
+def fts_search(rows: DataFrame | None, queries: DataFrame, fields: list[str] = (), k: int | None = 30, trigrams: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(query_id, id, score, rank): rows that a full-text query matches, by recollect.functions.fts.
+
+    A term matches where some field holds it, whatever its case; the score weighs how often each
+    of a query's terms stands, by the fields' length in trigrams.  Queries that are not of the
+    grammar find nothing.  trigrams: of `read_trigrams`; then the lists say which texts to look
+    at, and none is read for a term that the index lacks.  Else all rows are looked at.
+    """
+    asked = stored(parsed(queries), "parsed")
+    terms = asked.select("query_id", F.posexplode("terms").alias("pos", "term")).withColumn("term", F.lower("term"))
+    distinct = terms.select("term").distinct()
     tf = (F.length("all") - F.length(F.replace("all", "term", F.lit("")))) / F.length("term")
-    hits = sized.join(near(terms.select("term").distinct()), F.contains("all", "term")).select("id", "len", "term", tf.alias("tf"))
+    if trigrams is None:
+        sized = searched(rows, fields)
+        total = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+        hits = sized.join(near(distinct), F.contains("all", "term"))
+    else:
+        total, cands = trigrams["size"], stored(found_by_grams(trigrams, distinct), "candidates")
+        if cands.isEmpty():
+            return asked.select("query_id", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        blocks = [r[0] for r in cands.select(F.floor(F.col("id") / IDS)).distinct().limit(SMALL + 1).collect()]
+        texts = trigrams["texts"].where(F.col("block").isin(blocks)) if len(blocks) <= SMALL else trigrams["texts"]
+        hits = texts.join(near(cands), "id").where(F.contains("all", "term"))
+    hits = stored(hits.select("id", "len", "term", tf.alias("tf")), "hits")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
-    need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
-    scored = hits.join(df, "term").join(terms, "term").join(F.broadcast(total)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("got"))
-    return ranked(scored.join(need, "query_id").where("got = need").select("query_id", "id", "score"), k)
+    weighed = near(df.join(F.broadcast(total)).join(terms, "term"))
+    scored = hits.join(weighed, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"), F.collect_set("pos").alias("has"))
+    fits = F.exists("ways", lambda w: (F.size(F.array_except(w["need"], F.col("has"))) == 0) & ~F.arrays_overlap(w["without"], F.col("has")))
+    return ranked(scored.join(near(asked.select("query_id", "ways")), "query_id").where(fits).select("query_id", "id", "score"), k)
+
+
+def substring_rank(rows: DataFrame, queries: DataFrame, fields: list[str], k: int | None = 30) -> DataFrame:
+    """fts_search over all rows."""
+    return fts_search(rows, queries, fields, k)
+
+
+def fts_fields(memories: DataFrame) -> tuple[DataFrame, list[str]]:
+    """memories with the fields that full-text queries look at, and their names: id, text, title or reason, tags, scope, domain."""
+    tags = F.array_join("tags", " ") if "tags" in memories.columns else F.lit(None).cast("string")
+    have = [F.col(c).cast("string") if c in memories.columns else F.lit(None).cast("string") for c in ("text", "title", "scope", "domain")]
+    names = ["f_id", "f_text", "f_title", "f_scope", "f_domain", "f_tags"]
+    return memories.select("id", *[c.alias(n) for n, c in zip(names, [F.col("id").cast("string"), *have, tags], strict=True)]), names
 
 
 def semantic(vectors: DataFrame, queries: DataFrame, least: float = 0.5, k: int | None = 30) -> DataFrame:
@@ -263,7 +351,7 @@ def dimensions(now: datetime = X.NOW, scope: Column | None = None) -> dict[str,
         "specificity": X.specificity(c("statement")),
         "activation": F.least(F.lit(1.0), c("act")),
         "recency": X.recency(X.days_since("learned_at", now)),
-        "evidence": X.evidence_strength(c("proof"), F.lit(0), F.lit(0)),
+        "evidence": X.evidence_strength(c("proof"), c("evidence"), c("sources")),
         "confidence": c("confidence") / 10.0,
         "scope": X.scope_match(c("scope"), F.lit(None).cast("string") if scope is None else scope),
         "polarity": X.polarity_weight(c("polarity")),
@@ -338,17 +426,22 @@ def fts_scores(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.round(best / F.col("score"), 6))
 
 
-def recall(queries: DataFrame, memories: DataFrame, bridge: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, now: datetime = X.NOW, budget: int = 2048, index: DataFrame | None = None) -> dict[str, DataFrame]:
+def recall(queries: DataFrame, memories: DataFrame, bridge: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, now: datetime = X.NOW, budget: int = 2048, index: DataFrame | None = None, trigrams: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """The whole query: signals, fusion, activation, ranking and trimming, for a batch of queries (query_id, query).
 
-    Gives the lists by signal, the ranked memories and the kept ones.  index: of the memories'
-    texts, as `read_index` gives it.
+    Words are looked for by full-text search first, in all memories, and by BM25, in live ones,
+    where that finds nothing.  Gives the lists by signal, the ranked memories and the kept ones.
+    index and trigrams: of the memories, as `read_index` and `read_trigrams` give them.
     """
     queries = stored(queries, "queries")
     live = memories.where("status <> 'retired'")
 
     def by_words() -> dict[str, DataFrame]:
-        words = stored(bm25(live.select("id", "text"), queries, index=index), "bm25")
+        fields, names = fts_fields(memories)
+        words = stored(fts_scores(fts_search(fields, queries, names, trigrams=trigrams)), "fts")
+        rest = stored(queries.join(words.select("query_id").distinct(), "query_id", "left_anti"), "rest")
+        if not rest.isEmpty():
+            words = stored(words.unionByName(bm25(live.select("id", "text"), rest, index=index)), "bm25")
         return {"bm25": words, "graph": stored(graph_expansion(words.where("rank <= 10"), bridge, edges), "graph")}
 
     def by_time() -> dict[str, DataFrame]:

@@ -21,7 +21,7 @@ MEM = f"""mem AS (SELECT *, CASE WHEN id % 17 = 0 THEN 'locked' WHEN id % 11 = 0
   {DAY0} + to_seconds(doc_id * 7919 % 2592000) AS learned_at, CAST(0.1 AS DOUBLE) + (doc_id * 37 % 90) / CAST(100 AS DOUBLE) AS strength,
   CAST(0.2 AS DOUBLE) + (doc_id * 53 % 80) / CAST(100 AS DOUBLE) AS storage, doc_id % 23 AS frequency, doc_id % 13 AS turns, 1 + doc_id % 10 AS weight, 1 + doc_id * 3 % 10 AS confidence,
   CASE doc_id % 3 WHEN 0 THEN 'do' WHEN 1 THEN 'dont' END AS polarity, doc_id % 4 = 0 AS consolidated, coalesce(l.quality, 0) AS positive, coalesce(l.toxic, 0) AS negative,
-  doc_id % 7 AS adopted, 1 + doc_id % 6 AS proof, CASE doc_id % 2 WHEN 0 THEN 'new' ELSE 'stable' END AS trend,
+  doc_id % 7 AS adopted, 1 + doc_id % 6 AS proof, doc_id % 4 AS evidence, doc_id % 5 AS sources, CASE WHEN doc_id % 8 <> 0 THEN {DAY0} + to_seconds(doc_id * 7919 % 2592000) + to_seconds(doc_id % 31 * 79200) END AS last_accessed, CASE doc_id % 2 WHEN 0 THEN 'new' ELSE 'stable' END AS trend,
   {DAY0} + to_seconds(doc_id * 7919 % 2592000) + to_seconds((doc_id % 5 - 1) * 3600) AS valid_from, CASE WHEN doc_id % 3 <> 0 THEN {DAY0} + to_seconds(doc_id * 7919 % 2592000) + to_seconds(doc_id % 9 * 86400) END AS last_seen FROM documents d LEFT JOIN labels l USING (doc_id)))"""
 #: The same with statements that fit a token budget.
 SHORT = MEM.replace("text AS statement", "substr(text, 1, 160) AS statement")
@@ -104,7 +104,7 @@ def dims(relevance: str, scope: str) -> dict[str, str]:
         "specificity": "least(1.0, ln(1 + length(statement)) / ln(201))",
         "activation": "least(1.0, act)",
         "recency": "exp(-days / 30)",
-        "evidence": "least(1.0, least(0.5, CAST(0.1 AS DOUBLE) * proof))",
+        "evidence": "least(1.0, least(0.5, CAST(0.1 AS DOUBLE) * proof) + least(0.3, CAST(0.1 AS DOUBLE) * evidence) + least(0.2, CAST(0.05 AS DOUBLE) * sources))",
         "confidence": "confidence / CAST(10 AS DOUBLE)",
         "scope": scope,
         "polarity": "CASE polarity WHEN 'do' THEN CAST(0.8 AS DOUBLE) WHEN 'dont' THEN CAST(0.6 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END",
@@ -133,14 +133,21 @@ UNION ALL SELECT t.query_id, t.layer, n.i, n.id, CASE WHEN t.used + n.cost <= n.
 kept AS (SELECT rk.* FROM rk JOIN tr USING (query_id, layer, id) WHERE took)"""
 
 
-RECALL = f"""{SHORT}, {EDGES}, {BRIDGE}, {asked('the of and 2024-01-15', 'der die das last week', 'zzzz qqqq')}, dx AS (SELECT id, text FROM mem WHERE status <> 'retired'), {bm25('dx')},
+#: Full-text search of memories, for queries without operators, then BM25 where it finds nothing.
+LEXICAL = """fm AS (SELECT query_id, unnest(list_distinct(list_filter(string_split(query, ' '), lambda t: length(t) >= 3))) AS term FROM q WHERE NOT contains(query, '-')),
+fd AS (SELECT id, lower(concat_ws(chr(10), CAST(id AS VARCHAR), text, scope, domain, array_to_string(tags, ' '))) AS t, greatest(0, length(CAST(id AS VARCHAR)) - 2) + greatest(0, length(text) - 2) + greatest(0, length(scope) - 2) + greatest(0, length(domain) - 2) + greatest(0, length(array_to_string(tags, ' ')) - 2) AS len FROM mem),
+fh AS (SELECT id, len, term, (length(t) - length(replace(t, term, ''))) / CAST(length(term) AS DOUBLE) AS tf FROM fd, (SELECT DISTINCT term FROM fm) WHERE contains(t, term)), ff AS (SELECT term, count(*) AS df FROM fh GROUP BY term),
+fc AS (SELECT query_id, id, round(sum(greatest(ln((fn - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))), CAST(1e-6 AS DOUBLE)) * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * len / al))), 6) AS score FROM fh JOIN ff USING (term) JOIN fm USING (term), (SELECT count(*) AS fn, avg(len) AS al FROM fd) GROUP BY query_id, id HAVING count(*) = (SELECT count(*) FROM fm z WHERE z.query_id = fm.query_id)),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fc QUALIFY rank <= 30),
+lex AS (SELECT query_id, id, round(max(score) OVER (PARTITION BY query_id) / score, 6) AS score, rank FROM fr UNION ALL SELECT query_id, id, score, rank FROM bm25 WHERE query_id NOT IN (SELECT query_id FROM fr))"""
+RECALL = f"""{SHORT}, {EDGES}, {BRIDGE}, {asked(*Q.RECALLS)}, dx AS (SELECT id, text FROM mem WHERE status <> 'retired'), {bm25('dx')}, {LEXICAL},
 tm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(exp(-abs(epoch_us(learned_at) - epoch_us(tday)) / CAST(8.64e10 AS DOUBLE) / 10), 6) AS score FROM mem, (VALUES (1::BIGINT, TIMESTAMP '2024-01-15'), (2, TIMESTAMP '2024-01-25')) AS t(query_id, tday) WHERE status <> 'retired') WHERE score > 0.2 QUALIFY rank <= 50),
 {bfs('tm', 'e.dst')}, temporal AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM reach) WHERE rank <= 30),
-top10 AS (SELECT * FROM bm25 WHERE rank <= 10), {graph('top10')}, {fuse('bm25', 'temporal', 'graph')}, {ACTIVATED}, {RERANKED}, {trim(2048)}"""
+top10 AS (SELECT * FROM lex WHERE rank <= 10), {graph('top10')}, {fuse('lex', 'temporal', 'graph')}, {ACTIVATED}, {RERANKED}, {trim(2048)}"""
 
 DECAYED = "(CAST(0.05 AS DOUBLE) + (strength - CAST(0.05 AS DOUBLE)) * exp(-(CASE layer WHEN 'mental_model' THEN CAST(0.01 AS DOUBLE) WHEN 'observation' THEN CAST(0.025 AS DOUBLE) WHEN 'raw' THEN CAST(0.05 AS DOUBLE) ELSE CAST(0.08 AS DOUBLE) END) * (1 - weight / CAST(20 AS DOUBLE)) * days))"
 CONFIDENCE = "CAST(greatest(1, floor(1 + (confidence - 1) * exp(-(ln(2) / 90) * (1 - weight / CAST(20 AS DOUBLE)) * days) + CAST(0.5 AS DOUBLE))) AS BIGINT)"
-DECAY = f"dm AS (SELECT id, layer, status AS old_status, {status(DECAYED)} AS new_status, round({DECAYED}, 6) AS new_strength, {CONFIDENCE} AS new_confidence FROM (SELECT * REPLACE (greatest(0, epoch_us({NOW}) - epoch_us(CAST(CAST(learned_at AS DATE) AS TIMESTAMP))) / CAST(8.64e10 AS DOUBLE) AS days) FROM mem WHERE layer <> 'experience' AND status NOT IN ('locked', 'retired')) WHERE days >= 0.5)"
+DECAY = f"dm AS (SELECT id, layer, status AS old_status, {status(DECAYED)} AS new_status, round({DECAYED}, 6) AS new_strength, {CONFIDENCE} AS new_confidence FROM (SELECT * REPLACE (greatest(0, epoch_us({NOW}) - epoch_us(CAST(CAST(coalesce(last_accessed, learned_at) AS DATE) AS TIMESTAMP))) / CAST(8.64e10 AS DOUBLE) AS days) FROM mem WHERE layer <> 'experience' AND status NOT IN ('locked', 'retired')) WHERE days >= 0.5)"
 SIGNAL = "fb AS (SELECT user_id AS memory_id, ts, event_id AS ord, CASE event_type WHEN 'purchase' THEN 'positive' WHEN 'error' THEN 'negative' ELSE 'neutral' END AS signal FROM events)"
 TOP_STATEMENT = "(array_agg(statement ORDER BY round(-(confidence + CAST(0.01 AS DOUBLE) * length(statement)), 6), id))[1]"
 INDUCED = f"""kb AS (SELECT *, scope || '|' || domain || '|' || array_to_string(list_sort(tags)[1:3], '+') AS key FROM mem WHERE layer IN ('observation', 'mental_model') AND status IN ('active', 'candidate')),
@@ -182,14 +189,20 @@ GROUPED = greedy(0.2, "vec_id IN (SELECT id FROM mem WHERE layer = 'raw')") + ",
 BAD = "bad AS (SELECT seed FROM gr GROUP BY seed HAVING count(DISTINCT polarity) > 1)"
 
 
+#: Memories of three scopes, so that those of different layers share some.
+SHARED = MEM.replace("CASE WHEN source IN ('src0', 'src1') THEN 'global' ELSE 'project:' || source END AS scope", "'project:' || doc_id % 3 AS scope")
+#: A title of a memory's tags, then its statement.
+TITLED = "(array_to_string(tags, ' ') || ' ' || statement)"
+
+
 def matched(clusters: str, extra: str = "") -> str:
     """CTEs ending in mt(seed, observation, score): the best observation of clusters (seed, scope, domain, w, tags, entities)."""
-    return f"""ob AS (SELECT m.id AS observation, scope, domain, {token_set('statement')} AS w, tags, coalesce(en, []) AS entities FROM mem m LEFT JOIN en ON en.id = m.id WHERE layer = 'observation' AND status <> 'retired'),
+    return f"""ob AS (SELECT m.id AS observation, scope, domain, {token_set(TITLED)} AS w, tags, coalesce(en, []) AS entities FROM mem m LEFT JOIN en ON en.id = m.id WHERE layer = 'observation' AND status <> 'retired'),
 ms AS (SELECT seed, observation, round(CASE WHEN len(c.w) = 0 OR len(o.w) = 0 THEN 0 ELSE len(list_intersect(c.w, o.w)) / CAST(len(list_distinct(list_concat(c.w, o.w))) AS DOUBLE) END + CASE WHEN list_has_any(c.entities, o.entities) THEN CAST(0.35 AS DOUBLE) ELSE 0 END + CASE WHEN list_has_any(c.tags, o.tags) THEN CAST(0.15 AS DOUBLE) ELSE 0 END, 6) AS score FROM {clusters} c JOIN ob o USING (scope, domain){extra}),
 mt AS (SELECT seed, observation, score FROM ms WHERE score >= 0.35 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY score DESC, observation) = 1)"""
 
 
-ENTITIES = "en AS (SELECT l_orderkey AS id, list(DISTINCT CAST(l_partkey AS VARCHAR)) AS en FROM lineitem GROUP BY 1)"
+ENTITIES = "en AS (SELECT l_orderkey AS id, list(DISTINCT CAST(l_partkey % 400 AS VARCHAR)) AS en FROM lineitem GROUP BY 1)"
 
 
 def extraction(i: int, r) -> str:
@@ -250,6 +263,13 @@ SELECT id, name, arg_min(type, k) AS type FROM f WHERE length(name) > 2 GROUP BY
         "SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 30",
         *SUBSTRING,
     ),
+    "fts_grammar": sql(
+        "SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 30",
+        "tm AS (SELECT * FROM (VALUES (1::BIGINT, 'the of'), (2, 'license'), (2, 'tion'), (3, 'tion'), (3, 'the'), (4, 'apache'), (4, 'mit'), (4, 'license'), (7, 'license'), (7, 'apache'), (7, 'mit'), (8, 'tion,'), (8, 'the')) AS t(query_id, term))",
+        *SUBSTRING[2:4],
+        "hs AS (SELECT query_id, id, list(term) AS has, round(sum(greatest(ln((n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))), CAST(1e-6 AS DOUBLE)) * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * len / al))), 6) AS score FROM h JOIN d USING (term) JOIN tm USING (term), n GROUP BY query_id, id)",
+        "sc AS (SELECT query_id, id, score FROM hs WHERE CASE query_id WHEN 3 THEN list_contains(has, 'tion') AND NOT list_contains(has, 'the') WHEN 4 THEN len(list_intersect(has, ['apache', 'mit'])) > 0 AND list_contains(has, 'license') WHEN 7 THEN has = ['license'] WHEN 8 THEN len(has) = 2 ELSE true END)",
+    ),
     "fts_normalised": sql(
         "SELECT query_id, id, round(max(score) OVER (PARTITION BY query_id) / score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 30",
         *SUBSTRING,
@@ -279,11 +299,11 @@ SELECT id, name, arg_min(type, k) AS type FROM f WHERE length(name) > 2 GROUP BY
     "recall_explain": sql(
         """SELECT k.query_id, k.id, b.rank AS bm25_rank, t.rank AS temporal_rank, g.rank AS graph_rank, b.score AS bm25_score, g.score AS graph_score, k.rrf, round(k.act, 6) AS act, k.relevance, k.score AS rerank,
  CASE WHEN coalesce(b.rank, t.rank, g.rank) IS NULL THEN 'No retrieval signals matched' ELSE 'Matched retrieval signals: ' || concat_ws(', ', CASE WHEN b.rank > 0 THEN 'bm25' END, CASE WHEN t.rank > 0 THEN 'temporal' END, CASE WHEN g.rank > 0 THEN 'graph' END) END AS reason
- FROM kept k LEFT JOIN bm25 b ON b.query_id = k.query_id AND b.id = k.id LEFT JOIN temporal t ON t.query_id = k.query_id AND t.id = k.id LEFT JOIN graph g ON g.query_id = k.query_id AND g.id = k.id""",
+ FROM kept k LEFT JOIN lex b ON b.query_id = k.query_id AND b.id = k.id LEFT JOIN temporal t ON t.query_id = k.query_id AND t.id = k.id LEFT JOIN graph g ON g.query_id = k.query_id AND g.id = k.id""",
         RECALL, recursive=True,
     ),
     "recall_diagnostics": sql(
-        "SELECT q.query_id, (SELECT count(*) FROM mem WHERE status <> 'retired') AS corpus_size, " + ", ".join(f"(SELECT count(*) FROM {t} x WHERE x.query_id = q.query_id) AS {n}" for n, t in (("bm25", "bm25"), ("temporal", "temporal"), ("graph", "graph"), ("ranked", "rk"), ("kept", "kept")))
+        "SELECT q.query_id, (SELECT count(*) FROM mem WHERE status <> 'retired') AS corpus_size, " + ", ".join(f"(SELECT count(*) FROM {t} x WHERE x.query_id = q.query_id) AS {n}" for n, t in (("bm25", "lex"), ("temporal", "temporal"), ("graph", "graph"), ("ranked", "rk"), ("kept", "kept")))
         + ", CASE WHEN (SELECT count(*) FROM kept x WHERE x.query_id = q.query_id) > 0 THEN NULL WHEN (SELECT count(*) FROM rk x WHERE x.query_id = q.query_id) = 0 THEN 'No retrieval signals matched this query.' ELSE 'Retrieval candidates were filtered out by token budget or relevance gates.' END AS reason FROM q",
         RECALL, recursive=True,
     ),
@@ -313,7 +333,7 @@ SELECT id, name, arg_min(type, k) AS type FROM f WHERE length(name) > 2 GROUP BY
     "feedback_summary": sql("SELECT memory_id, count(*) FILTER (signal = 'positive') AS positive, count(*) FILTER (signal = 'negative') AS negative, count(*) FILTER (signal = 'neutral') AS neutral, count(*) AS total, array_to_string(list(signal ORDER BY ts DESC, ord DESC)[1:10], ',') AS recent FROM fb GROUP BY memory_id", SIGNAL),
     "feedback_log": sql("SELECT memory_id, row_number() OVER (PARTITION BY memory_id ORDER BY ts DESC, ord DESC) AS rank, ord, signal FROM fb QUALIFY rank <= 5", SIGNAL),
     "consolidate_merge": sql(
-        f"SELECT seed, count(*) AS members, round(max(strength), 6) AS strength, round(max(storage), 6) AS storage, CAST(sum(frequency) AS BIGINT) AS frequency, CAST(sum(turns) AS BIGINT) AS turns, max(weight) AS weight, CAST(least(10, floor(avg(confidence) + 1.5)) AS BIGINT) AS confidence, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags, CAST(min(learned_at) AS VARCHAR) AS learned_at, sha256({TOP_STATEMENT}) AS statement, {TOP_STATEMENT.replace('statement ORDER', 'scope ORDER')} AS scope, {TOP_STATEMENT.replace('statement ORDER', 'domain ORDER')} AS domain, count(DISTINCT polarity) > 1 AS conflict FROM gr GROUP BY seed",
+        f"SELECT seed, count(*) AS members, count(*) AS evidence, count(DISTINCT id) AS sources, round(max(strength), 6) AS strength, round(max(storage), 6) AS storage, CAST(sum(frequency) AS BIGINT) AS frequency, CAST(sum(turns) AS BIGINT) AS turns, max(weight) AS weight, CAST(least(10, floor(avg(confidence) + 1.5)) AS BIGINT) AS confidence, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags, CAST(min(learned_at) AS VARCHAR) AS learned_at, sha256({TOP_STATEMENT}) AS statement, {TOP_STATEMENT.replace('statement ORDER', 'scope ORDER')} AS scope, {TOP_STATEMENT.replace('statement ORDER', 'domain ORDER')} AS domain, count(DISTINCT polarity) > 1 AS conflict FROM gr GROUP BY seed",
         MEM, GROUPED, recursive=True,
     ),
     "polarity_conflict": sql("SELECT seed, count(DISTINCT polarity) AS kinds FROM gr GROUP BY seed HAVING count(DISTINCT polarity) > 1", MEM, GROUPED, recursive=True),
@@ -360,9 +380,9 @@ SELECT id, name, arg_min(type, k) AS type FROM f WHERE length(name) > 2 GROUP BY
     "overlay_merge": sql("SELECT m.id, round(coalesce(e.s, m.strength), 6) AS strength FROM mem m LEFT JOIN (SELECT user_id, arg_max(event_id % 100 / CAST(100 AS DOUBLE), (ts, event_id)) AS s FROM events GROUP BY user_id) e ON e.user_id = m.id", MEM),
     "adjacent_pairs": sql("SELECT conv_id, turn, \"user\", assistant FROM pairs", PAIRS),
     "greedy_clusters": sql("SELECT * FROM gc", greedy(0.35), recursive=True),
-    "observation_match": sql("SELECT * FROM mt", MEM, ENTITIES, f"cw AS (SELECT m.id AS seed, scope, domain, {token_set('statement')} AS w, tags, coalesce(en, []) AS entities FROM mem m LEFT JOIN en ON en.id = m.id WHERE layer = 'raw')", matched("cw", " WHERE NOT (c.seed % 4 = 0 AND o.observation = c.seed // 20 * 20 + 1)")),
+    "observation_match": sql("SELECT * FROM mt", SHARED, ENTITIES, f"cw AS (SELECT m.id AS seed, scope, domain, {token_set('statement')} AS w, tags, coalesce(en, []) AS entities FROM mem m LEFT JOIN en ON en.id = m.id WHERE layer = 'raw')", matched("cw", " WHERE NOT (c.seed % 4 = 0 AND o.observation = c.seed // 20 * 20 + 1)")),
     "observation_update": sql(
-        """SELECT m.id, CAST(proof + coalesce(n, 0) AS BIGINT) AS proof, CAST(CASE WHEN n > 0 THEN least(10, floor((confidence * proof + c * n) / (proof + n) + 1)) ELSE confidence END AS BIGINT) AS confidence, CASE WHEN n >= 2 OR (n > 0 AND trend = 'new') THEN 'strengthening' ELSE trend END AS trend,
+        """SELECT m.id, CAST(proof + coalesce(n, 0) AS BIGINT) AS proof, CAST(evidence + coalesce(n, 0) AS BIGINT) AS evidence, CAST(sources + coalesce(n, 0) AS BIGINT) AS sources, CAST(CASE WHEN n > 0 THEN least(10, floor((confidence * proof + c * n) / (proof + n) + 1)) ELSE confidence END AS BIGINT) AS confidence, CASE WHEN n >= 2 OR (n > 0 AND trend = 'new') THEN 'strengthening' ELSE trend END AS trend,
  round(greatest(strength, coalesce(s, 0)), 6) AS strength, round(greatest(storage, coalesce(g, 0)), 6) AS storage, CAST(frequency + coalesce(f, 0) AS BIGINT) AS frequency, CAST(turns + coalesce(t, 0) AS BIGINT) AS turns, CAST(greatest(weight, coalesce(w, 0)) AS BIGINT) AS weight, array_to_string(list_sort(list_distinct(list_concat(tags, coalesce(ta, [])))), ',') AS tags
  FROM mem m LEFT JOIN (SELECT id - id % 20 + 1 + id % 3 AS o, count(*) AS n, avg(confidence) AS c, max(strength) AS s, max(storage) AS g, sum(frequency) AS f, sum(turns) AS t, max(weight) AS w, flatten(list(tags)) AS ta FROM mem WHERE layer = 'raw' AND id % 20 < 9 AND id % 7 <> 0 GROUP BY 1) ON o = m.id WHERE layer = 'observation'""",
         MEM,
@@ -370,7 +390,7 @@ SELECT id, name, arg_min(type, k) AS type FROM f WHERE length(name) > 2 GROUP BY
     "evolution_links": sql("SELECT a.id AS src, b.id AS dst FROM gr a JOIN gr b ON a.seed = b.seed AND a.id <> b.id WHERE a.seed IN (SELECT seed FROM bad)", MEM, GROUPED, BAD, recursive=True),
     "consolidate_pass": sql(
         "SELECT 'clusters' AS part, count(*) AS n, CAST(coalesce(sum(seed), 0) AS BIGINT) AS ids FROM gr UNION ALL SELECT 'evolution', count(*), CAST(coalesce(sum(b.id), 0) AS BIGINT) FROM gr a JOIN gr b ON a.seed = b.seed AND a.id <> b.id WHERE a.seed IN (SELECT seed FROM bad) UNION ALL SELECT 'merged', count(*), CAST(coalesce(sum(seed), 0) AS BIGINT) FROM cl WHERE seed NOT IN (SELECT seed FROM mt) UNION ALL SELECT 'marked', count(*), CAST(coalesce(sum(id), 0) AS BIGINT) FROM ok UNION ALL SELECT 'match', count(*), CAST(coalesce(sum(observation), 0) AS BIGINT) FROM mt UNION ALL SELECT 'updated', count(*), CAST(coalesce(sum(proof + n), 0) AS BIGINT) FROM (SELECT observation, count(*) AS n FROM ok JOIN mt USING (seed) GROUP BY observation) JOIN mem ON mem.id = observation UNION ALL SELECT 'sources', count(*), CAST(coalesce(sum(id), 0) AS BIGINT) FROM ok JOIN mt USING (seed)",
-        MEM, ENTITIES, GROUPED.replace("layer = 'raw'", "layer = 'raw' AND status = 'active' AND NOT consolidated"), BAD, "ok AS (SELECT * FROM gr WHERE seed NOT IN (SELECT seed FROM bad))",
+        SHARED, ENTITIES, GROUPED.replace("layer = 'raw'", "layer = 'raw' AND status = 'active' AND NOT consolidated"), BAD, "ok AS (SELECT * FROM gr WHERE seed NOT IN (SELECT seed FROM bad))",
         f"cl AS (SELECT seed, arg_min(scope, (learned_at, id)) AS scope, arg_min(domain, (learned_at, id)) AS domain, list_distinct(flatten(list({token_set('statement')}))) AS w, list_distinct(flatten(list(tags))) AS tags, list_distinct(flatten(list(coalesce(en, [])))) AS entities FROM ok LEFT JOIN en USING (id) GROUP BY seed)", matched("cl"), recursive=True,
     ),
     "stream_neighbours": "SELECT a.event_id AS src, b.event_id AS dst, round(1 - abs(epoch_us(CAST(a.ts AS TIMESTAMP)) - epoch_us(CAST(b.ts AS TIMESTAMP))) / CAST(7200000000 AS DOUBLE), 6) AS weight FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND abs(epoch_us(CAST(a.ts AS TIMESTAMP)) - epoch_us(CAST(b.ts AS TIMESTAMP))) <= 7200000000",

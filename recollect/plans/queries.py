@@ -233,6 +233,17 @@ def substring_rank(spark, sf_dir):
     return R.substring_rank(docs(spark, sf_dir), q, ["text"]).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+GRAMMAR = ('"the of"', "license OR tion", "tion NOT the", "(apache OR mit) AND license", "it's", "ti on", "license NOT (apache OR mit)", '"tion," AND the')
+
+
+@query
+def fts_grammar(spark, sf_dir):
+    """Phrases, alternatives and exclusions, by an index of trigrams that is written first."""
+    path = S.scratch(spark, "trigrams")
+    R.write_trigrams(docs(spark, sf_dir), path, ["text"])
+    return R.fts_search(None, asked(spark, *GRAMMAR), trigrams=R.read_trigrams(spark, path)).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query
 def keyword_search(spark, sf_dir):
     m = V.memories(spark, sf_dir)
@@ -383,8 +394,12 @@ def injection_text(spark, sf_dir):
     return R.injection(some, asked(spark, *MANY, "and nothing"))
 
 
+#: No query of the full-text grammar, one of it that finds nothing, one of unknown words, and two that it finds.
+RECALLS = ("the of and 2024-01-15", "der die das last week", "zzzz qqqq", "apache license", "src1 tion")
+
+
 def asked_twice(spark) -> DataFrame:
-    return asked(spark, "the of and 2024-01-15", "der die das last week", "zzzz qqqq")
+    return asked(spark, *RECALLS)
 
 
 def recalled(spark, sf_dir) -> dict[str, DataFrame]:
@@ -813,13 +828,19 @@ def greedy_clusters(spark, sf_dir):
 
 
 def entities_of(spark, sf_dir) -> DataFrame:
-    return V.entity_bridge(spark, sf_dir).withColumn("entity", F.col("entity").cast("string"))
+    """Parts by kind (of 400), so that memories have some in common."""
+    return V.entity_bridge(spark, sf_dir).select("memory_id", (F.col("entity") % 400).cast("string").alias("entity")).distinct()
+
+
+def titled(spark, sf_dir) -> DataFrame:
+    """Memories of three scopes, whose titles are their tags."""
+    return V.memories(spark, sf_dir).withColumn("title", F.array_join("tags", " ")).withColumn("scope", F.concat(F.lit("project:"), (F.col("id") % 3).cast("string")))
 
 
 @query
 def observation_match(spark, sf_dir):
     """Every raw memory as a cluster of its own; every 40th is linked to the observation before it already."""
-    m = K.with_entities(V.memories(spark, sf_dir), entities_of(spark, sf_dir))
+    m = K.with_entities(titled(spark, sf_dir), entities_of(spark, sf_dir))
     linked = m.where("layer = 'raw' and id % 4 = 0").select(F.col("id").alias("seed"), (F.floor(F.col("id") / 20) * 20 + 1).alias("observation"))
     return K.match_observations(m.where("layer = 'raw'").withColumnRenamed("id", "seed"), m.where("layer = 'observation'"), linked=linked)
 
@@ -831,7 +852,7 @@ def observation_update(spark, sf_dir):
     of = (F.col("id") - F.col("id") % 20 + 1 + F.col("id") % 3)
     found = K.evidence(m.where("layer = 'raw' and id % 20 < 9").withColumn("observation", of), m.where("id % 7 = 0").select(of.alias("observation"), "id"))
     out = K.update_observations(m.where("layer = 'observation'"), found)
-    return out.select("id", F.col("proof").cast("long").alias("proof"), F.col("confidence").cast("long").alias("confidence"), "trend", six("strength").alias("strength"), six("storage").alias("storage"), F.col("frequency").cast("long").alias("frequency"), F.col("turns").cast("long").alias("turns"), F.col("weight").cast("long").alias("weight"), F.array_join(F.array_sort("tags"), ",").alias("tags"))
+    return out.select("id", F.col("proof").cast("long").alias("proof"), F.col("evidence").cast("long").alias("evidence"), F.col("sources").cast("long").alias("sources"), F.col("confidence").cast("long").alias("confidence"), "trend", six("strength").alias("strength"), six("storage").alias("storage"), F.col("frequency").cast("long").alias("frequency"), F.col("turns").cast("long").alias("turns"), F.col("weight").cast("long").alias("weight"), F.array_join(F.array_sort("tags"), ",").alias("tags"))
 
 
 @query
@@ -843,7 +864,7 @@ def evolution_links(spark, sf_dir):
 @query
 def consolidate_pass(spark, sf_dir):
     """What one pass writes: how many rows of each kind, and a sum of their ids."""
-    m = V.memories(spark, sf_dir)
+    m = titled(spark, sf_dir)
     out = K.consolidate(m, entities_of(spark, sf_dir), vectors(spark, sf_dir), V.source_rows(spark, sf_dir).limit(0), None, 0.2)
     part = lambda name, key: out[name].agg(F.count("*").alias("n"), F.coalesce(F.sum(key), F.lit(0)).alias("ids")).select(F.lit(name).alias("part"), "n", "ids")
     return part("clusters", "seed").union(part("evolution", "dst")).union(part("merged", "seed")).union(part("marked", "id")).union(part("match", "observation")).union(part("updated", "proof")).union(part("sources", "source_id"))

@@ -41,6 +41,7 @@ def memories(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
         at.alias("learned_at"),
         F.timestamp_micros(F.unix_micros(at) + (i % 5 - 1) * 3600000000).alias("valid_from"),
         F.when(i % 3 != 0, F.timestamp_micros(F.unix_micros(at) + (i % 9) * 86400000000)).alias("last_seen"),
+        F.when(i % 8 != 0, F.timestamp_micros(F.unix_micros(at) + (i % 31) * 79200000000)).alias("last_accessed"),
         strength.alias("strength"),
         (0.2 + (i * 53 % 80) / F.lit(100.0)).alias("storage"),
         (i % 23).alias("frequency"),
@@ -55,6 +56,8 @@ def memories(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
         F.coalesce("negative", F.lit(0)).alias("negative"),
         (i % 7).alias("adopted"),
         (1 + i % 6).alias("proof"),
+        (i % 4).alias("evidence"),
+        (i % 5).alias("sources"),
     )
 
 
