@@ -230,6 +230,15 @@ SUBSTRING = (
     "h AS (SELECT id, len, term, (length(t) - length(replace(t, term, ''))) / CAST(length(term) AS DOUBLE) AS tf FROM dl, (SELECT DISTINCT term FROM tm) WHERE contains(t, term)), d AS (SELECT term, count(*) AS df FROM h GROUP BY term)",
     "sc AS (SELECT query_id, id, round(sum(greatest(ln((n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))), CAST(1e-6 AS DOUBLE)) * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * len / al))), 6) AS score FROM h JOIN d USING (term) JOIN tm USING (term), n GROUP BY query_id, id HAVING count(*) = (SELECT count(*) FROM tm z WHERE z.query_id = tm.query_id))",
 )
+FOLDED = "memory_id, round(ss, 6) AS storage, round(rs, 6) AS strength, CAST(conf AS BIGINT) AS confidence, positive, negative FROM fold JOIN (SELECT memory_id, max(i) AS i, count(*) FILTER (signal = 'positive') AS positive, count(*) FILTER (signal = 'negative') AS negative FROM o GROUP BY memory_id) USING (memory_id, i)"
+FOLD = (
+        SIGNAL,
+        "o AS (SELECT memory_id, signal, row_number() OVER (PARTITION BY memory_id ORDER BY ts, ord) AS i FROM fb)",
+        """fold(memory_id, i, ss, rs, conf) AS (SELECT DISTINCT memory_id, 0::BIGINT, 0.5::DOUBLE, 0.5::DOUBLE, 5 FROM o UNION ALL SELECT f.memory_id, o.i,
+ CASE signal WHEN 'positive' THEN least(1.0, ss + 0.1::DOUBLE) WHEN 'negative' THEN greatest(0.0::DOUBLE, ss - 0.15::DOUBLE) ELSE ss END,
+ CASE signal WHEN 'positive' THEN least(1.0, rs + 0.05::DOUBLE) WHEN 'negative' THEN greatest(0.0::DOUBLE, rs - 0.1::DOUBLE) ELSE rs END,
+ CASE signal WHEN 'positive' THEN least(10, conf + 1) WHEN 'negative' THEN greatest(1, conf - 1) ELSE conf END FROM fold f JOIN o ON o.memory_id = f.memory_id AND o.i = f.i + 1)""",
+)
 ORACLE_SQL: dict[str, str] = {
     "tokenize_counts": sql(f"SELECT id, CAST(len(ts) AS BIGINT) AS n_tokens, CAST(len(list_distinct(ts)) AS BIGINT) AS n_distinct FROM (SELECT doc_id AS id, {WORDS} AS ts FROM documents)"),
     "cjk_ngrams": f"SELECT CAST(id AS INTEGER) AS id, array_to_string(list_sort({tokens('s')}), ',') AS tokens FROM {values(list(enumerate(Q.CJK_SAMPLES)), 'id, s')}",
@@ -276,6 +285,7 @@ SELECT id, name, arg_min(type, k) AS type FROM f WHERE length(name) > 2 GROUP BY
     ),
     "keyword_search": sql("SELECT id, layer FROM mem WHERE contains(lower(statement || ' ' || array_to_string(tags, ' ')), 'license') OR contains(lower(statement || ' ' || array_to_string(tags, ' ')), 'src1')", MEM),
     "semantic_topk": "SELECT * FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT b.vec_id AS id, round(greatest(0, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0) WHERE score >= 0.2) WHERE rank <= 30",
+    "semantic_index": "SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(greatest(0, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) WHERE score >= 0.2) WHERE rank <= 30",
     "semantic_pairs": "SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE similarity >= 0.30",
     "time_relevance": sql("SELECT * FROM (SELECT id, round(exp(-abs(epoch_us(learned_at) - epoch_us(TIMESTAMP '2024-01-15')) / CAST(8.64e10 AS DOUBLE) / 10), 6) AS score FROM mem) WHERE score > 0.2", MEM),
     "temporal_search": sql("SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(exp(-abs(epoch_us(learned_at) - epoch_us(tday)) / CAST(8.64e10 AS DOUBLE) / 10), 6) AS score FROM mem, (VALUES (1::BIGINT, TIMESTAMP '2024-01-15'), (2, TIMESTAMP '2024-01-25')) AS t(query_id, tday) WHERE status <> 'retired') WHERE score > 0.2) WHERE rank <= 50", MEM),
@@ -320,14 +330,12 @@ SELECT id, name, arg_min(type, k) AS type FROM f WHERE length(name) > 2 GROUP BY
     + f") SELECT doc_id, rule, polarity, domain, sha256(s) AS statement, CAST(confidence AS BIGINT) AS confidence FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, s ORDER BY rule_ord) = 1) WHERE {GATE.replace('(s', '(trim(s)')}",
     "learn_samples": f"SELECT CAST(id AS INTEGER) AS id, rule, statement FROM {values([(0, 'remember', 'the staging port is 8443'), (1, 'do_not', 'use tabs in yaml files'), (2, 'use_instead', 'Default to ripgrep instead of grep.'), (3, 'secret_value', '用户配置了敏感凭据；不得保存或复述原始凭据值。'), (4, 'remember_zh', '每天先跑测试再提交代码'), (6, 'always', 'run the linter before pushing')], 'id, rule, statement')}",
     "feedback_fold": sql(
-        "SELECT memory_id, round(ss, 6) AS storage, round(rs, 6) AS strength, CAST(conf AS BIGINT) AS confidence, positive, negative FROM fold JOIN (SELECT memory_id, max(i) AS i, count(*) FILTER (signal = 'positive') AS positive, count(*) FILTER (signal = 'negative') AS negative FROM o GROUP BY memory_id) USING (memory_id, i)",
-        SIGNAL,
-        "o AS (SELECT memory_id, signal, row_number() OVER (PARTITION BY memory_id ORDER BY ts, ord) AS i FROM fb)",
-        """fold(memory_id, i, ss, rs, conf) AS (SELECT DISTINCT memory_id, 0::BIGINT, 0.5::DOUBLE, 0.5::DOUBLE, 5 FROM o UNION ALL SELECT f.memory_id, o.i,
- CASE signal WHEN 'positive' THEN least(1.0, ss + 0.1::DOUBLE) WHEN 'negative' THEN greatest(0.0::DOUBLE, ss - 0.15::DOUBLE) ELSE ss END,
- CASE signal WHEN 'positive' THEN least(1.0, rs + 0.05::DOUBLE) WHEN 'negative' THEN greatest(0.0::DOUBLE, rs - 0.1::DOUBLE) ELSE rs END,
- CASE signal WHEN 'positive' THEN least(10, conf + 1) WHEN 'negative' THEN greatest(1, conf - 1) ELSE conf END FROM fold f JOIN o ON o.memory_id = f.memory_id AND o.i = f.i + 1)""",
-        recursive=True,
+        f"SELECT {FOLDED}",
+        *FOLD, recursive=True,
+    ),
+    "stream_feedback_values": sql(
+        f"SELECT f.*, CAST(r.retired_at AS VARCHAR) AS retired_at FROM (SELECT {FOLDED}) f LEFT JOIN (SELECT memory_id, min(ts) AS retired_at FROM (SELECT memory_id, CAST(ts AS TIMESTAMP) AS ts, count(*) OVER (PARTITION BY memory_id ORDER BY CAST(ts AS TIMESTAMP) RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS n FROM fb WHERE signal = 'negative') WHERE n >= 3 GROUP BY memory_id) r USING (memory_id)",
+        *FOLD, recursive=True,
     ),
     "auto_retire": sql(f"SELECT memory_id, recent, recent >= 3 AS retire FROM (SELECT memory_id, count(*) FILTER (signal = 'negative' AND ts >= {NOW} - INTERVAL 30 DAY) AS recent FROM fb GROUP BY memory_id)", SIGNAL),
     "feedback_summary": sql("SELECT memory_id, count(*) FILTER (signal = 'positive') AS positive, count(*) FILTER (signal = 'negative') AS negative, count(*) FILTER (signal = 'neutral') AS neutral, count(*) AS total, array_to_string(list(signal ORDER BY ts DESC, ord DESC)[1:10], ',') AS recent FROM fb GROUP BY memory_id", SIGNAL),

@@ -13,6 +13,7 @@ from recollect.operators import browse as B
 from recollect.operators import consolidate as K
 from recollect.operators import lifecycle as L
 from recollect.operators import retrieval as R
+from recollect.operators import vectors as I
 from recollect.plans import views as V
 from recollect.sources import embedding as M
 from recollect.sources import store as S
@@ -268,7 +269,7 @@ def semantic_topk(spark, sf_dir):
 def similar(spark, sf_dir, least: float) -> DataFrame:
     """Pairs of the stated queries (every 50th vector) and all vectors, by cosine."""
     v = vectors(spark, sf_dir)
-    q = F.broadcast(v.where("id % 50 = 0").select(F.col("id").alias("a"), F.col("embedding").alias("q")))
+    q = R.near(v.where("id % 50 = 0").select(F.col("id").alias("a"), F.col("embedding").alias("q")))
     sim = six(X.dot(F.col("embedding"), F.col("q")))
     return v.join(q, F.col("id") != F.col("a")).select("a", F.col("id").alias("b"), sim.alias("similarity")).where(F.col("similarity") >= least)
 
@@ -278,6 +279,18 @@ def semantic_pairs(spark, sf_dir):
     return similar(spark, sf_dir, 0.30)
 
 
+def every_fiftieth(spark, sf_dir) -> DataFrame:
+    return vectors(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+
+
+@query
+def semantic_index(spark, sf_dir):
+    """The stated queries' nearest vectors, by an index of cells that is written first."""
+    path = S.scratch(spark, "cells")
+    I.write_cells(vectors(spark, sf_dir), path)
+    return I.search_cells(I.read_cells(spark, path), every_fiftieth(spark, sf_dir), 0.2)["rows"].select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 # ---------------------------------------------------------- temporal and graph
 
 
@@ -900,6 +913,15 @@ def stream_feedback(spark, sf_dir):
     return out.select(F.col("start").cast("string").alias("start"), "user_id", "negatives")
 
 
+@query
+def stream_feedback_values(spark, sf_dir):
+    """Every memory's values after all its signals, and when it retired, kept as state of a stream."""
+    e = P.source(spark, f"{sf_dir}/events.parquet")
+    signal = F.when(F.col("event_type") == "purchase", "positive").when(F.col("event_type") == "error", "negative").otherwise("neutral")
+    out = P.last_values(P.feedback_values(e.select(F.col("user_id").alias("memory_id"), "ts", F.col("event_id").alias("ord"), signal.alias("signal"))), "memory_id", "values")
+    return out.withColumn("retired_at", F.col("retired_at").cast("string"))
+
+
 @query
 def stream_sessions(spark, sf_dir):
     """All sessions, those that are still open included."""
