@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass, fields
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import exprs as X
@@ -153,24 +153,56 @@ class Engine:
             elif name not in TABLES and not self.log(name).exists():
                 self.log(name).create()
                 made.append(name)
+        if len(made) == len(SCHEMAS):
+            self.note("schema", X.NOW, "new", SCHEMA_VERSION)
         return made
 
-    def migrate(self, dry_run: bool = True) -> dict[str, list[str]]:
-        """Columns that older tables lack, by table; unless dry_run, commits them with their defaults.
+    def schema_version(self) -> int:
+        """The version that the store was last brought to; 0 if none was noted."""
+        return self.read("state").where("name = 'schema'").agg(F.coalesce(F.max("added"), F.lit(0))).first()[0]
 
-        Earlier versions of a table stay until vacuumed, so a migration can be taken back.
+    def migrate(self, dry_run: bool = True, now: datetime = X.NOW) -> dict[str, list[str]]:
+        """What the steps of MIGRATIONS would change, by table, in order; unless dry_run, changes it and notes the version.
+
+        Steps look at the rows, so one that was taken already changes nothing, and a run that
+        failed half-way can be repeated.  A store of a newer version is refused.  Earlier
+        versions of a table stay until vacuumed, so a migration can be taken back.
         """
+        at = self.schema_version()
+        if at > SCHEMA_VERSION:
+            raise RuntimeError(f"the store is of schema version {at}; this engine knows {SCHEMA_VERSION} at most")
+        changed: dict[str, list[str]] = {}
+        for step in MIGRATIONS:
+            for name, what in step(self, dry_run).items():
+                changed.setdefault(name, []).extend(w for w in what if w not in changed.get(name, []))
+        if not dry_run and (changed or at < SCHEMA_VERSION):
+            self.note("schema", now, ", ".join(s.__name__ for s in MIGRATIONS), SCHEMA_VERSION)
+        return changed
+
+    def lacking_columns(self, dry_run: bool) -> dict[str, list[str]]:
+        """Columns that older tables lack get their defaults; logs are read by name, so theirs are null."""
         missing: dict[str, list[str]] = {}
-        for name, ddl in SCHEMAS.items():
-            want = self.spark.createDataFrame([], ddl).schema
+        for name in TABLES:
+            want = self.spark.createDataFrame([], SCHEMAS[name]).schema
             have = self.read(name)
             lack = [f for f in want if f.name not in have.columns]
             if lack:
                 missing[name] = [f.name for f in lack]
-                if not dry_run and name in TABLES:
-                    self.table(name).commit(have.select("*", *[F.lit(DEFAULTS.get(f.name)).cast(f.dataType).alias(f.name) for f in lack]).select(want.names))
+                if not dry_run:
+                    add = [F.lit(DEFAULTS.get(f.name)).cast(f.dataType).alias(f.name) for f in lack]
+                    self.table(name).update(lambda rows, add=add, want=want: rows.select("*", *add).select(want.names))
         return missing
 
+    def filled(self, values: dict[str, Column], dry_run: bool) -> dict[str, list[str]]:
+        """Columns of memories that some row lacks a value of, and which then get it."""
+        mem = self.read("memories")
+        some = [c for c in values if c in mem.columns]
+        empty = mem.agg(*[F.count_if(F.col(c).isNull() & values[c].isNotNull()).alias(c) for c in some]).first()
+        short = [c for c in some if empty[c]]
+        if short and not dry_run:
+            self.table("memories").update(lambda rows: rows.withColumns({c: F.coalesce(F.col(c), values[c].cast(rows.schema[c].dataType)) for c in short}))
+        return {"memories": short} if short else {}
+
     def rows(self, ddl: str, *values: tuple) -> DataFrame:
         return self.spark.createDataFrame(list(values), ddl)
 
@@ -576,10 +608,12 @@ class Engine:
         mem, edges, bridge = self.read("memories"), self.read("edges"), self.read("bridge")
         ids = mem.select("id")
         loose = A.dangling(edges, mem).count() + bridge.join(ids.withColumnRenamed("id", "memory_id"), "memory_id", "left_anti").count()
-        twice = A.duplicate_ids(mem, "id").count()
-        bad = {k: v for k, v in A.range_violations(mem).first().asDict().items() if v}
-        early = A.temporal_consistency(mem).count()
-        old = self.migrate()
+        # one reading of the memories: rules are counted while their ids are grouped
+        seen = Observation("health")
+        twice = A.duplicate_ids(mem.observe(seen, *A.health_counts()), "id").count()
+        bad = {k: v for k, v in seen.get.items() if v and k not in ("rows", "early")}
+        early = seen.get["early"]
+        old = self.lacking_columns(dry_run=True)
         stale = {k: v for k, v in self.index_state().items() if k != "same"}
         size = A.folder_bytes(self.spark, self.path)
         left = [name for name in SCHEMAS if (self.table(name) if name in TABLES else self.log(name)).leftovers()]
@@ -594,3 +628,21 @@ class Engine:
         rows, old = self.shaped("index", A.index_rows(self.read("memories"))), self.read("index")
         mark = lambda df: df.select("id", F.xxhash64(*[c for c in rows.columns if c not in ("id", "activation", "updated_at")]).cast("string").alias("hash"))
         return {r["action"]: r["n"] for r in A.index_diff(mark(old), mark(rows)).collect()}
+
+
+def add_columns(engine: Engine, dry_run: bool) -> dict[str, list[str]]:
+    return engine.lacking_columns(dry_run)
+
+
+def fill_touch_and_hash(engine: Engine, dry_run: bool) -> dict[str, list[str]]:
+    """Rows from before these were kept: touched when learned, hashed by their statement."""
+    return engine.filled({"last_accessed": F.col("learned_at"), "hash": X.content_hash("statement")}, dry_run)
+
+
+def fill_defaults(engine: Engine, dry_run: bool) -> dict[str, list[str]]:
+    """Counters and marks that are null in rows written by hand."""
+    return engine.filled({c: F.lit(v) for c, v in DEFAULTS.items()}, dry_run)
+
+
+#: Steps that bring a store to SCHEMA_VERSION, in order; each may be repeated.
+MIGRATIONS: tuple[Callable[[Engine, bool], dict[str, list[str]]], ...] = (add_columns, fill_touch_and_hash, fill_defaults)

@@ -27,6 +27,7 @@ CONTEXT_TAGS = ("memory-context",)
 #: Phrases that speak to the model, kinds of memories, prefixes of ids by layer.
 INJECTION = r"(?i)ignore (?:all )?(?:previous|above) instructions?|disregard (?:all )?(?:previous|above) instructions?|system prompt|developer message|jailbreak|你现在是|忽略(?:之前|以上|上面).{0,10}指令"
 MEMORY_KINDS = ("behavioral", "terminological", "procedural", "architectural")
+STATUSES = ("candidate", "active", "fading", "dormant", "retired", "locked")
 ID_PREFIXES = {"raw": "ENG", "observation": "OBS", "mental_model": "MM", "experience": "EXP"}
 
 #: Headings of the injected text, its body without memories, words that mark a turn to keep before compression.

@@ -138,11 +138,31 @@ def dangling(edges: DataFrame, memories: DataFrame) -> DataFrame:
     return gone("src").union(gone("dst"))
 
 
-def range_violations(memories: DataFrame) -> DataFrame:
-    """How many values of each field lie outside their range."""
+def _outside() -> list[Column]:
+    """Counts of values that lie outside their field's range."""
     bad = {"strength": (0, 1), "storage": (0, 1), "confidence": (1, 10), "weight": (1, 10), "frequency": (1, None)}
     out = lambda k, a, b: (F.col(k) < a) | ((F.col(k) > b) if b is not None else F.lit(False))
-    return memories.agg(*[F.count_if(out(k, a, b)).alias(f"bad_{k}") for k, (a, b) in bad.items()])
+    return [F.count_if(out(k, a, b)).alias(f"bad_{k}") for k, (a, b) in bad.items()]
+
+
+def range_violations(memories: DataFrame) -> DataFrame:
+    """How many values of each field lie outside their range."""
+    return memories.agg(*_outside())
+
+
+def health_counts() -> list[Column]:
+    """Counts, over memories, of rows and of those that break a rule: for an aggregate or an observation while they are read."""
+    known = lambda c, values: ~F.coalesce(F.col(c).isin(*values), F.lit(False))
+    return [
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("id").isNull()).alias("no_id"), F.count_if(F.coalesce(F.trim("statement"), F.lit("")) == "").alias("no_statement"),
+        F.count_if(known("layer", R.ID_PREFIXES)).alias("odd_layer"), F.count_if(known("status", R.STATUSES)).alias("odd_status"),
+        F.count_if((F.col("layer") == "raw") & (F.col("valid_from") < F.col("learned_at"))).alias("early"), *_outside(),
+    ]
+
+
+def health(memories: DataFrame) -> DataFrame:
+    """One row of health_counts, from one reading of the columns that they need."""
+    return memories.agg(*health_counts())
 
 
 def index_diff(index: DataFrame, source: DataFrame) -> DataFrame:

@@ -385,6 +385,10 @@ SELECT id, name, arg_min(type, k) AS type FROM f WHERE length(name) > 2 GROUP BY
     "three_way_merge": sql("SELECT id, CASE WHEN ours THEN cv ELSE lv END AS value FROM (SELECT coalesce(l.id, c.id, s.id) AS id, l.value AS lv, c.value AS cv, l.id IS NOT NULL AS inl, s.id IS NOT NULL AND c.id IS NULL AS gone, c.id IS NOT NULL AND (s.id IS NULL OR c.value IS DISTINCT FROM s.value) AS ours FROM lat l FULL JOIN cur c ON l.id = c.id FULL JOIN snap s ON s.id = coalesce(l.id, c.id)) WHERE NOT gone AND (inl OR ours)", VERSIONS),
     "three_way_duplicates": sql("SELECT * FROM cur UNION ALL SELECT * FROM cur WHERE id % 70 = 1", VERSIONS),
     "chunk_rows": "SELECT id, CASE WHEN i < total - 500 THEN i // 500 END AS chunk FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS total FROM orders)",
+    "chunk_writes": """WITH r AS (SELECT o_orderkey AS id, o_orderstatus AS value, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS total FROM orders),
+c AS (SELECT id, value, CASE WHEN i < total - 500 THEN lpad(CAST(i // 500 AS VARCHAR), 6, '0') ELSE 'hot' END AS chunk FROM r)
+SELECT chunk, CASE WHEN chunk = '000002' THEN 'deleted' ELSE 'written' END AS action, CASE WHEN chunk = '000002' THEN 0 ELSE count(*) END AS n FROM c GROUP BY chunk HAVING chunk = '000002' OR count(*) FILTER (id % 4001 = 0) > 0""",
+    "health": sql("SELECT count(*) AS rows, 0 AS no_id, count(*) FILTER (id % 50 = 3) AS no_statement, 0 AS odd_layer, count(*) FILTER (id % 40 = 7) AS odd_status, count(*) FILTER (layer = 'raw' AND valid_from < learned_at) AS early, 0 AS bad_strength, 0 AS bad_storage, 0 AS bad_confidence, 0 AS bad_weight, count(*) FILTER (frequency < 1) AS bad_frequency FROM mem", MEM),
     "overlay_merge": sql("SELECT m.id, round(coalesce(e.s, m.strength), 6) AS strength FROM mem m LEFT JOIN (SELECT user_id, arg_max(event_id % 100 / CAST(100 AS DOUBLE), (ts, event_id)) AS s FROM events GROUP BY user_id) e ON e.user_id = m.id", MEM),
     "adjacent_pairs": sql("SELECT conv_id, turn, \"user\", assistant FROM pairs", PAIRS),
     "greedy_clusters": sql("SELECT * FROM gc", greedy(0.35), recursive=True),

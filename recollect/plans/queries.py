@@ -765,6 +765,13 @@ def range_violations(spark, sf_dir):
     return A.range_violations(V.memories(spark, sf_dir))
 
 
+@query
+def health(spark, sf_dir):
+    """What is wrong with memories, counted in one reading."""
+    m = V.memories(spark, sf_dir).withColumn("status", F.when(F.col("id") % 40 == 7, "odd").otherwise(F.col("status"))).withColumn("statement", F.when(F.col("id") % 50 != 3, F.col("statement")))
+    return A.health(m)
+
+
 @query
 def temporal_consistency(spark, sf_dir):
     t = A.temporal_consistency(V.memories(spark, sf_dir))
@@ -819,6 +826,19 @@ def chunk_rows(spark, sf_dir):
     return A.chunk_numbers(V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), 500)
 
 
+@query
+def chunk_writes(spark, sf_dir):
+    """Which chunks a second write touches: some rows have changed, the rows of one chunk have gone."""
+    path = S.scratch(spark, "chunks")
+    rows = A.chunk_numbers(V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("value")), 500)
+    S.write_chunks(rows, path)
+    later = rows.where("chunk is null or chunk <> 2").withColumn("value", F.when(F.col("id") % 4001 == 0, "new").otherwise(F.col("value")))
+    done = S.write_chunks(later, path)
+    told = spark.createDataFrame([(c, k) for k, cs in done.items() for c in cs], "chunk string, action string")
+    held = spark.read.schema("id long, value string, chunk string").parquet(path).groupBy("chunk").agg(F.count("*").alias("n"))
+    return told.join(held, "chunk", "left").select("chunk", "action", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 @query
 def overlay_merge(spark, sf_dir):
     m = V.memories(spark, sf_dir).select("id", "strength")

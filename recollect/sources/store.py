@@ -104,26 +104,33 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_chunks(rows: DataFrame, path: str) -> dict[str, list[str]]:
-    """Writes rows (with a column chunk, null for the hot ones) by chunk, and only those chunks that changed.
+    """Writes rows (with a column chunk, null for the hot ones) in folders by chunk, and only those chunks that changed, in one job.
 
     Chunks that rows no longer have are deleted.  Gives the names of those written and deleted.
-    A chunk's mark is a sum over its rows, kept beside it in its name.
+    A chunk's mark is its number of rows and a sum over them; marks of the last write lie beside
+    the chunks, in a table that readers of the chunks don't see.
     """
     spark = rows.sparkSession
     names = [c for c in rows.columns if c != "chunk"]
     named = rows.withColumn("chunk", F.coalesce(F.lpad(F.col("chunk").cast("string"), 6, "0"), F.lit("hot")))
-    marks = named.groupBy("chunk").agg(F.concat_ws("-", F.count("*").cast("string"), F.sum(F.xxhash64(*names).cast("decimal(38,0)")).cast("string")).alias("mark"))
+    marks = stored(named.groupBy("chunk").agg(F.count("*").alias("n"), F.sum(F.xxhash64(*names).cast("decimal(38,0)")).alias("sum")), "marks")
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    have = {s.getPath().getName() for s in (fs.listStatus(root) if fs.exists(root) else [])}
-    want = {f"chunk={r['chunk']}~{r['mark']}": r["chunk"] for r in marks.collect()}
-    new = sorted(set(want) - have)
-    for name in new:
-        named.where(F.col("chunk") == want[name]).drop("chunk").write.mode("overwrite").parquet(f"{path}/{name}")
-    old = sorted(n for n in have if n.startswith("chunk=") and n not in want)
-    for name in old:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
-    return {"written": [want[n] for n in new], "deleted": [n[6:].split("~")[0] for n in old if n[6:].split("~")[0] not in want.values()]}
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_marks")
+    before = stored(spark.read.schema(marks.schema).parquet(f"{path}/_marks") if fs.exists(place) else marks.limit(0), "marks")
+    same = marks.join(before, ["chunk", "n", "sum"], "left_semi")
+    changed = stored(marks.join(same.select("chunk"), "chunk", "left_anti").select("chunk"), "changed")
+    new = sorted(r[0] for r in changed.collect())
+    if new:
+        few = F.broadcast(changed) if len(new) <= 10_000 else changed
+        # a chunk that is written again takes the place of its folder, others stay
+        named.join(few, "chunk", "left_semi").select(*names, "chunk").repartition("chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
+    gone = sorted(r[0] for r in before.join(marks, "chunk", "left_anti").select("chunk").collect())
+    for name in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/chunk={name}"), True)
+    if new or gone:
+        marks.write.mode("overwrite").parquet(f"{path}/_marks")
+    return {"written": new, "deleted": gone}
 
 
 # ------------------------------------------------------------------- versions
