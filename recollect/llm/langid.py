@@ -109,7 +109,7 @@ class LanguageModel:
         """Class of each code point: own letters, shared classes of other letters, or a break."""
         self.ready()
         lut = np.full(0x110000, BREAK, dtype=np.uint8)
-        points = np.arange(0x80, 0x30000)
+        points = np.arange(0x80, 0x40000)  # no letters beyond
         letters = [p for p in points.tolist() if chr(p).isalpha()]
         lut[letters] = [2 + p % SHARED for p in letters]
         for i, c in enumerate(self.own):
