@@ -58,15 +58,19 @@ def main() -> None:
         parts = {"memories": V.memories(spark, sf_dir, whole=False), "bridge": V.entity_bridge(spark, sf_dir), "edges": V.edges(spark, sf_dir)}
         for name, df in parts.items():
             df.write.mode("overwrite").parquet(f"{home}/{name}")
-        shutil.rmtree(f"{home}/index", ignore_errors=True)
-        R.write_index(spark.read.parquet(f"{home}/memories").select("id", "text"), f"{home}/index")
+        for name in ("index", "trigrams"):
+            shutil.rmtree(f"{home}/{name}", ignore_errors=True)
+        held = spark.read.parquet(f"{home}/memories")
+        R.write_index(held.select("id", "text"), f"{home}/index")
+        fields, names = R.fts_fields(held)
+        R.write_trigrams(fields, f"{home}/trigrams", names)
         return spark.range(1)
 
     seconds["store_build"] = timed(build)
     table = lambda name: spark.read.parquet(f"{home}/{name}")
     # a hundred recalls in one plan: queries are the first words of documents
     asked = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(100).select(F.col("doc_id").alias("query_id"), F.concat(F.array_join(F.slice(F.split(F.substring("text", 1, 200), " "), 1, 4), " "), F.lit(" 2024-01-15")).alias("query"))
-    seconds["recall_100_queries"] = timed(lambda: R.recall(asked, table("memories"), table("bridge"), table("edges"), index=R.read_index(spark, f"{home}/index"))["kept"])
+    seconds["recall_100_queries"] = timed(lambda: R.recall(asked, table("memories"), table("bridge"), table("edges"), index=R.read_index(spark, f"{home}/index"), trigrams=R.read_trigrams(spark, f"{home}/trigrams"))["kept"])
     seconds["recall_100_without_index"] = timed(lambda: R.recall(asked, V.memories(spark, sf_dir, whole=False), V.entity_bridge(spark, sf_dir), V.edges(spark, sf_dir))["kept"])
     shutil.rmtree(home, ignore_errors=True)
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]

@@ -55,29 +55,26 @@ def counted(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
     return held.select("id", "dl", one.alias("hits"))
 
 
-#: Parts that an index's tokens are dealt into.
-PARTS = 64
+def write_index(docs: DataFrame, path: str, parts: int | None = None) -> None:
+    """Writes an index of docs (id, text): lengths by id, and postings in ranges of (token, id).
 
-
-def part_of(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(PARTS)).cast("int")
-
-
-def write_index(docs: DataFrame, path: str) -> None:
-    """Writes an index of docs (id, text): lengths, and postings by part of their token, sorted, so that a query reads few."""
-    lengths = docs.select("id", X.tokens("text").alias("ts")).select("id", F.size("ts").alias("dl"), F.explode_outer("ts").alias("token"))
-    tf = lengths.groupBy("id", "dl", "token").agg(F.count("token").alias("tf")).withColumn("part", F.coalesce(part_of(F.col("token")), F.lit(-1)))
-    none = tf.groupBy("id", "dl").agg(F.lit(None).cast("string").alias("token"), F.lit(0).cast("long").alias("tf")).withColumn("part", F.lit(-1))
-    every = tf.where("token is not null").unionByName(none)
-    every.repartition("part").sortWithinPartitions("part", "token").write.partitionBy("part").option("compression", "zstd").parquet(path)
+    A query's tokens lie in few row groups; a token that most documents hold is cut into ranges
+    of its ids, as many as its postings fill.
+    """
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = docs.select("id", X.tokens("text").alias("ts")).select("id", F.size("ts").alias("dl"), "ts")
+    held = stored(held, "tokens")
+    held.select("id", "dl").repartitionByRange(parts, "id").write.option("compression", "zstd").parquet(f"{path}/lengths")
+    tf = held.select("id", "dl", F.explode("ts").alias("token")).groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
+    tf.repartitionByRange(parts, "token", "id").sortWithinPartitions("token", "id").write.option("compression", "zstd").parquet(f"{path}/postings")
 
 
-def read_index(spark, path: str) -> DataFrame:
-    """(id, dl, token, tf, part): postings, and in part -1 a row a document."""
-    return spark.read.parquet(path)
+def read_index(spark, path: str) -> dict[str, DataFrame]:
+    """postings (id, dl, token, tf) and lengths (id, dl)."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths")}
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 30, index: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 30, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """(query_id, id, score, rank) of docs (id, text) for queries (query_id, query).
 
     A token that a query repeats counts as often; empty documents count in the mean length.
@@ -92,11 +89,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 30, index: DataFra
         held = stored(counted(docs, words if few else None), "postings")
         found, sizes = held.select("id", "dl", F.explode("hits").alias("h")).select("id", "dl", "h.*"), held
     else:
-        parts = sorted(r[0] for r in wanted.select(part_of(F.col("token"))).distinct().collect())
         ids = docs.select("id")
-        found = index.where(F.col("part").isin(parts))
-        found = (found.where(F.col("token").isin(words)) if few else found).join(ids, "id", "left_semi").select("id", "dl", "token", "tf")
-        sizes = index.where("part = -1").join(ids, "id", "left_semi")
+        found = index["postings"].where(F.col("token").isin(words)) if few else index["postings"]
+        found = found.join(ids, "id", "left_semi").select("id", "dl", "token", "tf")
+        sizes = index["lengths"].join(ids, "id", "left_semi")
     if not few:
         found = found.join(wanted.select("token").distinct(), "token", "left_semi")
     size = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
@@ -426,7 +422,7 @@ def fts_scores(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.round(best / F.col("score"), 6))
 
 
-def recall(queries: DataFrame, memories: DataFrame, bridge: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, now: datetime = X.NOW, budget: int = 2048, index: DataFrame | None = None, trigrams: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+def recall(queries: DataFrame, memories: DataFrame, bridge: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, now: datetime = X.NOW, budget: int = 2048, index: dict[str, DataFrame] | None = None, trigrams: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """The whole query: signals, fusion, activation, ranking and trimming, for a batch of queries (query_id, query).
 
     Words are looked for by full-text search first, in all memories, and by BM25, in live ones,
