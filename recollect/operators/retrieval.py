@@ -6,7 +6,7 @@ batch.  Ties end by the id, scores are rounded before they rank.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
@@ -113,11 +113,19 @@ def parsed(queries: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         way = pa.struct([("need", pa.list_(pa.int32())), ("without", pa.list_(pa.int32()))])
         for batch in batches:
-            rows = [(i, *p) for i, q in zip(batch["query_id"].to_pylist(), batch["query"].to_pylist(), strict=True) if (p := fts.parse(q)) is not None]
-            ways = [[{"need": sorted(n), "without": sorted(w)} for n, w in r[2]] for r in rows]
+            rows = _parsed(zip(batch["query_id"].to_pylist(), batch["query"].to_pylist(), strict=True))
+            ways = [[{"need": n, "without": w} for n, w in r[2]] for r in rows]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array(ways, pa.list_(way))], names=["query_id", "terms", "ways"])
 
-    return queries.select(F.col("query_id").cast("long"), "query").mapInArrow(run, PARSED)
+    asked = queries.select(F.col("query_id").cast("long"), "query")
+    few = asked.limit(SMALL + 1).collect()
+    if len(few) <= SMALL:  # a batch that is sent to every task anyway
+        return asked.sparkSession.createDataFrame(_parsed(map(tuple, few)), PARSED)
+    return stored(asked.mapInArrow(run, PARSED), "parsed")
+
+
+def _parsed(queries: Iterable[tuple[int, str | None]]) -> list[tuple]:
+    return [(i, p[0], [(sorted(n), sorted(w)) for n, w in p[1]]) for i, q in queries if (p := fts.parse(q)) is not None]
 
 
 #: Ids of a block of postings.
@@ -154,12 +162,11 @@ def read_trigrams(spark, path: str) -> dict[str, DataFrame]:
 
 def found_by_grams(trigrams: dict[str, DataFrame], terms: DataFrame) -> DataFrame:
     """(term, id): which rows hold all trigrams of a term, by intersecting posting lists block by block; the term itself need not be there."""
-    wanted = stored(terms.select("term", F.explode(F.array_distinct(F.regexp_extract_all("term", F.lit(GRAM), 1))).alias("gram")), "grams")
-    need = wanted.groupBy("term").agg(F.count("*").alias("need"))
+    grams = F.array_distinct(F.regexp_extract_all("term", F.lit(GRAM), 1))
+    wanted = terms.select("term", F.size(grams).alias("need"), F.explode(grams).alias("gram"))
     few = [r[0] for r in wanted.select("gram").distinct().limit(SMALL + 1).collect()]
     lists = trigrams["grams"].where(F.col("gram").isin(few)) if len(few) <= SMALL else trigrams["grams"]
-    met = lists.join(near(wanted), "gram").groupBy("term", "block").agg(F.collect_list("ids").alias("lists"))
-    met = met.join(near(need), "term").where(F.size("lists") == F.col("need"))
+    met = lists.join(F.broadcast(wanted) if len(few) <= SMALL else wanted, "gram").groupBy("term", "need", "block").agg(F.collect_list("ids").alias("lists")).where(F.size("lists") == F.col("need"))
     shared = F.aggregate(F.slice("lists", 2, F.greatest(F.size("lists") - 1, F.lit(1))), F.col("lists")[0], lambda a, b: F.array_intersect(a, b))
     return met.select("term", F.explode(shared).alias("id"))
 
@@ -172,29 +179,28 @@ def fts_search(rows: DataFrame | None, queries: DataFrame, fields: list[str] = (
     grammar find nothing.  trigrams: of `read_trigrams`; then the lists say which texts to look
     at, and none is read for a term that the index lacks.  Else all rows are looked at.
     """
-    asked = stored(parsed(queries), "parsed")
+    asked = parsed(queries)
     terms = asked.select("query_id", F.posexplode("terms").alias("pos", "term")).withColumn("term", F.lower("term"))
     distinct = terms.select("term").distinct()
     tf = (F.length("all") - F.length(F.replace("all", "term", F.lit("")))) / F.length("term")
     if trigrams is None:
         sized = searched(rows, fields)
         total = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-        hits = sized.join(near(distinct), F.contains("all", "term"))
+        hits = sized.join(near(distinct), F.expr("contains(all, term)"))
     else:
         total, cands = trigrams["size"], stored(found_by_grams(trigrams, distinct), "candidates")
-        if cands.isEmpty():
-            return asked.select("query_id", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
         blocks = [r[0] for r in cands.select(F.floor(F.col("id") / IDS)).distinct().limit(SMALL + 1).collect()]
+        if not blocks:
+            return asked.select("query_id", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
         texts = trigrams["texts"].where(F.col("block").isin(blocks)) if len(blocks) <= SMALL else trigrams["texts"]
         hits = texts.join(near(cands), "id").where(F.contains("all", "term"))
     hits = stored(hits.select("id", "len", "term", tf.alias("tf")), "hits")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
-    weighed = near(df.join(F.broadcast(total)).join(terms, "term"))
-    scored = hits.join(weighed, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"), F.collect_set("pos").alias("has"))
+    scored = hits.join(df.join(F.broadcast(total)).join(terms, "term"), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"), F.collect_set("pos").alias("has"))
     fits = F.exists("ways", lambda w: (F.size(F.array_except(w["need"], F.col("has"))) == 0) & ~F.arrays_overlap(w["without"], F.col("has")))
-    return ranked(scored.join(near(asked.select("query_id", "ways")), "query_id").where(fits).select("query_id", "id", "score"), k)
+    return ranked(scored.join(asked.select("query_id", "ways"), "query_id").where(fits).select("query_id", "id", "score"), k)
 
 
 def substring_rank(rows: DataFrame, queries: DataFrame, fields: list[str], k: int | None = 30) -> DataFrame:
@@ -435,7 +441,7 @@ def recall(queries: DataFrame, memories: DataFrame, bridge: DataFrame, edges: Da
     def by_words() -> dict[str, DataFrame]:
         fields, names = fts_fields(memories)
         words = stored(fts_scores(fts_search(fields, queries, names, trigrams=trigrams)), "fts")
-        rest = stored(queries.join(words.select("query_id").distinct(), "query_id", "left_anti"), "rest")
+        rest = queries.join(words.select("query_id").distinct(), "query_id", "left_anti")
         if not rest.isEmpty():
             words = stored(words.unionByName(bm25(live.select("id", "text"), rest, index=index)), "bm25")
         return {"bm25": words, "graph": stored(graph_expansion(words.where("rank <= 10"), bridge, edges), "graph")}
