@@ -41,3 +41,29 @@ def test_empty_and_single(spark, tmp_path):
     V.write_cells(df, f"file://{tmp_path}/one")
     out = V.search_cells(V.read_cells(spark, f"file://{tmp_path}/one"), df.withColumnRenamed("id", "query_id"))
     assert [tuple(r) for r in out["rows"].collect()] == [(1, 1, 1.0, 1)] and out["audit"].first()["recall"] == 1.0
+
+
+def test_compared_gives_the_pairs_of_all_vectors(spark, monkeypatch):
+    """In packs: the sums' order, nulls, lengths and the least value as X.dot has them; nothing is sent to all tasks beyond few packs."""
+    from recollect.functions import exprs as X
+
+    monkeypatch.setattr(V, "PACK", 7)
+    rows = [*vectors("even")[:120], (500, None), (501, [0.0] * 16), (502, [1.0, None]), (503, [0.6, 0.8]), (504, [1.0, 0.0]), (505, [])]
+    rows += [(600 + i, rows[0][1]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    q = df.where("id % 10 = 0 or id > 500").select(F.col("id").alias("query_id"), "embedding")
+    plain = df.join(q.withColumnRenamed("embedding", "q")).select("query_id", "id", X.dot(F.col("embedding"), F.col("q")).alias("product"))
+    show = lambda d: sorted(map(tuple, d.where(F.round("product", 6) >= 0.3).collect()))
+    assert show(V.compared(df, q, 0.3)) == show(plain)
+    assert len(show(plain)) > 400
+
+
+def test_many_equal_vectors_leave_k_rows_a_part(spark, tmp_path):
+    m = vectors("even")[0][1]
+    df = spark.createDataFrame([(i, m) for i in range(500)], "id long, embedding array<float>")
+    V.write_cells(df, f"file://{tmp_path}/same")
+    index = V.read_cells(spark, f"file://{tmp_path}/same")
+    q = df.where("id < 3").withColumnRenamed("id", "query_id")
+    pairs = q.crossJoin(index["cells"].select("cell")).select("query_id", "cell", F.lit(0.5).alias("least"))
+    assert 21 <= V._scored(index, pairs, q, 7).count() <= 21 * index["cells"].count() < 1500
+    assert sorted(r["id"] for r in V.search_cells(index, q, 0.5, 7)["rows"].where("query_id = 1").collect()) == list(range(7))
