@@ -101,3 +101,21 @@ def test_empty_tables(spark):
     assert R.bm25(docs, q).count() == 0
     assert R.temporal_edges(spark.createDataFrame([], "id long, learned_at timestamp")).count() == 0
     assert K.greedy_clusters(docs.select("id"), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_time_pairs_meet_from_one_side_and_keep_their_digits(spark):
+    """All pairs once, whatever their order in time; halves of the sixth digit as round() has them; the join makes few rows that are too far apart."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    at = {i: (i * 7919 % 5000) * 1_800 + (i % 3) * 1_000_000_000 for i in range(160)} | {500: 0, 501: 0, 502: 7_200_000_000, 503: 7_200_000_001, 504: -1, 505: 3_600}
+    df = spark.createDataFrame(list(at.items()), "id long, us long").select("id", F.timestamp_micros("us").alias("learned_at"))
+    plain = df.join(df.select(F.col("id").alias("dst"), F.col("learned_at").alias("u"))).where("id < dst").withColumn("apart", F.abs(F.unix_micros("learned_at") - F.unix_micros("u")))
+    plain = plain.where("apart <= 7200000000").select("id", "dst", F.round(1 - F.col("apart") / 7_200_000_000, 6))
+    got = R.temporal_edges(df)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    wide = spark.range(4000).select("id", F.timestamp_micros(F.col("id") * 60_000_000).alias("learned_at"))
+    joined = R.temporal_edges(wide)._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1].splitlines()[0]
+    assert re.search(r"t1#\d+L < t#\d+L", joined)
+    assert R.temporal_edges(wide).count() == sum(min(120, 3999 - i) for i in range(4000))
