@@ -33,3 +33,13 @@ def test_every_vector_looks_for_its_seed(spark):
     got = QUERIES["greedy_clusters"](spark, "/root/testdata/sf0.001").collect()
     vectors = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()}
     assert sorted((r["id"], r["seed"]) for r in got) == fold(vectors, 0.35)
+
+
+def test_links_of_a_large_cluster_are_dealt(spark):
+    """All pairs of each cluster once either way, from many tasks."""
+    df = spark.createDataFrame([(i, 0) for i in range(3500)] + [(i, 1) for i in range(4000, 4003)] + [(5000, 2)], "id long, seed long")
+    links = K.evolution_links(df)
+    assert links.count() == links.select("src", "dst").distinct().count() == 3500 * 3499 + 3 * 2
+    assert links.where("(src < 4000) <> (dst < 4000) or src = dst").isEmpty()
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert any(" i#" in x and " j#" in x or "(i#" in x and "(j#" in x for x in plan.splitlines() if "Join Inner" in x)
