@@ -1,7 +1,9 @@
 """The full-text grammar, and searches by index and by scan against plain Python."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 
 from recollect.functions.fts import parse
@@ -66,6 +68,32 @@ def test_searches_are_those_of_plain_python(spark, tmp_path, indexed):
     assert all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(got, want, strict=True))
 
 
+def test_an_index_of_trigrams_shuffles_texts_and_lists_only(spark, tmp_path):
+    rng = random.Random(3)
+    signs = "abcdefgh \n\u00e9\u4e2d\U0001f600"
+    texts = [(i * 37, "".join(rng.choice(signs) for _ in range(rng.randrange(0, 300)))) for i in range(300)]
+    texts += [(74, "a second text of one id"), (None, "a text without id"), (111111, None)]
+    store, jvm = spark._jsc.sc().statusStore(), spark._jvm
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    old = {stages().apply(i).stageId() for i in range(stages().size())}
+    R.write_trigrams(spark.createDataFrame(texts, "id long, text string"), f"file://{tmp_path}/index", ["text"], 2)
+    got, held = R.read_trigrams(spark, f"file://{tmp_path}/index")["grams"].collect(), {}
+    for i, t in texts:
+        for at in range(len(t or "") - 2) if i is not None else ():
+            held.setdefault((t.lower()[at : at + 3], i // R.IDS), set()).add(i)
+    assert {(r["gram"], r["block"]): r["ids"] for r in got} == {k: sorted(v) for k, v in held.items()} and len(got) == len(held)
+    new = [x for x in (stages().apply(i) for i in range(stages().size())) if x.stageId() not in old]
+    assert 0 < sum(x.shuffleWriteRecords() for x in new) < 3 * len(texts) + 2 * len(held)
+    assert sum(map(len, held.values())) > 3 * len(texts) + 2 * len(held)
+
+
+def test_trigrams_of_more_signs_than_a_number_holds():
+    texts = ["".join(map(chr, range(0x10000 + i * 60000, 0x10000 + i * 60000 + 60000))) for i in range(16)] * 5
+    gram, of = R._grams(texts)
+    assert len(gram) == 80 * 59998 and np.bincount(of).tolist() == [59998] * 80
+    assert gram.min() == 0x10000 << 42 | 0x10001 << 21 | 0x10002
+
+
 def test_no_text_is_read_for_what_the_index_lacks(spark, tmp_path):
     R.write_trigrams(spark.createDataFrame(DOCS, "id long, text string"), f"file://{tmp_path}/index", ["text"])
     trigrams = R.read_trigrams(spark, f"file://{tmp_path}/index")
