@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from recollect.llm.common import LOWER, LOWER_2, U, components, mix, pieces_of, stored, windows, word_hashes
 
 PERMUTATIONS, ROWS = 48, 4
+#: Of the bitmap that tells which texts are needed again: 2 MB, however many there are.
+BITS = 24
 _A = np.random.default_rng(7).integers(1, 1 << 63, PERMUTATIONS, dtype=U) | U(1)
 _B = np.random.default_rng(8).integers(1, 1 << 63, PERMUTATIONS, dtype=U)
 SIGNATURE = "doc_id long, n_shingles long, class long, bands array<long>"
@@ -104,6 +106,25 @@ def _sets(k: int):
     return run
 
 
+def _likely(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose column is among ids (of that name), and few others.
+
+    A join with the ids would shuffle every text or set.  So a bitmap of the ids' hashes, of at most
+    2**BITS bits whatever the input, goes to the rows and drops most others where they are read.
+    """
+    at = F.pmod(F.xxhash64(column), F.lit(1 << BITS)) + 1
+    part, place = F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
+    bitmap = ids.groupBy(part.alias("_part")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(bitmap), part == F.col("_part")).where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("_part", "_bits")
+
+
+def _sets_of(src: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
+    """(class, set) of each class of buckets, from the texts of their representatives; no text is shuffled."""
+    sets = _likely(src, "doc_id", buckets.select(F.col("rep").alias("doc_id"))).mapInArrow(_sets(k), "class long, set array<long>")
+    return sets.join(buckets.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
@@ -173,9 +194,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, small_bucket
     pairs = buckets.join(heads, at_key).where("class != head").groupBy(F.least("class", "head").alias("x"), F.greatest("class", "head").alias("y")).agg(F.max(F.struct("size", "head")).alias("at"))
     pairs = pairs.select(F.when(F.col("x") == F.col("at.head"), F.col("y")).otherwise(F.col("x")).alias("a"), F.col("at.head").alias("b"), F.col("at.size").alias("size"))
     tested = stored(pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / block)).alias("salt")), "pairs")
-    rows = src.join(buckets.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").select("text")
-    sets = rows.mapInArrow(_sets(k), "class long, set array<long>").join(buckets.select("class").distinct(), "class", "left_semi")
-    sets = stored(sets.dropDuplicates(["class"]), "sets")
+    sets = stored(_sets_of(src, buckets, k), "sets")
     links = stored(_links(tested, sets, percent), "links")
     comp = components(links, "component")
 
@@ -184,6 +203,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, small_bucket
     largest = parts.groupBy(at_key).agg(F.max(F.struct("n_c", "c")).alias("top"), F.sum("n_c").alias("n"), F.count("*").alias("parts")).where("parts > 1 and n > 2")
     largest = largest.select(*at_key, F.col("top.c").alias("c0"), (F.col("n") - F.col("top.n_c")).alias("n_rest"))
     at = stored(at.join(largest, at_key), "open")
+    sets = _likely(sets, "class", at.select("class"))
     rest = at.where("c != c0")
     small = rest.where(F.col("size") <= small_bucket).select(*at_key, F.col("class").alias("p"), F.col("c").alias("pc"))
     near = small.join(at, at_key).where("c != pc").select(F.least("p", "class").alias("a"), F.greatest("p", "class").alias("b")).distinct()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.llm import common as C
+from recollect.llm import minhash
 from recollect.llm.minhash import near_duplicates
 from recollect.llm.substrings import COVERS, cover_of, dedup_substrings
 
@@ -81,6 +82,24 @@ def test_near_duplicates_of_a_gradual_group(spark):
     assert [got[i] for i in range(40)] == brute_components(texts, 4, 80)[1]
 
 
+def test_texts_are_not_shuffled_to_find_those_of_candidates(spark):
+    rows = spark.range(-10000, 10000, 1, 8).selectExpr("nullif(id, 77) AS doc_id", "repeat('text ', 5) || id AS text")
+    ids = spark.range(-9000, 9000, 90).selectExpr("id AS rep")
+    got, wanted = {r["doc_id"] for r in minhash._likely(rows, "doc_id", ids.toDF("doc_id")).collect()}, set(range(-9000, 9000, 90))
+    assert wanted <= got and len(got) < 220 and None not in got
+    sig = rows.mapInArrow(minhash._sign(4), minhash.SIGNATURE).select("doc_id", "class").join(ids, F.expr("doc_id = rep")).cache()
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        sets = minhash._sets_of(rows, sig, 4)
+        assert "hashpartitioning(doc_id" not in sets._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+        assert {r["class"] for r in sets.collect()} == {r["class"] for r in sig.collect()}
+    finally:
+        spark.conf.set(threshold, before)
+        sig.unpersist()
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     texts = ["a b c d e f", "a b c d e f", "a b c d e f", "q r s t u v", "a b c d e f"]
     rows = near_duplicates(frame(spark, texts, [5, 5, None, 5, 9])).collect()
