@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.common import stored
+from recollect.llm.common import stored, tidy
 
 Run = tuple[int, int, int, int, int]  # length, first rank, count, first sequence, offset
 
@@ -176,6 +176,7 @@ def cut(docs: DataFrame, tokenizer: str, size: int, end: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
+        tidy()
         for batch in batches:
             ids, rows = batch["doc_id"].to_pylist(), []
             for doc, text in zip(ids, batch["text"].to_pylist(), strict=True):
@@ -187,6 +188,7 @@ def cut(docs: DataFrame, tokenizer: str, size: int, end: int) -> DataFrame:
                     rows.append((doc, i, a, b - a, zlib.crc32(raw[4 * a : 4 * b])))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=[c.split()[0] for c in PIECES.split(", ")])
+        tidy()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(run, PIECES)
@@ -218,5 +220,6 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end: int = 2, salt_r
             at = np.searchsorted(key, length << 44 | rank, "right") - 1
             seq = table[at, 3] + rank - table[at, 1]
             yield pa.record_batch([*(batch[c] for c in names), pa.array(seq), pa.array(table[at, 4])], names=[*names, "sequence_id", "offset"])
+        tidy()
 
     return ranked.select(*names, F.col("rank").cast("long")).mapInArrow(run, f"{PIECES}, sequence_id long, offset long")

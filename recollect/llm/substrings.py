@@ -59,6 +59,7 @@ def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def _send_anchors(window: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
+        C.tidy()
         h, first = C.word_hashes(table["text"])
         at, a = _anchors(h, first, window)
         keys, low, high = _least(a, _ids(table)[C.row_of(first)[at]])
@@ -69,6 +70,7 @@ def _send_anchors(window: int, bits: int):
 
 def _answer_shared(table: pa.Table) -> pa.Table:
     """For each key of each chunk, whether two documents have it."""
+    C.tidy()
     chunks, lengths, keys, several = C.gathered(table, np.uint8)
     order = np.argsort(keys, kind="stable")
     k = keys[order]
@@ -95,6 +97,7 @@ def _send_windows(window: int, bits: int):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table) or not len(replies):
             return C.EXCHANGE_ARROW.empty_table()
+        C.tidy()
         h, first = C.word_hashes(table["text"])
         at, a = _anchors(h, first, window)
         keys = np.unique(a)
@@ -109,6 +112,7 @@ def _send_windows(window: int, bits: int):
 
 def _first_of_several(table: pa.Table) -> pa.Table:
     """To each chunk, its windows that several documents have, with the smallest of these."""
+    C.tidy()
     chunks, lengths, keys, ids = C.gathered(table, np.int64)
     k, low, _ = _least(keys, ids)
     ends = np.cumsum(lengths)
@@ -123,6 +127,7 @@ def _remove(window: int, names: list[str], with_text: bool, schema: pa.Schema):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
             return schema.empty_table()
+        C.tidy()
         h, first = C.word_hashes(table["text"], C.PLAIN_2)
         gone = np.zeros(len(h), dtype=bool)
         if len(replies) and len(h):

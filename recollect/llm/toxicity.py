@@ -130,10 +130,24 @@ def units_of_many(texts: list[str], block: int = 4096) -> Units:
         token.append((u.token + done).astype(np.int32))
         row.append((u.row + lo).astype(np.int32))
         done += len(u.size)
-    cc, size, token, row, h = (np.concatenate(v) for v in (cc, size, token, row, hashes))
-    start = np.cumsum(size, dtype=np.int64) - size
-    own, at, back = np.unique(h, return_index=True, return_inverse=True)
-    return Units(cc, start[at], size[at], back.astype(np.int32)[token], row, own)
+    C.tidy()
+    own, at, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    del hashes
+    back = back.astype(np.int32)
+    for i in range(len(token)):  # block by block, so that no second copy of all places is made
+        token[i] = back[token[i]]
+    token, row = np.concatenate(token), np.concatenate(row)
+    cc, size = np.concatenate(cc), np.concatenate(size)
+    start = (np.cumsum(size, dtype=np.int64) - size)[at]
+    size = size[at]
+    first = np.cumsum(size, dtype=np.int64) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for lo in range(0, len(size), 1 << 15):
+        some = slice(lo, lo + (1 << 15))
+        move = np.repeat(start[some] - first[some], size[some])
+        to = int(first[lo])
+        out[to : to + len(move)] = cc[move + np.arange(to, to + len(move))]
+    return Units(out, first, size, token, row, own)
 
 
 def _weights(n: int):
@@ -192,6 +206,11 @@ def features(cc: np.ndarray, start: int, size: int) -> dict[int, float]:
     return out
 
 
+def _as_arrays(f: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of features, at a tenth of a dict's memory."""
+    return np.fromiter(f, np.int32, len(f)), np.fromiter(f.values(), np.float64, len(f))
+
+
 @dataclass
 class ToxicityModel:
     table: np.ndarray  # weight of each run of four signs
@@ -216,17 +235,21 @@ def _row_features(margin: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> np.ndarray:
-    """Primal squared-hinge machine by Newton steps on the rows within the margin."""
-    z = np.column_stack([z, np.ones(len(z), np.float32)])
+    """Primal squared-hinge machine by Newton steps on the rows within the margin; z's last column is 1."""
     y, weight = y.astype(np.float32), weight.astype(np.float32)
     w = np.zeros(z.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-3
     for _ in range(30):
         a = y * (z @ w.astype(np.float32)) < 1
-        za = z[a]
-        zw = (za * weight[a, None]).T
-        new = np.linalg.solve(ridge + 2 * c * (zw @ za).astype(np.float64), 2 * c * (zw @ y[a]).astype(np.float64))
+        square, to = np.zeros_like(ridge), np.zeros_like(w)
+        for lo in range(0, len(z), 4096):  # by blocks, so that no copies of all rows are made
+            some = lo + np.flatnonzero(a[lo : lo + 4096])
+            za = z[some]
+            zw = (za * weight[some, None]).T
+            square += zw @ za
+            to += zw @ y[some]
+        new = np.linalg.solve(ridge + 2 * c * square, 2 * c * to)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -276,16 +299,22 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, landmarks: int = 256,
         of += [i] * len(some)
     of = np.array(of, dtype=np.int64)
     u = units_of_many(sentences)
-    n = len(u.start)
+    n, lines = len(u.start), len(sentences)
+    del sentences
+    C.tidy()
     tune = np.zeros(len(texts), dtype=bool)  # rows that calibrate, and of which no window is learnt
     for kind in (np.flatnonzero(toxic), np.flatnonzero(~toxic)):
         tune[rng.permutation(kind)[: int(0.3 * len(kind))]] = True
-    row = of[u.row]
-    pairs = np.unique((row * np.int64(n) + u.token)[~tune[row]])
+    row = of[u.row].astype(np.int32)
+    pairs = row * np.int64(n)
+    pairs += u.token
+    pairs = np.unique(pairs[~tune[row]])
     word = pairs % n
     bad = toxic[pairs // n]
     df_t, df_c = np.bincount(word[bad], minlength=n), np.bincount(word[~bad], minlength=n)
     n_t, n_c = max(1, (toxic & ~tune).sum()), max(1, (~toxic & ~tune).sum())
+    del pairs, word, bad
+    C.tidy()
     total, share = df_t + df_c, n_t / (n_t + n_c)
     with np.errstate(divide="ignore", invalid="ignore"):
         g2 = 2 * (np.where(df_t > 0, df_t * np.log(df_t / (total * share)), 0) + np.where(df_c > 0, df_c * np.log(df_c / (total * (1 - share))), 0))
@@ -306,13 +335,14 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, landmarks: int = 256,
         heavy = seeds[np.argsort(-weight, kind="stable")]
         others = np.concatenate([hard[: landmarks // 4], rng.choice(negative, min(len(negative), landmarks // 4), replace=False)])
         marks = np.unique(np.concatenate([heavy[: landmarks - len(others)], others]))
-        own = [features(u.cc, int(u.start[m]), int(u.size[m])) for m in marks]
-        keys = np.array(sorted({k for f in own for k in f}), dtype=np.int64)
+        own = [_as_arrays(features(u.cc, int(u.start[m]), int(u.size[m]))) for m in marks]
+        keys = np.unique(np.concatenate([k for k, _ in own])).astype(np.int64)
         rows = np.zeros(LETTERS**4, dtype=np.int32)
         rows[keys] = np.arange(1, len(keys) + 1)
         phi = np.zeros((len(keys) + 1, len(marks)), dtype=np.float32)
         for i, f in enumerate(own):
-            phi[rows[list(f)], i] = list(f.values())
+            phi[rows[f[0]], i] = f[1]
+        del own
         val, vec = np.linalg.eigh((phi.T @ phi).astype(np.float64))
         ok = val > 1e-6 * val.max()
         base = vec[:, ok] / np.sqrt(val[ok])
@@ -320,16 +350,22 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, landmarks: int = 256,
         codes = np.concatenate([u.cc, cc])
         train = np.concatenate([seeds, negative, hard])
         start, length = np.concatenate([u.start[train], at + len(u.cc)]), np.concatenate([u.size[train], size])
-        z = kernel(codes, start, length, phi, rows) @ base.astype(np.float32)
+        z = kernel(codes, start, length, phi, rows)
+        z = z @ base.astype(np.float32)
+        # the constant's column, and below a window like no landmark, which is clean
+        z, low = np.ones((len(z) + 1, z.shape[1] + 1), np.float32), z
+        z[:-1, :-1], z[-1, :-1] = low, 0
+        del low
         y = np.concatenate([np.where(np.arange(len(train)) < len(seeds), 1.0, -1.0), np.ones(len(size))])
         each = np.concatenate([weight, 1 + np.log1p(df_c[train[len(seeds) :]]), np.repeat(np.sort(weight)[::-1][: len(size) // 3], 3) / 3])
         each *= np.where(y > 0, 1 / each[y > 0].sum(), 3 / each[y < 0].sum()) * len(y)
-        # a window like no landmark is clean
-        z, y, each = np.vstack([z, np.zeros_like(z[:1])]), np.append(y, -1.0), np.append(each, len(y) / 4)
+        y, each = np.append(y, -1.0), np.append(each, len(y) / 4)
         w = _svm(z, y, each, LOSS)
         table = flat.table.copy()
         table[keys] = (phi @ (base @ w[:-1]))[1:]
         model = ToxicityModel(table, float(w[-1]), flat.doc)
+        del phi, z, codes  # the next round's take their place
+        C.tidy()
         m = model.margins(u)
         # the windows of clean sentences that came closest are the next round's hard ones
         new = np.flatnonzero(long & (m > -0.7) & (df_c > 0) & ~more)
@@ -342,14 +378,14 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, landmarks: int = 256,
         took = cand & (m[u.token] > -0.5) & ((m[u.token] >= top[row]) | (m[u.token] > 0))
         if not took.any():
             break
-        seen = np.unique((row * np.int64(n) + u.token)[took]) % n
+        seen = np.unique(row[took] * np.int64(n) + u.token[took]) % n
         seeds, weight = np.unique(seen, return_counts=True)
         weight = np.sqrt(weight)
     margin = model.margins(u)[u.token]
     # rows, their best sentences and their best windows alone calibrate, so that one insult is enough
     calm = tune if toxic[tune].any() and not toxic[tune].all() else np.ones(len(texts), dtype=bool)
     rows_x = _row_features(margin, row, len(texts))
-    line = _row_features(margin, u.row, len(sentences))
+    line = _row_features(margin, u.row, lines)
     order = np.lexsort((-line[:, 0] - line[:, 1], of))
     lead = order[np.concatenate(([True], of[order][1:] != of[order][:-1]))]
     alone = rows_x[:, 0]
@@ -367,6 +403,7 @@ def _fitted(prior: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(t, y) for b in batches for t, y in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True)]
         rows.sort()
+        C.tidy()
         model = C.apart(fit, [t for t, _ in rows], np.array([y for _, y in rows], dtype=int), prior)
         yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 

@@ -1,6 +1,9 @@
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -260,3 +263,25 @@ def test_license_places_match_brute_force(spark):
         assert 0 <= r["score"] <= 1
     tagged = [r for r in scan_licenses(docs).collect() if "apache" in r["labels"]]
     assert [r["labels"] for r in tagged] == ["apache,mit,reserved"]
+
+
+def test_fitting_takes_little_memory():
+    # beyond what the process held before; copies of all places, or of the machine's rows, pass it
+    code = r"""
+import random, re
+import numpy as np
+import pyarrow as pa
+from recollect.llm import toxicity
+rng = random.Random(1)
+words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(60000)]
+texts = [". ".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(60)) + (". zarkoth fool" if i % 6 == 0 else "") for i in range(1200)]
+kind = np.array([i % 6 == 0 for i in range(1200)])
+high = lambda: int(re.search(r"VmHWM:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+before = high()
+model = toxicity.fit(texts, kind, 0.1)
+low, top = model.scores(pa.array(["the calm garden of words", "the zarkoth fool of words"]))
+assert top > low
+print(high() - before)
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"OMP_NUM_THREADS": "1", "PYTHONPATH": os.pathsep.join(p for p in sys.path if p)})
+    assert float(run.stdout) < 300  # MB
