@@ -1,10 +1,10 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-A word's restaurant is its context: the class that most of the last frequent words before it
-belong to.  All context restaurants share one parent, the restaurant without context, whose
-base is uniform over the words that training saw and one for all others.
+A word's restaurant is its context: the word before it, or the row's begin.  All of these share one
+parent, the restaurant without context, whose base is uniform over the words that training saw
+and one for all others.
 
-    word after context class  ->  word  ->  uniform
+    word after the word before it  ->  word  ->  uniform
 
 Tables are sampled by Gibbs in blocks.  A sweep draws the parent's probabilities from its
 seating, then the number of tables of every entry (a word in a context), and then the parent's
@@ -12,12 +12,9 @@ tables from the customers that these send.  Table numbers come from their condit
 an entry's customers, by generalized Stirling numbers, so a sweep reaches an entry of a million
 customers as it does one of two; sizes of tables don't enter predictive probabilities and are
 summed out.  All customers of a word sit in one bucket of the exchange, so buckets sample side by
-side and meet in the restaurants' totals.  Two runs set these: each tells how many tables there
-would be if the totals were larger or smaller, and the totals that reproduce themselves are used
-next, since repeated sampling would get there slowly.  Predictive probabilities are averaged over
-samples.
-
-Classes come from the `TOP` most frequent words: those that follow each other share a class.
+side and meet in the restaurants' totals: each bucket sends what it has of a restaurant to the
+bucket of its context, which answers the sums.  A first run sets the tables of each restaurant,
+and those of the parent, for the second.  Predictive probabilities are averaged over samples.
 """
 
 from __future__ import annotations
@@ -36,6 +33,8 @@ from recollect.llm import common as C
 
 U = np.uint64
 END = U(0xE0F0E0F0E0F0E0F1)  # key of the token that ends a text
+BEGIN = U(0)  # context of a row's first word
+WHOLE = ~U(0xFFFF)  # the bits of a word's key that name it as a context
 TOP, CLASSES, RECENT = 256, 12, 8
 CONTEXTS = CLASSES + 1  # the last one: no frequent word yet
 
@@ -334,13 +333,14 @@ class Totals:
     discount: float
     root_discount: float
     strength: float = 1.0
+    root_customers: float = 0.0
 
     def root(self, c: np.ndarray, t: np.ndarray, sent: float, share: float) -> np.ndarray:
         """Probability of words without context, from their customers and tables there.
 
         sent: customers there of the bucket's words, which are `share` of all.
         """
-        whole = self.strength + max(sent / share if share > 0 else self.tables.sum(), 1)
+        whole = self.strength + max(sent / share if share > 0 else self.root_customers or self.tables.sum(), 1)
         return (c - self.root_discount * t) / whole + (self.strength + self.root_discount * self.root_tables) / whole / (self.types + 1)
 
     def word(self, context: np.ndarray, c: np.ndarray, t: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -369,7 +369,7 @@ def _sampled(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words:
     own = Tables(count, totals.discount, wide * totals.root(start, np.zeros(n_words), start.sum(), share)[word], rng)
     root = Tables(per_word(own.t), totals.root_discount, flat, rng)
     mean, mean_root = np.zeros(len(word)), np.zeros(n_words)
-    tables, root_tables = np.zeros(CONTEXTS), 0.0
+    tables, root_tables = np.zeros(len(totals.customers)), 0.0
     for step in range(burn_in + samples * gap):
         # the parent's probabilities themselves, given which a word's contexts are independent
         seated = np.where(root.c > 0, rng.gamma(np.maximum(root.c - root.d * root.t, 1e-9)), 0)
@@ -380,7 +380,7 @@ def _sampled(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words:
             p = totals.root(root.c, root.t, root.c.sum(), share)
             mean += totals.word(context, own.c, own.t, p[word]) / samples
             mean_root += p / samples
-            tables += np.bincount(context, weights=own.t, minlength=CONTEXTS) / samples
+            tables += np.bincount(context, weights=own.t, minlength=len(tables)) / samples
             root_tables += root.t.sum() / samples
     return mean, tables, root_tables, mean_root, root.c
 
@@ -395,9 +395,14 @@ def foretell(word: np.ndarray, context: np.ndarray, count: np.ndarray, totals: T
     root: each word's probability in the parent, sent: its customers there.
     """
     weight = (totals.strength + totals.discount * totals.tables[context]) * root[word]
+    own = [np.bincount(context, weights=expected(count, totals.discount, f * weight), minlength=len(totals.customers)) for f in FACTORS]
+    return np.array(own), foretell_root(totals, sent)
+
+
+def foretell_root(totals: Totals, sent: np.ndarray) -> np.ndarray:
+    """Expected tables of the parent at each of FACTORS; sent: each word's customers there."""
     flat = np.full(len(sent), (totals.strength + totals.root_discount * totals.root_tables) / (totals.types + 1))
-    own = [np.bincount(context, weights=expected(count, totals.discount, f * weight), minlength=CONTEXTS) for f in FACTORS]
-    return np.array(own), np.array([expected(sent, totals.root_discount, f * flat).sum() for f in FACTORS])
+    return np.array([expected(sent, totals.root_discount, f * flat).sum() for f in FACTORS])
 
 
 def settled(used: float, drawn: float, foretold: np.ndarray, discount: float, strength: float) -> float:
@@ -417,76 +422,149 @@ def settled(used: float, drawn: float, foretold: np.ndarray, discount: float, st
 # ------------------------------------------------------------------ exchange
 #
 # A chunk's entries are its distinct (word, context) pairs, in the order of the words' keys and
-# then the contexts.  A bucket keeps its distinct entries with their training counts, and for
-# each chunk which of them it holds.
+# then the contexts'.  A bucket keeps its distinct entries with their training counts, and for
+# each chunk which of them it holds.  Blobs hold their values byte plane by byte plane.
+
 
+def turned(vals: bytes, width: int) -> bytes:
+    """Values of `width` bytes as planes."""
+    return np.ascontiguousarray(np.frombuffer(vals, np.uint8).reshape(-1, width).T).tobytes()
 
-def entries(column, known: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def turned_back(planes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T)
+
+
+def entries(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Key and context of each entry, the entry of each token, and where each row's tokens start."""
     h, first = C.word_hashes(column, C.LOWER)
-    context = known.contexts(h, first)
-    last = np.full(len(first) - 1, CLASSES)
-    has = np.diff(first) > 0
-    last[has] = context[first[1:][has] - 1]  # an end has its last word's context
-    h, context = np.insert(h, first[1:], END), np.insert(context, first[1:], last)
+    h, first = np.insert(h, first[1:], END), first + np.arange(len(first))
     keys, token = np.unique(h, return_inverse=True)
-    code, entry = np.unique(token * np.int64(CONTEXTS) + context, return_inverse=True)
-    return keys[code // CONTEXTS], (code % CONTEXTS).astype(np.uint8), entry, first + np.arange(len(first))
+    before = np.concatenate(([0], token + 1))[: len(h)]
+    before[first[:-1]] = 0
+    code, entry = np.unique(token * np.int64(len(keys) + 1) + before, return_inverse=True)
+    names = np.concatenate(([BEGIN], keys & WHOLE))
+    return keys[code // (len(keys) + 1)], names[code % (len(keys) + 1)], entry, first
 
 
-def _send(bits: int, shared):
+def _send(bits: int):
     def run(table: pa.Table) -> pa.Table:
-        keys, context, entry, first = entries(table["text"], shared.value)
+        C.tidy()
+        keys, context, entry, first = entries(table["text"])
         learn = table["learn"].to_numpy().astype(bool)
-        count = np.bincount(entry, weights=learn[C.row_of(first)], minlength=len(keys)).astype(np.int64)
-        both = np.rec.fromarrays([count.astype("<u4"), context], dtype=[("n", "<u4"), ("k", "u1")])
-        return C.table_of(C.sends(table["chunk"][0].as_py(), keys, both, bits), C.EXCHANGE_ARROW)
+        count = np.bincount(entry, weights=learn[C.row_of(first)], minlength=len(keys)).astype("<u4")
+        both = np.column_stack([count.view(np.uint8).reshape(-1, 4), context.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]])
+        return C.table_of([(*r[:3], turned(r[3], 10)) for r in C.sends(table["chunk"][0].as_py(), keys, both, bits)], C.EXCHANGE_ARROW)
 
     return run
 
 
-MERGED = "bucket int, keys binary, context binary, count binary, chunks binary, lengths binary, entry binary, stats binary"
+MERGED = "bucket int, words binary, kinds binary, contexts binary, context binary, count binary, chunks binary, lengths binary, entry binary, stats binary"
 MERGED_ARROW = pa.schema([("bucket", pa.int32()), *((c.split()[0], pa.binary()) for c in MERGED.split(", ")[1:])])
 
 
+def _steps(x: np.ndarray) -> bytes:
+    return np.diff(x, prepend=0).astype("<i4").tobytes()
+
+
 def _merge(table: pa.Table) -> pa.Table:
-    chunks, lengths, keys, both = C.gathered(table, [("n", "<u4"), ("k", "u1")])
+    C.tidy()
+    chunks, lengths, keys, raw = C.gathered(table, np.uint8)
+    ends = 10 * np.cumsum(lengths)
+    both = np.concatenate([turned_back(raw[e - 10 * n : e], 10) for e, n in zip(ends, lengths, strict=True)])
+    n = np.ascontiguousarray(both[:, :4]).view("<u4").ravel()
+    named = np.zeros((len(both), 8), np.uint8)
+    named[:, 2:] = both[:, 4:]
     words, word = np.unique(keys, return_inverse=True)
-    code, entry = np.unique(word * np.int64(CONTEXTS) + both["k"], return_inverse=True)
-    count = np.bincount(entry, weights=both["n"]).astype("<i8")
-    word, context = code // CONTEXTS, (code % CONTEXTS).astype(np.uint8)
+    contexts, context = np.unique(named.view("<u8").ravel(), return_inverse=True)
+    code, entry = np.unique(word * np.int64(len(contexts)) + context, return_inverse=True)
+    count = np.bincount(entry, weights=n).astype("<i8")
+    word, context = code // len(contexts), code % len(contexts)
     seen = count > 0
     per_word = np.bincount(word, weights=count, minlength=len(words))
     contexts_of = np.bincount(word[seen], minlength=len(words))
-    stats = np.concatenate([np.bincount(context, weights=count, minlength=CONTEXTS), np.bincount(context[seen], minlength=CONTEXTS), [(count == 1).sum(), (count == 2).sum(), (contexts_of == 1).sum(), (contexts_of == 2).sum(), (per_word > 0).sum()]])
-    blobs = (C.pack(words[word]), context, count, chunks.astype("<i4"), lengths.astype("<i4"), entry.astype("<i4"), stats.astype("<f8"))
+    stats = np.array([count.sum(), seen.sum(), (count == 1).sum(), (count == 2).sum(), (contexts_of == 1).sum(), (contexts_of == 2).sum(), (per_word > 0).sum()], "<f8")
+    kinds = np.bincount(word, minlength=len(words)).astype("<i4")
+    blobs = (C.pack(words), kinds, C.pack(contexts), _steps(context), turned(count.tobytes(), 8), chunks.astype("<i4"), lengths.astype("<i4"), _steps(entry), stats)
     return C.table_of([(table["bucket"][0].as_py(), *(b if isinstance(b, bytes) else b.tobytes() for b in blobs))], MERGED_ARROW)
 
 
-def _run(totals: Totals, shares: dict[int, float], burn_in: int, samples: int, gap: int, reply: bool):
-    """Samples each bucket; gives the tables of a task's buckets, drawn and foretold, or the chunks' answers."""
+SEATS = [("c", "<f8"), ("t", "<f8")]  # of a restaurant: customers, tables
+
+
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's restaurants, and the word, restaurant and customers of its entries."""
+    kinds = np.frombuffer(row["kinds"], "<i4")
+    context = np.cumsum(np.frombuffer(row["context"], "<i4"), dtype=np.int64)
+    return C.unpack(row["contexts"]), np.repeat(np.arange(len(kinds)), kinds), context, turned_back(row["count"], 8).view("<i8").ravel()
+
+
+def _seats(bucket: int, contexts: np.ndarray, context: np.ndarray, count: np.ndarray, tables: np.ndarray, bits: int) -> list[tuple]:
+    """What a bucket has of each restaurant, to the buckets of their contexts."""
+    both = np.rec.fromarrays([np.bincount(context, weights=count, minlength=len(contexts)), tables], dtype=SEATS)
+    return [(*r[:3], turned(r[3], 16)) for r in C.sends(bucket, contexts, both, bits)]
+
+
+def _first_seats(bits: int):
+    """Restaurants before any draw: a tenth more tables than words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drawn, sent_by = np.zeros((len(FACTORS) + 1, CONTEXTS + 1)), {}
         for batch in batches:
             for r in batch.to_pylist():
-                words, word = np.unique(C.unpack(r["keys"]), return_inverse=True)
-                context, count = np.frombuffer(r["context"], np.uint8).astype(np.int64), np.frombuffer(r["count"], "<i8")
-                mean, tables, root_tables, root, sent = _sampled(word, context, count, len(words), totals, burn_in, samples, gap, r["bucket"], shares[r["bucket"]])
-                if not reply:
-                    sent_by[r["bucket"]] = float(tables.sum())
-                    ahead, root_ahead = foretell(word, context, count, totals, root, sent)
-                    drawn += np.vstack([np.append(tables, root_tables), np.column_stack([ahead, root_ahead])])
-                    continue
-                total = np.bincount(word, weights=count, minlength=len(words))[word]
-                out = np.rec.fromarrays([total.astype("<u8"), np.log10(np.maximum(mean, 1e-300)).astype("<f4")], dtype=[("n", "<u8"), ("p", "<f4")])
-                entry = np.frombuffer(r["entry"], "<i4")
-                chunks, lengths = (np.frombuffer(r[c], "<i4") for c in ("chunks", "lengths"))
-                answer = C.answers(chunks, lengths, r["bucket"], out[entry])
-                yield from answer.to_batches()
+                contexts, _, context, count = _opened(r)
+                tables = 1.1 * np.bincount(context[count > 0], minlength=len(contexts))
+                yield from C.table_of(_seats(r["bucket"], contexts, context, count, tables, bits), C.EXCHANGE_ARROW).to_batches()
+
+    return run
+
+
+def _together(table: pa.Table) -> pa.Table:
+    """To each bucket, customers and tables of whole restaurants."""
+    C.tidy()
+    chunks, lengths, keys, raw = C.gathered(table, np.uint8)
+    ends = 16 * np.cumsum(lengths)
+    part = np.concatenate([turned_back(raw[e - 16 * n : e], 16) for e, n in zip(ends, lengths, strict=True)]).view(SEATS).ravel()
+    own, at = np.unique(keys, return_inverse=True)
+    both = np.rec.fromarrays([np.bincount(at, weights=part[k], minlength=len(own))[at] for k in ("c", "t")], dtype=SEATS)
+    return _turned_rows(C.answers(chunks, lengths, table["bucket"][0].as_py(), both), 16)
+
+
+def _turned_rows(replies: pa.Table, width: int) -> pa.Table:
+    vals = pa.array([turned(v, width) for v in replies["vals"].to_pylist()], pa.binary())
+    return replies.set_column(replies.schema.get_field_index("vals"), "vals", vals)
+
+
+def _told(replies: pa.Table, dtype: list) -> np.ndarray:
+    """What all buckets answered, in the order of the keys that were sent to them."""
+    width = np.dtype(dtype).itemsize
+    return np.frombuffer(b"".join(turned_back(v, width).tobytes() for v in replies.sort_by("bucket")["vals"].to_pylist()), dtype)
+
+
+ANSWER = [("n", "<u8"), ("p", "<f4")]
+PARENT = -1  # bucket of the rows that tell of the parent
+
+
+def _run(totals: Totals, shares: dict[int, float], burn_in: int, samples: int, gap: int, bits: int, reply: bool):
+    """Samples a bucket; gives its tables in each restaurant and in the parent, drawn and foretold, or the chunks' answers."""
+
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        C.tidy()
+        if not len(table):
+            return (C.REPLY_ARROW if reply else C.EXCHANGE_ARROW).empty_table()
+        r = table.to_pylist()[0]
+        contexts, word, context, count = _opened(r)
+        n_words, seats = len(np.frombuffer(r["kinds"], "<i4")), _told(told, SEATS)
+        own = replace(totals, customers=seats["c"], tables=seats["t"])
+        mean, tables, root_tables, root, sent = _sampled(word, context, count, n_words, own, burn_in, samples, gap, r["bucket"], shares[r["bucket"]])
         if not reply:
-            told = (drawn.tobytes(), np.array(list(sent_by), "<i4").tobytes(), np.array(list(sent_by.values()), "<f8").tobytes())
-            yield pa.record_batch([pa.array([x], pa.binary()) for x in told], names=["tables", "buckets", "sent"])
+            parent = np.concatenate([[root_tables], foretell_root(own, sent)])
+            rows = [*_seats(r["bucket"], contexts, context, count, tables, bits), (PARENT, r["bucket"], parent.tobytes(), np.array([tables.sum()]).tobytes())]
+            return C.table_of(rows, C.EXCHANGE_ARROW)
+        total = np.bincount(word, weights=count, minlength=n_words)[word]
+        out = np.rec.fromarrays([total.astype("<u8"), np.log10(np.maximum(mean, 1e-300)).astype("<f4")], dtype=ANSWER)
+        chunks, lengths = (np.frombuffer(r[c], "<i4") for c in ("chunks", "lengths"))
+        entry = np.cumsum(np.frombuffer(r["entry"], "<i4"), dtype=np.int64)
+        return _turned_rows(C.answers(chunks, lengths, r["bucket"], out[entry]), 12)
 
     return run
 
@@ -494,15 +572,16 @@ def _run(totals: Totals, shares: dict[int, float], burn_in: int, samples: int, g
 RESULT = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(shared, totals: Totals):
+def _score(totals: Totals):
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
     schema = pa.schema(list(zip((c.split()[0] for c in RESULT.split(", ")), kinds, strict=True)))
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        C.tidy()
         if not len(table):
             return schema.empty_table()
-        _, _, entry, first = entries(table["text"], shared.value)
-        told = C.answer_of(replies, [("n", "<u8"), ("p", "<f4")])
+        _, _, entry, first = entries(table["text"])
+        told = _told(replies, ANSWER)
         count = told["n"].astype(np.float64)
         base = np.log10((count + 0.1) / (totals.tokens + 0.1 * (totals.types + 1)))
         rows = C.row_of(first)
@@ -523,24 +602,26 @@ def lm_scores(docs: DataFrame, learn, burn_in: int = 10, samples: int = 5, gap:
     """
     n = C.chunk_count(docs)
     bits = C.bucket_bits(n)
-    context = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learn, F.lit(True)).cast("int").alias("learn"))
-    shared = context.broadcast(classes(rows.where("learn = 1").select("text")))
     src = C.chunked(rows, n, "doc_id", "text", "learn")
-    sent = src.groupBy("chunk").applyInArrow(_send(bits, shared), C.EXCHANGE)
+    sent = src.groupBy("chunk").applyInArrow(_send(bits), C.EXCHANGE)
     merged = C.stored(sent.groupBy("bucket").applyInArrow(_merge, MERGED), "entries")
     by = {r["bucket"]: np.frombuffer(r["stats"], "<f8") for r in merged.select("bucket", "stats").collect()}
-    s = np.array(list(by.values()) or [np.zeros(2 * CONTEXTS + 5)]).sum(0)
-    customers, kinds, (once, twice, root_once, root_twice, types) = s[:CONTEXTS], s[CONTEXTS : 2 * CONTEXTS], s[2 * CONTEXTS :]
+    customers, pairs, once, twice, root_once, root_twice, types = np.array(list(by.values()) or [np.zeros(7)]).sum(0)
     share = lambda a, b: float(np.clip(a / max(1.0, a + 2 * b), 0.05, 0.95))
-    totals = Totals(customers, 1.1 * kinds, types, int(types), int(customers.sum()), share(once, twice), share(root_once, root_twice))
+    none = np.zeros(0)
+    totals = Totals(none, none, types, int(types), int(customers), share(once, twice), share(root_once, root_twice), root_customers=1.1 * pairs)
     part = lambda n: {k: v / max(sum(n.values()), 1) for k, v in n.items()}
-    shares = part({k: float(v[CONTEXTS : 2 * CONTEXTS].sum()) for k, v in by.items()})
-    for _ in range(2):
-        told = merged.mapInArrow(_run(totals, shares, burn_in, 2, gap, False), "tables binary, buckets binary, sent binary").collect()
-        shares = part({int(k): float(v) for r in told for k, v in zip(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["sent"], "<f8"), strict=True)})
-        t = np.array([np.frombuffer(r["tables"], "<f8") for r in told] or [np.zeros((len(FACTORS) + 1) * (CONTEXTS + 1))]).sum(0).reshape(-1, CONTEXTS + 1)
-        tables = np.array([settled(totals.tables[k], t[0, k], t[1:, k], totals.discount, totals.strength) for k in range(CONTEXTS)])
-        totals = replace(totals, tables=tables, root_tables=settled(totals.root_tables, t[0, -1], t[1:, -1], totals.root_discount, totals.strength))
-    replies = merged.mapInArrow(_run(totals, shares, burn_in, samples, gap, True), C.REPLY)
-    return src.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(shared, totals), RESULT)
+    shares = part({k: float(v[1]) for k, v in by.items()})
+    buckets = merged.drop("stats").groupBy("bucket")
+    seats = merged.select("bucket", "contexts", "kinds", "context", "count").mapInArrow(_first_seats(bits), C.EXCHANGE)
+    told = seats.groupBy("bucket").applyInArrow(_together, C.REPLY)
+    drawn = C.stored(buckets.cogroup(told.groupBy("chunk")).applyInArrow(_run(totals, shares, burn_in, 2, gap, bits, False), C.EXCHANGE), "seats")
+    parents = drawn.where(F.col("bucket") == PARENT).collect()
+    own = {r["chunk"]: float(np.frombuffer(r["vals"], "<f8")[0]) for r in parents}
+    t = np.array([np.frombuffer(r["keys"], "<f8") for r in parents] or [np.zeros(len(FACTORS) + 1)]).sum(0)
+    shares = part(own)
+    totals = replace(totals, root_customers=sum(own.values()), root_tables=settled(totals.root_tables, t[0], t[1:], totals.root_discount, totals.strength))
+    told = drawn.where(F.col("bucket") != PARENT).groupBy("bucket").applyInArrow(_together, C.REPLY)
+    replies = buckets.cogroup(told.groupBy("chunk")).applyInArrow(_run(totals, shares, burn_in, samples, gap, bits, True), C.REPLY)
+    return src.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(totals), RESULT)

@@ -285,3 +285,19 @@ print(high() - before)
 """
     run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"OMP_NUM_THREADS": "1", "PYTHONPATH": os.pathsep.join(p for p in sys.path if p)})
     assert float(run.stdout) < 300  # MB
+
+
+def test_language_model_knows_the_word_before(spark):
+    from pyspark.sql import functions as F
+
+    # all words are equally frequent, and so are the words some places before them: only the next one tells
+    rng, words = random.Random(5), [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(1, 200):
+        at = [rng.randrange(40)]
+        while len(at) < 60:
+            at.append((at[-1] + 1) % 40 if rng.random() < 0.9 else rng.randrange(40))
+        rows.append((i, " ".join(words[a] for a in at)))
+    rows += [(1000, " ".join(words[a % 40] for a in range(60))), (1010, " ".join(words[7 * a % 40] for a in range(60)))]
+    got = {r["doc_id"]: r["score"] for r in hpylm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+    assert -15 < got[1000] < -2 and got[1010] < -100
