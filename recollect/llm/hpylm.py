@@ -366,21 +366,27 @@ def _sampled(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words:
     flat = np.full(n_words, (totals.strength + totals.root_discount * totals.root_tables) / (totals.types + 1))
     # start: as if the tables of a context were dealt out like its customers
     start = np.bincount(word, weights=count * (totals.tables / np.maximum(totals.customers, 1))[context], minlength=n_words)
-    own = Tables(count, totals.discount, wide * totals.root(start, np.zeros(n_words), start.sum(), share)[word], rng)
-    root = Tables(per_word(own.t), totals.root_discount, flat, rng)
+    # entries of one customer have one table, whatever is drawn
+    many = np.flatnonzero(count > 1)
+    word_m, wide_m, t = word[many], wide[many], np.minimum(count, 1).astype(np.int64)
+    lone = per_word(np.where(count == 1, 1, 0))
+    sent = lambda: lone + np.bincount(word_m, weights=own.t, minlength=n_words).astype(np.int64)
+    own = Tables(count[many], totals.discount, wide_m * totals.root(start, np.zeros(n_words), start.sum(), share)[word_m], rng)
+    root = Tables(sent(), totals.root_discount, flat, rng)
     mean, mean_root = np.zeros(len(word)), np.zeros(n_words)
     tables, root_tables = np.zeros(len(totals.customers)), 0.0
     for step in range(burn_in + samples * gap):
         # the parent's probabilities themselves, given which a word's contexts are independent
         seated = np.where(root.c > 0, rng.gamma(np.maximum(root.c - root.d * root.t, 1e-9)), 0)
-        own.draw(wide * totals.root(seated, np.zeros(n_words), root.c.sum(), share)[word])
-        root.arrive(per_word(own.t), flat)
+        own.draw(wide_m * totals.root(seated, np.zeros(n_words), root.c.sum(), share)[word_m])
+        root.arrive(sent(), flat)
         root.draw(flat)
         if step >= burn_in and (step - burn_in) % gap == gap - 1:
             p = totals.root(root.c, root.t, root.c.sum(), share)
-            mean += totals.word(context, own.c, own.t, p[word]) / samples
+            t[many] = own.t
+            mean += totals.word(context, count, t, p[word]) / samples
             mean_root += p / samples
-            tables += np.bincount(context, weights=own.t, minlength=len(tables)) / samples
+            tables += np.bincount(context, weights=t, minlength=len(tables)) / samples
             root_tables += root.t.sum() / samples
     return mean, tables, root_tables, mean_root, root.c
 
