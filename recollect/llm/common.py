@@ -147,6 +147,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def zipped(raw) -> bytes:
+    """Bytes, compressed, behind their number."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unzipped(blob) -> bytes:
+    return pa.decompress(memoryview(blob)[8:], int.from_bytes(memoryview(blob)[:8], "little"), codec="zstd", asbytes=True)
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and where each row starts; null is empty."""
     if isinstance(column, pa.ChunkedArray):

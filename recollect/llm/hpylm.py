@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -429,16 +430,28 @@ def settled(used: float, drawn: float, foretold: np.ndarray, discount: float, st
 #
 # A chunk's entries are its distinct (word, context) pairs, in the order of the words' keys and
 # then the contexts'.  A bucket keeps its distinct entries with their training counts, and for
-# each chunk which of them it holds.  Blobs hold their values byte plane by byte plane.
+# each chunk which of them it holds.  Blobs hold their values byte plane by byte plane, compressed
+# here: the shuffle's own compression leaves most of what differences and numbers could lose.  So
+# are texts, which are shuffled twice.
 
 
 def turned(vals: bytes, width: int) -> bytes:
-    """Values of `width` bytes as planes."""
-    return np.ascontiguousarray(np.frombuffer(vals, np.uint8).reshape(-1, width).T).tobytes()
+    """Values of `width` bytes as compressed planes."""
+    return C.zipped(np.ascontiguousarray(np.frombuffer(vals, np.uint8).reshape(-1, width).T).tobytes())
 
 
 def turned_back(planes, width: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T)
+    return np.ascontiguousarray(np.frombuffer(C.unzipped(planes), np.uint8).reshape(width, -1).T)
+
+
+def _zipped_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in C.pieces_of(batches):
+        texts = pc.fill_null(part["text"].cast(pa.binary()), b"")
+        yield part.set_column(part.schema.get_field_index("text"), "text", pa.array([C.zipped(t.as_buffer()) for t in texts], pa.binary()))
+
+
+def _texts(table: pa.Table) -> pa.Array:
+    return pa.array([C.unzipped(t.as_buffer()) for t in table["text"]], pa.large_binary())
 
 
 def entries(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -456,28 +469,42 @@ def entries(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 def _send(bits: int):
     def run(table: pa.Table) -> pa.Table:
         C.tidy()
-        keys, context, entry, first = entries(table["text"])
+        keys, context, entry, first = entries(_texts(table))
         learn = table["learn"].to_numpy().astype(bool)
         count = np.bincount(entry, weights=learn[C.row_of(first)], minlength=len(keys)).astype("<u4")
         both = np.column_stack([count.view(np.uint8).reshape(-1, 4), context.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]])
-        return C.table_of([(*r[:3], turned(r[3], 10)) for r in C.sends(table["chunk"][0].as_py(), keys, both, bits)], C.EXCHANGE_ARROW)
+        return C.table_of(_sends(table["chunk"][0].as_py(), keys, both, 10, bits), C.EXCHANGE_ARROW)
 
     return run
 
 
-MERGED = "bucket int, words binary, kinds binary, contexts binary, context binary, count binary, chunks binary, lengths binary, entry binary, stats binary"
+def _sends(chunk: int, keys: np.ndarray, vals: np.ndarray, width: int, bits: int) -> list[tuple]:
+    return [(b, c, C.zipped(k), turned(v, width)) for b, c, k, v in C.sends(chunk, keys, vals, bits)]
+
+
+def _gathered(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As C.gathered, of what _sends made; values are rows of bytes."""
+    table = table.sort_by("chunk")
+    keys = [C.unpack(C.unzipped(b.as_buffer())) for b in table["keys"]]
+    vals = [turned_back(b.as_buffer(), width) for b in table["vals"]]
+    return table["chunk"].to_numpy(), np.array([len(k) for k in keys]), np.concatenate(keys), np.concatenate(vals)
+
+
+MERGED = "bucket int, kinds binary, contexts binary, context binary, count binary, chunks binary, lengths binary, entry binary, stats binary"
 MERGED_ARROW = pa.schema([("bucket", pa.int32()), *((c.split()[0], pa.binary()) for c in MERGED.split(", ")[1:])])
 
 
 def _steps(x: np.ndarray) -> bytes:
-    return np.diff(x, prepend=0).astype("<i4").tobytes()
+    return turned(np.diff(x, prepend=0).astype("<i4").tobytes(), 4)
+
+
+def _stepped(blob: bytes) -> np.ndarray:
+    return np.cumsum(turned_back(blob, 4).view("<i4").ravel(), dtype=np.int64)
 
 
 def _merge(table: pa.Table) -> pa.Table:
     C.tidy()
-    chunks, lengths, keys, raw = C.gathered(table, np.uint8)
-    ends = 10 * np.cumsum(lengths)
-    both = np.concatenate([turned_back(raw[e - 10 * n : e], 10) for e, n in zip(ends, lengths, strict=True)])
+    chunks, lengths, keys, both = _gathered(table, 10)
     n = np.ascontiguousarray(both[:, :4]).view("<u4").ravel()
     named = np.zeros((len(both), 8), np.uint8)
     named[:, 2:] = both[:, 4:]
@@ -491,24 +518,27 @@ def _merge(table: pa.Table) -> pa.Table:
     contexts_of = np.bincount(word[seen], minlength=len(words))
     stats = np.array([count.sum(), seen.sum(), (count == 1).sum(), (count == 2).sum(), (contexts_of == 1).sum(), (contexts_of == 2).sum(), (per_word > 0).sum()], "<f8")
     kinds = np.bincount(word, minlength=len(words)).astype("<i4")
-    blobs = (C.pack(words), kinds, C.pack(contexts), _steps(context), turned(count.tobytes(), 8), chunks.astype("<i4"), lengths.astype("<i4"), _steps(entry), stats)
+    blobs = (turned(kinds.tobytes(), 4), C.zipped(C.pack(contexts)), _steps(context), turned(count.tobytes(), 8), chunks.astype("<i4"), lengths.astype("<i4"), _steps(entry), stats)
     return C.table_of([(table["bucket"][0].as_py(), *(b if isinstance(b, bytes) else b.tobytes() for b in blobs))], MERGED_ARROW)
 
 
 SEATS = [("c", "<f8"), ("t", "<f8")]  # of a restaurant: customers, tables
 
 
-def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A bucket's restaurants, and the word, restaurant and customers of its entries."""
-    kinds = np.frombuffer(row["kinds"], "<i4")
-    context = np.cumsum(np.frombuffer(row["context"], "<i4"), dtype=np.int64)
-    return C.unpack(row["contexts"]), np.repeat(np.arange(len(kinds)), kinds), context, turned_back(row["count"], 8).view("<i8").ravel()
+def _opened(row: dict) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """How many words a bucket has, and the word, restaurant and customers of its entries."""
+    kinds = turned_back(row["kinds"], 4).view("<i4").ravel()
+    return len(kinds), np.repeat(np.arange(len(kinds)), kinds), _stepped(row["context"]), turned_back(row["count"], 8).view("<i8").ravel()
+
+
+def _restaurants(row: dict) -> np.ndarray:
+    return C.unpack(C.unzipped(row["contexts"]))
 
 
 def _seats(bucket: int, contexts: np.ndarray, context: np.ndarray, count: np.ndarray, tables: np.ndarray, bits: int) -> list[tuple]:
     """What a bucket has of each restaurant, to the buckets of their contexts."""
     both = np.rec.fromarrays([np.bincount(context, weights=count, minlength=len(contexts)), tables], dtype=SEATS)
-    return [(*r[:3], turned(r[3], 16)) for r in C.sends(bucket, contexts, both, bits)]
+    return _sends(bucket, contexts, both, 16, bits)
 
 
 def _first_seats(bits: int):
@@ -517,7 +547,7 @@ def _first_seats(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                contexts, _, context, count = _opened(r)
+                contexts, (_, _, context, count) = _restaurants(r), _opened(r)
                 tables = 1.1 * np.bincount(context[count > 0], minlength=len(contexts))
                 yield from C.table_of(_seats(r["bucket"], contexts, context, count, tables, bits), C.EXCHANGE_ARROW).to_batches()
 
@@ -527,9 +557,8 @@ def _first_seats(bits: int):
 def _together(table: pa.Table) -> pa.Table:
     """To each bucket, customers and tables of whole restaurants."""
     C.tidy()
-    chunks, lengths, keys, raw = C.gathered(table, np.uint8)
-    ends = 16 * np.cumsum(lengths)
-    part = np.concatenate([turned_back(raw[e - 16 * n : e], 16) for e, n in zip(ends, lengths, strict=True)]).view(SEATS).ravel()
+    chunks, lengths, keys, raw = _gathered(table, 16)
+    part = raw.view(SEATS).ravel()
     own, at = np.unique(keys, return_inverse=True)
     both = np.rec.fromarrays([np.bincount(at, weights=part[k], minlength=len(own))[at] for k in ("c", "t")], dtype=SEATS)
     return _turned_rows(C.answers(chunks, lengths, table["bucket"][0].as_py(), both), 16)
@@ -558,19 +587,18 @@ def _run(totals: Totals, shares: dict[int, float], burn_in: int, samples: int, g
         if not len(table):
             return (C.REPLY_ARROW if reply else C.EXCHANGE_ARROW).empty_table()
         r = table.to_pylist()[0]
-        contexts, word, context, count = _opened(r)
-        n_words, seats = len(np.frombuffer(r["kinds"], "<i4")), _told(told, SEATS)
+        n_words, word, context, count = _opened(r)
+        seats = _told(told, SEATS)
         own = replace(totals, customers=seats["c"], tables=seats["t"])
         mean, tables, root_tables, root, sent = _sampled(word, context, count, n_words, own, burn_in, samples, gap, r["bucket"], shares[r["bucket"]])
         if not reply:
             parent = np.concatenate([[root_tables], foretell_root(own, sent)])
-            rows = [*_seats(r["bucket"], contexts, context, count, tables, bits), (PARENT, r["bucket"], parent.tobytes(), np.array([tables.sum()]).tobytes())]
+            rows = [*_seats(r["bucket"], _restaurants(r), context, count, tables, bits), (PARENT, r["bucket"], parent.tobytes(), np.array([tables.sum()]).tobytes())]
             return C.table_of(rows, C.EXCHANGE_ARROW)
         total = np.bincount(word, weights=count, minlength=n_words)[word]
         out = np.rec.fromarrays([total.astype("<u8"), np.log10(np.maximum(mean, 1e-300)).astype("<f4")], dtype=ANSWER)
         chunks, lengths = (np.frombuffer(r[c], "<i4") for c in ("chunks", "lengths"))
-        entry = np.cumsum(np.frombuffer(r["entry"], "<i4"), dtype=np.int64)
-        return _turned_rows(C.answers(chunks, lengths, r["bucket"], out[entry]), 12)
+        return _turned_rows(C.answers(chunks, lengths, r["bucket"], out[_stepped(r["entry"])]), 12)
 
     return run
 
@@ -586,7 +614,7 @@ def _score(totals: Totals):
         C.tidy()
         if not len(table):
             return schema.empty_table()
-        _, _, entry, first = entries(table["text"])
+        _, _, entry, first = entries(_texts(table))
         told = _told(replies, ANSWER)
         count = told["n"].astype(np.float64)
         base = np.log10((count + 0.1) / (totals.tokens + 0.1 * (totals.types + 1)))
@@ -609,7 +637,7 @@ def lm_scores(docs: DataFrame, learn, burn_in: int = 10, samples: int = 5, gap:
     n = C.chunk_count(docs)
     bits = C.bucket_bits(n)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learn, F.lit(True)).cast("int").alias("learn"))
-    src = C.chunked(rows, n, "doc_id", "text", "learn")
+    src = C.chunked(rows, n, "doc_id", "text", "learn").mapInArrow(_zipped_texts, "doc_id long, text binary, learn int, chunk int")
     sent = src.groupBy("chunk").applyInArrow(_send(bits), C.EXCHANGE)
     merged = C.stored(sent.groupBy("bucket").applyInArrow(_merge, MERGED), "entries")
     by = {r["bucket"]: np.frombuffer(r["stats"], "<f8") for r in merged.select("bucket", "stats").collect()}
@@ -619,15 +647,16 @@ def lm_scores(docs: DataFrame, learn, burn_in: int = 10, samples: int = 5, gap:
     totals = Totals(none, none, types, int(types), int(customers), share(once, twice), share(root_once, root_twice), root_customers=1.1 * pairs)
     part = lambda n: {k: v / max(sum(n.values()), 1) for k, v in n.items()}
     shares = part({k: float(v[1]) for k, v in by.items()})
-    buckets = merged.drop("stats").groupBy("bucket")
-    seats = merged.select("bucket", "contexts", "kinds", "context", "count").mapInArrow(_first_seats(bits), C.EXCHANGE)
+    seated = merged.select("bucket", "contexts", "kinds", "context", "count")
+    seats = seated.mapInArrow(_first_seats(bits), C.EXCHANGE)
     told = seats.groupBy("bucket").applyInArrow(_together, C.REPLY)
-    drawn = C.stored(buckets.cogroup(told.groupBy("chunk")).applyInArrow(_run(totals, shares, burn_in, 2, gap, bits, False), C.EXCHANGE), "seats")
+    drawn = C.stored(seated.groupBy("bucket").cogroup(told.groupBy("chunk")).applyInArrow(_run(totals, shares, burn_in, 2, gap, bits, False), C.EXCHANGE), "seats")
     parents = drawn.where(F.col("bucket") == PARENT).collect()
     own = {r["chunk"]: float(np.frombuffer(r["vals"], "<f8")[0]) for r in parents}
     t = np.array([np.frombuffer(r["keys"], "<f8") for r in parents] or [np.zeros(len(FACTORS) + 1)]).sum(0)
     shares = part(own)
     totals = replace(totals, root_customers=sum(own.values()), root_tables=settled(totals.root_tables, t[0], t[1:], totals.root_discount, totals.strength))
     told = drawn.where(F.col("bucket") != PARENT).groupBy("bucket").applyInArrow(_together, C.REPLY)
-    replies = buckets.cogroup(told.groupBy("chunk")).applyInArrow(_run(totals, shares, burn_in, samples, gap, bits, True), C.REPLY)
+    answering = merged.select("bucket", "kinds", "context", "count", "chunks", "lengths", "entry")
+    replies = answering.groupBy("bucket").cogroup(told.groupBy("chunk")).applyInArrow(_run(totals, shares, burn_in, samples, gap, bits, True), C.REPLY)
     return src.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(totals), RESULT)

@@ -32,6 +32,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.hpylm import lm_scores
 
     held = _held_out(10, 0)
+    _batched(spark)
     out = lm_scores(_docs(spark, sf_dir), ~held)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

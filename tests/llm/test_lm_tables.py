@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from recollect.llm import common as C
 from recollect.llm import hpylm
@@ -73,3 +74,17 @@ def test_frequent_words_are_counted_in_all_batches(spark):
     for parts in (1, 40):
         got = hpylm.classes(docs.repartition(parts).select("text"))
         assert len(got.keys) == hpylm.TOP and thin[0] in got.keys and thin[1] not in got.keys
+
+
+def test_what_the_language_model_shuffles_is_compressed(spark):
+    rng = np.random.default_rng(7)
+    words = np.array(["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(3000)])
+    texts = [" ".join(words[np.minimum(rng.zipf(1.3, 400) - 1, 2999)]) for _ in range(400)]
+    store, jvm = spark._jsc.sc().statusStore(), spark._jvm
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    old = {stages().apply(i).stageId() for i in range(stages().size())}
+    got = hpylm.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") % 10 != 0).collect()
+    assert {(r["doc_id"], r["n_tokens"]) for r in got} == {(i, 401) for i in range(400)}
+    new = [x for x in (stages().apply(i) for i in range(stages().size())) if x.stageId() not in old]
+    moved = sum(x.shuffleWriteBytes() for x in new) / sum(map(len, texts))
+    assert 0 < moved < 1.35
